@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import simhash_dedup
+from corpusmill.llm import fingerprint, packing, simhash_dedup
 
 QUERIES = {
+    "op5_packing": packing.op5,
     "op8_simhash_dedup": simhash_dedup.op8,
+    "op9_fingerprint": fingerprint.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
