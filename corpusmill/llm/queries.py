@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import fingerprint, packing, simhash_dedup
+from corpusmill.llm import fingerprint, mixing, packing, simhash_dedup, topk
 
 QUERIES = {
+    "op4_mixing": mixing.op4,
     "op5_packing": packing.op5,
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_fingerprint": fingerprint.op9,
+    "op10_topk_search": topk.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_topk_search": topk.ORACLE}
