@@ -152,8 +152,11 @@ def ball_links(keyed: DataFrame, bits: int, radius: int) -> DataFrame:
     Emits each part and its one-bit variants, deals them by variant, and streams the sorted buckets past ``forest``. A
     bucket holds only longs; equal fingerprints were merged before.
     """
+    spark = keyed.sparkSession
     flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(bits))]])
-    emitted = keyed.select("fp", "block", "part", F.explode(flips).alias("flip")).select((F.shiftleft(F.col("block").cast("long"), bits).bitwiseOR(F.col("part").bitwiseXOR(F.col("flip")))).alias("key"), "fp")
+    # The fingerprints are few bytes but many keys: adaptive execution must not gather them in a few tasks.
+    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp", "block")
+    emitted = dealt.select("fp", "block", "part", F.explode(flips).alias("flip")).select((F.shiftleft(F.col("block").cast("long"), bits).bitwiseOR(F.col("part").bitwiseXOR(F.col("flip")))).alias("key"), "fp")
     met = emitted.repartition("key").sortWithinPartitions("key", "fp")
     return map_arrow(met, _meet(radius), "a long, b long").distinct()
 
