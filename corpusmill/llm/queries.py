@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import fingerprint, mixing, packing, simhash_dedup, topk
+from corpusmill.llm import fingerprint, line_dedup, mixing, packing, sharding, simhash_dedup, topk, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1,
+    "op2_sharding": sharding.op2,
     "op4_mixing": mixing.op4,
     "op5_packing": packing.op5,
+    "op7_url_filter": url_filter.op7,
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_fingerprint": fingerprint.op9,
     "op10_topk_search": topk.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_topk_search": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op2_sharding": sharding.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+    "op10_topk_search": topk.ORACLE,
+}
