@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import fingerprint, line_dedup, mixing, packing, sharding, simhash_dedup, topk, url_filter
+from corpusmill.llm import chat_format, fingerprint, language_id, line_dedup, mixing, packing, sharding, simhash_dedup, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_sharding": sharding.op2,
+    "op3_chat_format": chat_format.op3,
     "op4_mixing": mixing.op4,
     "op5_packing": packing.op5,
+    "op6_language_id": language_id.op6,
     "op7_url_filter": url_filter.op7,
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_fingerprint": fingerprint.op9,
@@ -18,6 +20,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_sharding": sharding.ORACLE,
+    "op3_chat_format": chat_format.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op10_topk_search": topk.ORACLE,
 }
