@@ -8,7 +8,9 @@ pieces' ranks among those of equal length.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +25,9 @@ LENGTH, END_ID = 2048, 1
 RANK_BUCKETS = 256
 
 
+SEPARATOR = "\x01"  # fixed value: a control character that is a token of its own between blanks
+
+
 class WordTokens(dict):
     """Token ids of the white-space separated parts of texts, each part encoded once per worker.
 
@@ -31,11 +36,17 @@ class WordTokens(dict):
     """
 
     def __init__(self, path: str, limit: int = 1 << 20):
+        # A task has one core; threads of the library would only contend for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.new = Tokenizer.from_file(path), limit, []
+        self.separator = self.encode([SEPARATOR])[0]
         self.clear()
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         super().clear()
         self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
@@ -45,17 +56,34 @@ class WordTokens(dict):
         self.new.append(part)
         return n
 
+    def learn(self) -> None:
+        """Encodes the new parts: many at once, set apart by a separator; those that contain it one by one."""
+        parts = [p.decode("utf-8", "replace") for p in self.new]
+        found: list[np.ndarray] = [None] * len(parts)
+        plain = [i for i, p in enumerate(parts) if SEPARATOR not in p]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = self.encode([f" {SEPARATOR} ".join(parts[i] for i in some)])[0]
+            cuts = np.flatnonzero(ids == self.separator[0])
+            for i, low, high in zip(some, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True):
+                found[i] = ids[low:high]
+        odd = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(odd, self.encode([parts[i] for i in odd]), strict=True):
+            found[i] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.flat = np.concatenate((self.flat, *found))
+        self.new = []
+
     def ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         if len(self) > self.limit:
             self.clear()
-        coded = [np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)) for parts in ((t or b"").split() for t in texts)]
+        # A-Z can be lowered before, as the tokenizer would do it, unless the text may spell a special token.
+        split = ((t if b"<|" in t else t.lower()).split() if t else [] for t in texts)
+        coded = [np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)) for parts in split]
         if self.new:
-            found = [x.ids for x in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in self.new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
-            self.sizes = np.append(self.sizes, sizes)
-            self.flat = np.append(self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())))
-            self.new = []
+            self.learn()
         for codes in coded:
             sizes = self.sizes[codes]
             ends = np.cumsum(sizes)
@@ -63,6 +91,12 @@ class WordTokens(dict):
             yield self.flat[np.repeat(self.starts[codes] - ends + sizes, sizes) + np.arange(n)]
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One cache for all tasks of a worker process."""
+    return WordTokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: each document's ids cut at every multiple of ``length``.
 
@@ -70,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordTokens(tokenizer)
+        cache = word_tokens(tokenizer)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             # A few megabytes at a time: the codes of a slice are all held.
