@@ -1,12 +1,22 @@
-"""Registered queries over the test tables, each with the SQL that must give the same rows."""
+"""Registered queries over the test tables, each with the SQL that must give the same rows.
+
+The tables stand in for the sources: ``documents`` by language, ``conversations`` for question and answer pairs, ``events``
+for a training log. Small fixtures, where the tables have nothing to show, are written inline on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.constants import BOS, EOS, FIRST_BYTE, FINETUNE_LENGTH, SEQUENCE_LENGTH
+from corpusmill.functions import extract, predicates, text
+from corpusmill.operators import budget, evaluation, finetune, manifest, packing, sampling, schema_catalog, supplement, tokenizer, training_log
+from corpusmill.operators.prefix import hash_rank
+from corpusmill.sources.registry import registry_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -23,11 +33,504 @@ def query(sql: str | None = None):
     return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str, cores: bool = False) -> DataFrame:
+    """A test table; with ``cores``, dealt to all cores where its one file would keep one busy."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if cores and df.rdd.getNumPartitions() < n else df
+
+
+def long(x: Column | str) -> Column:
+    return (F.col(x) if isinstance(x, str) else x).cast("long")
+
+
+GOOD = "length(text) BETWEEN 100 AND 1000000"
+DEMO_WORDS = ("THE", "FROM", "DER", "QUE", "AND", "UND", "LES")  # words that the invented prose has
+BUDGETS = (("en", 500_000), ("fr", 400_000), ("de", 10_000), ("es", 700_000))  # bytes: some below a pass, some above
+
+
+def good_docs(spark: SparkSession, sf_dir: str, cores: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "documents", cores).where(predicates.length_ok(F.col("text")))
+
+
+# Extraction, filters and functions
+
+
+@query(f"SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE {GOOD}")
+def length_filtered_docs(spark, sf_dir):
+    return good_docs(spark, sf_dir).select("doc_id", "lang", long(F.length("text")).alias("chars"))
+
+
+@query("""SELECT lang, count(*) AS docs, round(avg(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text)), 6) AS alnum FROM documents WHERE length(text) > 0 GROUP BY lang""")
+def alnum_fraction_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", True).where(predicates.not_empty(F.col("text")))
+    return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.round(F.avg(text.alnum_fraction(F.col("text"))), 6).alias("alnum"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents")
+def nfc_normalized_docs(spark, sf_dir):
+    return text.nfc(table(spark, sf_dir, "documents", True), "text").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+_HITS = " + ".join(f"CAST(contains(upper(text), '{w}') AS INTEGER)" for w in DEMO_WORDS)
+
+
+@query(f"SELECT doc_id, CAST({_HITS} AS BIGINT) AS hits FROM documents WHERE {_HITS} >= 2")
+def keyword_hits_ge2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(predicates.markdown_file(F.col("text"), DEMO_WORDS))
+    return docs.select("doc_id", long(text.keyword_hits(F.col("text"), DEMO_WORDS)).alias("hits"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE (contains(upper(text), 'SELECT') OR contains(upper(text), 'FROM') OR contains(upper(text), 'CREATE') OR contains(upper(text), 'INSERT')) AND length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text) >= 0.25")
+def sql_style_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(predicates.sql_file(F.col("text"))).select("doc_id", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(upper(text), 'FROM') AND (contains(upper(text), 'WHERE') OR contains(upper(text), 'THE'))")
+def python_style_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(predicates.python_file(F.col("text"), "FROM", ("WHERE", "THE"))).select("doc_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), '/en/') OR contains(lower(url), 'blog')")
+def path_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(predicates.path_has(F.col("url"), ("/en/", "blog"))).select("page_id", "url")
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
+def user_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(predicates.first_turns(F.col("role"), want_role="user")).select("conv_id", "turn", "text")
+
+
+def qa_pairs(spark, sf_dir) -> DataFrame:
+    """``conv_id, turn, system, question, answer``: user turns and the assistant's turn after them."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    first = turns.where("role = 'system' AND turn = 0").select("conv_id", F.col("text").alias("system"))
+    return asked.join(answers, ["conv_id", "turn"]).join(first, "conv_id", "left").select("conv_id", "turn", "system", "question", "answer")
+
+
+_QA = """qa AS (
+    SELECT q.conv_id, q.turn, s.text AS system, q.text AS question, a.text AS answer FROM conversations q
+    JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+    LEFT JOIN conversations s ON s.conv_id = q.conv_id AND s.role = 'system' AND s.turn = 0 WHERE q.role = 'user'
+)"""
+
+
+@query(f"WITH {_QA} SELECT conv_id, turn, coalesce(system, '') || chr(10) || question || chr(10) || answer AS joined, concat_ws(chr(10), nullif(system, ''), nullif(question, ''), nullif(answer, '')) AS present FROM qa")
+def concat_extract(spark, sf_dir):
+    return qa_pairs(spark, sf_dir).select("conv_id", "turn", extract.joined("system", "question", "answer").alias("joined"), extract.joined_present("system", "question", "answer").alias("present"))
+
+
+@query(f"WITH {_QA} SELECT conv_id, turn, '<schema>' || coalesce(system, '') || '</schema><question>' || question || '</question><sql>' AS prompt FROM qa")
+def prompts(spark, sf_dir):
+    return qa_pairs(spark, sf_dir).select("conv_id", "turn", extract.prompt(F.col("question"), text.text_or_empty("system")).alias("prompt"))
+
+
+@query("""
+    SELECT * FROM (VALUES (1, 'CREATE t', 'list all'), (2, 'one question: two', 'three'), (3, '', 'no marker here '), (4, 'a', 'b Q: c'), (5, '', '')) AS x(id, schema, question)
+""")
+def instruction_split(spark, sf_dir):
+    rows = [(1, "CREATE t\nQuestion: list all"), (2, "one question: two Q: three"), (3, "no marker here "), (4, " a Q:  b Q: c\n"), (5, None)]
+    df = spark.createDataFrame(rows, "id int, instruction string").withColumn("output", F.lit("x"))
+    return df.select("id", extract.marked_triple("instruction", "output").alias("t")).select("id", "t.schema", "t.question")
+
+
+@query(f"WITH {_QA} SELECT conv_id, turn, trim(question, ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN system IS NULL OR trim(system) = '' THEN '' ELSE chr(10) || 'Hint: ' || trim(system, ' ' || chr(9) || chr(10) || chr(13)) END AS question FROM qa")
+def hinted_questions(spark, sf_dir):
+    return qa_pairs(spark, sf_dir).select("conv_id", "turn", extract.hinted_triple("system", "question", "system", "answer").alias("t")).select("conv_id", "turn", "t.question")
+
+
+@query("SELECT doc_id, replace(replace(substr(text, 1, 120), chr(10), ' '), chr(13), '') AS preview, len(regexp_extract_all(text, '\\S+')) AS words FROM documents")
+def previews(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"), text.word_count(F.col("text")).alias("words"))
+
+
+# Tokenizer
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100")
+def word_counts_top(spark, sf_dir):
+    words = table(spark, sf_dir, "documents", True).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
+
+
+@query()
+def pretoken_counts(spark, sf_dir):
+    return tokenizer.pre_token_counts(table(spark, sf_dir, "documents", True))
+
+
+@query("SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS tokens, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words, round(sum(strlen(text)) / sum(len(regexp_extract_all(text, '\\S+'))), 6) AS fertility FROM documents GROUP BY lang")
+def byte_fertility(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", True)
+    sums = docs.groupBy("lang").agg(long(F.sum(F.octet_length("text"))).alias("tokens"), long(F.sum(text.word_count(F.col("text")))).alias("words"))
+    return sums.withColumn("fertility", F.round(F.col("tokens") / F.col("words"), 6))
+
+
+@query()
+def bpe_training(spark, sf_dir):
+    """A vocabulary of 1,024 learned from all documents: ``id, token``."""
+    bpe = tokenizer.train(tokenizer.pre_token_counts(table(spark, sf_dir, "documents", True)), 1024)
+    return spark.createDataFrame(list(enumerate(bpe.names)), "id int, token string")
+
+
+@query()
+def bpe_round_trip(spark, sf_dir):
+    """Every document encoded and decoded: ``doc_id, tokens, same``."""
+    docs = table(spark, sf_dir, "documents", True)
+    bpe = tokenizer.train(tokenizer.pre_token_counts(docs), 512)
+    done = docs.select("doc_id", "text", tokenizer.encoder(bpe)(F.col("text")).alias("ids"))
+    return done.select("doc_id", long(F.size("ids")).alias("tokens"), tokenizer.decoder(bpe)(F.col("ids")).eqNullSafe(F.col("text")).alias("same"))
+
+
+@query(f"SELECT upper, CAST({1500 * len(supplement.KEYWORDS)} AS BIGINT) AS n, CAST({len(supplement.KEYWORDS)} AS BIGINT) AS keywords FROM (VALUES (true), (false)) AS v(upper)")
+def keyword_supplement_counts(spark, sf_dir):
+    rows = supplement.sentences(spark).where("rep < 1500").groupBy("upper").agg(F.countDistinct("keyword").alias("keywords"))
+    total = supplement.sentences(spark, extra_reps=1).where(F.contains(F.upper("text"), F.col("keyword"))).groupBy("upper").agg(F.count("*").alias("all")).withColumn("n", F.col("all") - len(supplement.EXTRA))
+    return rows.join(total, "upper").select("upper", "n", "keywords")
+
+
+# Budgets, packing, split
+
+
+@query("SELECT doc_id, chars_before FROM (SELECT doc_id, CAST(coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM documents) WHERE chars_before < 1000000")
+def char_budget_sample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") + 1).alias("cost"), F.lit(0).alias("one"))
+    return budget.within_budget(docs, ["one"], ["doc_id"], "cost", F.lit(1_000_000)).select("doc_id", F.col("before").alias("chars_before"))
+
+
+_BUDGET_SQL = "budgets AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in BUDGETS) + ") AS b(lang, budget))"
+
+
+def budgeted(spark, sf_dir) -> DataFrame:
+    docs = good_docs(spark, sf_dir).select("doc_id", "lang", long(F.octet_length("text")).alias("n"))
+    budgets = F.create_map(*[F.lit(x) for pair in BUDGETS for x in pair])
+    return docs.withColumn("budget", long(F.element_at(budgets, F.col("lang"))))
+
+
+@query(f"""WITH {_BUDGET_SQL} SELECT doc_id, lang, before FROM (
+    SELECT doc_id, lang, budget, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+    FROM documents JOIN budgets USING (lang) WHERE {GOOD}) WHERE before < budget""")
+def token_budget_cut(spark, sf_dir):
+    return budget.within_budget(budgeted(spark, sf_dir), ["lang"], ["doc_id"], "n", F.col("budget")).select("doc_id", "lang", "before")
+
+
+@query(f"""WITH {_BUDGET_SQL}, p AS (
+    SELECT doc_id, lang, budget, strlen(text) AS n, coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(strlen(text)) OVER (PARTITION BY lang) AS total
+    FROM documents JOIN budgets USING (lang) WHERE {GOOD}
+), e AS (SELECT *, unnest(range(CAST(ceil(budget / total) AS BIGINT))) AS epoch FROM p)
+SELECT lang, epoch, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM e WHERE epoch * total + before < budget GROUP BY lang, epoch""")
+def epoch_cycle_counts(spark, sf_dir):
+    done = budget.cycled(budgeted(spark, sf_dir), ["lang"], ["doc_id"], "n", "budget")
+    return done.groupBy("lang", "epoch").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+
+
+@query(f"SELECT lang, CAST(b // 100000 AS BIGINT) AS milestone, count(*) AS docs FROM (SELECT lang, coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE {GOOD}) GROUP BY ALL")
+def build_milestones(spark, sf_dir):
+    from corpusmill.operators.prefix import exclusive_sum
+
+    placed = exclusive_sum(budgeted(spark, sf_dir), ["lang"], ["doc_id"], "n", "before")
+    return budget.milestones(placed, ["lang"], 100_000)
+
+
 @query("""
     SELECT lang, CAST(sum(strlen(text) + 2) // 512 AS BIGINT) AS sequences, CAST(sum(strlen(text) + 2) // 512 * 512 AS BIGINT) AS tokens
     FROM documents WHERE length(text) BETWEEN 100 AND 1000000 GROUP BY lang
 """)
-def packed_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    wrapped = docs.where(F.length("text").between(100, 1_000_000)).groupBy("lang").agg(F.sum(F.octet_length("text") + 2).alias("n"))
-    return wrapped.select("lang", F.expr("n div 512").alias("sequences"), F.expr("n div 512 * 512").alias("tokens"))
+def packed_counts_by_lang(spark, sf_dir):
+    sized = good_docs(spark, sf_dir).select("lang", (F.octet_length("text") + 2).alias("n"))
+    return packing.packed_counts(sized, ["lang"], "n", SEQUENCE_LENGTH)
+
+
+def packed_docs(spark, sf_dir) -> DataFrame:
+    """All documents in bytes, packed by language: ``source, seq_id, tokens``."""
+    docs = good_docs(spark, sf_dir, True).select("doc_id", F.col("lang").alias("source"), tokenizer.byte_ids(F.col("text")).alias("tokens"))
+    return packing.pack(packing.wrap(docs), ["source"], ["doc_id"])
+
+
+_TOKENS = f"""tok AS (
+    SELECT lang AS source, doc_id, unnest(list_concat([{BOS}], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS INTEGER) + {FIRST_BYTE}), [{EOS}])) AS id, generate_subscripts(regexp_extract_all(hex(encode(text)) || 'FFFF', '..'), 1) AS i
+    FROM documents WHERE {GOOD}
+), pos AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM tok),
+seqs AS (SELECT source, p // 512 AS seq_id, p % 512 AS place, id FROM pos WHERE p // 512 < n // 512)"""
+
+
+@query(f"WITH {_TOKENS} SELECT source, seq_id, count(*) AS size, CAST(sum(id * (place + 1)) AS BIGINT) AS checksum, CAST(min(id) AS BIGINT) AS low, CAST(max(id) AS BIGINT) AS high FROM seqs GROUP BY source, seq_id")
+def packed_sequences(spark, sf_dir):
+    weighed = F.aggregate(F.transform("tokens", lambda x, i: long(x) * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return packed_docs(spark, sf_dir).select("source", "seq_id", long(F.size("tokens")).alias("size"), weighed.alias("checksum"), long(F.array_min("tokens")).alias("low"), long(F.array_max("tokens")).alias("high"))
+
+
+_SPLIT = """seq AS (SELECT lang AS source, unnest(range(CAST(sum(strlen(text) + 2) // 512 AS BIGINT))) AS seq_id FROM documents WHERE length(text) BETWEEN 100 AND 1000000 GROUP BY lang),
+split AS (
+    SELECT source, seq_id, row_number() OVER (PARTITION BY source ORDER BY sha256('42|' || source || '|' || seq_id), seq_id) AS position, greatest(1, count(*) OVER (PARTITION BY source) // 100) AS n_val FROM seq
+)"""
+
+
+def split_ids(spark, sf_dir) -> DataFrame:
+    counts = packed_counts_by_lang(spark, sf_dir).where("sequences > 0")
+    ids = counts.select(F.col("lang").alias("source"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sequences") - 1)).alias("seq_id"))
+    return packing.train_val_split(ids, ["source"])
+
+
+@query(f"WITH {_SPLIT} SELECT source, seq_id, position, CASE WHEN position <= n_val THEN 'val' ELSE 'train' END AS split FROM split")
+def train_val_split(spark, sf_dir):
+    return split_ids(spark, sf_dir).select("source", "seq_id", "position", "split")
+
+
+LANG_TARGETS = (("de", 0.2), ("en", 0.5), ("es", 0.1), ("fr", 0.15), ("it", 0.05))
+
+
+def lang_registry(spark) -> DataFrame:
+    return spark.createDataFrame([(n, int(1e6 * p), p) for n, p in LANG_TARGETS], "source string, token_budget long, target_proportion double")
+
+
+@query(f"""WITH {_SPLIT}, c AS (SELECT source, count(*) FILTER (position > n_val) AS train_sequences, count(*) FILTER (position <= n_val) AS val_sequences FROM split GROUP BY source)
+    SELECT source, train_sequences, val_sequences, train_sequences * 512 AS train_tokens, round(train_sequences / CAST(sum(train_sequences) OVER () AS BIGINT), 6) AS actual_proportion FROM c""")
+def manifest_sources(spark, sf_dir):
+    packed = split_ids(spark, sf_dir).withColumn("tokens", F.array(F.lit(0).cast("smallint")))
+    return manifest.proportions(manifest.split_counts(packed), lang_registry(spark)).select("source", "train_sequences", "val_sequences", "train_tokens", "actual_proportion")
+
+
+@query("SELECT 'it' AS source WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'it')")
+def missing_sources(spark, sf_dir):
+    present = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"))
+    return manifest.missing_sources(lang_registry(spark), present)
+
+
+@query("""SELECT * FROM (VALUES ('files', false), ('shape', true), ('id_range', true), ('bos_present', true), ('eos_before_bos', true), ('pad_rate', true), ('delimiter_rate', true), ('proportions', false), ('checksums', true)) AS v("check", passed)""")
+def verify_summary(spark, sf_dir):
+    """All checks over the packed documents; one registered source is missing and the shares miss their targets."""
+    packed = packing.train_val_split(packed_docs(spark, sf_dir), ["source"]).select("source", "split", "seq_id", "tokens")
+    recorded = packing.build_summary(packed).select("source", "split", "content_hash")
+    return manifest.verify(packed, lang_registry(spark), recorded).select("check", "passed")
+
+
+@query("SELECT source, CAST(budget AS BIGINT) AS token_budget, round(budget / 2535000000, 9) AS target FROM (VALUES ('stack_sql', 1100000000), ('stack_markdown', 80000000), ('sqale', 200000000), ('gretelai', 100000000), ('nstext2sql', 50000000), ('sql_create_context', 30000000), ('stack_python', 280000000), ('stack_ruby', 50000000), ('fineweb', 600000000), ('oasst', 15000000), ('bird', 30000000)) AS v(source, budget)")
+def registry_proportions(spark, sf_dir):
+    return registry_table(spark).select("source", "token_budget", F.round("target_proportion", 9).alias("target"))
+
+
+# Instruction tuning
+
+
+def finetune_rows(spark, sf_dir) -> DataFrame:
+    qa = qa_pairs(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    ids = lambda c: tokenizer.byte_ids(F.substring(text.text_or_empty(c), 1, 10**9))
+    rows = qa.select("conv_id", "turn", F.lit("conversations").alias("source"), ids("system").alias("schema_ids"), ids("question").alias("question_ids"), ids("answer").alias("sql_ids"))
+    return finetune.encode_examples(rows)
+
+
+_FT = f"WITH {_QA}, x AS (SELECT *, strlen(coalesce(system, '')) AS s, strlen(question) AS q, strlen(answer) AS a, strlen(coalesce(system, '')) + strlen(question) + strlen(answer) + 8 AS n FROM qa WHERE strlen(answer) > 0)"
+
+
+@query(f"{_FT} SELECT conv_id, turn, n, s + q + 5 AS first_one, a + 2 AS ones, CAST({FINETUNE_LENGTH} - n AS BIGINT) AS pads FROM x WHERE n <= {FINETUNE_LENGTH}")
+def finetune_examples(spark, sf_dir):
+    kept = finetune_rows(spark, sf_dir).where("tokens IS NOT NULL")
+    return kept.select("conv_id", "turn", long("n").alias("n"), long(F.array_position("mask", F.lit(1).cast("tinyint")) - 1).alias("first_one"), long(F.size(F.filter("mask", lambda x: x == 1))).alias("ones"), long(F.size(F.filter("tokens", lambda x: x == 2))).alias("pads"))
+
+
+@query(f"{_FT} SELECT 'conversations' AS source, count(*) FILTER (n <= {FINETUNE_LENGTH}) AS kept, count(*) FILTER (n > {FINETUNE_LENGTH}) AS skipped FROM x")
+def finetune_stats(spark, sf_dir):
+    return finetune.kept_and_skipped(finetune_rows(spark, sf_dir))
+
+
+@query(f"{_FT} SELECT 'train' AS split, round(sum(a + 2) / (count(*) * {FINETUNE_LENGTH}), 9) AS density FROM x WHERE n <= {FINETUNE_LENGTH}")
+def finetune_mask_stats(spark, sf_dir):
+    return finetune.mask_density(finetune_rows(spark, sf_dir).withColumn("split", F.lit("train"))).withColumn("density", F.round("density", 9))
+
+
+_U = "CAST('0x' || substr(sha256({}), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query(f"""WITH {_QA}, d AS (SELECT conv_id, turn, (conv_id % 4) AS k, {_U.format("'42|val|conversations|' || conv_id || '-' || turn")} AS uv, {_U.format("'42|copy|conversations|' || conv_id || '-' || turn")} AS uc FROM qa),
+    w AS (SELECT *, CASE k WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 0.25 END AS weight FROM d)
+    SELECT conv_id, turn, CASE WHEN uv < 0.01 THEN 'val' ELSE 'train' END AS split, CAST(unnest(range(1, 1 + CAST(floor(weight) + CASE WHEN uc < weight - floor(weight) THEN 1 ELSE 0 END AS BIGINT))) AS BIGINT) AS copy_no FROM w""")
+def weighted_copies(spark, sf_dir):
+    qa = qa_pairs(spark, sf_dir).select("conv_id", "turn")
+    weight = F.element_at(F.array(F.lit(5.0), F.lit(2.0), F.lit(1.0), F.lit(0.25)), (F.col("conv_id") % 4 + 1).cast("int"))
+    return finetune.split_and_copy(qa, F.concat_ws("-", "conv_id", "turn"), F.lit("conversations"), weight).select("conv_id", "turn", "split", long("copy_no").alias("copy_no"))
+
+
+@query(f"WITH {_QA} SELECT conv_id, turn, row_number() OVER (ORDER BY sha256('0|' || conv_id || '|' || turn), conv_id, turn) AS position FROM qa")
+def shuffled_examples(spark, sf_dir):
+    rows = finetune.shuffled_train(qa_pairs(spark, sf_dir).select("conv_id", "turn", F.lit("train").alias("split"), F.lit(0).alias("one")), ["conv_id", "turn"])
+    return hash_rank(rows, ["one"], "digest", ["conv_id", "turn"], "position").select("conv_id", "turn", "position")
+
+
+# Sampling
+
+_SOURCES = "src AS (SELECT lang AS source, count(*) AS n, CASE lang WHEN 'de' THEN 0.2 WHEN 'en' THEN 0.5 WHEN 'es' THEN 0.1 ELSE 0.15 END AS w FROM documents GROUP BY lang), wts AS (SELECT source, n, w, sum(w) OVER () AS t, sum(w) OVER (ORDER BY source) AS c FROM src)"
+
+
+def source_sizes(spark, sf_dir) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("source")).agg(F.count("*").alias("n"))
+    return sizes.join(lang_registry(spark).select("source", "target_proportion"), "source")
+
+
+@query(f"""WITH {_SOURCES}, b AS (SELECT unnest(range(200)) AS batch_id), d AS (SELECT batch_id, {_U.format("'42|source|' || batch_id")} AS u FROM b),
+    p AS (SELECT batch_id, source, n FROM d JOIN wts ON u * t >= c - w AND u * t < c), s AS (SELECT *, unnest(range(8)) AS slot FROM p)
+    SELECT batch_id, CAST(slot AS BIGINT) AS slot, source, CAST(floor({_U.format("'42|row|' || batch_id || '|' || slot")} * n) AS BIGINT) AS row_idx FROM s""")
+def mixture_batches(spark, sf_dir):
+    return sampling.mixture_rows(spark, source_sizes(spark, sf_dir), 200, 8).withColumn("slot", long("slot"))
+
+
+@query(f"""WITH {_SOURCES}, b AS (SELECT unnest(range(100)) AS batch_id), d AS (SELECT batch_id, {_U.format("'42|source|' || batch_id")} AS u FROM b),
+    p AS (SELECT batch_id, source, n, CASE WHEN n <= 64 THEN 0 ELSE CAST(floor({_U.format("'42|start|' || batch_id")} * (n - 64)) AS BIGINT) END AS start FROM d JOIN wts ON u * t >= c - w AND u * t < c)
+    SELECT batch_id, source, start, least(start + 64, n) AS stop FROM p""")
+def validation_slices(spark, sf_dir):
+    return sampling.validation_slices(spark, source_sizes(spark, sf_dir), 100, 64)
+
+
+@query("SELECT doc_id, lang, (r - 1) // 32 AS batch FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE (r - 1) // 32 < n // 32")
+def epoch_batches(spark, sf_dir):
+    from corpusmill.operators.prefix import exclusive_sum
+
+    rows = exclusive_sum(table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("one")), ["lang"], ["doc_id"], "one", "row")
+    return sampling.epoch_batches(rows, ["lang"], "row", 32).select("doc_id", "lang", "batch")
+
+
+@query("""WITH e AS (SELECT doc_id, unnest(range(2)) AS epoch FROM documents), r AS (SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY sha256('0|' || epoch || '|' || doc_id), doc_id) - 1 AS p, count(*) OVER (PARTITION BY epoch) AS n FROM e)
+    SELECT doc_id, epoch, p // 64 AS batch, p % 64 AS slot FROM r WHERE p // 64 < n // 64""")
+def shuffled_epochs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sampling.shuffled_epochs(docs, "doc_id", 64, 2).select("doc_id", long("epoch").alias("epoch"), "batch", "slot")
+
+
+# Evaluation
+
+PREDICTIONS = (
+    (1, "SELECT a FROM t;", "select a from t", "a", 40),
+    (2, "SELECT b FROM t ;;", "SELECT  b\tFROM t", "b", 130),
+    (3, "SELECT a FROM t ORDER BY a", "SELECT a FROM t", "a", 300),
+    (4, "SELECT nothing FROM t", "SELECT a FROM t", "a", 511),
+    (5, "SELECT b FROM t", "SELECT a FROM t", "b", 512),
+    (6, "SELECT a FROM t WHERE a > 5", "SELECT b FROM t WHERE b > 9", "a", 700),
+    (7, "", "SELECT a FROM t", "a", 10),
+    (8, "SELECT 1", "SELECT 1", "missing", 20),
+)
+T_SQL = "CREATE TABLE t (a INT, b INT); INSERT INTO t VALUES (1, 2), (1, 2), (3, 4);"
+
+
+def predictions(spark) -> DataFrame:
+    rows = spark.createDataFrame(list(PREDICTIONS), "id int, pred string, gold string, db_id string, n int")
+    return evaluation.with_schema(rows, spark.createDataFrame([("a", T_SQL), ("b", T_SQL)], "db_id string, schema_sql string"))
+
+
+@query("SELECT id, em FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, false), (7, false), (8, true)) AS v(id, em)")
+def sql_exact_match(spark, sf_dir):
+    return predictions(spark).select("id", evaluation.exact_match(F.col("pred"), F.col("gold")).alias("em"))
+
+
+@query("SELECT * FROM (VALUES (1, true, true, false, false), (2, false, false, true, false), (3, false, true, false, false), (4, false, false, true, false), (5, false, false, false, false), (6, false, true, false, true), (7, false, false, false, false), (8, true, false, false, false)) AS v(id, em, ex, exec_error, empty_result)")
+def sql_exec_accuracy(spark, sf_dir):
+    return evaluation.score(predictions(spark)).select("id", "em", "ex", "exec_error", "empty_result")
+
+
+@query("SELECT 8::BIGINT AS n, 2::BIGINT AS em_count, 3::BIGINT AS ex_count, 2::BIGINT AS exec_errors, 1::BIGINT AS empty_results, 0.25::DOUBLE AS em, 0.375::DOUBLE AS ex")
+def sql_eval_summary(spark, sf_dir):
+    return evaluation.summary(evaluation.score(predictions(spark)))
+
+
+@query("SELECT bucket, n::BIGINT AS n, ex_count::BIGINT AS ex_count FROM (VALUES ('0-128', 3, 1), ('128-256', 1, 0), ('256-384', 1, 1), ('384-512', 1, 0), ('>512', 2, 1)) AS v(bucket, n, ex_count)")
+def ex_by_length_bucket(spark, sf_dir):
+    scored = evaluation.score(predictions(spark)).withColumn("bucket", evaluation.length_bucket(F.col("n")))
+    return evaluation.summary(scored, ["bucket"]).select("bucket", "n", "ex_count")
+
+
+@query("SELECT outcome, n::BIGINT AS n FROM (VALUES ('exact', 2), ('same_rows', 2), ('error', 2), ('wrong_rows', 2)) AS v(outcome, n)")
+def failure_taxonomy(spark, sf_dir):
+    scored = evaluation.score(predictions(spark)).withColumn("outcome", evaluation.failure_class(F.col("em"), F.col("ex"), F.col("exec_error")))
+    return scored.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT v AS version, ex, coalesce(round(ex - lag(ex) OVER (ORDER BY v), 6), 0) AS ex_change FROM (VALUES (1, 0.25::DOUBLE), (2, 0.5::DOUBLE), (3, 0.375::DOUBLE)) AS t(v, ex)")
+def version_comparison(spark, sf_dir):
+    metrics = spark.createDataFrame([(1, 0.25), (2, 0.5), (3, 0.375)], "version int, ex double")
+    return evaluation.compare_versions(metrics, "version", ["ex"]).withColumn("ex_change", F.coalesce(F.round("ex_change", 6), F.lit(0.0)))
+
+
+@query("SELECT CAST(c AS BIGINT) AS n, round(e / c, 9) AS em_rate, round(x / c, 9) AS ex_rate FROM (SELECT sum(n) OVER w AS c, sum(e) OVER w AS e, sum(x) OVER w AS x FROM (SELECT event_id // 100 AS b, count(*) AS n, count(*) FILTER (value > 50) AS e, count(*) FILTER (value > 20) AS x FROM events GROUP BY b) WINDOW w AS (ORDER BY b))")
+def running_rates(spark, sf_dir):
+    scored = table(spark, sf_dir, "events").select("event_id", (F.col("value") > 50).alias("em"), (F.col("value") > 20).alias("ex"))
+    return evaluation.running_rates(scored, "event_id").select("n", F.round("em_rate", 9).alias("em_rate"), F.round("ex_rate", 9).alias("ex_rate"))
+
+
+@query("""SELECT * FROM (VALUES ('shop', 'CREATE TABLE IF NOT EXISTS "item" ("name" TEXT, "price" REAL, "sold" INTEGER);' || chr(10) || 'CREATE TABLE IF NOT EXISTS "empty" ("id" TEXT);'), ('zoo', 'CREATE TABLE IF NOT EXISTS "animal" ("born" TEXT, "odd" TEXT);')) AS v(db_id, schema_sql)""")
+def schema_from_catalog(spark, sf_dir):
+    rows = [("shop", ["item", "empty"], [(-1, "*"), (0, "name"), (0, "price"), (0, "sold")], ["text", "text", "number", "boolean"]), ("zoo", ["animal"], [(-1, "*"), (0, "born"), (0, "odd")], ["text", "time", "blob"])]
+    catalogue = spark.createDataFrame(rows, "db_id string, table_names_original array<string>, column_names_original array<struct<tbl: int, col: string>>, column_types array<string>")
+    return schema_catalog.schema_texts(catalogue)
+
+
+@query("""SELECT 'CREATE TABLE "t_1_2" ("Name x" TEXT, "Size" REAL, "Other" TEXT);' AS ddl""")
+def wikisql_schema(spark, sf_dir):
+    rows = spark.createDataFrame([(("t 1-2", ["Name x", "Size", "Other"], ["text", "real", "date"]),)], "t struct<id: string, header: array<string>, types: array<string>>")
+    return rows.select(extract.wikisql_table(F.col("t")).alias("ddl"))
+
+
+# Training logs and decoding
+
+
+def log(spark, sf_dir) -> DataFrame:
+    """Events as a log: every tenth is a validation record."""
+    kind = F.when(F.col("event_id") % 10 == 0, "val").otherwise("train")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), kind.alias("kind"), F.col("value").alias("loss"))
+
+
+@query("SELECT event_id AS step, value AS loss FROM events WHERE event_id % 10 = 0 ORDER BY value, event_id LIMIT 1")
+def best_step(spark, sf_dir):
+    return training_log.best_step(log(spark, sf_dir))
+
+
+@query("SELECT event_id AS step, value AS loss FROM events WHERE event_id % 10 <> 0 ORDER BY event_id DESC LIMIT 1")
+def latest_point(spark, sf_dir):
+    return training_log.latest(log(spark, sf_dir))
+
+
+@query("SELECT step, round(m, 6) AS mean FROM (SELECT event_id AS step, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS m FROM events) WHERE step % 100 = 0")
+def trailing_loss(spark, sf_dir):
+    return training_log.trailing_mean(log(spark, sf_dir).withColumn("kind", F.lit("train"))).select("step", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT round(sum(value * (event_id % 2)) / (sum(event_id % 2) + 1e-9), 6) AS loss FROM events")
+def masked_mean_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("value", (F.col("event_id") % 2).alias("mask"))
+    return training_log.masked_mean(rows, "value", "mask").select(F.round("loss", 6).alias("loss"))
+
+
+@query("SELECT 'step_10000' AS name")
+def newest_checkpoint(spark, sf_dir):
+    return training_log.newest_checkpoint(spark.createDataFrame([("step_500",), ("step_10000",), ("step_9500",)], "name string"))
+
+
+_COSINE = "round(CASE WHEN s < {w} THEN {p} * s / {w} WHEN s < {w} + {st} THEN {p} ELSE ({p} - {m}) * 0.5 * (1 + cos(pi() * least(s - {w} - {st}, {d}) / {d})) + {m} END, 9)"
+
+
+@query("SELECT s AS step, " + _COSINE.format(w=2000, st=70708, d=4000, p="5e-4", m="5e-5") + " AS lr FROM range(0, 77000, 100) AS t(s)")
+def lr_schedule(spark, sf_dir):
+    return spark.range(0, 77000, 100).select(F.col("id").alias("step"), F.round(text.warmup_stable_cosine(F.col("id"), 5e-4, 5e-5, 2000, 70708, 4000), 9).alias("lr"))
+
+
+@query("SELECT s AS step, " + _COSINE.format(w=200, st=0, d=9800, p="1e-4", m="1e-5") + " AS lr FROM range(0, 11000, 50) AS t(s)")
+def finetune_lr_schedule(spark, sf_dir):
+    return spark.range(0, 11000, 50).select(F.col("id").alias("step"), F.round(text.warmup_cosine(F.col("id"), 1e-4, 1e-5, 200, 10000), 9).alias("lr"))
+
+
+def token_probabilities(spark, sf_dir) -> DataFrame:
+    """The relative frequency of each event type of each user, as a distribution over tokens."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("token")).agg(F.count("*").alias("n"))
+    return counts.join(counts.groupBy("user_id").agg(F.sum("n").alias("all")), "user_id").select("user_id", "token", (F.col("n") / F.col("all")).alias("prob"))
+
+
+_PROBS = "c AS (SELECT user_id, event_type AS token, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, token, n, sum(n) OVER (PARTITION BY user_id) AS t FROM c)"
+
+
+@query(f"WITH {_PROBS}, o AS (SELECT *, coalesce(sum(n / t) OVER (PARTITION BY user_id ORDER BY n DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT user_id, token, round(n / CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT), 6) AS prob FROM o WHERE before < 0.777")
+def nucleus_cut(spark, sf_dir):
+    return training_log.nucleus(token_probabilities(spark, sf_dir), ["user_id"], 0.777).withColumn("prob", F.round("prob", 6))
+
+
+@query(f"WITH {_PROBS} SELECT user_id, token FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, token) = 1")
+def greedy_argmax(spark, sf_dir):
+    return training_log.greedy(token_probabilities(spark, sf_dir), ["user_id"])
