@@ -152,7 +152,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     Where a key occurs repeatedly, the copies of all its rows are shared evenly, rounded up.
     """
     plan = mix(docs.where(F.col(key).isNotNull()), key, text, source, most, seed).groupBy("doc_id").agg(F.ceil(F.avg("copies")).cast("int").alias("_mix_copies")).withColumnRenamed("doc_id", "_mix_id")
-    placed = docs.join(written(plan), F.col(key) == F.col("_mix_id"), "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(1)))
+    # The plan has a row for each document, so it is never broadcast, however small the table.
+    placed = docs.join(written(plan).hint("merge"), F.col(key) == F.col("_mix_id"), "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(1)))
     return placed.where("_mix_copies > 0").withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*[docs[c] for c in docs.columns])
 
 

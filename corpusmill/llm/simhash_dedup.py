@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those that belong to a group of near duplicates and are not its smallest key."""
     extra = near_duplicates(docs, key, text, words, similarity).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_near_copy")).distinct()
-    return docs.join(written(extra), F.col(key) == F.col("_near_copy"), "left_anti")
+    # The list grows with the table, so the join always shuffles, also where a small one could be broadcast.
+    return docs.join(written(extra).hint("merge"), F.col(key) == F.col("_near_copy"), "left_anti")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
