@@ -80,7 +80,7 @@ def verify(packed: DataFrame, registry: DataFrame, recorded: DataFrame | None =
         one(wanted.join(facts, ["source", "split"], "left_anti"), "files", F.count("*") == 0, text(number(F.count("*")), "missing")),
         one(facts, "shape", F.sum("wrong_length") == 0, text(number(F.sum("wrong_length")), f"rows without {length} tokens")),
         one(facts, "id_range", (F.min("low") >= 0) & (F.max("high") < vocab), text("ids from", number(F.min("low")), "to", number(F.max("high")))),
-        one(facts, "bos_present", F.min(F.when(F.col("bos") > 0, 1).otherwise(0)) == 1, text(number(F.sum("bos")), "begin marks")),
+        one(facts.groupBy("source").agg(F.sum("bos").alias("bos")), "bos_present", F.min(F.when(F.col("bos") > 0, 1).otherwise(0)) == 1, text(number(F.sum("bos")), "begin marks")),
         one(facts, "eos_before_bos", F.sum("bad_bos") <= 0.05 * F.sum("inner_bos"), text(number(F.sum("bad_bos")), "of", number(F.sum("inner_bos")), "inner begin marks follow no end mark")),
         one(train, "pad_rate", rate("pad") <= RATE_CEILING, text(number(F.sum("pad")), "pad ids")),
         one(train, "delimiter_rate", rate("delimiters") <= RATE_CEILING, text(number(F.sum("delimiters")), "delimiter ids")),
@@ -104,10 +104,16 @@ def all_passed(checks: DataFrame) -> bool:
 def preflight(packed: DataFrame, vocabulary: int, least_tokens: int = 2_000_000_000, batch: int = 8, length: int = SEQUENCE_LENGTH, vocab: int = VOCAB_SIZE) -> DataFrame:
     """Checks before training: the tokenizer's size, the corpus' tokens, and that a batch has the right shape and ids."""
     facts = id_facts(packed.where("split = 'train'"), length).agg(F.sum("n_tokens").alias("tokens"), F.sum("sequences").alias("n"), F.sum("wrong_length").alias("wrong"), F.min("low").alias("low"), F.max("high").alias("high"))
+    right = lambda c: F.coalesce(c, F.lit(False))
     rows = F.array(
-        F.struct(F.lit("tokenizer").alias("check"), F.lit(vocabulary == vocab).alias("passed")),
-        F.struct(F.lit("corpus_size"), F.coalesce(F.col("tokens") > least_tokens, F.lit(False))),
-        F.struct(F.lit("batch_shape"), F.coalesce((F.col("n") >= batch) & (F.col("wrong") == 0), F.lit(False))),
-        F.struct(F.lit("batch_ids"), F.coalesce((F.col("low") >= 0) & (F.col("high") < vocab), F.lit(False))),
+        *[
+            F.struct(F.lit(name).alias("check"), passed.alias("passed"))
+            for name, passed in (
+                ("tokenizer", F.lit(vocabulary == vocab)),
+                ("corpus_size", right(F.col("tokens") > least_tokens)),
+                ("batch_shape", right((F.col("n") >= batch) & (F.col("wrong") == 0))),
+                ("batch_ids", right((F.col("low") >= 0) & (F.col("high") < vocab))),
+            )
+        ]
     )
     return facts.select(F.explode(rows).alias("x")).select("x.check", "x.passed")
