@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to their results, in topological order, validated, as canonical JSON.
 
-Calls and results meet in a hash join on conversation and identifier. A call may name calls whose results it needs; its
-level is one more than the highest of theirs, found by rounds over the table of dependencies. Arguments are checked
-against the schema of the called tool by expressions made from that schema. DataFrame functions only.
+Calls and results meet in a hash join on conversation and identifier. A call may name calls whose results it needs; levels
+above 0 put those calls behind that stand before what they need. Arguments are checked against the schema of the called
+tool by expressions made from that schema. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -83,10 +83,9 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) ->
     Returns ``conv_id, turn, call_id, status, level, valid, json``. Status: ``linked``; ``unanswered`` (no result has its
     identifier); ``repeated`` (an earlier call has its identifier: it gets no result); ``orphan`` (a result whose
     identifier no call has). If several results have one identifier, the first by turn and content counts and the
-    others come out as ``repeated`` results. A null conversation or identifier matches nothing. Levels count from 0 over
-    the calls of a conversation, for first calls only; dependencies on unknown identifiers don't count, and calls in a
-    cycle, or behind one, and all other rows have level -1. Sorted by level, turn and identifier, a conversation's calls stand in a
-    topological order. Calls of unknown tools, or whose arguments are no JSON object, are not valid, nor is a
+    others come out as ``repeated`` results. A null conversation or identifier matches nothing. Sorted by level, turn and
+    place, a conversation's first calls stand in a topological order (``call_levels``); needs of unknown identifiers don't
+    count. Calls in a cycle or behind one, and all other rows, have level -1. Calls of unknown tools, or whose arguments are no JSON object, are not valid, nor is a
     result without a call. Repeated rows and
     hot identifiers are aggregated before the joins. Empty inputs give no rows.
     """
@@ -115,30 +114,34 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) ->
 
 
 def call_levels(calls: DataFrame, known: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of all first calls (``known``) that no cycle holds back.
+    """``conv_id, call_id, level`` of all first calls (``known``), -1 in or behind a cycle.
 
-    One round for each level: those calls are placed whose dependencies all are. A round joins only the dependencies on
-    calls that were placed in the round before.
+    A call's level is the largest of those of the calls it needs, and one more for a call that stands after it. So in
+    the order of level, turn and place every call comes after those it needs; in a conversation whose calls need only
+    earlier ones, all levels are 0 and there is nothing to compute. The others take rounds, one for each step that a
+    raised level has to travel. A level above the number of such backward needs of its conversation shows a cycle.
     """
     key = ["conv_id", "call_id"]
-    own = calls.join(known, [*key, "turn", "place"], "left_semi").select(*key, F.explode(F.array_distinct("after")).alias("needs"))
-    edges = written(own.join(known.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").distinct())
-    waits = written(edges.groupBy(*key).agg(F.count("*").alias("n")))
-    placed = Table(known.select(*key).join(waits, key, "left_anti").withColumn("level", F.lit(0).cast("long")))
-    done, met = [placed], None
-    while not waits.isEmpty():
-        level = len(done)
-        newly = edges.join(done[-1].df.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").groupBy(*key).agg(F.count("*").alias("got"))
-        met = written(newly if met is None else met.unionByName(newly).groupBy(*key).agg(F.sum("got").alias("got")))
-        ready = Table(met.join(waits, key).where("got = n").select(*key, F.lit(level).cast("long").alias("level")))
-        if ready.df.isEmpty():
+    at = F.struct("turn", "place")
+    own = calls.join(known, [*key, "turn", "place"], "left_semi").select(*key, at.alias("at"), F.explode("after").alias("needs"))
+    there = known.select("conv_id", F.col("call_id").alias("needs"), at.alias("needs_at"))
+    edges = own.join(there, ["conv_id", "needs"]).select(*key, "needs", (F.col("needs_at") >= F.col("at")).cast("long").alias("later")).distinct()
+    odd = written(edges.where("later = 1").groupBy("conv_id").agg(F.count("*").alias("most")))
+    if odd.isEmpty():
+        return known.select(*key, F.lit(0).cast("long").alias("level"))
+    edges = written(edges.join(odd, "conv_id", "left_semi"))
+    now = Table(known.join(odd, "conv_id").select(*key, "most", F.lit(0).cast("long").alias("level")))
+    while True:
+        before = now.df.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("needs_level"))
+        raised = edges.join(before, ["conv_id", "needs"]).groupBy(*key).agg(F.max(F.col("needs_level") + F.col("later")).alias("least"))
+        after = Table(now.df.join(raised, key, "left").select(*key, "most", F.least(F.greatest("level", F.coalesce("least", F.lit(0))), F.col("most") + 1).alias("level"), (F.col("least") > F.col("level")).alias("up")))
+        settled = after.df.where("up AND level <= most").isEmpty() and after.df.where("level > most").count() == now.df.where("level > most").count()
+        now.drop()
+        now = after
+        if settled:
             break
-        met = met.join(ready.df, key, "left_anti")
-        done.append(ready)
-    out = done[0].df
-    for more in done[1:]:
-        out = out.unionByName(more.df)
-    return written(out)
+    fixed = now.df.select(*key, F.when(F.col("level") > F.col("most"), -1).otherwise(F.col("level")).alias("level"))
+    return written(fixed.unionByName(known.join(odd, "conv_id", "left_anti").select(*key, F.lit(0).cast("long").alias("level"))))
 
 
 #: The schema of the one tool of the registered query.
@@ -166,16 +169,13 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-    WITH RECURSIVE u AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'user'),
+    WITH u AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'user'),
     a AS (SELECT *, conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
-    lv AS (
-        SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.conv_id = u.conv_id AND v.turn = u.turn - 2)
-        UNION ALL SELECT u.conv_id, u.turn, lv.level + 1 FROM u JOIN lv ON lv.conv_id = u.conv_id AND lv.turn = u.turn - 2
-    ), f AS (SELECT u.*, length(u.text) >= 20 AS ok FROM u)
-    SELECT f.conv_id, f.turn, f.call_id, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CAST(lv.level AS BIGINT) AS level, f.ok AS valid,
+    f AS (SELECT u.*, length(u.text) >= 20 AS ok FROM u)
+    SELECT f.conv_id, f.turn, f.call_id, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CAST(0 AS BIGINT) AS level, f.ok AS valid,
         '{"arguments":{"text":' || to_json(f.text) || ',"turn":' || f.turn || '},"errors":[' || CASE WHEN f.ok THEN '' ELSE '"text: minLength"' END
         || '],"id":' || to_json(f.call_id) || ',"name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS json
-    FROM f JOIN lv USING (conv_id, turn) LEFT JOIN a ON a.conv_id = f.conv_id AND a.call_id = f.call_id
+    FROM f LEFT JOIN a ON a.conv_id = f.conv_id AND a.call_id = f.call_id
     UNION ALL
     SELECT a.conv_id, a.turn, a.call_id, 'orphan', -1, false, '{"id":' || to_json(a.call_id) || ',"result":' || to_json(a.text) || '}'
     FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)
