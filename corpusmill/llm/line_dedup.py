@@ -65,7 +65,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     repeated = written(found.df.groupBy("hash").agg(F.min("kept").alias("kept"), F.sum("n").alias("n"), F.count("*").alias("passages")).where("passages = 1 AND n > 1").select("hash", "kept"))
     places = passages.select("hash", "key", "first", "last").join(repeated, "hash").where(F.struct("key", "first") != F.col("kept"))
     dropped = written(places.select("key", "first", "last").distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cut")).withColumnRenamed("key", "_cut_key"))
-    joined = docs.join(dropped, F.col(key) == F.col("_cut_key"), "left").drop("_cut_key")
+    # The removed spans grow with the table, so the join always shuffles, also where a small table would let it broadcast.
+    joined = docs.join(dropped.hint("merge"), F.col(key) == F.col("_cut_key"), "left").drop("_cut_key")
     others = [c for c in docs.columns if c != text and c not in ("n_lines", "removed_lines", "removed_chunks")]
     # What is left stands between the removed spans; a span behind the last line closes the list.
     split = joined.select(*others, text, once(F.split(text, "\n", -1)).alias("_lines"), "_cut")
