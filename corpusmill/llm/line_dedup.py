@@ -1,8 +1,8 @@
 """Line dedup: repeated passages of several lines, found as content-defined chunks of lines.
 
 A rolling hash over the hashes of two neighbouring lines marks the lines after which a chunk may end, and a chunk ends at
-a mark that doesn't follow another one, so chunks have at least two lines (but for a text of one line). The marks depend
-on three lines of text only: lines added or removed elsewhere don't shift them. A chunk that occurs in several places of
+a mark that doesn't follow another one and isn't the last but one line, so chunks have at least two lines (but for a text
+of one line). Marks depend on three lines of text only: lines added or removed elsewhere don't shift them. A chunk that occurs in several places of
 the whole table, equal byte for byte, stays only in the first one. DataFrame functions only.
 """
 
@@ -37,7 +37,7 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = docs.select(F.col(key).alias("key"), once(F.split(text, "\n", -1)).alias("lines"))
     hashed = lines.select("key", "lines", once(F.transform("lines", line_hash)).alias("h"))
     n = F.size("h")
-    ends = hashed.select("key", "lines", once(F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (_mark("h", i) & ~F.coalesce(_mark("h", i - 1), F.lit(False))))).alias("ends"))
+    ends = hashed.select("key", "lines", once(F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((i < n - 1) & _mark("h", i) & ~F.coalesce(_mark("h", i - 1), F.lit(False))))).alias("ends"))
     spans = F.transform("ends", lambda e, k: F.struct((F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("ends"), k - 1)) + 1).alias("first"), e.alias("last")))
     cut = ends.select("key", "lines", F.explode(spans).alias("span"))
     return cut.select("key", "span.first", "span.last", F.array_join(F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1), "\n").alias("passage"))
@@ -94,7 +94,7 @@ SQL_STEPS = """
     lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {docs}),
     hashed AS (SELECT *, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM lines),
     marked AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: i >= 2 AND (h[i - 1] * 31 + h[i]) % 1000003 % 2 = 0) AS m FROM hashed),
-    ended AS (SELECT doc_id, text, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (m[i] AND NOT m[i - 1])) AS e FROM marked),
+    ended AS (SELECT doc_id, text, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (i < len(l) - 1 AND m[i] AND NOT m[i - 1])) AS e FROM marked),
     cut AS (
         SELECT doc_id, l, CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END AS first, e[k] AS last
         FROM (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM ended)

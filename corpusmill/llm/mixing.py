@@ -104,7 +104,7 @@ def land(size: np.ndarray, start: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _fly(seed: int, level: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
         size, start, last = pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(np.float64), int(pdf["blocks"].iloc[0]) == 1
         p = flight(size, start, np.random.default_rng([seed, level, int(key[0]), int(key[1])]).random(len(pdf)))

@@ -1,0 +1,65 @@
+import random
+
+import pytest
+from oracle import assert_same
+
+from corpusmill.llm import topk as K
+
+SCHEMA = "vec_id long, embedding array<float>, rank string, score string"
+
+
+def brute(rows, every, k):
+    import math
+
+    usable = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = {}
+    for q, a in usable:
+        if q % every == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in usable if i != q)
+            out[q] = [(i, -s) for s, i in scores[:k]]
+    return out
+
+
+def search(spark, rows, every=5, k=3):
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    exact = [(r.vec_id, r.embedding) for r in df.collect()]  # as floats
+    got = {}
+    for r in K.top_k(df, every, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    return got, brute(exact, every, k)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_query_is_the_sql(spark, sf):
+    assert_same(K.op10(spark, f"/root/testdata/{sf}"), K.ORACLE, f"/root/testdata/{sf}")
+
+
+def test_clusters(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP", 7)
+    monkeypatch.setattr(K, "SLICE", 50)
+    rng = random.Random(1)
+    centres = [[rng.gauss(0, 3) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 6]]) for i in range(500)]
+    got, want = search(spark, rows)
+    assert got == want
+
+
+def test_ties_and_odd_rows(spark):
+    same = [1.0, -2.0, 0.5]
+    rows = [(i, same) for i in range(40)] + [(50, None), (55, [1.0, None, 2.0]), (60, [float("nan"), 1.0, 1.0]), (65, [float("inf"), 1.0, 1.0]), (None, same), (70, [0.0, 0.0, 0.0]), (71, []), (72, [5.0])]
+    got, want = search(spark, rows)
+    assert got == want and [i for i, _ in got[0]] == [1, 2, 3]
+
+
+def test_few_and_none(spark):
+    got, want = search(spark, [(0, [1.0]), (1, [2.0])])
+    assert got == want == {0: [(1, 2 * 1024 * 1024)]}
+    assert search(spark, [(5, [1.0])])[0] == {}
+    assert search(spark, [(3, None)])[0] == {}
+    assert K.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_components(spark):
+    got, want = search(spark, [(0, [3e6, 1.0]), (1, [2e6, -1.0]), (2, [1e6, 5e5]), (3, [-3e6, 0.25])])
+    assert got == want
