@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ def build_corpus(docs: DataFrame, ids: Column, budgets: dict[str, int], order: s
     """
     limits = F.create_map(*[F.lit(x) for pair in budgets.items() for x in pair])
     by = ["source", "split"] if split_first else ["source"]
-    rows = docs.select("source", order, ids.alias("tokens")).withColumn("n", F.size("tokens").cast("long")).where("n > 0")
+    # Kept on the executors' disks: sums, budgets and packing all read the tokens, and a lost part is made anew.
+    rows = docs.select("source", order, ids.alias("tokens")).withColumn("n", F.size("tokens").cast("long")).where("n > 0").persist(StorageLevel.DISK_ONLY)
     if split_first:
         held = finetune.uniform(F.lit(str(seed)), F.lit("doc"), F.col("source"), F.col(order).cast("string")) < 0.01
         rows = rows.withColumn("split", F.when(held, "val").otherwise("train"))
@@ -48,7 +50,7 @@ def build_corpus(docs: DataFrame, ids: Column, budgets: dict[str, int], order: s
     limited = rows.withColumn("limit", F.ceil(F.element_at(limits, F.col("source")) * share).cast("long")).where("limit > 0")
     chosen = budget.cycled(limited, by, [order], "n", "limit")
     # The order within a source is that of the passes, and of the documents within each.
-    chosen = chosen.withColumn("_at", F.col("before"))
+    chosen = chosen.select(*by, order, F.col("before").alias("_at"), "tokens").persist(StorageLevel.DISK_ONLY)
     packed = packing.pack(packing.wrap(chosen), by, ["_at", order], length)
     if split_first:
         return packed.withColumn("position", F.col("seq_id") + 1).select("source", "split", "seq_id", "position", "tokens")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,13 @@ def write_packed(packed: DataFrame, path: str, force: bool = False) -> list[str]
     Returns the sources written. Only their own partitions are replaced.
     """
     spark = packed.sparkSession
+    packed = packed.persist(StorageLevel.DISK_ONLY)
     names = [r[0] for r in packed.select("source").distinct().collect()]
     there = [n for n in names if exists(spark, f"{path}/source={n}/split=train") and exists(spark, f"{path}/source={n}/split=val")]
     new = sorted(names if force else set(names) - set(there))
     if new:
         packed.where(F.col("source").isin(new)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "split").parquet(path)
+    packed.unpersist()
     return new
 
 
