@@ -25,6 +25,8 @@ CELLS = 1 << 16
 TRAIN_ROWS = 4000  # labelled texts, on average, that the model is fitted on, whatever the table's size
 WEIGHT = 200  # a text counts as at most so many independent trigrams
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
+FLOOR = 1.5
+MARGIN = 1.0  # nats a trigram by which the background must be better than every language: names and numbers alone don't do
 SMOOTHING = 5.0  # texts of its parent that a host's prior holds beside its own
 UNKNOWN = "und"
 #: Country suffixes and their main language.
@@ -71,11 +73,12 @@ class Model:
         starts, use = np.cumsum(sizes) - sizes, codes >= 0
         n = np.add.reduceat(use.astype(np.int64), starts)
         at = np.where(use, codes, 0)
-        sums = [np.add.reduceat(np.where(use, row[at], 0.0), starts) for row in self.cells]
         single = self.bytes_[data]
         three = single.copy()
         three[:-2] += single[1:-1] + single[2:]
-        sums.append(np.add.reduceat(np.where(use, three, 0.0), starts))
+        # A strange trigram (of a name, say) costs a language no more than FLOOR against the background.
+        sums = [np.add.reduceat(np.where(use, np.maximum(row[at], three - FLOOR), 0.0), starts) for row in self.cells]
+        sums.append(np.add.reduceat(np.where(use, three - MARGIN, 0.0), starts))
         return np.stack(sums, axis=1) / np.maximum(n, 1)[:, None], n
 
 
