@@ -11,9 +11,9 @@ Which bits are chosen makes the search complete:
 
 * ``link_fingerprints`` (radius 3): of four 16-bit blocks, one is left out at a time. Of three differing bits at least
   one lies in some block; without that block two are left, which the balls of radius one cover. 4 x 49 keys of 48 bits.
-* ``near_duplicates`` (similarity of word shingles): 512-bit fingerprints in 32-bit blocks, 16 x 33 keys. Texts with a
-  Jaccard similarity of 0.8, 0.85 or 0.9 differ in 15 %, 13 % or 10 % of the bits on average, and some block differs
-  in at most two bits with a probability of 0.88, 0.97 or 0.998.
+
+``near_duplicates`` (the pipeline's stage: similarity of word shingles) doesn't estimate from bits: texts meet on the first
+shingles of one order, which no pair of the asked similarity can miss, and each pair is verified on all shingles.
 """
 
 from __future__ import annotations
@@ -196,38 +196,195 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return marked.join(group_by_fingerprint(marked, links), "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-LANES, BLOCK = 8, 32
+HEAVY = 100_000  # shingles at most that stand last in the order because many texts have them; only speed depends on it
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """How many of the first of ``n`` shingles suffice: a text that shares none of them can't be as alike as asked."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _distance_limit(similarity: float) -> tuple[int, int]:
-    """Bits that may differ among all, and among the first 64, for a Jaccard similarity; with room for chance."""
-    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = lambda n, z: math.floor(n * rate + z * math.sqrt(n * rate * (1 - rate)))
-    return spread(64 * LANES, 1.0), spread(64, 3.5)
+def _prefixes(words: int, similarity: float, heavy: np.ndarray):
+    """``key, fp, n, prefix`` of each text. A task gives the prefix of one set of shingles once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fps, sizes, prefixes = [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                found = np.unique(shingle_hashes(text, words))
+                fps.append(set_id(found))
+                sizes.append(len(found))
+                if fps[-1] in seen:
+                    prefixes.append(found[:0])
+                    continue
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.add(fps[-1])
+                last = np.isin(found, heavy, assume_unique=True)
+                prefixes.append(np.concatenate((found[~last], found[last]))[: prefix_size(len(found), similarity)])
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *prefixes]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "fp", "n", "prefix"])
+
+    return run
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set of shingles, sorted; equal sets have one id."""
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["fp", "shingles"])
+
+    return run
+
+
+def _heavy(slim: DataFrame, words: int) -> np.ndarray:
+    """Shingles that several of a sixteenth of the texts have, by hash; at most ``HEAVY``, the most frequent ones."""
+    drawn = map_arrow(slim.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text"), _sets(words), "fp long, shingles array<long>")
+    counts = drawn.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n >= 3")
+    return np.sort(np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(HEAVY).select("s").collect()], np.int64).view(np.uint64))
+
+
+def _possible(n: np.ndarray, pos: np.ndarray, m: int, at: int, similarity: float) -> np.ndarray:
+    """Which texts of ``n`` shingles can be alike to one of ``m``, if the shingle at these places is the first they share."""
+    room = 1 + np.minimum(n - pos - 1, m - at - 1)
+    return room >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def _runs(batches: Iterator[pa.RecordBatch], bucket) -> Iterator[list[np.ndarray]]:
+    """``bucket`` over the rows of each key, from batches sorted by it; a key's rows may span batches."""
+    held: list[list[np.ndarray]] = []
+
+    def cut(end: bool):
+        nonlocal held
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        stop = len(cols[0]) if end else int(np.searchsorted(cols[0], cols[0][-1]))
+        held = [[c[stop:] for c in cols]]
+        cols = [c[:stop] for c in cols]
+        starts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
+        sizes = np.diff(np.append(starts, stop))
+        for at, k in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            yield from bucket([c[at : at + k] for c in cols])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy() for c in batch.columns])
+            if held[0][0][0] != held[-1][0][-1]:
+                yield from cut(end=False)
+    if held and len(held[0][0]) + len(held) > 1:
+        yield from cut(end=True)
+
+
+def _packed(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[0])
+        if n > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+
+def _trees(similarity: float):
+    """First round: pairs that join all texts of a bucket that can be alike, fewer than it has texts.
+
+    The pairs are not verified yet, so the rows of a bucket of more than two texts come out as well (``b`` is null
+    there: 0 with ``key`` set), for the second round.
+    """
+
+    def bucket(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        key, fp, n, pos = cols
+        fresh = np.concatenate(([True], fp[1:] != fp[:-1]))
+        key, fp, n, pos = key[fresh], fp[fresh], n[fresh], pos[fresh]
+        rest, met = np.arange(len(fp)), 0
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                top = queue.pop(0)
+                good = _possible(n[rest], pos[rest], n[top], pos[top], similarity)
+                near, rest = rest[good], rest[~good]
+                if len(near):
+                    met += len(near)
+                    queue += near.tolist()
+                    yield [np.zeros(len(near), np.int8), np.full(len(near), fp[top]), fp[near], np.zeros(len(near), np.int32), np.zeros(len(near), np.int32)]
+        if len(fp) > 2 and met > 1:
+            yield [np.ones(len(fp), np.int8), key, fp, n, pos]
+
+    return lambda batches: _packed(_runs(batches, bucket), ["kind", "a", "b", "n", "pos"])
+
+
+def _rest(similarity: float):
+    """Second round: all pairs of a bucket that can be alike and aren't in one group yet."""
+
+    def bucket(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        _, fp, n, pos, root = cols
+        if (root == root[0]).all():
+            return
+        order = np.argsort(root, kind="stable")
+        fp, n, pos, root = fp[order], n[order], pos[order], root[order]
+        after = np.searchsorted(root, root, side="right")
+        for i in range(len(fp)):
+            k = int(after[i])
+            near = np.flatnonzero(_possible(n[k:], pos[k:], n[i], pos[i], similarity)) + k
+            if len(near):
+                yield [np.minimum(fp[near], fp[i]), np.maximum(fp[near], fp[i])]
+
+    return lambda batches: _packed(_runs(batches, bucket), ["a", "b"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets of shingles have at least this Jaccard similarity, counted exactly."""
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("a_set"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("b_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return joined.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``key, component_id`` for every row: groups of texts whose word shingles are alike, by SimHash.
+    """``key, component_id`` for every row: groups of texts whose word shingles are alike, complete and exact.
+
+    Two texts link if the Jaccard similarity of their distinct shingles is at least ``similarity``; shingles are equal
+    if their 64-bit hashes are. All shingles have one order, and texts that are alike share one among the first fifth of
+    each (``prefix_size``), so one shuffle on those brings every such pair together. Texts without words are one group
+    each with only their own row: they are not compared. Null keys are not grouped. The group's id is its smallest key.
 
-    The fingerprint has 512 bits, over the distinct shingles. Two texts link if they have the same first 64 bits, or if
-    some 32-bit block of theirs is within two bits and the whole fingerprints differ in no more bits than two texts of
-    the given Jaccard similarity do (with one standard deviation of room). Texts without words are one group each with
-    only their own row: they are not compared. Null keys are not grouped. The group's id is its smallest key.
+    In the first round each bucket gives a tree of pairs, of which the verified ones make groups. In the second, a bucket
+    of more than two texts gives all its pairs that no group joins yet: a group of k near copies is never k squared
+    pairs, and no link is lost because a pair that stood in for it wasn't one.
     """
-    slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    whole, rough = _distance_limit(similarity)
-    marked = Table(fingerprints(slim, F.col("key"), F.col("text"), words, LANES).where("fp <> 0"))
-    kept = written(marked.df.groupBy("fp").agg(F.min("more").alias("more")))
-    lanes = [F.col("fp"), *(F.col("more")[i] for i in range(LANES - 1))]
-    halves = [F.shiftrightunsigned(x, 32 * i).bitwiseAND(F.lit(0xFFFFFFFF)) for x in lanes for i in (0, 1)]
-    parts = F.array(*[F.struct(F.lit(j).alias("block"), x.alias("part")) for j, x in enumerate(halves)])
-    found = Table(ball_links(kept.select("fp", F.explode(parts).alias("x")).select("fp", "x.block", "x.part"), BLOCK, rough))
-    left = kept.select(F.col("fp").alias("a"), F.col("more").alias("a_more"))
-    right = kept.select(F.col("fp").alias("b"), F.col("more").alias("b_more"))
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + sum((F.bit_count(F.col("a_more")[i].bitwiseXOR(F.col("b_more")[i])) for i in range(LANES - 1)), F.lit(0))
-    links = found.df.join(left, "a").join(right, "b").where(apart <= whole).select("a", "b")
-    groups = group_by_fingerprint(marked.df.select("key", "fp"), links)
-    return marked.df.select("key", "fp").join(groups, "fp").select(F.col("key").alias(key), "component_id")
+    slim = parallel(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
+    kind = slim.schema["key"].dataType.simpleString()
+    every = Table(map_arrow(slim, _prefixes(words, similarity, _heavy(slim, words)), f"key {kind}, fp long, n int, prefix array<long>").where("n > 0"))
+    marked = written(every.df.select("key", "fp"))
+    dealt = every.df.select("fp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "fp", "n", "pos").repartition("shingle").sortWithinPartitions("shingle", "fp")
+    met = Table(map_arrow(dealt, _trees(similarity), "kind byte, a long, b long, n int, pos int"))
+    every.drop()
+    pairs = written(met.df.where("kind = 0").select("a", "b").distinct())
+    # Rows of kind 1 hold a bucket's key in ``a`` and a text in ``b``.
+    open_ = met.df.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("fp"), "n", "pos")
+    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(open_.select("fp")).distinct()
+    keys = written(marked.groupBy("fp").agg(F.min("key").alias("key")).join(needed.hint("merge"), "fp", "left_semi").select("key"))
+    texts = slim.join(keys.hint("merge"), "key", "left_semi").select("text")
+    sets = written(map_arrow(texts, _sets(words), "fp long, shingles array<long>").groupBy("fp").agg(F.any_value("shingles").alias("shingles")))
+    links = written(verified(pairs, sets, similarity))
+    roots = written(components(links))
+    placed = open_.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("shingle", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    again = placed.repartition("shingle").sortWithinPartitions("shingle", "fp")
+    more = written(map_arrow(again, _rest(similarity), "a long, b long").distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    links = written(links.unionByName(verified(more, sets, similarity)))
+    groups = group_by_fingerprint(marked, links)
+    return marked.join(groups, "fp").select(F.col("key").alias(key), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -133,3 +133,30 @@ def test_big_group_of_near_copies(spark):
     rows = [(i, edited(rng, words, 1), "", "") for i in range(700)] + [(i, "same text again and again", "", "") for i in range(700, 1400)]
     left = S.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id for r in left) == [0, 700]
+
+
+def alike(a, b, words=5):
+    sets = []
+    for text in (a, b):
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def grouped(spark, texts):
+    rows = [(i, t, "", "") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def family(rng, n, edits, words=200):
+    base = [f"w{rng.random()}" for _ in range(words)]
+    return [edited(rng, base, edits) for _ in range(n)]
+
+
+def test_families_below_the_limit_stay(spark):
+    rng = random.Random(11)
+    texts = [t for _ in range(3) for t in family(rng, 120, 4)]  # within a family about 0.67 alike
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if i // 120 == j // 120 and alike(texts[i], texts[j]) >= 0.8]
+    assert len(links) < 30
+    assert grouped(spark, texts) == classes(len(texts), links)
