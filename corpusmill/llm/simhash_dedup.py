@@ -259,8 +259,11 @@ def _possible(n: np.ndarray, pos: np.ndarray, m: int, at: int, similarity: float
     return room >= similarity / (1 + similarity) * (n + m) - 1e-6
 
 
-def _runs(batches: Iterator[pa.RecordBatch], bucket) -> Iterator[list[np.ndarray]]:
-    """``bucket`` over the rows of each key, from batches sorted by it; a key's rows may span batches."""
+def _runs(batches: Iterator[pa.RecordBatch], runs) -> Iterator[list[np.ndarray]]:
+    """``runs(cols, starts, sizes)`` over many keys at once, from batches sorted by key; a key's rows may span batches.
+
+    Repeats of the first two columns and keys of a single row are left out.
+    """
     held: list[list[np.ndarray]] = []
 
     def cut(end: bool):
@@ -269,17 +272,21 @@ def _runs(batches: Iterator[pa.RecordBatch], bucket) -> Iterator[list[np.ndarray
         stop = len(cols[0]) if end else int(np.searchsorted(cols[0], cols[0][-1]))
         held = [[c[stop:] for c in cols]]
         cols = [c[:stop] for c in cols]
-        starts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
-        sizes = np.diff(np.append(starts, stop))
-        for at, k in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            yield from bucket([c[at : at + k] for c in cols])
+        fresh = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
+        key = cols[0][fresh]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        many = ~(new & np.append(new[1:], True))
+        cols, new = [c[fresh][many] for c in cols], new[many]
+        if len(new):
+            starts = np.flatnonzero(new)
+            yield from runs(cols, starts, np.diff(np.append(starts, len(new))))
 
     for batch in batches:
         if batch.num_rows:
             held.append([c.to_numpy() for c in batch.columns])
             if held[0][0][0] != held[-1][0][-1]:
                 yield from cut(end=False)
-    if held and len(held[0][0]) + len(held) > 1:
+    if held and sum(len(x[0]) for x in held):
         yield from cut(end=True)
 
 
@@ -296,50 +303,62 @@ def _packed(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.R
 
 
 def _trees(similarity: float):
-    """First round: pairs that join all texts of a bucket that can be alike, fewer than it has texts.
+    """First round: pairs that join all texts of a bucket that can be alike, fewer than it has texts (``kind`` 0).
 
-    The pairs are not verified yet, so the rows of a bucket of more than two texts come out as well (``b`` is null
-    there: 0 with ``key`` set), for the second round.
+    The pairs are not verified yet, so the rows of a bucket of more than two texts come out as well, for the second round
+    (``kind`` 1, with the bucket's key as ``a`` and the text as ``b``).
     """
 
-    def bucket(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        key, fp, n, pos = cols
-        fresh = np.concatenate(([True], fp[1:] != fp[:-1]))
-        key, fp, n, pos = key[fresh], fp[fresh], n[fresh], pos[fresh]
-        rest, met = np.arange(len(fp)), 0
-        while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                top = queue.pop(0)
-                good = _possible(n[rest], pos[rest], n[top], pos[top], similarity)
-                near, rest = rest[good], rest[~good]
-                if len(near):
-                    met += len(near)
-                    queue += near.tolist()
-                    yield [np.zeros(len(near), np.int8), np.full(len(near), fp[top]), fp[near], np.zeros(len(near), np.int32), np.zeros(len(near), np.int32)]
-        if len(fp) > 2 and met > 1:
-            yield [np.ones(len(fp), np.int8), key, fp, n, pos]
+    def pairs(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        none = np.zeros(len(a), np.int32)
+        return [none.astype(np.int8), a, b, none, none]
 
-    return lambda batches: _packed(_runs(batches, bucket), ["kind", "a", "b", "n", "pos"])
+    def runs(cols: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
+        key, fp, n, pos = cols
+        first = np.repeat(starts, sizes)
+        good = _possible(n, pos, n[first], pos[first], similarity)
+        good[starts] = False
+        star = np.add.reduceat(good.astype(np.int64), starts) == sizes - 1  # all can be alike to the first
+        take = good & np.repeat(star | (sizes == 2), sizes)
+        yield pairs(fp[first[take]], fp[take])
+        rest = np.repeat(sizes > 2, sizes)
+        yield [np.ones(int(rest.sum()), np.int8), key[rest], fp[rest], n[rest], pos[rest]]
+        for at, k in zip(starts[~star & (sizes > 2)].tolist(), sizes[~star & (sizes > 2)].tolist(), strict=True):
+            left = np.arange(at, at + k)
+            while len(left) > 1:
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    top = queue.pop()
+                    near = _possible(n[left], pos[left], n[top], pos[top], similarity)
+                    reached, left = left[near], left[~near]
+                    queue += reached.tolist()
+                    if len(reached):
+                        yield pairs(np.full(len(reached), fp[top]), fp[reached])
+
+    def ordered(rows: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        for kind, a, b, n, pos in rows:
+            swap = (kind == 0) & (a > b)
+            yield [kind, np.where(swap, b, a), np.where(swap, a, b), n, pos]
+
+    return lambda batches: _packed(ordered(_runs(batches, runs)), ["kind", "a", "b", "n", "pos"])
 
 
 def _rest(similarity: float):
     """Second round: all pairs of a bucket that can be alike and aren't in one group yet."""
 
-    def bucket(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        _, fp, n, pos, root = cols
-        if (root == root[0]).all():
-            return
-        order = np.argsort(root, kind="stable")
-        fp, n, pos, root = fp[order], n[order], pos[order], root[order]
-        after = np.searchsorted(root, root, side="right")
-        for i in range(len(fp)):
-            k = int(after[i])
-            near = np.flatnonzero(_possible(n[k:], pos[k:], n[i], pos[i], similarity)) + k
-            if len(near):
-                yield [np.minimum(fp[near], fp[i]), np.maximum(fp[near], fp[i])]
+    def runs(cols: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
+        mixed = np.minimum.reduceat(cols[4], starts) != np.maximum.reduceat(cols[4], starts)
+        for at, k in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
+            order = np.argsort(cols[4][at : at + k], kind="stable") + at
+            fp, n, pos, root = (c[order] for c in cols[1:])
+            after = np.searchsorted(root, root, side="right")
+            for i in np.flatnonzero(after < k).tolist():
+                m = int(after[i])
+                near = np.flatnonzero(_possible(n[m:], pos[m:], n[i], pos[i], similarity)) + m
+                if len(near):
+                    yield [np.minimum(fp[near], fp[i]), np.maximum(fp[near], fp[i])]
 
-    return lambda batches: _packed(_runs(batches, bucket), ["a", "b"])
+    return lambda batches: _packed(_runs(batches, runs), ["a", "b"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -371,7 +390,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     met = Table(map_arrow(dealt, _trees(similarity), "kind byte, a long, b long, n int, pos int"))
     every.drop()
     pairs = written(met.df.where("kind = 0").select("a", "b").distinct())
-    # Rows of kind 1 hold a bucket's key in ``a`` and a text in ``b``.
     open_ = met.df.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("fp"), "n", "pos")
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(open_.select("fp")).distinct()
     keys = written(marked.groupBy("fp").agg(F.min("key").alias("key")).join(needed.hint("merge"), "fp", "left_semi").select("key"))

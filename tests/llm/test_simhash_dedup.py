@@ -160,3 +160,24 @@ def test_families_below_the_limit_stay(spark):
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if i // 120 == j // 120 and alike(texts[i], texts[j]) >= 0.8]
     assert len(links) < 30
     assert grouped(spark, texts) == classes(len(texts), links)
+
+
+def test_links_in_a_half_alike_family_are_found(spark):
+    rng = random.Random(12)
+    texts = []
+    for t in family(rng, 60, 8):  # about a half alike; each has a copy that is 0.83 alike
+        texts += [t, edited(rng, t.split(), 4)]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(texts[i], texts[j]) >= 0.8]
+    assert len(links) >= 55
+    assert grouped(spark, texts) == classes(len(texts), links)
+
+
+def test_no_pair_at_the_limit_is_lost(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(80):
+        words = [f"w{rng.random()}" for _ in range(404)]
+        texts += [" ".join(words), " ".join([*words[:360], *(f"v{rng.random()}" for _ in range(44))])]  # 356 of 444 shingles: 0.80
+    links = [(i, i + 1) for i in range(0, 160, 2) if alike(texts[i], texts[i + 1]) >= 0.8]
+    assert len(links) == 80
+    assert grouped(spark, texts) == classes(len(texts), links)
