@@ -33,6 +33,43 @@ SEED = 42
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values: the splitmix64 constants
 
 
+class WordHashes(dict):
+    """Word to 64-bit hash; forgets everything when it holds ``limit`` words, which costs time only."""
+
+    limit = 1 << 19
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = found = xxh64_intdigest(word, SEED)
+        return found
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Splitmix64's last steps: every bit depends on every other."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes | None, words: int, cache: WordHashes) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes, made from the hashes of their words.
+
+    Words and shingles are those of ``shingle_hashes``; hashing each word once is several times as fast.
+    """
+    parts = text.lower().split() if text else []
+    if not parts:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(cache.__getitem__, parts), np.uint64, len(parts))
+    n, size = max(1, len(h) - words + 1), min(words, len(h))
+    with np.errstate(over="ignore"):
+        factors = mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(MIX[0])) | np.uint64(1)
+        total = h[:n] * factors[0]
+        for j in range(1, size):
+            total = total + h[j : j + n] * factors[j]
+        return np.unique(mixed(total))
+
+
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     """XXH64 of every shingle of a UTF-8 text: lower-cased A-Z, split at ASCII white space, joined by single spaces.
 
@@ -60,31 +97,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def lanes_of(hashes: np.ndarray, lanes: int) -> list[int]:
-    """``lanes`` fingerprints of 64 bits, each from its own mix of the hashes; the first from the hashes as they are."""
-    out = [majority(hashes)]
-    for k in range(1, lanes):
-        with np.errstate(over="ignore"):
-            x = hashes + np.uint64(MIX[0] * k % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[1])
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[2])
-            out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
-
-
-def fingerprints(docs: DataFrame, key: Column, text: Column, words: int, lanes: int = 1) -> DataFrame:
-    """``key, fp, more``: the SimHash of each row's whole text as a signed long, and the further lanes as an array."""
+def fingerprints(docs: DataFrame, key: Column, text: Column, words: int) -> DataFrame:
+    """``key, fp``: the SimHash of each row's whole text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            rows = [lanes_of(np.unique(h) if lanes > 1 else h, lanes) for h in (shingle_hashes(t, words) for t in texts)]
-            found = np.array(rows, np.uint64).reshape(len(rows), lanes).view(np.int64)
-            more = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * (lanes - 1) + 1, lanes - 1 or 1, dtype=np.int32) if lanes > 1 else np.zeros(len(rows) + 1, np.int32)), pa.array(found[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(found[:, 0])), more], names=["key", "fp", "more"])
+            found = [majority(shingle_hashes(t, words)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["key", "fp"])
 
     slim = parallel(docs.select(key.alias("key"), text.alias("text")))
-    return map_arrow(slim, run, f"key {slim.schema['key'].dataType.simpleString()}, fp long, more array<long>")
+    return map_arrow(slim, run, f"key {slim.schema['key'].dataType.simpleString()}, fp long")
 
 
 def forest(keys: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -107,14 +129,31 @@ def forest(keys: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+BLOCKS, WIDTH = 4, 16  # blocks of bits, of which one is left out at a time
+BITS = 64 - WIDTH
+NO_FLIP = 63
+
+
+def rebuilt(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Fingerprints from keys (block, then variant of the other bits) and rests (flipped place, then the block's bits)."""
+    block = (key >> np.uint64(BITS)) * np.uint64(WIDTH)
+    flip = rest >> np.uint64(WIDTH)
+    part = (key & np.uint64((1 << BITS) - 1)) ^ np.where(flip == NO_FLIP, np.uint64(0), np.uint64(1) << flip)
+    low = part & ((np.uint64(1) << block) - np.uint64(1))
+    # The last block leaves no bits above it; numpy doesn't define a shift by 64.
+    high = np.where(block == BITS, np.uint64(0), (part >> block) << np.minimum(block + np.uint64(WIDTH), np.uint64(63)))
+    return low | ((rest & np.uint64((1 << WIDTH) - 1)) << block) | high
+
+
 def _meet(radius: int):
-    """Reads (key, fp) sorted by both; gives the links among the fingerprints of each key."""
+    """Reads (key, rest) sorted by both; gives the links among the fingerprints of each key."""
 
-    def links(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
-        key, fp = key[fresh], fp[fresh]
+    def links(key: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
+        many = np.repeat(sizes > 1, sizes)
+        fp, sizes = rebuilt(key[many], rest[many]), sizes[sizes > 1]
+        starts = np.cumsum(sizes) - sizes
         two = starts[sizes == 2]
         a, b = fp[two], fp[two + 1]
         good = np.bitwise_count(a ^ b) <= radius
@@ -129,15 +168,15 @@ def _meet(radius: int):
 
         def flush(end: bool) -> pa.RecordBatch:
             nonlocal held
-            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, rest = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = len(key) if end else int(np.searchsorted(key, key[-1]))
-            held = [(key[cut:], fp[cut:])]
-            found = np.unique(np.concatenate(links(key[:cut], fp[:cut])), axis=0).view(np.int64)
+            held = [(key[cut:], rest[cut:])]
+            found = np.unique(np.concatenate(links(key[:cut], rest[:cut])), axis=0).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.uint64)))
                 if held[0][0][0] != held[-1][0][-1]:
                     yield flush(end=False)
         if held:
@@ -146,31 +185,25 @@ def _meet(radius: int):
     return run
 
 
-def ball_links(keyed: DataFrame, bits: int, radius: int) -> DataFrame:
-    """Verified links ``a, b`` from rows (``block`` int, ``part`` long of ``bits`` bits, ``fp`` long).
+def link_fingerprints(fps: DataFrame) -> DataFrame:
+    """All links of at most three bits among distinct 64-bit fingerprints, as a spanning forest ``a, b`` of each group.
 
-    Emits each part and its one-bit variants, deals them by variant, and streams the sorted buckets past ``forest``. A
-    bucket holds only longs; equal fingerprints were merged before.
+    Each fingerprint's parts without one block, and their one-bit variants, are dealt by variant, and the sorted buckets
+    stream past ``forest``. Beside the variant a row carries only what it lacks: the block and the flipped place.
     """
-    spark = keyed.sparkSession
-    flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(bits))]])
-    # The fingerprints are few bytes but many keys: adaptive execution must not gather them in a few tasks.
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp", "block")
-    emitted = dealt.select("fp", "block", "part", F.explode(flips).alias("flip")).select((F.shiftleft(F.col("block").cast("long"), bits).bitwiseOR(F.col("part").bitwiseXOR(F.col("flip")))).alias("key"), "fp")
-    met = emitted.repartition("key").sortWithinPartitions("key", "fp")
-    return map_arrow(met, _meet(radius), "a long, b long").distinct()
-
-
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """All links of at most three bits among distinct 64-bit fingerprints, as a spanning forest ``a, b`` of each group."""
-    fp = F.col("fp")
+    spark, fp = fps.sparkSession, F.col("fp")
     parts = []
-    for j in range(4):
-        low = fp.bitwiseAND(F.lit((1 << 16 * j) - 1).cast("long")) if j else F.lit(0).cast("long")
-        high = F.shiftleft(F.shiftrightunsigned(fp, 16 * (j + 1)), 16 * j) if j < 3 else F.lit(0).cast("long")
-        parts.append(F.struct(F.lit(j).alias("block"), low.bitwiseOR(high).alias("part")))
-    keyed = fps.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.block", "x.part")
-    return ball_links(keyed, 48, 3)
+    for j in range(BLOCKS):
+        low = fp.bitwiseAND(F.lit((1 << WIDTH * j) - 1).cast("long")) if j else F.lit(0).cast("long")
+        high = F.shiftleft(F.shiftrightunsigned(fp, WIDTH * (j + 1)), WIDTH * j) if j < BLOCKS - 1 else F.lit(0).cast("long")
+        out = F.shiftrightunsigned(fp, WIDTH * j).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+        parts.append(F.struct(low.bitwiseOR(high).bitwiseOR(F.lit(j << BITS).cast("long")).alias("part"), out.cast("int").alias("out")))
+    flips = F.array(*[F.struct(F.lit(1 << i if i < BITS else 0).cast("long").alias("bit"), F.lit(i << WIDTH).alias("place")) for i in (*range(BITS), NO_FLIP)])
+    # The fingerprints are few bytes but many keys: adaptive execution must not gather them in a few tasks.
+    dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp").select(F.explode(F.array(*parts)).alias("x"))
+    emitted = dealt.select("x.part", "x.out", F.explode(flips).alias("flip")).select(F.col("part").bitwiseXOR(F.col("flip.bit")).alias("key"), F.col("out").bitwiseOR(F.col("flip.place")).alias("rest"))
+    met = emitted.repartition("key").sortWithinPartitions("key", "rest")
+    return map_arrow(met, _meet(3), "a long, b long").distinct()
 
 
 def group_by_fingerprint(marked: DataFrame, links: DataFrame) -> DataFrame:
@@ -191,7 +224,7 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Null and blank texts have fingerprint zero, which links like any other. Repeated rows come back as often as they
     went in. An empty table gives an empty result. Other columns are not read.
     """
-    marked = written(fingerprints(docs, F.col(key), F.col(text), words).select("key", "fp"))
+    marked = written(fingerprints(docs, F.col(key), F.col(text), words))
     links = link_fingerprints(marked.select("fp").distinct())
     return marked.join(group_by_fingerprint(marked, links), "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -209,10 +242,11 @@ def _prefixes(words: int, similarity: float, heavy: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        cache = WordHashes()
         for batch in batches:
             fps, sizes, prefixes = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                found = np.unique(shingle_hashes(text, words))
+                found = shingle_set(text, words, cache)
                 fps.append(set_id(found))
                 sizes.append(len(found))
                 if fps[-1] in seen:
@@ -237,8 +271,9 @@ def set_id(shingles: np.ndarray) -> int:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            found = [shingle_set(t, words, cache) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["fp", "shingles"])
@@ -407,9 +442,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those that belong to a group of near duplicates and are not its smallest key."""
-    extra = near_duplicates(docs, key, text, words, similarity).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_near_copy")).distinct()
+    extra = near_duplicates(docs.select(key, text), key, text, words, similarity).where(F.col(key) != F.col("component_id"))
     # The list grows with the table, so the join always shuffles, also where a small one could be broadcast.
-    return docs.join(written(extra).hint("merge"), F.col(key) == F.col("_near_copy"), "left_anti")
+    return docs.join(written(extra.select(key).distinct()).hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

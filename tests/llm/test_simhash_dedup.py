@@ -51,20 +51,37 @@ def test_links_find_every_distance(spark):
     assert classes(len(every), [(at[r.a], at[r.b]) for r in got]) == want
 
 
+def keys_of(fp):
+    """All rows (key, rest) of one fingerprint, bit by bit."""
+    out = []
+    for j in range(4):
+        bits = [i for i in range(64) if not 16 * j <= i < 16 * j + 16]
+        part = sum((fp >> i & 1) << k for k, i in enumerate(bits))
+        own = fp >> 16 * j & 0xFFFF
+        out += [(j << 48 | part ^ (1 << k), k << 16 | own) for k in range(48)] + [(j << 48 | part, 63 << 16 | own)]
+    return out
+
+
+def test_rebuilt_fingerprints():
+    rng = random.Random(2)
+    for fp in [0, (1 << 64) - 1, 1 << 63, *(rng.getrandbits(64) for _ in range(20))]:
+        key, rest = (np.array(x, np.uint64) for x in zip(*keys_of(fp), strict=True))
+        assert set(S.rebuilt(key, rest).tolist()) == {fp} and len(set(key.tolist())) == 196
+
+
 def test_buckets_across_batches():
-    rng = np.random.default_rng(0)
-    key = np.sort(rng.integers(0, 50, 2000))
-    fp = rng.integers(0, 200, 2000)
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
+    rng = random.Random(0)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    rows = sorted(x for f in {b ^ sum(1 << i for i in rng.sample(range(64), 2)) for b in base for _ in range(5)} for x in keys_of(f))
+    key, rest = (np.array(x, np.int64) for x in zip(*rows, strict=True))
     import pyarrow as pa
 
     def run(size):
-        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(fp[i : i + size])], names=["key", "fp"]) for i in range(0, 2000, size))
-        return {tuple(sorted(x)) for b in S._meet(1)(batches) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(rest[i : i + size])], names=["key", "rest"]) for i in range(0, len(key), size))
+        return {tuple(sorted(x)) for b in S._meet(3)(batches) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
 
-    assert run(1) == run(7) == run(100) == run(5000) and run(7)
-    assert list(S._meet(1)(iter([]))) == []
+    assert run(1) == run(7) == run(100) == run(50000) and run(7)
+    assert list(S._meet(3)(iter([]))) == []
 
 
 def brute_fp(text, words=3):

@@ -27,7 +27,8 @@ def search(spark, rows, every=5, k=3):
     for r in K.top_k(df, every, k).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r.rank == len(got[r.query_id])
-    return got, brute(exact, every, k)
+    clip = lambda s: min(max(s, K.LOW), K.HIGH)
+    return got, {q: [(i, clip(s)) for i, s in best] for q, best in brute(exact, every, k).items()}
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
@@ -63,3 +64,38 @@ def test_few_and_none(spark):
 def test_large_components(spark):
     got, want = search(spark, [(0, [3e6, 1.0]), (1, [2e6, -1.0]), (2, [1e6, 5e5]), (3, [-3e6, 0.25])])
     assert got == want
+
+
+def test_order_beyond_a_long(spark, monkeypatch):
+    monkeypatch.setattr(K, "SLICE", 4)
+    up = [(i, [4e6 + 1000 * (i % 7), float(i)]) for i in range(1, 30)]  # all above the range for query 0, with ties
+    down = [(100 + i, [-4e6 - 1000 * (i % 5), float(i)]) for i in range(1, 30)]
+    got, want = search(spark, [(0, [4e6, 1.0]), *up, *down, (200, [-4e6, 0.0])], every=100, k=40)
+    assert got == want and {s for _, s in got[0][:29]} == {K.HIGH} and got[0][-1][1] == K.LOW
+
+
+def test_products_at_the_ends():
+    import numpy as np
+
+    ends = np.array([[K.LOW, K.HIGH], [K.LOW, K.LOW]], np.int64)
+    assert K.products(ends, ends).tolist() == [[sum(x * y for x, y in zip(a, b, strict=True)) for b in ends.tolist()] for a in ends.tolist()]
+    scores = sorted({0, 1, -1, K.LOW, K.HIGH, K.LOW - 1, K.HIGH + 1, 2**140, -(2**140)})
+    ordered = sorted(scores, key=lambda s: (min(max(s, K.LOW), K.HIGH), K.beyond(s) or b""))
+    assert ordered == scores
+
+
+def test_repeated_keys_and_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP", 2)
+    monkeypatch.setattr(K, "SLICE", 16)
+    rows = [(5, [3.0, 1.0])] * 120 + [(i, [float(i % 9), 1.0]) for i in range(100)] + [(10, [0.5, 0.5])] * 3
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    got = {}
+    for r in K.top_k(df, 5, 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = {}
+    for q in {i for i, _ in rows if i % 5 == 0}:
+        a = min([int(1024 * x) for x in v] for i, v in rows if i == q)
+        scores = sorted((-sum(x * int(1024 * y) for x, y in zip(a, v, strict=True)), i) for i, v in rows if i != q)
+        want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(scores[:3])]
+    assert {q: [x[::2] for x in sorted(v)] for q, v in got.items()} == {q: [x[::2] for x in v] for q, v in want.items()}
+    assert got[0] and sorted(got[0])[0][1] == sorted(want[0])[0][1]
