@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +17,12 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and remembered in the session.
+    Only on one machine, as in tests, a temporary folder is made where that is unset, and remembered in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,6 +73,27 @@ def written(df: DataFrame) -> DataFrame:
     return Table(df).df
 
 
+@contextmanager
+def dropped_after(spark: SparkSession):
+    """Drops the tables that were written inside, but for those whose paths are added to the set that it gives."""
+    before, keep = set(_left), set()
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _left if p not in before and p not in keep]:
+            _left.pop(path)
+            remove(spark, path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that ``df`` doesn't have, whatever the case of its own."""
+    there = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in there for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` whose Spark schema is given as DDL."""
     return df.mapInArrow(fn, schema)

@@ -1,20 +1,25 @@
-"""Line dedup: repeated passages of several lines, found as content-defined chunks of lines.
+"""Line dedup: repeated passages, found as content-defined chunks of lines.
 
 A rolling hash over the hashes of two neighbouring lines marks the lines after which a chunk may end, and a chunk ends at
-a mark that doesn't follow another one and isn't the last but one line, so chunks have at least two lines (but for a text
-of one line). Marks depend on three lines of text only: lines added or removed elsewhere don't shift them. A chunk that occurs in several places of
-the whole table, equal byte for byte, stays only in the first one. DataFrame functions only.
+a mark that doesn't follow another one and isn't the last but one line. A line of 50 words or more is a passage by
+itself, so chunks also end before and behind it. Marks depend on three lines of text only: lines added or removed
+elsewhere don't shift them. A chunk that occurs in several places of the whole table, equal byte for byte, stays only in
+the first one. What goes on equally on both sides of a removed chunk and of the one that stays, up to two lines beyond
+the next chunk, goes with it, so the ends of a passage don't stay behind: text outside shifts no more than the chunk ends
+at its first two lines and its last one. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Table, parallel, written
+from corpusmill.llm.common import Table, parallel, unused, written
 
 ROLL, MODULUS = 31, 1_000_003
-LONG_LINE = 50  # words that make a chunk of a single line a passage too
+PASSAGE = 50  # words that make a single line a passage
+BEYOND = 2  # lines behind the next chunk that are looked at: a chunk end depends on the two lines before it
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def once(value: Column) -> Column:
@@ -22,65 +27,95 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
-
-
-def _mark(h: str, i: Column) -> Column:
+def _mark(i: Column) -> Column:
     """Whether line ``i`` (from 1) is marked; the first never is."""
-    pair = F.get(F.col(h), i - 2) * ROLL + F.get(F.col(h), i - 1)
+    pair = F.get(F.col("h"), i - 2) * ROLL + F.get(F.col("h"), i - 1)
     return (i >= 2) & (pair % MODULUS % 2 == 0)
 
 
-def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, first, last, passage``: the chunks of every text with their first and last lines, from 1."""
-    lines = docs.select(F.col(key).alias("key"), once(F.split(text, "\n", -1)).alias("lines"))
-    hashed = lines.select("key", "lines", once(F.transform("lines", line_hash)).alias("h"))
-    n = F.size("h")
-    ends = hashed.select("key", "lines", once(F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((i < n - 1) & _mark("h", i) & ~F.coalesce(_mark("h", i - 1), F.lit(False))))).alias("ends"))
-    spans = F.transform("ends", lambda e, k: F.struct((F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("ends"), k - 1)) + 1).alias("first"), e.alias("last")))
-    cut = ends.select("key", "lines", F.explode(spans).alias("span"))
-    return cut.select("key", "span.first", "span.last", F.array_join(F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1), "\n").alias("passage"))
-
-
-def eligible(passages: DataFrame) -> DataFrame:
-    words = F.regexp_count("passage", F.lit(r"[^\x20\x09-\x0D]+"))
-    return passages.where((F.col("last") > F.col("first")) | (words >= LONG_LINE))
+def chunks(docs: DataFrame, key: str, text: str, words: int = PASSAGE) -> DataFrame:
+    """``key, text_hash, first, last, passage, before, after``: the chunks of every text that can be passages.
 
-
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    Lines count from 1. ``before`` and ``after`` are the digests of the lines of the chunks beside it, and two more. A chunk of blank
+    lines, or of a single line of fewer than ``words`` words that isn't blank, is no passage.
+    """
+    lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), once(F.split(text, "\n", -1)).alias("lines"))
+    # Words are counted in lines only that have room for so many.
+    is_long = F.transform("lines", lambda x: (F.length(x) >= 2 * words - 1) & (F.regexp_count(x, F.lit(WORD)) >= words))
+    full = F.transform("lines", lambda x: F.rlike(x, F.lit(WORD)))
+    digests = lines.select("key", "text_hash", "lines", once(F.transform("lines", lambda x: F.md5(x.cast("binary")))).alias("digests"), once(is_long).alias("long"), once(full).alias("full"))
+    hashed = digests.select("*", once(F.transform("digests", lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long"))).alias("h"))
+    n = F.size("h")
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.get("long", i - 1) | F.get("long", i) | ((i < n - 1) & _mark(i) & ~F.coalesce(_mark(i - 1), F.lit(False))))
+    cut = hashed.select("*", once(ends).alias("ends"))
+    end = lambda k: F.when(k < 0, F.lit(0)).otherwise(F.coalesce(F.get("ends", k), n))
+    spans = F.transform("ends", lambda e, k: F.struct((end(k - 1) + 1).alias("first"), e.alias("last"), F.greatest(F.lit(1), end(k - 2) + 1 - BEYOND).alias("low"), F.least(n, end(k + 1) + BEYOND).alias("high")))
+    spread = cut.select("key", "text_hash", "lines", "digests", "long", "full", F.explode(spans).alias("s")).select("*", "s.*")
+    part = lambda a, low, high: F.slice(a, low, high - low + 1)
+    passage = F.get("long", F.col("first") - 1) | (F.size(F.filter(part("full", F.col("first"), F.col("last")), lambda x: x)) >= 2)
+    beside = lambda low, high: F.transform(part("digests", low, high), lambda x: F.unhex(x))
+    return spread.where(passage).select(
+        "key", "text_hash", "first", "last", F.array_join(part("lines", F.col("first"), F.col("last")), "\n").alias("passage"),
+        F.when(F.col("first") > 1, beside(F.col("low"), F.col("first") - 1)).otherwise(F.array().cast("array<binary>")).alias("before"), beside(F.col("last") + 1, F.col("high")).alias("after"),
+    )
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many items two arrays have in common from their start."""
+    n = F.least(F.size(a), F.size(b))
+    apart = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
+    return F.when(apart == 0, n).otherwise(apart - 1).cast("int")
+
+
+def removed(passages: DataFrame) -> DataFrame:
+    """``key, text_hash, cut, n_chunks``: the lines that go, as an array of disjoint spans, and how many chunks they have."""
+    # Grouping by the passage itself compares bytes. Rows are sorted by the hashes first, which settles nearly all comparisons.
+    hashed = passages.withColumn("h1", F.xxhash64("passage")).withColumn("h2", F.xxhash64("passage", F.lit(1)))
+    same = hashed.groupBy("h1", "h2", "passage").agg(F.min(F.struct("key", "text_hash", "first", "before", "after")).alias("kept"), F.count("*").alias("n"))
+    found = Table(same.where("n > 1").select("h1", "h2", "kept"))
+    places = hashed.select("h1", "h2", "key", "text_hash", "first", "last", "before", "after").join(found.df, ["h1", "h2"])
+    again = places.where(F.struct("key", "text_hash", "first") != F.struct("kept.key", "kept.text_hash", "kept.first"))
+    behind, ahead = _common(F.col("after"), F.col("kept.after")), _common(F.reverse("before"), F.reverse(F.col("kept.before")))
+    # Repeated rows of a text count once; a chunk of a text has one kept chunk.
+    spans = again.groupBy("key", "text_hash", F.col("first").alias("own")).agg(F.min(F.col("first") - ahead).alias("first"), F.max(F.col("last") + behind).alias("last"))
+    # The lines around one passage can be those of another: spans that meet become one. A window holds one text's spans.
+    doc = Window.partitionBy("key", "text_hash").orderBy("first", "last")
+    fresh = F.coalesce(F.col("first") > F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    parts = spans.withColumn("fresh", fresh.cast("int")).withColumn("part", F.sum("fresh").over(doc))
+    joined = parts.groupBy("key", "text_hash", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
+    return written(joined.groupBy("key", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cut"), F.sum("n").alias("n_chunks")))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
     """``docs`` with repeated passages removed, and ``n_lines, removed_lines, removed_chunks`` beside the columns it has.
 
-    The first occurrence, by key and then by place, stays. Null and empty texts, and rows with a null key, come back as
-    they are; so do single lines of less than 50 words, however often they occur. Repeated rows of one key are one
-    document. A text of which nothing is left is empty. An empty table gives an empty result. If the input has columns
-    of these names, the new ones replace them.
+    A passage has two lines that aren't blank, or a line of ``words`` words, and lies in one chunk; the lines around it
+    that are repeated with it go too. Passages are compared byte by byte, the lines around them by their MD5. The first
+    occurrence, by key and then by place, stays. Null and empty texts, and rows with a null key, come back as they are;
+    so do single lines of fewer words, however often they occur, and runs of blank lines. Repeated rows of one key are
+    one document; rows of one key with different texts are documents of their own, in the order of their hashes. A text
+    of which nothing is left is empty. Texts of any length are read whole. An empty table gives an empty result. Columns
+    of any other names pass through; if the input has columns of the new names, the new ones replace them.
     """
-    named = parallel(docs.where(F.col(key).isNotNull()).select(key, text))
-    passages = eligible(chunks(named, key, text)).withColumn("hash", F.xxhash64("passage"))
-    # Grouping by the passage itself compares bytes. Rows are sorted by the hash first, which settles nearly all comparisons.
-    same = passages.groupBy("hash", "passage").agg(F.min(F.struct("key", "first")).alias("kept"), F.count("*").alias("n"))
-    found = Table(same.select("hash", "kept", "n"))
-    # A hash that two different passages share names neither; then both stay.
-    repeated = written(found.df.groupBy("hash").agg(F.min("kept").alias("kept"), F.sum("n").alias("n"), F.count("*").alias("passages")).where("passages = 1 AND n > 1").select("hash", "kept"))
-    places = passages.select("hash", "key", "first", "last").join(repeated, "hash").where(F.struct("key", "first") != F.col("kept"))
-    dropped = written(places.select("key", "first", "last").distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cut")).withColumnRenamed("key", "_cut_key"))
+    named = parallel(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text))
+    key_, hash_, cut_, n_, lines_ = unused(docs, "cut_key", "cut_hash", "cut", "n_chunks", "lines")
+    dropped = removed(chunks(named, key, text, words)).toDF(key_, hash_, cut_, n_)
     # The removed spans grow with the table, so the join always shuffles, also where a small table would let it broadcast.
-    joined = docs.join(dropped.hint("merge"), F.col(key) == F.col("_cut_key"), "left").drop("_cut_key")
+    joined = docs.join(dropped.hint("merge"), (F.col(key) == F.col(key_)) & (F.xxhash64(text) == F.col(hash_)), "left")
     others = [c for c in docs.columns if c != text and c not in ("n_lines", "removed_lines", "removed_chunks")]
     # What is left stands between the removed spans; a span behind the last line closes the list.
-    split = joined.select(*others, text, once(F.split(text, "\n", -1)).alias("_lines"), "_cut")
-    end = F.size("_lines") + 1
-    closed = split.select(*others, text, "_lines", once(F.when(F.col("_cut").isNotNull(), F.concat("_cut", F.array(F.struct(end.alias("first"), end.alias("last")))))).alias("_cut"))
-    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("_cut"), k - 1)["last"])
-    left = F.flatten(F.transform("_cut", lambda c, k: F.slice("_lines", before(k) + 1, c["first"] - 1 - before(k))))
-    removed = F.aggregate("_cut", F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1) - 1
+    split = joined.select(*others, text, n_, once(F.split(text, "\n", -1)).alias(lines_), cut_)
+    end = F.size(lines_) + 1
+    closed = split.select(*others, text, n_, lines_, once(F.when(F.col(cut_).isNotNull(), F.concat(cut_, F.array(F.struct(end.alias("first"), end.alias("last")))))).alias(cut_))
+    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col(cut_), k - 1)["last"])
+    left = F.flatten(F.transform(cut_, lambda c, k: F.slice(lines_, before(k) + 1, c["first"] - 1 - before(k))))
+    gone = F.aggregate(cut_, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1) - 1
     return closed.select(
         *others,
-        F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("removed_lines"),
-        F.coalesce(F.size("_cut") - 1, F.lit(0)).cast("long").alias("removed_chunks"),
+        F.when(F.col(cut_).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text),
+        F.coalesce(F.size(lines_), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(gone, F.lit(0)).cast("long").alias("removed_lines"),
+        F.coalesce(n_, F.lit(0)).cast("long").alias("removed_chunks"),
     )
 
 
@@ -89,31 +124,42 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "removed_lines", "removed_chunks", "text")
 
 
-#: The same from ``documents`` with columns ``doc_id, text``, for DuckDB; used by the pipeline's SQL too.
+#: The same from ``documents`` with columns ``doc_id, text``, for DuckDB; used by the pipeline's test too.
 SQL_STEPS = """
     lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {docs}),
-    hashed AS (SELECT *, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM lines),
+    hashed AS (
+        SELECT *, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h,
+            list_transform(l, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) >= 50) AS g FROM lines
+    ),
     marked AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: i >= 2 AND (h[i - 1] * 31 + h[i]) % 1000003 % 2 = 0) AS m FROM hashed),
-    ended AS (SELECT doc_id, text, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (i < len(l) - 1 AND m[i] AND NOT m[i - 1])) AS e FROM marked),
+    ended AS (SELECT doc_id, l, g, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR g[i] OR g[i + 1] OR (i < len(l) - 1 AND m[i] AND NOT m[i - 1])) AS e FROM marked),
     cut AS (
-        SELECT doc_id, l, CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END AS first, e[k] AS last
-        FROM (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM ended)
+        SELECT doc_id, k, first, last, l[first:last] AS own, g[first] AS long, CASE WHEN first > 1 THEN list_reverse(l[greatest(1, low):first - 1]) ELSE [] END AS before, l[last + 1:high] AS after FROM (
+            SELECT doc_id, l, g, k, CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END AS first, e[k] AS last, CASE WHEN k <= 2 THEN -1 ELSE e[k - 2] - 1 END AS low, coalesce(e[k + 1], e[k]) + 2 AS high
+            FROM (SELECT doc_id, l, g, e, unnest(range(1, len(e) + 1)) AS k FROM ended)
+        )
+    ),
+    placed AS (
+        SELECT *, first_value(doc_id) OVER w AS kept_doc, first_value(k) OVER w AS kept_k
+        FROM cut WHERE long OR len(list_filter(own, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) >= 2 WINDOW w AS (PARTITION BY own ORDER BY doc_id, k)
     ),
-    passages AS (
-        SELECT doc_id, first, last, array_to_string(l[first:last], chr(10)) AS passage FROM cut
-        WHERE last > first OR len(regexp_extract_all(l[first], '[^\\x20\\x09-\\x0D]+')) >= 50
+    gone AS (SELECT * FROM placed WHERE (doc_id, k) <> (kept_doc, kept_k)),
+    around AS (
+        SELECT x.doc_id, x.first, x.last, len(list_filter(range(1, least(len(x.before), len(y.before)) + 1), lambda i: x.before[1:i] = y.before[1:i])) AS ahead,
+            len(list_filter(range(1, least(len(x.after), len(y.after)) + 1), lambda i: x.after[1:i] = y.after[1:i])) AS behind
+        FROM gone x JOIN cut y ON y.doc_id = x.kept_doc AND y.k = x.kept_k
     ),
-    placed AS (SELECT *, first_value((doc_id, first)) OVER (PARTITION BY passage ORDER BY doc_id, first) AS kept FROM passages),
-    gone AS (SELECT doc_id, first, last FROM placed WHERE (doc_id, first) <> kept),
+    gone_lines AS (SELECT DISTINCT doc_id, unnest(range(first - ahead, last + behind + 1)) AS i FROM around),
     line_rows AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines),
-    kept_lines AS (SELECT r.* FROM line_rows r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = r.doc_id AND r.i BETWEEN g.first AND g.last)),
+    kept_lines AS (SELECT r.* FROM line_rows r ANTI JOIN gone_lines g ON g.doc_id = r.doc_id AND g.i = r.i),
     rebuilt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM kept_lines GROUP BY doc_id),
-    totals AS (SELECT doc_id, CAST(sum(last - first + 1) AS BIGINT) AS removed_lines, count(*) AS removed_chunks FROM gone GROUP BY doc_id)
+    totals AS (SELECT doc_id, count(*) AS removed_chunks FROM gone GROUP BY doc_id),
+    sizes AS (SELECT doc_id, count(*) AS removed_lines FROM gone_lines GROUP BY doc_id)
 """
 
 ORACLE = f"""
     WITH {SQL_STEPS.format(docs="documents")}
-    SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, coalesce(t.removed_lines, 0) AS removed_lines,
+    SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, coalesce(s.removed_lines, 0) AS removed_lines,
            coalesce(t.removed_chunks, 0) AS removed_chunks, coalesce(r.text, '') AS text
-    FROM documents d LEFT JOIN totals t USING (doc_id) LEFT JOIN rebuilt r USING (doc_id)
+    FROM documents d LEFT JOIN totals t USING (doc_id) LEFT JOIN sizes s USING (doc_id) LEFT JOIN rebuilt r USING (doc_id)
 """

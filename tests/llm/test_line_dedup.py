@@ -29,8 +29,8 @@ def test_shared_passage_is_cut_where_it_comes_again(spark):
     got = {r.doc_id: r for r in dedup(spark, [*texts, clean])}
     assert got[0].text == texts[0] and got[0].removed_lines == 0
     for i in (1, 2, 3):
-        assert got[i].removed_lines >= 25  # wherever it starts, all but the chunks at its ends go
-        assert set(got[i].text.split("\n")) >= set(texts[i].split("\n")) - set(shared)
+        assert got[i].removed_lines == 40  # wherever it starts
+        assert got[i].text.split("\n") == [x for x in texts[i].split("\n") if x not in set(shared)]
     assert got[4].text == clean and got[4].removed_chunks == 0
 
 
@@ -69,27 +69,77 @@ def test_no_python_in_the_plan(spark, tiny):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-@pytest.mark.parametrize("seed", range(2))
+def test_blank_lines_and_short_lines_stay(spark):
+    texts = ["a1\n\n\n\nb1\n\n\n", "a2\n\n\n\nb2", "\n\n\n", "\n\n\n", "same\n \n\t", "same\n \n\t"]
+    assert [r.text for r in sorted(dedup(spark, texts), key=lambda r: r.doc_id)] == texts
+
+
+def test_a_long_line_between_others(spark):
+    passage = " ".join(f"word{i}" for i in range(50))
+    short = " ".join(f"word{i}" for i in range(49))
+    texts = [f"start {i}\nsecond {i}\n{passage}\nthird {i}\n{short}\nend {i}" for i in range(4)]
+    got = sorted(dedup(spark, texts), key=lambda r: r.doc_id)
+    assert got[0].text == texts[0] and [r.text for r in got[1:]] == [t.replace(passage + "\n", "") for t in texts[1:]]
+
+
+def test_one_key_with_different_texts(spark):
+    got = dedup(spark, ["a\nb\nc", "a\nb\nc", "x\ny\nz\nu", "q\nr\ns"], [1, 2, 2, 2])
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a\nb\nc"), (2, ""), (2, "q\nr\ns"), (2, "x\ny\nz\nu")]
+
+
+def test_any_column_names(spark):
+    names = ["_lines", "_cut", "_cut_key", "_cut_hash", "_n_chunks", "lines", "cut", "key", "passage", "__cut"]
+    df = spark.createDataFrame([(i, "a\nb\nc", *[str(i)] * len(names)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = sorted(L.dedup_lines(df).collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in got] == ["a\nb\nc", "", ""] and all(r[n] == str(r.doc_id) for r in got for n in names)
+
+
+def test_two_passages_of_one_hash(spark, monkeypatch):
+    # Even then each passage goes by its own bytes, as a second hash tells them apart.
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(L.F, "xxhash64", lambda *c: F.lit(7).cast("long") if c == ("passage",) else real(*c))
+    texts = ["a\nb\nc", "a\nb\nc", "x\ny\nz", "x\ny\nz"]
+    assert [r.text for r in sorted(dedup(spark, texts), key=lambda r: r.doc_id)] == ["a\nb\nc", "", "x\ny\nz", ""]
+
+
+@pytest.mark.parametrize("seed", range(3))
 def test_brute_force(spark, seed):
     rng = random.Random(seed)
-    pool = lines(rng, 12, 3)
-    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(25)]
+    pool = [*lines(rng, 12, 3), "", " ", *[" ".join(f"w{i}{k}" for i in range(60)) for k in range(2)]]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 16))) for _ in range(30)]
     import hashlib
 
     def cut(text):
         ls = text.split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in ls]
         mark = [i > 0 and (h[i - 1] * 31 + h[i]) % 1_000_003 % 2 == 0 for i in range(len(ls))]
-        ends = [i for i in range(len(ls)) if i == len(ls) - 1 or (i < len(ls) - 2 and mark[i] and not mark[i - 1])]
-        return [ls[a:b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], [e + 1 for e in ends], strict=True)]
-
-    seen, want = set(), []
-    for t in texts:
-        keep = []
-        for c in cut(t):
-            if len(c) < 2 and len(c[0].split()) < 50 or tuple(c) not in seen:
-                keep += c
-                if len(c) > 1:
-                    seen.add(tuple(c))
-        want.append("\n".join(keep))
-    assert [r.text for r in sorted(dedup(spark, texts), key=lambda r: r.doc_id)] == want
+        big = [len(x.split()) >= 50 for x in ls]
+        n = len(ls)
+        ends = [i for i in range(n) if i == n - 1 or big[i] or big[i + 1] or (i < n - 2 and mark[i] and not mark[i - 1])]
+        return [(a, ls[a : e + 1]) for a, e in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
+
+    cuts = [cut(t) for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for d, parts in enumerate(cuts):
+        for k, (at, c) in enumerate(parts):
+            if sum(bool(x.strip()) for x in c) < 2 and len(c[0].split()) < 50:
+                continue
+            d0, k0 = first.setdefault(tuple(c), (d, k))
+            if (d0, k0) == (d, k):
+                continue
+            gone[d] |= set(range(at, at + len(c)))
+
+            def beside(d, k):
+                ls, at, size = texts[d].split("\n"), cuts[d][k][0], len(cuts[d][k][1])
+                before = len(cuts[d][k - 1][1]) + 2 if k else 0
+                after = len(cuts[d][k + 1][1]) + 2 if k + 1 < len(cuts[d]) else 0
+                return ls[max(0, at - before) : at][::-1], ls[at + size : at + size + after]
+
+            (up, down), (up0, down0) = beside(d, k), beside(d0, k0)
+            gone[d] |= set(range(at - same(up, up0), at + len(c) + same(down, down0)))
+    want = ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(texts)]
+    got = sorted(dedup(spark, texts), key=lambda r: r.doc_id)
+    assert [r.text for r in got] == want and [r.removed_lines for r in got] == [len(g) for g in gone]
