@@ -1,22 +1,28 @@
 """Chat formatting: tool calls linked to their results, in topological order, validated, as canonical JSON.
 
-Calls and results meet in a hash join on conversation and identifier. A call may name calls whose results it needs; levels
-above 0 put those calls behind that stand before what they need. Arguments are checked against the schema of the called
-tool by expressions made from that schema. DataFrame functions only.
+Calls and results meet in a hash join on conversation and identifier. A call may name calls whose results it needs; its
+level is its depth among these needs, so the order of levels is topological. Arguments are checked against the schema of
+the called tool by expressions made from that schema. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Table, written
+from corpusmill.llm.line_dedup import once
 
 CALLS = "conv_id long, turn long, place int, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
 
+IN_ROW = 256  # calls of a conversation that are ordered in one row; the calls of a longer one are ordered as rows
+
 #: JSON types by the names that a variant's schema has for them.
-_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+_TYPES = {"string": "STRING", "integer": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+_TOKEN = r'("(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^"0-9-]+)'
 
 
 def read_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +30,8 @@ def read_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     An assistant's text may be an object with ``tool_calls``, each with ``id``, ``name``, ``arguments`` (an object) and,
     if it needs other calls' results, their identifiers in ``after``. A tool's text is an object with ``tool_call_id``
-    and ``content``. Other texts hold neither.
+    and ``content``. Other texts hold neither, nor do null, empty and broken ones. Texts of any length are read whole;
+    repeated rows give repeated calls. Other columns are not read.
     """
     shape = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>,tool_call_id:string,content:string>"
     parsed = messages.select("conv_id", "turn", "role", F.from_json("text", shape).alias("x"))
@@ -41,11 +48,25 @@ def _path(name: str) -> str:
     return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
+def canonical(value: Column) -> Column:
+    """A variant as JSON text that is the same for equal values: sorted keys, no blanks, one form for each number.
+
+    A whole number, however written, is its digits, and any other number the shortest text of its double. Beyond 38
+    digits whole numbers are doubles too.
+    """
+    double = lambda t: t.cast("double")
+    whole = lambda t: (F.rint(double(t)) == double(t)) & (F.abs(double(t)) < 1e38)
+    number = lambda t: F.when(F.rlike(t, F.lit("[.eE]")), F.when(whole(t), double(t).cast("decimal(38,0)").cast("string")).otherwise(double(t).cast("string"))).otherwise(t)
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(_TOKEN), 1)
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit("^-?[0-9]")), number(t)).otherwise(t)), "")
+
+
 def schema_errors(parsed: Column, arguments: Column, schema: dict) -> Column:
     """The faults of an argument object under a JSON schema, as an array of texts in a fixed order.
 
-    Understood: ``required``, ``properties`` with ``type``, ``enum``, ``minimum``, ``maximum``, ``minLength`` and
-    ``maxLength``, and ``additionalProperties`` (only false restricts).
+    Understood: ``required``, ``properties`` with ``type``, ``enum`` (members are compared as JSON values), ``minimum``,
+    ``maximum`` (of numbers), ``minLength`` and ``maxLength`` (of strings), and ``additionalProperties`` (only false
+    restricts). Whole numbers of any size and form are integers.
     """
     faults = []
     known = schema.get("properties", {})
@@ -55,17 +76,21 @@ def schema_errors(parsed: Column, arguments: Column, schema: dict) -> Column:
         value = F.variant_get(parsed, _path(name), "variant")
         text, number = F.try_variant_get(parsed, _path(name), "string"), F.try_variant_get(parsed, _path(name), "double")
         here, kind = value.isNotNull(), rule.get("type")
-        right = F.lit(True) if kind is None else _kind(value).rlike(f"^({_TYPES[kind]})$")
+        is_a = lambda k, value=value: F.rlike(_kind(value), F.lit(f"^({_TYPES[k]})$"))
+        right = F.lit(True) if kind is None else is_a(kind)
+        if kind == "integer":
+            right = F.when(right, F.rint(number) == number).otherwise(False)
         faults.append(F.when(here & ~right, F.lit(f"{name}: not of type {kind}")))
-        for word, good in (
-            ("enum", lambda r: text.isin(*map(str, r))),
-            ("minimum", lambda r: number >= r),
-            ("maximum", lambda r: number <= r),
-            ("minLength", lambda r: F.length(text) >= r),
-            ("maxLength", lambda r: F.length(text) <= r),
+        members = [canonical(F.parse_json(F.lit(json.dumps(m)))) for m in rule.get("enum", [])]
+        for word, of, good in (
+            ("enum", None, lambda _, members=members, value=value: F.array_contains(F.array(*members), canonical(value))),
+            ("minimum", "number", lambda r, number=number: number >= r),
+            ("maximum", "number", lambda r, number=number: number <= r),
+            ("minLength", "string", lambda r, text=text: F.length(text) >= r),
+            ("maxLength", "string", lambda r, text=text: F.length(text) <= r),
         ):
             if word in rule:
-                faults.append(F.when(here & right & ~good(rule[word]), F.lit(f"{name}: {word}")))
+                faults.append(F.when(here & right & (F.lit(True) if of is None else is_a(of)) & ~good(rule[word]), F.lit(f"{name}: {word}")))
     if schema.get("additionalProperties") is False:
         extra = F.array_sort(F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, sorted(known)))))
         faults.append(F.when(F.size(extra) > 0, F.concat(F.lit("not allowed: "), F.array_join(extra, ","))))
@@ -83,13 +108,15 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) ->
     Returns ``conv_id, turn, call_id, status, level, valid, json``. Status: ``linked``; ``unanswered`` (no result has its
     identifier); ``repeated`` (an earlier call has its identifier: it gets no result); ``orphan`` (a result whose
     identifier no call has). If several results have one identifier, the first by turn and content counts and the
-    others come out as ``repeated`` results. A null conversation or identifier matches nothing. Sorted by level, turn and
-    place, a conversation's first calls stand in a topological order (``call_levels``); needs of unknown identifiers don't
-    count. Calls in a cycle or behind one, and all other rows, have level -1. Calls of unknown tools, or whose arguments are no JSON object, are not valid, nor is a
-    result without a call. Repeated rows and
-    hot identifiers are aggregated before the joins. Empty inputs give no rows.
+    others come out as ``repeated`` results. A null conversation or identifier matches nothing. Sorted by level, a
+    conversation's first calls stand in a topological order (``call_levels``); needs of unknown identifiers don't count.
+    Calls in a cycle or behind one, and all other rows, have level -1. Calls of unknown tools, or whose arguments are no
+    JSON object, are not valid, nor is a result without a call. Texts of any length are read whole. Repeated rows and hot
+    identifiers are aggregated before the joins. Empty inputs give no rows. Other columns are not read.
     """
     key = ["conv_id", "call_id"]
+    calls = calls.select("conv_id", "turn", "place", "call_id", "name", "arguments", "after")
+    results = results.select("conv_id", "turn", "call_id", "content")
     named = calls.select(*key, F.struct("turn", "place", "name", "arguments").alias("c"), F.lit(None).cast("struct<turn:bigint,content:string>").alias("r"))
     named = named.unionByName(results.select(*key, F.lit(None).cast(named.schema["c"].dataType).alias("c"), F.struct("turn", "content").alias("r")))
     ends = Table(named.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*key).agg(F.min("c").alias("c"), F.min("r").alias("r")))
@@ -108,40 +135,73 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) ->
     errors = F.when(F.col("is_call"), errors.otherwise(F.array(F.lit("name: unknown tool"))))
     checked = parsed.withColumn("errors", errors)
     texts = F.concat(F.lit("["), F.array_join(F.transform("errors", quoted), ","), F.lit("]"))
-    call = F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json("v"), F.lit("null")), F.lit(',"errors":'), texts, F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), quoted(F.col("content")), F.lit("}"))
+    call = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("v")), F.lit("null")), F.lit(',"errors":'), texts, F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), quoted(F.col("content")), F.lit("}"))
     answer = F.concat(F.lit('{"id":'), quoted(F.col("call_id")), F.lit(',"result":'), quoted(F.col("content")), F.lit("}"))
     return checked.select("conv_id", "turn", "call_id", "status", "level", F.coalesce(F.size("errors") == 0, F.lit(False)).alias("valid"), F.when(F.col("is_call"), call).otherwise(answer).alias("json"))
 
 
 def call_levels(calls: DataFrame, known: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of all first calls (``known``), -1 in or behind a cycle.
+    """``conv_id, call_id, level`` of all first calls (``known``): 0 without needs, else one more than the deepest need.
 
-    A call's level is the largest of those of the calls it needs, and one more for a call that stands after it. So in
-    the order of level, turn and place every call comes after those it needs; in a conversation whose calls need only
-    earlier ones, all levels are 0 and there is nothing to compute. The others take rounds, one for each step that a
-    raised level has to travel. A level above the number of such backward needs of its conversation shows a cycle.
+    -1 marks calls in a cycle or behind one. A conversation of up to ``IN_ROW`` calls is ordered in a row of its own,
+    without further shuffles; the calls of a longer one are rows, see ``long_levels``.
+    """
+    key = ["conv_id", "call_id"]
+    first = calls.select("conv_id", "turn", "place", "call_id", F.explode_outer("after").alias("need")).join(known, [*key, "turn", "place"], "left_semi")
+    own = Table(first.groupBy("conv_id", "turn", "place", "call_id").agg(F.collect_set("need").alias("needs"))).df
+    big = written(own.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > IN_ROW))
+    one = own.join(big, "conv_id", "left_anti").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "place", "call_id", "needs"))).alias("c"))
+    named = one.select("conv_id", "c", once(F.transform("c", lambda x: x["call_id"])).alias("ids"))
+    deps = F.transform("c", lambda x: F.filter(F.transform(x["needs"], lambda y: F.array_position("ids", y).cast("int") - 1), lambda p: p >= 0))
+    placed = named.select("conv_id", "ids", once(deps).alias("deps"), F.size("ids").alias("n"))
+    # In the order of turns one pass settles all calls but those behind a need that stands later; each of these adds a pass.
+    later = F.aggregate(F.transform("deps", lambda d, i: F.size(F.filter(d, lambda p: p >= i))), F.lit(0), lambda a, x: a + x)
+
+    def settled(levels: Column, i: Column) -> Column:
+        needs = F.transform(F.get("deps", i), lambda p: F.get(levels, p))
+        return F.when(F.exists(needs, lambda x: x < 0), -1).otherwise(F.coalesce(F.array_max(needs), F.lit(-1)) + 1)
+
+    update = lambda levels, i: F.concat(F.slice(levels, 1, i), F.array(settled(levels, i)), F.slice(levels, i + 2, F.col("n")))
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    levels = F.aggregate(F.sequence(F.lit(0), later), F.array_repeat(F.lit(-1), F.col("n")), lambda a, _: F.aggregate(every, a, update))
+    short = placed.select("conv_id", "ids", once(levels).alias("levels")).select("conv_id", F.explode(F.arrays_zip("ids", "levels")).alias("x"))
+    short = short.select("conv_id", F.col("x.ids").alias("call_id"), F.col("x.levels").cast("long").alias("level"))
+    if big.isEmpty():
+        return short
+    return short.unionByName(long_levels(own.join(big, "conv_id").select("conv_id", "call_id", "needs", "n")))
+
+
+CYCLE = 1 << 40
+
+
+def long_levels(own: DataFrame) -> DataFrame:
+    """``conv_id, call_id, level`` from ``conv_id, call_id, needs, n`` (calls of the conversation), a row for each call.
+
+    A call has a level so far and weighed needs of calls not settled yet. In each round, needs of settled calls raise the
+    level, and a need of a call that itself has a single need is replaced by that, so chains halve: a chain of k calls
+    takes log k rounds. A way longer than the conversation, or a round in which nothing moves, shows a cycle.
     """
     key = ["conv_id", "call_id"]
-    at = F.struct("turn", "place")
-    own = calls.join(known, [*key, "turn", "place"], "left_semi").select(*key, at.alias("at"), F.explode("after").alias("needs"))
-    there = known.select("conv_id", F.col("call_id").alias("needs"), at.alias("needs_at"))
-    edges = own.join(there, ["conv_id", "needs"]).select(*key, "needs", (F.col("needs_at") >= F.col("at")).cast("long").alias("later")).distinct()
-    odd = written(edges.where("later = 1").groupBy("conv_id").agg(F.count("*").alias("most")))
-    if odd.isEmpty():
-        return known.select(*key, F.lit(0).cast("long").alias("level"))
-    edges = written(edges.join(odd, "conv_id", "left_semi"))
-    now = Table(known.join(odd, "conv_id").select(*key, "most", F.lit(0).cast("long").alias("level")))
-    while True:
-        before = now.df.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("needs_level"))
-        raised = edges.join(before, ["conv_id", "needs"]).groupBy(*key).agg(F.max(F.col("needs_level") + F.col("later")).alias("least"))
-        after = Table(now.df.join(raised, key, "left").select(*key, "most", F.least(F.greatest("level", F.coalesce("least", F.lit(0))), F.col("most") + 1).alias("level"), (F.col("least") > F.col("level")).alias("up")))
-        settled = after.df.where("up AND level <= most").isEmpty() and after.df.where("level > most").count() == now.df.where("level > most").count()
-        now.drop()
-        now = after
-        if settled:
-            break
-    fixed = now.df.select(*key, F.when(F.col("level") > F.col("most"), -1).otherwise(F.col("level")).alias("level"))
-    return written(fixed.unionByName(known.join(odd, "conv_id", "left_anti").select(*key, F.lit(0).cast("long").alias("level"))))
+    there = own.select("conv_id", F.col("call_id").alias("need"))
+    nodes = Table(own.select(*key, "n", F.lit(0).cast("long").alias("level")))
+    edges = Table(own.select(*key, F.explode("needs").alias("need")).join(there, ["conv_id", "need"]).select(*key, "need", F.lit(1).cast("long").alias("far")))
+    while not edges.df.isEmpty():
+        open_ = edges.df.groupBy(*key).agg(F.count("*").alias("open"), F.min("need").alias("next"), F.max("far").alias("step"))
+        state = Table(nodes.df.join(open_, key, "left").select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("base"), "n", F.coalesce("open", F.lit(0)).alias("open"), "next", "step"))
+        met = Table(edges.df.join(state.df, ["conv_id", "need"]).withColumn("cycle", (F.col("far") > F.col("n")) | (F.col("need") == F.col("call_id"))))
+        stuck = met.df.where("cycle OR open <= 1").isEmpty()
+        looked = met.df if stuck else met.df.where("cycle OR open <= 1")
+        raised = looked.select(*key, F.when(F.col("cycle") | F.lit(stuck), F.lit(CYCLE)).otherwise(F.col("base") + F.col("far")).alias("low"))
+        low = raised.groupBy(*key).agg(F.max("low").alias("low"))
+        after = Table(nodes.df.join(low, key, "left").select(*key, "n", F.least(F.greatest("level", F.coalesce("low", F.lit(0))), F.lit(CYCLE)).alias("level")))
+        # What is in a cycle needs nothing more: its level is known.
+        gone = after.df.where(F.col("level") >= CYCLE).select(*key)
+        moved = met.df.where(F.lit(not stuck) & ~F.col("cycle") & (F.col("open") > 0)).select(*key, F.when(F.col("open") == 1, F.col("next")).otherwise(F.col("need")).alias("need"), F.when(F.col("open") == 1, F.col("far") + F.col("step")).otherwise(F.col("far")).alias("far"))
+        rest = Table(moved.join(gone, key, "left_anti").groupBy(*key, "need").agg(F.max("far").alias("far")))
+        for t in (edges, state, met, nodes):
+            t.drop()
+        nodes, edges = after, rest
+    return nodes.df.select(*key, F.when(F.col("level") >= CYCLE, -1).otherwise(F.col("level")).alias("level"))
 
 
 #: The schema of the one tool of the registered query.
@@ -169,13 +229,17 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-    WITH u AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'user'),
+    WITH RECURSIVE u AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'user'),
     a AS (SELECT *, conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
-    f AS (SELECT u.*, length(u.text) >= 20 AS ok FROM u)
-    SELECT f.conv_id, f.turn, f.call_id, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CAST(0 AS BIGINT) AS level, f.ok AS valid,
+    f AS (SELECT u.*, length(u.text) >= 20 AS ok FROM u),
+    depth AS (
+        SELECT conv_id, turn, CAST(0 AS BIGINT) AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.conv_id = u.conv_id AND x.turn = u.turn - 2)
+        UNION ALL SELECT u.conv_id, u.turn, d.level + 1 FROM depth d JOIN u ON u.conv_id = d.conv_id AND u.turn = d.turn + 2
+    )
+    SELECT f.conv_id, f.turn, f.call_id, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, d.level, f.ok AS valid,
         '{"arguments":{"text":' || to_json(f.text) || ',"turn":' || f.turn || '},"errors":[' || CASE WHEN f.ok THEN '' ELSE '"text: minLength"' END
         || '],"id":' || to_json(f.call_id) || ',"name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS json
-    FROM f LEFT JOIN a ON a.conv_id = f.conv_id AND a.call_id = f.call_id
+    FROM f JOIN depth d ON d.conv_id = f.conv_id AND d.turn = f.turn LEFT JOIN a ON a.conv_id = f.conv_id AND a.call_id = f.call_id
     UNION ALL
     SELECT a.conv_id, a.turn, a.call_id, 'orphan', -1, false, '{"id":' || to_json(a.call_id) || ',"result":' || to_json(a.text) || '}'
     FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)

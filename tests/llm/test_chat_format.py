@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from oracle import assert_same
@@ -52,7 +53,57 @@ def test_topological_order(spark):
     calls = [call(1, 0, "c", after=["a", "b"]), call(1, 1, "a"), call(1, 2, "b", after=["a"]), call(1, 3, "d", after=["c", "gone"]), call(2, 0, "x", after=["y"]), call(2, 1, "y", after=["x"]), call(2, 2, "z", after=["y"]), call(2, 3, "w"), call(3, 0, "s", after=["s"]), call(4, 5, "k", after=["j"]), call(4, 4, "j", after=[])]
     rows = linked(spark, calls, [])
     level = {r.call_id: r.level for r in rows}
-    assert level == {"a": 0, "b": 0, "c": 1, "d": 1, "x": -1, "y": -1, "z": -1, "w": 0, "s": -1, "j": 0, "k": 0}
+    assert level == {"a": 0, "b": 1, "c": 2, "d": 3, "x": -1, "y": -1, "z": -1, "w": 0, "s": -1, "j": 0, "k": 1}
+
+
+@pytest.mark.parametrize("in_row", [256, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_against_brute_force(spark, monkeypatch, in_row, seed):
+    monkeypatch.setattr(C, "IN_ROW", in_row)
+    rng = random.Random(seed)
+    calls = [call(1, 40 - i, f"r{i}", after=[f"r{i - 1}"] if i else []) for i in range(40)]  # a chain, back to front
+    calls += [call(2, i, f"c{i}", after=[f"c{(i + 1) % 7}"]) for i in range(7)] + [call(2, 9, "behind", after=["c3", "free"]), call(2, 10, "free")]
+    for conv in range(3, 25):
+        n = rng.randrange(1, 10)
+        calls += [call(conv, i, f"{i}", after=[str(rng.randrange(n + 1)) for _ in range(rng.randrange(0, 3)) if rng.random() < 0.6]) for i in range(n)]
+    calls += calls[:5]  # repeated rows
+
+    def level(conv, name, needs, above=()):
+        if name in above:
+            return -1
+        found = [level(conv, x, needs, (*above, name)) for x in needs[conv, name] if (conv, x) in needs]
+        return -1 if -1 in found else max(found, default=-1) + 1
+
+    needs = {(c[0], c[3]): c[6] for c in calls}
+    got = {(r.conv_id, r.call_id): r.level for r in linked(spark, calls, []) if r.status != "repeated"}
+    assert got == {k: level(*k, needs) for k in needs}
+
+
+def test_no_python_in_the_plan(spark, tiny):
+    plan = C.op3(spark, tiny)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_very_long_text_and_more_columns(spark):
+    text = "x\n" * 500_000
+    calls = spark.createDataFrame([(*call(1, 0, "a"), "s", 1)], C.CALLS + ", status string, level int")
+    results = spark.createDataFrame([(1, 1, "a", text, "j")], C.RESULTS + ", json string")
+    (row,) = C.link_calls(calls, results, TOOLS).collect()
+    assert row.status == "linked" and json.loads(row.json)["result"] == text
+
+
+@pytest.mark.parametrize("texts", [("100", "1e2", "100.0", "1.0E2"), ("1.5", "15e-1", "1.50"), ("12345678.5", "1.23456785e7"), ("0.0000001", "1e-7"), ("99999999999999999999", "99999999999999999999.0"), ("0", "-0.0", "0e5"), ("1e300", "10e299")])
+def test_one_form_for_each_number(spark, texts):
+    rows = linked(spark, [call(1, i, str(i), '{"a":1,"n":%s,"l":["1e2",{"x":[%s]}]}' % (x, x)) for i, x in enumerate(texts)], [])
+    assert len({r.json.split(',"id"')[0] for r in rows}) == 1 and '"1e2"' in rows[0].json and all(r.valid for r in rows)
+
+
+def test_enum_and_integers_by_value(spark):
+    tools = {"add": {"properties": {"e": {"enum": [True, 1, "1", None, {"k": [1.5]}]}, "i": {"type": "integer"}}}}
+    good = ['{"e":true}', '{"e":1.0}', '{"e":"1"}', '{"e":{ "k":[15e-1]}}', '{"i":99999999999999999999}', '{"i":1e2}', '{"i":1.0}']
+    bad = ['{"e":"true"}', '{"e":"True"}', '{"e":false}', '{"e":2}', '{"e":{"k":[1]}}', '{"i":1.5}', '{"i":"1"}', '{"i":true}']
+    rows = linked(spark, [call(1, i, str(i), x) for i, x in enumerate(good + bad)], [], tools)
+    assert [r.valid for r in sorted(rows, key=lambda r: r.turn)] == [True] * len(good) + [False] * len(bad)
 
 
 def test_transcripts_and_unknown_tool(spark):

@@ -9,6 +9,27 @@ from corpusmill.llm import fingerprint as P
 SCHEMA = "doc_id long, text string, n_chars string, kind string"
 
 
+def brute(text):
+    """The fingerprint by loops over plain numbers."""
+    import math
+    import re
+    from collections import Counter
+
+    data = " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))).encode()
+    if not data:
+        return 0
+    data = data.ljust(6)
+    votes = [0] * 64
+    for term, n in Counter(data[i : i + 6] for i in range(len(data) - 5)).items():
+        h = int.from_bytes(term, "little")
+        for factor, shift in ((0x9E3779B97F4A7C15, 32), (0xC2B2AE3D27D4EB4F, 29), (0x9E3779B97F4A7C15, 32)):
+            h = h * factor % 2**64
+            h ^= h >> shift
+        for b in range(64):
+            votes[b] += (16 + math.floor(16 * math.log2(n))) * (1 if h >> b & 1 else -1)
+    return sum(1 << b for b in range(64) if votes[b] > 0)
+
+
 def rows_of(spark, texts, parts=3):
     df = spark.createDataFrame([(k, t, "x", "y") for k, t in texts], SCHEMA).repartition(parts)
     return P.edited_fingerprints(df).collect()
@@ -29,7 +50,7 @@ def test_contract(spark, parts):
         e = t[: len(t) - q] + after[1][:q]
         r = got[k]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        assert r.fingerprint == f"{P.simhash(t.encode(), P.WordHashes()):016x}" and r.edited_fingerprint == f"{P.simhash(e.encode(), P.WordHashes()):016x}"
+        assert r.fingerprint == f"{brute(t):016x}" and r.edited_fingerprint == f"{brute(e):016x}"
         assert r.near_next == P.likeness(int(r.fingerprint, 16), int(got[after[0]].fingerprint, 16))
         assert r.near_edited == P.likeness(int(r.fingerprint, 16), int(r.edited_fingerprint, 16))
 
@@ -47,11 +68,31 @@ def test_edits_stay_near(spark):
     assert np.mean([r.near_edited for r in rows]) > 0.7 and np.mean([r.near_next for r in rows]) < 0.6
 
 
-def test_cache_may_forget():
-    small = P.WordHashes()
-    small.limit = 2
-    text = b"a b c d e a b c " * 40
-    assert P.simhash(text, small) == P.simhash(text, P.WordHashes()) and P.simhash(b" \n", small) == 0
+def test_length_alone_changes_little():
+    rng = random.Random(2)
+    for n in (60, 119, 120, 121, 500):
+        apart = []
+        for _ in range(60):
+            text = "".join(rng.choice("abcdefghij ") for _ in range(n)).encode()
+            apart.append(P.likeness(P.simhash(text), P.simhash(text + b"x")))
+        assert np.mean(apart) > 0.87
+
+
+def test_query_counts_neighbours(spark):
+    rows = P.op9(spark, "/root/testdata/sf0.001").collect()
+    fps = [int(r.fingerprint, 16) for r in rows]
+    for i, r in enumerate(rows):
+        near = [(fps[i] ^ f).bit_count() for k, f in enumerate(fps) if k != i and (fps[i] ^ f).bit_count() <= 3]
+        assert (r.near_texts, r.nearest) == ((len(near), min(near, default=None)) if r.doc_id % 50 == 0 else (None, None))
+
+
+def test_neighbours(spark):
+    fps = [0, 0, 0, 7, 15, 1 << 40, -1]
+    df = spark.createDataFrame([(x,) for x in [*fps, None]], "fp long")
+    got = {r.fp: (r.near_texts, r.nearest) for r in P.neighbours(df.where("fp IN (0, 15, -1)"), df).collect()}
+    assert got == {0: (4, 0), 15: (1, 1), -1: (0, None)}
+    assert [P.blocks_for(n, 3) for n in (1, 1 << 16, 1 << 18, 1 << 30, 1 << 40)] == [4, 4, 5, 6, 8]
+    assert P.neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("radius", [1, 3])
