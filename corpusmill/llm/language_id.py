@@ -1,8 +1,9 @@
 """Language identification by Bayesian fusion of what a text, its markup, its address and its host suggest.
 
-A naive Bayes model over hashed byte trigrams gives the likelihood of a text under each language, and under a background
-of independent bytes that stands for text in no known language. The declared language and the country suffix of the
-address multiply it by how often such hints are right. The prior comes from the host: how many of its texts are in each
+A naive Bayes model over hashed byte trigrams gives the likelihood of a text under each language. Text in no known
+language shows in trigrams that the likeliest language doesn't have: of a text in it a fixed share is known, of another a
+smaller one, and the ratio of these odds is the evidence for "no known language". The declared language and the country
+suffix of the address multiply it by how often such hints are right. The prior comes from the host: how many of its texts are in each
 language, smoothed towards the registered domain, that towards the suffix and that towards the whole table, all by
 grouped aggregation of counts.
 """
@@ -23,10 +24,10 @@ from corpusmill.llm.url_filter import domain_of, host_of, suffix_of
 
 CELLS = 1 << 16
 TRAIN_ROWS = 4000  # labelled texts, on average, that the model is fitted on, whatever the table's size
-WEIGHT = 200  # a text counts as at most so many independent trigrams
+LABELS = 256  # languages at most, the most frequent ones: with more labels than that, most are no languages
+OVERLAP = 3  # trigrams that share each byte, so a text counts as a third as many independent ones
+KNOWN, STRANGE = 0.8, 0.35  # share of a text's trigrams that its own language has, and that another's best match has
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
-FLOOR = 1.5
-MARGIN = 1.0  # nats a trigram by which the background must be better than every language: names and numbers alone don't do
 SMOOTHING = 5.0  # texts of its parent that a host's prior holds beside its own
 UNKNOWN = "und"
 #: Country suffixes and their main language.
@@ -59,68 +60,67 @@ _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 
 @dataclass
 class Model:
-    """Log-likelihoods of trigram hashes by language, and of bytes for the background."""
+    """Log-likelihoods of trigram hashes by language, and which of them each language has."""
 
     languages: list[str]
     cells: np.ndarray  # languages x CELLS
-    bytes_: np.ndarray  # 256
+    seen: np.ndarray  # languages x CELLS
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's mean log-likelihood of a trigram under each language and the background; its trigrams."""
+        """Each text's mean log-likelihood of a trigram under each language and under none; its trigrams."""
         if not texts:
             return np.zeros((0, len(self.languages) + 1)), np.zeros(0, np.int64)
-        data, codes, sizes = trigrams(texts)
+        _, codes, sizes = trigrams(texts)
         starts, use = np.cumsum(sizes) - sizes, codes >= 0
         n = np.add.reduceat(use.astype(np.int64), starts)
+        if not self.languages:
+            return np.zeros((len(texts), 1)), n
         at = np.where(use, codes, 0)
-        single = self.bytes_[data]
-        three = single.copy()
-        three[:-2] += single[1:-1] + single[2:]
-        # A strange trigram (of a name, say) costs a language no more than FLOOR against the background.
-        sums = [np.add.reduceat(np.where(use, np.maximum(row[at], three - FLOOR), 0.0), starts) for row in self.cells]
-        sums.append(np.add.reduceat(np.where(use, three - MARGIN, 0.0), starts))
-        return np.stack(sums, axis=1) / np.maximum(n, 1)[:, None], n
+        sums = np.stack([np.add.reduceat(np.where(use, row[at], 0.0), starts) for row in self.cells], axis=1)
+        best = sums.argmax(axis=1)
+        known = np.add.reduceat(use & self.seen[np.repeat(best, sizes), at], starts, dtype=np.int64)
+        none = sums[np.arange(len(texts)), best] + known * math.log(STRANGE / KNOWN) + (n - known) * math.log((1 - STRANGE) / (1 - KNOWN))
+        return np.column_stack((sums, none)) / np.maximum(n, 1)[:, None], n
 
 
 def _count(languages: list[str]):
-    """For each partition and language the counts of trigram hashes and of bytes, as one row of bytes."""
+    """For each partition and language the counts of trigram hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, single = np.zeros((len(languages), CELLS), np.int64), np.zeros((len(languages), 256), np.int64)
+        cells = np.zeros((len(languages), CELLS), np.int64)
         place = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                data, codes, _ = trigrams([text])
+                codes = trigrams([text])[1]
                 cells[place[lang]] += np.bincount(codes[codes >= 0], minlength=CELLS)
-                single[place[lang]] += np.bincount(data, minlength=256)
         for i in range(len(languages)):
-            counts = np.concatenate((cells[i], single[i]))
-            at = np.flatnonzero(counts)
+            at = np.flatnonzero(cells[i])
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(cells[i][at])], names=["lang", "cell", "n"])
 
     return run
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """A model from a sample of about ``rows`` labelled texts, drawn by the hash of the key; smaller tables whole.
+    """A model from a sample of about ``rows`` labelled texts, drawn by the hash of key and text; smaller tables whole.
 
-    What comes to the driver is a row for each language and each trigram hash seen, at most 65,792 a language. Rows
-    without text or label don't count.
+    Repeated rows are drawn together and count once, so the sample is no larger for them. What comes to the driver is a
+    row for each label, ``LABELS`` at most (the most frequent ones, then by name), and for each trigram hash seen, at
+    most 65,536 a language. Rows without text or label don't count; without any there are no languages.
     """
-    usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    n = usable.count()
+    usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(key, text).alias("draw"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    languages = sorted(r[0] for r in counts.orderBy(F.desc("n"), "lang").limit(LABELS).collect())
     span = 1 << 20
-    drawn = usable.where(F.pmod(F.xxhash64(key), F.lit(span)) < span * rows / max(n, rows)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    languages = sorted(r[0] for r in usable.select(lang).distinct().collect())
-    counted = map_arrow(parallel(drawn), _count(languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(languages), CELLS + 256))
-    counts[counted["lang"], counted["cell"]] = counted["n"]
-    cells, single = counts[:, :CELLS], counts[:, CELLS:].sum(axis=0)
+    drawn = usable.where((F.pmod("draw", F.lit(span)) < span * rows / max(n, rows)) & F.col("lang").isin(languages))
+    once = drawn.groupBy("draw", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+    counted = map_arrow(parallel(once), _count(languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros((len(languages), CELLS))
+    cells[counted["lang"], counted["cell"]] = counted["n"]
     # A trigram unseen in a language gets part of what it has in all of them together.
     every = (cells.sum(axis=0) + 0.01) / (cells.sum() + 0.01 * CELLS)
-    smooth = (cells + 300 * every) / (cells.sum(axis=1, keepdims=True) + 300)
-    return Model(languages, np.log(smooth), np.log((single + 1) / (single.sum() + 256)))
+    return Model(languages, np.log((cells + 300 * every) / (cells.sum(axis=1, keepdims=True) + 300)), cells > 0)
 
 
 def _score(model: Model):
@@ -143,8 +143,8 @@ def _score(model: Model):
 def _hint(value: Column, languages: list[str], right: float) -> Column:
     """Log-likelihoods of a hint under each language and the background; nothing where the hint names none of them."""
     other = math.log((1 - right) / max(1, len(languages) - 1))
-    rows = F.array(*[F.when(value == x, math.log(right)).otherwise(other) for x in languages], F.lit(-math.log(len(languages))))
-    return F.when(value.isin(*languages), rows).otherwise(F.array(*[F.lit(0.0)] * (len(languages) + 1)))
+    rows = F.array(*[F.when(value == x, math.log(right)).otherwise(other) for x in languages], F.lit(-math.log(max(1, len(languages)))))
+    return F.when(value.isin(languages), rows).otherwise(F.array(*[F.lit(0.0)] * (len(languages) + 1)))
 
 
 def _priors(counted: DataFrame, languages: list[str]) -> DataFrame:
@@ -165,10 +165,10 @@ def _priors(counted: DataFrame, languages: list[str]) -> DataFrame:
 def identify(texts: DataFrame, model: Model, text: Column, declared: Column, host: Column, key: str) -> DataFrame:
     """``key, host, declared, lang, posterior, trigrams`` for every row.
 
-    ``lang`` is the most probable language, or ``und`` if the background of no language is; equal ones go to the first
-    in order. A text without letters has no trigrams and rests on its hints and its host. Nulls in the text, the
-    declaration or the host count as empty. A declaration counts by its first two letters. Repeated rows come back
-    repeatedly; an empty table gives no rows. Other columns are not read.
+    ``lang`` is the most probable language, or ``und`` if none is; equal ones go to the first in order, ``und`` last. A
+    text without letters has no trigrams and rests on its hints and its host. Nulls in the text, the declaration or the
+    host count as empty. A declaration counts by its first two letters. Texts of any length are scored whole. Repeated
+    rows come back repeatedly; an empty table gives no rows. Other columns are not read.
     """
     languages = model.languages
     every = [*languages, UNKNOWN]
@@ -178,7 +178,7 @@ def identify(texts: DataFrame, model: Model, text: Column, declared: Column, hos
     scored = map_arrow(slim, _score(model), f"key {kind}, declared string, host string, means array<double>, trigrams long")
     country = F.element_at(F.create_map(*[F.lit(x) for pair in COUNTRY_LANGUAGE.items() for x in pair]), F.substring_index("host", ".", -1))
     hints = F.arrays_zip(_hint(F.col("declared"), languages, DECLARED_RIGHT).alias("a"), _hint(country, languages, SUFFIX_RIGHT).alias("b"), F.col("means").alias("m"))
-    weight = F.least(F.col("trigrams"), F.lit(WEIGHT))
+    weight = F.col("trigrams") / OVERLAP
     fused = written(scored.select("key", "declared", "host", "trigrams", F.transform(hints, lambda x: x["a"] + x["b"] + x["m"] * weight).alias("evidence")))
     guess = F.array_position("evidence", F.array_max("evidence")) - 1
     # Counted before the join: a host with a third of all rows is a few rows a task.
@@ -196,13 +196,14 @@ CONFIDENT = 0.5
 def keep_known(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
     """The rows of ``docs`` whose language is known with a posterior of at least one half.
 
-    Rejected are texts without any letter (null and empty ones too) and texts that independent bytes explain better than
-    any language does. Rows with a null key are kept: they can't be looked up. If rows share a key, all go if one does.
+    Rejected are texts without any letter (null and empty ones too) and texts with too many trigrams that their likeliest
+    language doesn't have. Rows with a null key are kept: they can't be looked up. If rows share a key, all go if one
+    does. Columns of any other names pass through.
     """
-    named = docs.where(F.col(key).isNotNull())
+    named = docs.where(F.col(key).isNotNull()).select(*{c: F.col(c) for c in (key, text, declared, host)}.values())
     judged = identify(named, model, F.col(text), F.col(declared), F.col(host), key)
-    bad = judged.where((F.col("lang") == UNKNOWN) | (F.col("posterior") < CONFIDENT) | (F.col("trigrams") == 0)).select(F.col(key).alias("_no_language")).distinct()
-    return docs.join(written(bad), F.col(key) == F.col("_no_language"), "left_anti")
+    bad = judged.where((F.col("lang") == UNKNOWN) | (F.col("posterior") < CONFIDENT) | (F.col("trigrams") == 0)).select(key).distinct()
+    return docs.join(written(bad).hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def visible_text(html: Column) -> Column:

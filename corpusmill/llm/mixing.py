@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Table, parallel, written
+from corpusmill.llm.common import Table, parallel, unused, written
 
 BLOCK = 1024
 NEAR = 1e-9
@@ -118,8 +118,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """``doc_id, source, size, source_size, target, copies, taken`` for every row: how often the mix takes it.
 
     Null texts have size 0 and take no words. A null source is a source of its own. Repeated rows are documents of their
-    own. The draws depend on the seed and on keys and sizes only, so reruns agree, however the rows are dealt. An empty
-    table gives no rows. Other columns are not read.
+    own. The draws depend on the seed and on keys and sizes only, so reruns agree, however the rows are dealt. Texts of
+    any length are counted whole. An empty table gives no rows. Other columns are not read.
     """
     slim = parallel(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")))
     sized = written(slim.select("doc_id", "source", words(F.col("text")).alias("size")))
@@ -151,10 +151,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     Where a key occurs repeatedly, the copies of all its rows are shared evenly, rounded up.
     """
-    plan = mix(docs.where(F.col(key).isNotNull()), key, text, source, most, seed).groupBy("doc_id").agg(F.ceil(F.avg("copies")).cast("int").alias("_mix_copies")).withColumnRenamed("doc_id", "_mix_id")
+    id_, copies = unused(docs, "mix_id", "mix_copies")
+    plan = mix(docs.where(F.col(key).isNotNull()), key, text, source, most, seed).groupBy("doc_id").agg(F.ceil(F.avg("copies")).cast("int").alias(copies)).withColumnRenamed("doc_id", id_)
     # The plan has a row for each document, so it is never broadcast, however small the table.
-    placed = docs.join(written(plan).hint("merge"), F.col(key) == F.col("_mix_id"), "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(1)))
-    return placed.where("_mix_copies > 0").withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*[docs[c] for c in docs.columns])
+    placed = docs.join(written(plan).hint("merge"), F.col(key) == F.col(id_), "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    return placed.where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import map_arrow, parallel, written
 
 LENGTH, END_ID = 2048, 1
-RANK_BUCKETS = 256
+RANKED = 20_000  # pieces that a task of the ranking should have
 
 
 SEPARATOR = "\x01"  # fixed value: a control character that is a token of its own between blanks
@@ -173,12 +173,13 @@ def spread(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
     return rows
 
 
-def ranked(df: DataFrame) -> DataFrame:
-    """``df`` of pieces with ``rank``, from 0 among equal lengths, by hash bucket, document and start.
+def ranked(df: DataFrame, total: int) -> DataFrame:
+    """``df`` of ``total`` pieces with ``rank``, from 0 among equal lengths, by hash bucket, document and start.
 
-    A length that a third of all pieces share is counted in ``RANK_BUCKETS`` parts, whose sizes are then summed up.
+    All lengths are counted in as many parts as all pieces need, whose sizes are then summed up: so a length that a third
+    of the pieces share has many.
     """
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_BUCKETS)).cast("int"))
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(1, total // RANKED))).cast("int"))
     sums = dealt.groupBy("length", "bucket").count()
     bases = written(sums.selectExpr("length", "bucket", "sum(count) OVER (PARTITION BY length ORDER BY bucket) - count AS base"))
     numbered = dealt.selectExpr("*", "row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, start, ids_crc32) - 1 AS nth")
@@ -196,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = spark.createDataFrame(spread(patterns(histogram, length)), "length long, low long, high long, first long, copies long, at long")
     # The plan is as small as the histogram: its size depends on the sequence length, not on the documents.
-    placed = ranked(cut).join(F.broadcast(plan), "length").where("rank >= low AND rank < high")
+    placed = ranked(cut, sum(histogram.values())).join(F.broadcast(plan), "length").where("rank >= low AND rank < high")
     return placed.selectExpr("doc_id", "start", "length", "ids_crc32", "doc_tokens", "first + (rank - low) div copies AS sequence_id", "at + (rank - low) % copies * length AS offset")
 
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Table, parallel, written
+from corpusmill.llm.common import Table, parallel, unused, written
 
 BITS = 60
 MARGIN = 6  # bits beyond those that an even spread needs, and that each further round adds
@@ -28,8 +28,11 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str =
 
     Bytes are those of the UTF-8 text, none for null. A null key hashes as an empty one. Rows of one key always share a
     shard: a bucket whose rows all have one hash can't split further and, if it is too large (one huge document, or a
-    key with too many rows), is marked as not fitting. An empty table gives no rows. Other columns are not read.
+    key with too many rows), is marked as not fitting. The limit is one byte at least. An empty table gives no rows. Other
+    columns are not read.
     """
+    if limit < 1:
+        raise ValueError("a shard holds one byte at least")
     slim = parallel(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     sized = written(slim.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col("key")).alias("h")))
     total = sized.agg(F.sum("bytes")).first()[0] or 0
@@ -59,10 +62,20 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str =
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """``docs`` as one folder ``shard=b...`` of Parquet for each shard; a shard is written by one task, as it fits."""
-    shards = written(assign_shards(docs, limit, key, text).select(F.col(key).alias("_shard_key"), "shard").distinct())
-    placed = docs.join(shards, F.col(key).eqNullSafe(F.col("_shard_key"))).drop("_shard_key")
-    placed.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    """``docs`` as one folder ``shard=b...`` of Parquet for each shard.
+
+    A shard that fits is written by one task, as one file. One that doesn't (one key) is dealt to as many tasks as it
+    holds limits, by all columns and a random number. Null keys and null or empty texts are written like any others;
+    other columns, of any name but ``shard``, pass through, and a column of that name is replaced. An empty table writes
+    an empty folder.
+    """
+    key_, parts, salt = unused(docs, "shard_key", "shard_parts", "shard_salt")
+    slices = F.ceil(F.col("shard_bytes") / limit).cast("int")
+    shards = written(assign_shards(docs.select(key, text), limit, key, text).select(F.col(key).alias(key_), "shard", F.greatest(slices, F.lit(1)).alias(parts)).distinct())
+    placed = docs.drop("shard").join(shards.hint("merge"), F.col(key).eqNullSafe(F.col(key_))).withColumn(salt, F.floor(F.rand() * F.col(parts)))
+    # The salt only spreads files: a task that is run again writes its rows anew, whatever their salts were.
+    dealt = written(placed.drop(key_, parts))
+    dealt.repartition("shard", salt).drop(salt).sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
 
 
 LIMIT = 1 << 20

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import written
 
-#: Suffixes of two labels, under which domains are registered.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+#: A country's suffix of two labels, under which domains are registered: a kind of registrant, then the country.
+TWO_LABEL_SUFFIX = r"^(ac|co|com|ed|edu|gob|go|gov|gouv|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$"
 #: The rules of the registered query.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 Z, THRESHOLD = 1.645, 0.5
@@ -32,13 +32,13 @@ def path_of(url: Column) -> Column:
 
 def suffix_of(host: Column) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(F.rlike(two, F.lit(TWO_LABEL_SUFFIX)), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
     """The registered domain: one label more than the suffix."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(F.rlike(two, F.lit(TWO_LABEL_SUFFIX)), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
@@ -59,12 +59,21 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return posterior.selectExpr("host", "n AS n_labelled", f"a / (a + b) - {Z}D * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound")
 
 
-def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """``host, rules``: for each host its own and its parents' rules (``rule, verdict``), the longest first."""
+def fitting_rules(parsed: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host, path, rule, verdict``: the longest rule of each host and path that any rule fits.
+
+    A path is cut at the lengths that the rules of the host's parents have, and its beginnings meet the rules by
+    equality, so a page never meets rules that don't fit, however many a parent has.
+    """
     split = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("parent"), F.regexp_extract("rule", r"(?s)^[^/]*(.*)", 1).alias("start"))
+    # A parent has no more lengths than a path has characters.
+    lengths = split.groupBy("parent").agg(F.array_sort(F.collect_set(F.length("start"))).alias("cuts"))
     parents = hosts.select("host", F.explode(F.expr(r"transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")).alias("parent")).distinct()
-    found = parents.join(split, "parent").groupBy("host").agg(F.collect_list(F.struct((-F.length("rule")).alias("order"), "rule", "start", "verdict")).alias("rules"))
-    return found.select("host", F.array_sort("rules").alias("rules"))
+    tries = parents.join(lengths, "parent").select("host", "parent", F.explode("cuts").alias("cut"))
+    met = parsed.select("host", "path").distinct().join(tries, "host").where(F.length("path") >= F.col("cut"))
+    found = met.select("host", "path", "parent", F.expr("substring(path, 1, cut)").alias("start")).join(split, ["parent", "start"])
+    best = found.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("order"), "rule", "verdict")).alias("r"))
+    return best.select("host", "path", F.struct("r.rule", "r.verdict").alias("r"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -73,15 +82,15 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: DataFrame, key: str
     The longest rule that fits decides (of equal rules, the first by verdict); else the host's reputation. ``labels`` has
     ``key`` and ``bad`` (0 or 1, null: no label); several labels of a key count as bad if one is. A null or relative url
     has an empty host and path, and all of these share one reputation. Repeated rows count repeatedly. Without labels
-    every host is allowed. An empty table gives no rows. Other columns are not read.
+    every host is allowed. Urls of any length are read whole. An empty table gives no rows. Other columns are not read.
     """
     parsed = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     outcomes = written(labels.where(F.col("bad").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("bad").alias("bad")))
     judged = parsed.select("key", "host").join(outcomes, "key", "left")
     hosts = written(judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k")))
-    known = written(reputations(hosts).join(host_rules(hosts, rules), "host", "left"))
-    fits = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(0))
-    named = parsed.join(known, "host").select("key", "host", "path", fits.alias("r"), "bound", "n_labelled")
+    known = written(reputations(hosts))
+    ruled = fitting_rules(parsed, hosts, rules)
+    named = parsed.join(known, "host").join(ruled, ["host", "path"], "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("bound") > THRESHOLD, "block").otherwise("allow"))
     return named.select(F.col("key").alias(key), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "n_labelled")
 
@@ -96,7 +105,7 @@ def _sql_label(n: int, host: str = "host") -> str:
     return f"array_to_string(string_split({host}, '.')[-{n}:], '.')"
 
 
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_TWO = f"regexp_matches({_sql_label(2)}, '{TWO_LABEL_SUFFIX}')"
 ORACLE = f"""
     WITH p AS (
         SELECT page_id,
@@ -104,8 +113,8 @@ ORACLE = f"""
             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
     ), l AS (SELECT doc_id AS page_id, max(CAST(toxic = 1 OR quality = 0 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
     h AS (
-        SELECT host, CASE WHEN {_sql_label(2)} IN ({_TWO}) THEN {_sql_label(3)} ELSE {_sql_label(2)} END AS domain,
-            CASE WHEN {_sql_label(2)} IN ({_TWO}) THEN {_sql_label(2)} ELSE {_sql_label(1)} END AS suffix,
+        SELECT host, CASE WHEN {_TWO} THEN {_sql_label(3)} ELSE {_sql_label(2)} END AS domain,
+            CASE WHEN {_TWO} THEN {_sql_label(2)} ELSE {_sql_label(1)} END AS suffix,
             count(bad) AS n, coalesce(CAST(sum(bad) AS BIGINT), 0) AS k
         FROM p LEFT JOIN l USING (page_id) GROUP BY ALL
     ), t AS (SELECT sum(n) AS n_all, sum(k) AS k_all, sum(n * n) AS nn, count(*) AS g, sum(k * k / n) AS kkn FROM h WHERE n > 0),

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +72,93 @@ def test_query(spark, tiny):
     rows = L.op6(spark, tiny).collect()
     assert len(rows) == spark.read.parquet(f"{tiny}/pages.parquet").count()
     assert sum(r.lang == r.declared for r in rows) >= 0.9 * len(rows)  # the declared language is right on these pages
+
+
+#: The first article of the declaration of human rights in languages that the model doesn't know.
+FOREIGN = (
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+)
+
+
+def test_other_languages_are_unknown(spark, docs, model):
+    got = ident(spark, model, [(i, t, None, f"h{i}") for i, t in enumerate(FOREIGN)])
+    assert [got[i].lang for i in range(len(FOREIGN))] == ["und"] * len(FOREIGN)
+    held = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("text"), F.lit(None).cast("string").alias("declared"), F.concat(F.lit("s"), "doc_id").alias("host"))
+    short = L.identify(held.where("length(text) >= 40"), model, F.col("text"), F.col("declared"), F.col("host"), "id")
+    assert short.where("lang = 'und'").count() <= 0.01 * short.count()
+
+
+def test_labels_and_draws_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "LABELS", 2)
+    rows = [(None, "aaa bbb ccc", "a")] * 500 + [(i, f"ddd eee f{i}", "b") for i in range(50)] + [(1000 + i, "x", f"odd{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(df).languages == ["a", "b"]
+    assert L.fit(df.limit(0)).languages == []
+    none = L.identify(df.limit(3), L.fit(df.limit(0)), F.col("text"), F.col("lang"), F.lit("h"), "doc_id").collect()
+    assert [r.lang for r in none] == ["und"] * 3
+
+
+def test_ties_and_any_columns(spark):
+    model = L.fit(spark.createDataFrame([(1, "abc abc", "xx"), (2, "abc abc", "yy")], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(1, "abc", "s", "p", "q", "r", "t", None)], "doc_id long, text string, source string, prior string, evidence string, host string, _no_language string, lang string")
+    got = L.identify(df, model, F.col("text"), F.col("lang"), F.col("source"), "doc_id").first()
+    assert got.lang == "xx"
+    assert L.keep_known(df, model).first().asDict() == df.first().asDict()
+
+
+def test_against_brute_force(spark):
+    """All of the method by loops: counts, likelihoods, hints, priors by levels, posterior."""
+    rng = random.Random(1)
+    sounds = {"de": "sch ung ein und ber", "en": "the ing and wh oo", "fr": "eau que les ou ai"}
+    say = lambda lang, n: " ".join("".join(rng.choice(sounds[lang].split()) for _ in range(rng.randrange(1, 3))) for _ in range(n))
+    train = [(i, say(lang, 30), lang) for i, lang in enumerate(["de", "en", "fr"] * 6)]
+    hosts = ["a.x.de", "b.x.de", "y.co.uk", "y.com", "z.com", ""]
+    rows = [(i, rng.choice([say(rng.choice("de en fr".split()), rng.randrange(1, 6)), "", None, "zq xw qk", "12"]), rng.choice([None, "de-AT", "FR", "zz"]), rng.choice(hosts)) for i in range(60)]
+    got = ident(spark, L.fit(spark.createDataFrame(train, "doc_id long, text string, lang string")), rows)
+
+    def grams(text):
+        data = [b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalpha() else b for b in b" " + (text or "").encode() + b"  "]
+        return [((a * 961 + b) * 961 + c) * 2654435761 % 2**32 >> 16 for a, b, c in zip(data, data[1:], data[2:], strict=False) if not (a == b == 32)]
+
+    langs, every = ["de", "en", "fr"], ["de", "en", "fr", "und"]
+    counts = {lang: Counter(g for _, t, x in train if x == lang for g in grams(t)) for lang in langs}
+    total = sum(sum(c.values()) for c in counts.values())
+
+    def p(lang, g):
+        base = (sum(c[g] for c in counts.values()) + 0.01) / (total + 0.01 * 65536)
+        return (counts[lang][g] + 300 * base) / (sum(counts[lang].values()) + 300)
+
+    def hint(value, right):
+        return [math.log(right if x == value else (1 - right) / 2) for x in langs] + [-math.log(3)] if value in langs else [0.0] * 4
+
+    def evidence(text, declared, host):
+        gs = grams(text)
+        sums = [sum(math.log(p(x, g)) for g in gs) for x in langs]
+        best = langs[sums.index(max(sums))]
+        none = max(sums) + sum(math.log(0.35 / 0.8) if counts[best][g] else math.log(0.65 / 0.2) for g in gs)
+        country = L.COUNTRY_LANGUAGE.get(host.split(".")[-1])
+        return [s / 3 + a + b for s, a, b in zip([*sums, none], hint((declared or "")[:2].lower(), 0.9), hint(country, 0.8), strict=True)]
+
+    suffix = lambda h: "co.uk" if h.endswith("co.uk") else h.split(".")[-1]
+    domain = lambda h: ".".join(h.split(".")[-(suffix(h).count(".") + 2) :])
+    facts = {i: evidence(t, d, h) for i, t, d, h in rows}
+    guess = {i: e.index(max(e)) for i, e in facts.items()}
+
+    def tally(same):
+        return [sum(guess[i] == k and same(h) for i, _, _, h in rows) for k in range(4)]
+
+    def toward(n, parent):
+        return [(x + 5 * q) / (sum(n) + 5) for x, q in zip(n, parent, strict=True)]
+
+    top = tally(lambda h: True)
+    top = [(x + 1) / (sum(top) + 4) for x in top]
+    for i, _, _, h in rows:
+        prior = toward(tally(lambda x: x == h), toward(tally(lambda x: domain(x) == domain(h)), toward(tally(lambda x: suffix(x) == suffix(h)), top)))
+        logs = [e + math.log(q) for e, q in zip(facts[i], prior, strict=True)]
+        assert got[i].lang == every[logs.index(max(logs))]
+        assert abs(got[i].posterior - 1 / sum(math.exp(x - max(logs)) for x in logs)) < 1e-9
