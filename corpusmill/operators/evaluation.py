@@ -11,26 +11,28 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from corpusmill.functions.text import normalise_sql
 
-STEPS = 2_000_000  # virtual machine steps a statement may take
+STEPS = 2_000_000  # virtual machine steps that a statement may take unless told otherwise
 #: The authorizer's codes for attaching and detaching databases.
 _DENIED = (24, 25)
 
 
-def run_sql(sql: str | None, schema: str | None, steps: int = STEPS) -> tuple[frozenset | None, str | None]:
+def run_sql(sql: str | None, schema: str | None, steps: int | None = STEPS) -> tuple[frozenset | None, str | None]:
     """The distinct rows of a query over freshly made tables, or what went wrong.
 
-    The SQL isn't trusted: it has no files, no other databases, and a bounded number of steps.
+    The SQL isn't trusted: it has no files, no other databases and only ``steps`` steps of the virtual machine; a query
+    that needs more fails. With None it runs as long as it takes.
     """
     db = sqlite3.connect(":memory:")
     try:
         db.set_authorizer(lambda code, *_: sqlite3.SQLITE_DENY if code in _DENIED else sqlite3.SQLITE_OK)
-        left = [steps // 1000]
+        if steps is not None:
+            left = [steps // 1000]
 
-        def tick() -> int:
-            left[0] -= 1
-            return int(left[0] < 0)
+            def tick() -> int:
+                left[0] -= 1
+                return int(left[0] < 0)
 
-        db.set_progress_handler(tick, 1000)
+            db.set_progress_handler(tick, 1000)
         db.executescript(schema or "")
         return frozenset(tuple(r) for r in db.execute(sql or "")), None
     except Exception as e:  # noqa: BLE001  any failure of foreign SQL is a result
@@ -42,33 +44,34 @@ def run_sql(sql: str | None, schema: str | None, steps: int = STEPS) -> tuple[fr
 _RESULT = StructType([StructField("ex", BooleanType()), StructField("pred_error", StringType()), StructField("gold_error", StringType()), StructField("empty_result", BooleanType())])
 
 
-@F.pandas_udf(_RESULT)
-def _execute(pred: pd.Series, gold: pd.Series, schema: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, g, s in zip(pred, gold, schema, strict=True):
-        if not s:
-            rows.append((False, None, None, False))
-            continue
-        (p_rows, p_error), (g_rows, g_error) = run_sql(p, s), run_sql(g, s)
-        match = p_error is None and g_error is None and p_rows == g_rows
-        rows.append((match, p_error, g_error, match and not p_rows))
-    return pd.DataFrame(rows, columns=["ex", "pred_error", "gold_error", "empty_result"])
+def _executor(steps: int | None):
+    @F.pandas_udf(_RESULT)
+    def execute(pred: pd.Series, gold: pd.Series, schema: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, g, s in zip(pred, gold, schema, strict=True):
+            if not s:
+                rows.append((False, None, None, False))
+                continue
+            (p_rows, p_error), (g_rows, g_error) = run_sql(p, s, steps), run_sql(g, s, steps)
+            match = p_error is None and g_error is None and p_rows == g_rows
+            rows.append((match, p_error, g_error, match and not p_rows))
+        return pd.DataFrame(rows, columns=["ex", "pred_error", "gold_error", "empty_result"])
 
-
-_execute = _execute.asNondeterministic()
+    return execute.asNondeterministic()
 
 
 def exact_match(pred: Column, gold: Column) -> Column:
     return F.coalesce(normalise_sql(pred) == normalise_sql(gold), F.lit(False))
 
 
-def score(examples: DataFrame, pred: str = "pred", gold: str = "gold", schema: str = "schema_sql") -> DataFrame:
+def score(examples: DataFrame, pred: str = "pred", gold: str = "gold", schema: str = "schema_sql", steps: int | None = STEPS) -> DataFrame:
     """Adds ``em``, ``ex``, ``exec_error`` and ``empty_result``.
 
     Without a schema nothing is executed. Order and repeats of rows don't count. An error is one of the prediction, not
-    of the gold query. ``empty_result`` marks matches of two empty results, which say little.
+    of the gold query. ``empty_result`` marks matches of two empty results, which say little. ``steps`` bounds what a
+    statement may cost, as predictions need never end; raise it where right queries are long, or pass None.
     """
-    done = examples.withColumn("em", exact_match(F.col(pred), F.col(gold))).withColumn("_x", _execute(F.col(pred), F.col(gold), F.col(schema)))
+    done = examples.withColumn("em", exact_match(F.col(pred), F.col(gold))).withColumn("_x", _executor(steps)(F.col(pred), F.col(gold), F.col(schema)))
     has_schema = F.length(F.coalesce(F.col(schema), F.lit(""))) > 0
     failed = has_schema & ~F.col("_x.ex") & (F.length(F.coalesce(F.col(pred), F.lit(""))) > 0) & F.col("_x.pred_error").isNotNull()
     return done.withColumn("ex", F.col("_x.ex")).withColumn("exec_error", failed).withColumn("empty_result", F.col("_x.empty_result")).drop("_x")
@@ -108,6 +111,12 @@ def length_bucket(n: Column) -> Column:
     return F.when(n >= 512, ">512").otherwise(F.concat((F.floor(n / 128) * 128).cast("int").cast("string"), F.lit("-"), (F.floor(n / 128) * 128 + 128).cast("int").cast("string")))
 
 
+def by_length(scored: DataFrame, n: str = "n") -> DataFrame:
+    """``bucket, n, ex_count, ex, median_length`` by the length of the example."""
+    rows = scored.withColumn("bucket", length_bucket(F.col(n))).groupBy("bucket")
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("ex").cast("long")).alias("ex_count"), F.avg(F.col("ex").cast("double")).alias("ex"), F.median(n).alias("median_length"))
+
+
 def failure_class(em: Column, ex: Column, error: Column) -> Column:
     return F.when(em, "exact").when(ex, "same_rows").when(error, "error").otherwise("wrong_rows")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.constants import BOS, END_SQL, EOS, PAD, PROPORTION_TOLERANCE, RATE_CEILING, SCHEMA, SEQUENCE_LENGTH, VOCAB_SIZE
+from corpusmill.scratch import written
 
 
 def split_counts(packed: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
@@ -31,7 +32,7 @@ def missing_sources(registry: DataFrame, packed: DataFrame) -> DataFrame:
 def manifest(packed: DataFrame, registry: DataFrame, tokenizer_hash: str = "unknown", created: str | None = None, length: int = SEQUENCE_LENGTH, vocab: int = VOCAB_SIZE) -> DataFrame:
     """The manifest as one nested row. It has one map entry for each source."""
     rows = proportions(split_counts(packed, length), registry)
-    part = lambda s: F.struct(F.concat(F.lit("source="), "source", F.lit(f"/split={s}")).alias("path"), F.array(F.col(f"{s}_sequences"), F.lit(length).cast("long")).alias("shape"), F.col(f"{s}_tokens").alias("tokens"), F.col(f"{s}_sequences").alias("sequences"), F.col(f"{s}_hash").alias("sha256"))
+    part = lambda s: F.struct(F.concat(F.lit("source="), "source", F.lit(f"/split={s}")).alias("path"), F.array(F.col(f"{s}_sequences"), F.lit(length).cast("long")).alias("shape"), F.col(f"{s}_tokens").alias("tokens"), F.col(f"{s}_sequences").alias("sequences"), F.col(f"{s}_hash").alias("content_hash"))
     entry = F.struct(part("train").alias("train"), part("val").alias("val"), "token_budget", "target_proportion", "actual_proportion")
     at = F.lit(created) if created else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return rows.agg(F.sum("train_tokens").alias("total_train_tokens"), F.count("*").cast("int").alias("total_sources"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", entry.alias("e"))))).alias("sources")).select(
@@ -63,7 +64,8 @@ def verify(packed: DataFrame, registry: DataFrame, recorded: DataFrame | None =
     if only is not None:
         packed, registry = packed.where(F.col("source") == only), registry.where(F.col("source") == only)
         recorded = recorded.where(F.col("source") == only) if recorded is not None else None
-    facts = id_facts(packed, length).cache()
+    # A row for each source and split, read by every check.
+    facts = written(id_facts(packed, length))
     train = facts.where("split = 'train'")
     wanted = registry.select("source", F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
     text = lambda *parts: F.concat_ws(" ", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

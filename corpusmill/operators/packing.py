@@ -15,16 +15,18 @@ def wrap(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return docs.withColumn(tokens, F.concat(mark(BOS), F.col(tokens).cast("array<smallint>"), mark(EOS)))
 
 
-def pack(docs: DataFrame, by: list[str], order: list[str], length: int = SEQUENCE_LENGTH, tokens: str = "tokens") -> DataFrame:
+def pack(docs: DataFrame, by: list[str], order: list[str], length: int = SEQUENCE_LENGTH, tokens: str = "tokens", sizes: DataFrame | None = None) -> DataFrame:
     """``by, seq_id, tokens``: the groups' tokens in order, cut into rows of ``length``; an unfinished last row is dropped.
 
     Where a document starts follows from the sizes before it, so each document is cut where it stands and only the
-    pieces travel to their sequences.
+    pieces travel to their sequences. ``sizes`` has ``by``, ``order`` and ``n``, the tokens of each document: with it, a
+    tokenizer behind ``docs`` runs once; without it, pass ``docs`` from a written table.
     """
     sized = docs.withColumn("_n", F.size(tokens).cast("long")).where("_n > 0")
-    placed = exclusive_sum(sized, by, order, "_n", "_start")
+    slim = sized.select(*by, *order, "_n") if sizes is None else sizes.select(*by, *order, F.col("n").cast("long").alias("_n")).where("_n > 0")
+    placed = exclusive_sum(sized, by, order, "_n", "_start", slim=slim)
     # Rows that belong to the dropped tail never enter the shuffle.
-    ends = sized.groupBy(*by).agg(F.expr(f"sum(_n) div {length}").alias("_full")).where("_full > 0")
+    ends = slim.groupBy(*by).agg(F.expr(f"sum(_n) div {length}").alias("_full")).where("_full > 0")
     last = F.least(F.expr(f"(_start + _n - 1) div {length}"), F.col("_full") - 1)
     first = F.expr(f"_start div {length}")
     spread = placed.join(ends, by).where(first < F.col("_full")).withColumn("seq_id", F.explode(F.sequence(first, last)))
@@ -48,9 +50,11 @@ def train_val_split(packed: DataFrame, by: list[str], row: str = "seq_id", seed:
     ``position`` is the row's place in that order, from 1.
     """
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*by, row]]), 256)
-    ranked = hash_rank(packed.withColumn("_digest", digest), by, "_digest", [row], "position").drop("_digest")
-    counts = packed.groupBy(*by).agg(F.greatest(F.lit(1), F.expr(f"count(*) * {percent} div 100")).alias("_val"))
-    return ranked.join(counts, by).withColumn("split", F.when(F.col("position") <= F.col("_val"), "val").otherwise("train")).drop("_val")
+    ids = packed.select(*by, row)
+    ranked = hash_rank(ids.withColumn("_digest", digest), by, "_digest", [row], "position").drop("_digest")
+    counts = ids.groupBy(*by).agg(F.greatest(F.lit(1), F.expr(f"count(*) * {percent} div 100")).alias("_val"))
+    placed = ranked.join(counts, by).withColumn("split", F.when(F.col("position") <= F.col("_val"), "val").otherwise("train")).drop("_val")
+    return placed if set(packed.columns) == {*by, row} else packed.join(placed, [*by, row])
 
 
 def build_summary(packed: DataFrame) -> DataFrame:

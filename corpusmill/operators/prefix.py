@@ -19,21 +19,28 @@ def key_bucket(df: DataFrame, key: str, rows: int = ROWS):
     return F.expr(f"(`{key}` - {low or 0}) div {width}")
 
 
-def exclusive_sum(df: DataFrame, by: list[str], order: list[str], value: str, name: str, rows: int = ROWS) -> DataFrame:
+def exclusive_sum(df: DataFrame, by: list[str], order: list[str], value: str, name: str, rows: int = ROWS, slim: DataFrame | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows before, in each group of ``by``, in the given order.
 
-    The first order column is a whole number. The order must be total for the result to be unique.
+    The first order column is a whole number. The order must be total for the result to be unique. ``slim`` has the same
+    rows with the same columns ``by``, ``order`` and ``value``: where these are cheap and the rest of ``df`` is not, the
+    sums of the buckets read that instead.
     """
-    dealt = df.withColumn("_bucket", key_bucket(df, order[0], rows))
-    sums = dealt.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
+    slim = df if slim is None else slim
+    bucket = key_bucket(slim, order[0], rows)
+    sums = slim.groupBy(*by, bucket.alias("_bucket")).agg(F.sum(value).alias("_sum"))
     bases = sums.select(*by, "_bucket", (F.sum("_sum").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_sum")).alias("_base"))
     within = F.sum(value).over(Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
-    named = [*by, "_bucket"]
-    return dealt.withColumn("_within", within).join(bases, named).withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).drop("_bucket", "_base", "_within")
+    placed = df.withColumn("_bucket", bucket).withColumn("_within", within).join(bases, [*by, "_bucket"])
+    return placed.withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).drop("_bucket", "_base", "_within")
 
 
-def hash_rank(df: DataFrame, by: list[str], digest: str, ties: list[str], name: str, prefix: int = 2) -> DataFrame:
-    """``df`` with ``name``: each row's place from 1 in its group by the hexadecimal column ``digest``, then ``ties``."""
+def hash_rank(df: DataFrame, by: list[str], digest: str, ties: list[str], name: str, prefix: int = 4) -> DataFrame:
+    """``df`` with ``name``: each row's place from 1 in its group by the hexadecimal column ``digest``, then ``ties``.
+
+    Rows are counted in buckets of the digest's first digits: 65,536 a group by default, so ten billion rows are some
+    150,000 a bucket, and few rows make no more buckets than rows. Pass slim rows and join the result back.
+    """
     dealt = df.withColumn("_bucket", F.substring(digest, 1, prefix))
     counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     bases = counts.select(*by, "_bucket", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_n")).alias("_base"))

@@ -22,16 +22,18 @@ from pyspark.sql.types import ArrayType, ShortType
 
 from corpusmill.constants import FIRST_BYTE, SPECIAL_TOKENS, UNK, VOCAB_SIZE
 from corpusmill.functions.text import word_count
+from corpusmill.scratch import written
 
 #: Fixed value: single digits, contractions, words and symbols each with at most one blank before, white space.
 PRE_TOKEN = r"\p{N}|'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?[^\s\p{L}\p{N}]+|\s+(?![^\s\p{N}])|\s+"
 
 
-def byte_symbols() -> list[str]:
+@functools.cache
+def byte_symbols() -> tuple[str, ...]:
     """A printable character for each byte: itself where it is printable, else the next code point from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+    return tuple(chr(b) if b in plain else chr(next(spare)) for b in range(256))
 
 
 def pre_tokens(text: Column) -> Column:
@@ -136,10 +138,24 @@ class Bpe:
                 out += ids
         return out
 
+    @functools.cached_property
+    def _bytes(self) -> list[bytes]:
+        """What each id stands for; nothing for special tokens."""
+        back = {s: b for b, s in enumerate(byte_symbols())}
+        return [b""] * len(self.special) + [bytes(back[c] for c in n) for n in self.names[len(self.special) :]]
+
     def decode(self, ids) -> str:
         """The text of ids; special tokens are left out, and bytes that aren't UTF-8 become replacement characters."""
-        back = {s: b for b, s in enumerate(byte_symbols())}
-        return bytes(back[c] for i in ids if i >= len(self.special) and i < self.size for c in self.names[i]).decode("utf-8", "replace")
+        table = self._bytes
+        return b"".join([table[i] for i in ids if 0 <= i < len(table)]).decode("utf-8", "replace")
+
+    def to_library_json(self) -> str:
+        """The same tokenizer as a file that the ``tokenizers`` library loads."""
+        special = [{"id": i, "content": s, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, s in enumerate(self.special)]
+        digits = {"type": "Digits", "individual_digits": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        model = {"type": "BPE", "unk_token": self.special[UNK], "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": self.ids, "merges": [list(m) for m in self.merges]}
+        return json.dumps({"version": "1.0", "added_tokens": special, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [digits, level]}, "decoder": level, "model": model}, ensure_ascii=False)
 
     def __getstate__(self):
         return {"merges": self.merges, "special": self.special}
@@ -148,17 +164,37 @@ class Bpe:
         self.__init__(**state)
 
 
-def train(counts: DataFrame, vocab: int = VOCAB_SIZE, min_frequency: int = 3, max_words: int = 2_000_000) -> Bpe:
-    """Merges learned from ``word, n``.
+def _stretches(counts: DataFrame, min_frequency: int) -> DataFrame:
+    """``word, n``: the stretches of bytes within pre-tokens all of whose neighbouring pairs are frequent, with counts.
 
-    All 256 bytes are in the vocabulary from the start, so every text survives the round trip. The ``max_words`` most
-    frequent pre-tokens come to the driver, which bounds its memory. The most frequent pair merges next; of equal ones,
-    that of the smaller ids.
+    A pair's count over all pre-tokens only falls while pairs merge, so one that starts below ``min_frequency`` never
+    merges and nothing grows across it.
+    """
+    hexed = counts.select(F.hex(F.encode("word", "UTF-8")).alias("h"), "n").where("length(h) > 2")
+    places = F.sequence(F.lit(1), F.length("h") - 3, F.lit(2))
+    pairs = hexed.select("n", F.explode(F.transform(places, lambda i: F.substring(F.col("h"), i, F.lit(4)))).alias("pair"))
+    # At most 65,536 pairs of bytes.
+    rare = pairs.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") < min_frequency).agg(F.collect_set("pair").alias("rare"))
+    cut = hexed.crossJoin(F.broadcast(rare)).select("h", "n", F.filter(F.sequence(F.lit(1), F.length("h") - 1, F.lit(2)), lambda i: (i == F.length("h") - 1) | F.array_contains("rare", F.substring(F.col("h"), i, F.lit(4)))).alias("ends"))
+    low = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.get("ends", k - 1) + 2)
+    parts = F.transform("ends", lambda e, k: F.substring(F.col("h"), low(k), e + 2 - low(k)))
+    return cut.select("n", F.explode(parts).alias("part")).where("length(part) > 2").groupBy("part").agg(F.sum("n").alias("n")).select(F.unhex("part").alias("word"), "n")
+
+
+def train(counts: DataFrame, vocab: int = VOCAB_SIZE, min_frequency: int = 3) -> Bpe:
+    """Merges learned from ``word, n``: all pre-tokens that can matter.
+
+    All 256 bytes are in the vocabulary from the start, so every text survives the round trip. The most frequent pair
+    merges next; of equal ones, that of the smaller ids. Pre-tokens in which some pair of bytes is as frequent as
+    ``min_frequency`` in all pre-tokens together come to the driver, and no others: a merge only joins what such pairs
+    began, so the rest can't change any. Each comes as far as its frequent pairs go, and what then looks alike is one row,
+    so the driver holds distinct stretches of frequent pairs and not the corpus' tail of rare words.
     """
-    rows = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    held = written(counts)
+    rows = _stretches(held, min_frequency).collect()
     symbols, names = byte_symbols(), [*SPECIAL_TOKENS, *byte_symbols()]
     number = {s: i for i, s in enumerate(names)}
-    words = [[number[symbols[b]] for b in r["word"].encode()] for r in rows]
+    words = [[number[symbols[b]] for b in r["word"]] for r in rows]
     weight = [r["n"] for r in rows]
     pairs: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -260,7 +296,7 @@ def keyword_table(keywords: DataFrame, bpe: Bpe) -> DataFrame:
     def has(ids: pd.Series, word: pd.Series) -> pd.Series:
         return pd.Series([byte_symbols()[32] + w in {vocabulary[i] for i in x} for x, w in zip(ids, word, strict=True)])
 
-    sentence = lambda w: F.concat(F.lit("foo bar "), w, F.lit(" baz qux"))
+    sentence = lambda w: F.concat(F.lit("it says "), w, F.lit(" here"))
     one = keywords.withColumn("single", has(encode(sentence(F.col("keyword"))), F.col("keyword")))
     lower = F.lower("keyword")
     return one.withColumn("single_lower", F.when(~F.col("single"), has(encode(sentence(lower)), lower)))
@@ -271,6 +307,18 @@ def round_trips(texts: DataFrame, bpe: Bpe, text: str = "text") -> DataFrame:
     return texts.withColumn("back", decoder(bpe)(encoder(bpe)(F.col(text)))).withColumn("same", F.col("back").eqNullSafe(F.col(text)))
 
 
+def write_tokenizer(spark, bpe: Bpe, path: str) -> None:
+    """``tokenizer.json`` (for the ``tokenizers`` library) and ``bpe.json`` (for this one) in a folder of any file system."""
+    from corpusmill.sources.sinks import write_text_file
+
+    write_text_file(spark, f"{path}/bpe.json", bpe.to_json())
+    write_text_file(spark, f"{path}/tokenizer.json", bpe.to_library_json())
+
+
+def read_tokenizer(spark, path: str) -> Bpe:
+    return Bpe.from_json(spark.read.text(f"{path}/bpe.json", wholetext=True).first()[0])
+
+
 def checks(spark, bpe: Bpe, texts: DataFrame, ceiling: float = 2.5, vocab: int = VOCAB_SIZE) -> DataFrame:
     """``check, passed, detail``: vocabulary size, special ids, keywords, fertility and round trips."""
     words = spark.createDataFrame([(w,) for w in MAIN_KEYWORDS], "keyword string")

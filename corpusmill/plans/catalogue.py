@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.constants import BOS, EOS, FIRST_BYTE, FINETUNE_LENGTH, SEQUENCE_LENGTH
+from corpusmill.constants import BOS, EOS, FIRST_BYTE, FINETUNE_LENGTH, SEQUENCE_LENGTH, VOCAB_SIZE
 from corpusmill.functions import extract, predicates, text
 from corpusmill.operators import budget, evaluation, finetune, manifest, packing, sampling, schema_catalog, supplement, tokenizer, training_log
 from corpusmill.operators.prefix import hash_rank
+from corpusmill.scratch import written
 from corpusmill.sources.registry import registry_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +73,13 @@ def nfc_normalized_docs(spark, sf_dir):
     return text.nfc(table(spark, sf_dir, "documents", True), "text").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+@query("SELECT doc_id, sha256(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))) AS digest FROM documents")
+def nfc_decomposed_docs(spark, sf_dir):
+    """Texts whose accents are characters of their own beforehand, so that normalisation has something to do."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return text.nfc(table(spark, sf_dir, "documents", True).select("doc_id", apart.alias("text")), "text").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 _HITS = " + ".join(f"CAST(contains(upper(text), '{w}') AS INTEGER)" for w in DEMO_WORDS)
 
 
@@ -122,6 +130,18 @@ def concat_extract(spark, sf_dir):
     return qa_pairs(spark, sf_dir).select("conv_id", "turn", extract.joined("system", "question", "answer").alias("joined"), extract.joined_present("system", "question", "answer").alias("present"))
 
 
+@query("SELECT conv_id, turn, concat_ws(' ', nullif(role, ''), nullif(text, '')) AS every, coalesce(nullif(text, ''), concat_ws(' ', nullif(role, ''), nullif(text, ''))) AS named FROM conversations")
+def field_or_all_texts(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    schema = turns.select("role", "text").schema
+    return turns.select("conv_id", "turn", extract.field_or_all(schema, None).alias("every"), extract.field_or_all(schema, "text").alias("named"))
+
+
+@query(f"WITH {_QA} SELECT conv_id, turn, coalesce(system, '') AS schema, coalesce(question, '') AS question, coalesce(answer, '') AS sql FROM qa")
+def plain_triples(spark, sf_dir):
+    return qa_pairs(spark, sf_dir).select("conv_id", "turn", extract.plain_triple("system", "question", "answer").alias("t")).select("conv_id", "turn", "t.*")
+
+
 @query(f"WITH {_QA} SELECT conv_id, turn, '<schema>' || coalesce(system, '') || '</schema><question>' || question || '</question><sql>' AS prompt FROM qa")
 def prompts(spark, sf_dir):
     return qa_pairs(spark, sf_dir).select("conv_id", "turn", extract.prompt(F.col("question"), text.text_or_empty("system")).alias("prompt"))
@@ -155,7 +175,10 @@ def word_counts_top(spark, sf_dir):
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
-@query()
+# Without a look ahead: a mark parts the last white space before a word from those before it, and no pattern takes a mark.
+@query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(
+        regexp_replace(text, '(\\s)(\\s)([^\\s\\p{N}])', '\\1' || chr(1) || '\\2\\3', 'g'),
+        '\\p{N}|''(?:s|t|re|ve|m|ll|d)| ?\\p{L}+| ?[^\\s\\p{L}\\p{N}\\x01]+|\\s+')) AS word FROM documents) GROUP BY word""")
 def pretoken_counts(spark, sf_dir):
     return tokenizer.pre_token_counts(table(spark, sf_dir, "documents", True))
 
@@ -183,11 +206,19 @@ def bpe_round_trip(spark, sf_dir):
     return done.select("doc_id", long(F.size("ids")).alias("tokens"), tokenizer.decoder(bpe)(F.col("ids")).eqNullSafe(F.col("text")).alias("same"))
 
 
-@query(f"SELECT upper, CAST({1500 * len(supplement.KEYWORDS)} AS BIGINT) AS n, CAST({len(supplement.KEYWORDS)} AS BIGINT) AS keywords FROM (VALUES (true), (false)) AS v(upper)")
+_WORDS = ", ".join(f"('{w}')" for w in supplement.KEYWORDS)
+
+
+@query(f"SELECT upper, count(*) AS n, count(DISTINCT k) AS keywords FROM (SELECT k FROM (VALUES {_WORDS}) AS v(k), range(1500) UNION ALL SELECT k FROM (VALUES ('CROSS'), ('NULLIF')) AS v(k), range(800)), (VALUES (true), (false)) AS u(upper) GROUP BY upper")
 def keyword_supplement_counts(spark, sf_dir):
-    rows = supplement.sentences(spark).where("rep < 1500").groupBy("upper").agg(F.countDistinct("keyword").alias("keywords"))
-    total = supplement.sentences(spark, extra_reps=1).where(F.contains(F.upper("text"), F.col("keyword"))).groupBy("upper").agg(F.count("*").alias("all")).withColumn("n", F.col("all") - len(supplement.EXTRA))
-    return rows.join(total, "upper").select("upper", "n", "keywords")
+    word = F.when(F.col("upper"), F.col("keyword")).otherwise(F.lower("keyword"))
+    return supplement.sentences(spark).where(F.contains("text", word)).groupBy("upper").agg(F.count("*").alias("n"), F.countDistinct("keyword").alias("keywords"))
+
+
+@query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS tokens, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words, round(sum(strlen(text)) / sum(len(regexp_extract_all(text, '\\S+'))), 6) AS fertility FROM documents")
+def corpus_fertility(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", True).withColumn("ids", tokenizer.byte_ids(F.col("text")))
+    return tokenizer.fertility(docs, "ids").withColumn("fertility", F.round("fertility", 6))
 
 
 # Budgets, packing, split
@@ -199,6 +230,11 @@ def char_budget_sample(spark, sf_dir):
     return budget.within_budget(docs, ["one"], ["doc_id"], "cost", F.lit(1_000_000)).select("doc_id", F.col("before").alias("chars_before"))
 
 
+@query("SELECT doc_id FROM (SELECT doc_id, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 700000")
+def char_sampled_docs(spark, sf_dir):
+    return budget.char_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], 700_000).select("doc_id")
+
+
 _BUDGET_SQL = "budgets AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in BUDGETS) + ") AS b(lang, budget))"
 
 
@@ -245,7 +281,8 @@ def packed_counts_by_lang(spark, sf_dir):
 def packed_docs(spark, sf_dir) -> DataFrame:
     """All documents in bytes, packed by language: ``source, seq_id, tokens``."""
     docs = good_docs(spark, sf_dir, True).select("doc_id", F.col("lang").alias("source"), tokenizer.byte_ids(F.col("text")).alias("tokens"))
-    return packing.pack(packing.wrap(docs), ["source"], ["doc_id"])
+    sizes = good_docs(spark, sf_dir).select("doc_id", F.col("lang").alias("source"), (F.octet_length("text") + 2).alias("n"))
+    return packing.pack(packing.wrap(docs), ["source"], ["doc_id"], sizes=sizes)
 
 
 _TOKENS = f"""tok AS (
@@ -278,6 +315,22 @@ def train_val_split(spark, sf_dir):
     return split_ids(spark, sf_dir).select("source", "seq_id", "position", "split")
 
 
+@query(f"""WITH {_SPLIT}, c AS (SELECT source, CASE WHEN position <= n_val THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM split GROUP BY ALL)
+    SELECT r.source, coalesce(max(n) FILTER (split = 'train'), 0) AS train, coalesce(max(n) FILTER (split = 'val'), 0) AS val FROM (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')) AS r(source) LEFT JOIN c USING (source) GROUP BY r.source""")
+def build_totals(spark, sf_dir):
+    """Sequences of each split of the packed documents, also of the source that has none."""
+    packed = written(packing.train_val_split(written(packed_docs(spark, sf_dir)), ["source"]))
+    counts = packing.build_summary(packed).groupBy("source").pivot("split", ["train", "val"]).agg(F.sum("sequences"))
+    return packing.with_missing(lang_registry(spark), counts)
+
+
+@query(f"""WITH {_SPLIT}, n AS (SELECT count(*) AS rows FROM split WHERE position > n_val)
+    SELECT "check", CASE "check" WHEN 'corpus_size' THEN rows * 512 > 1000000 WHEN 'batch_shape' THEN rows >= 8 ELSE true END AS passed FROM n, (VALUES ('tokenizer'), ('corpus_size'), ('batch_shape'), ('batch_ids')) AS v("check")""")
+def preflight_checks(spark, sf_dir):
+    packed = packing.train_val_split(written(packed_docs(spark, sf_dir)), ["source"])
+    return manifest.preflight(packed, VOCAB_SIZE, least_tokens=1_000_000)
+
+
 LANG_TARGETS = (("de", 0.2), ("en", 0.5), ("es", 0.1), ("fr", 0.15), ("it", 0.05))
 
 
@@ -307,7 +360,7 @@ _TARGETS = ", ".join(f"('{n}', {p})" for n, p in LANG_TARGETS)
     FROM t, (VALUES ('files'), ('shape'), ('id_range'), ('bos_present'), ('eos_before_bos'), ('pad_rate'), ('delimiter_rate'), ('proportions'), ('checksums')) AS v("check")""")
 def verify_summary(spark, sf_dir):
     """All checks over the packed documents; one registered source is missing."""
-    packed = packing.train_val_split(packed_docs(spark, sf_dir), ["source"]).select("source", "split", "seq_id", "tokens")
+    packed = written(packing.train_val_split(written(packed_docs(spark, sf_dir)), ["source"]).select("source", "split", "seq_id", "tokens"))
     recorded = packing.build_summary(packed).select("source", "split", "content_hash")
     return manifest.verify(packed, lang_registry(spark), recorded).select("check", "passed")
 
@@ -322,7 +375,7 @@ def registry_proportions(spark, sf_dir):
 
 def finetune_rows(spark, sf_dir) -> DataFrame:
     qa = qa_pairs(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-    ids = lambda c: tokenizer.byte_ids(F.substring(text.text_or_empty(c), 1, 10**9))
+    ids = lambda c: tokenizer.byte_ids(text.text_or_empty(c))
     rows = qa.select("conv_id", "turn", F.lit("conversations").alias("source"), ids("system").alias("schema_ids"), ids("question").alias("question_ids"), ids("answer").alias("sql_ids"))
     return finetune.encode_examples(rows)
 
@@ -369,6 +422,9 @@ def shuffled_examples(spark, sf_dir):
 _SOURCES = "src AS (SELECT lang AS source, count(*) AS n, CASE lang WHEN 'de' THEN 0.2 WHEN 'en' THEN 0.5 WHEN 'es' THEN 0.1 ELSE 0.15 END AS w FROM documents GROUP BY lang), wts AS (SELECT source, n, w, sum(w) OVER () AS t, sum(w) OVER (ORDER BY source) AS c FROM src)"
 
 
+_SEQ_SOURCES = f"src AS (SELECT lang AS source, sum(strlen(text) + 2) // 512 AS n, CASE lang WHEN 'de' THEN 0.2 WHEN 'en' THEN 0.5 WHEN 'es' THEN 0.1 ELSE 0.15 END AS w FROM documents WHERE {GOOD} GROUP BY lang), wts AS (SELECT source, n, w, sum(w) OVER () AS t, sum(w) OVER (ORDER BY source) AS c FROM src)"
+
+
 def source_sizes(spark, sf_dir) -> DataFrame:
     sizes = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("source")).agg(F.count("*").alias("n"))
     return sizes.join(lang_registry(spark).select("source", "target_proportion"), "source")
@@ -381,6 +437,34 @@ def mixture_batches(spark, sf_dir):
     return sampling.mixture_rows(spark, source_sizes(spark, sf_dir), 200, 8).withColumn("slot", long("slot"))
 
 
+@query(f"""WITH {_SEQ_SOURCES}, {_TOKENS}, sums AS (SELECT source, seq_id, CAST(sum(id) AS BIGINT) AS total FROM seqs GROUP BY ALL), b AS (SELECT unnest(range(50)) AS batch_id),
+    d AS (SELECT batch_id, {_U.format("'42|source|' || batch_id")} AS u FROM b), p AS (SELECT batch_id, source, n FROM d JOIN wts ON u * t >= c - w AND u * t < c), s AS (SELECT *, unnest(range(8)) AS slot FROM p),
+    r AS (SELECT batch_id, CAST(slot AS BIGINT) AS slot, source, CAST(floor({_U.format("'42|row|' || batch_id || '|' || slot")} * n) AS BIGINT) AS row_idx FROM s)
+    SELECT batch_id, slot, r.source, row_idx, total FROM r JOIN sums ON sums.source = r.source AND seq_id = row_idx""")
+def batch_tokens(spark, sf_dir):
+    """The drawn sequences themselves: the sum of the tokens of each."""
+    sizes = packed_counts_by_lang(spark, sf_dir).select(F.col("lang").alias("source"), F.col("sequences").alias("n")).join(lang_registry(spark).select("source", "target_proportion"), "source")
+    drawn = sampling.gather(sampling.mixture_rows(spark, sizes, 50, 8), packed_docs(spark, sf_dir))
+    return drawn.select("batch_id", long("slot").alias("slot"), "source", "row_idx", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH {_SOURCES}, b AS (SELECT unnest(range(20)) AS batch_id), d AS (SELECT batch_id, {_U.format("'42|source|' || batch_id")} AS u FROM b),
+    p AS (SELECT batch_id, source, n, CASE WHEN n <= 64 THEN 0 ELSE CAST(floor({_U.format("'42|start|' || batch_id")} * (n - 64)) AS BIGINT) END AS start FROM d JOIN wts ON u * t >= c - w AND u * t < c)
+    SELECT batch_id, source, CAST(unnest(range(start, least(start + 64, n))) AS BIGINT) AS row_idx FROM p""")
+def validation_rows(spark, sf_dir):
+    return sampling.slice_rows(sampling.validation_slices(spark, source_sizes(spark, sf_dir), 20, 64))
+
+
+@query(f"""WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+    d AS (SELECT lang, n, unnest(range(20)) AS draw FROM (SELECT DISTINCT lang, n FROM n))
+    SELECT d.lang, CAST(draw AS BIGINT) AS draw, doc_id FROM d JOIN n ON n.lang = d.lang AND row_idx = CAST(floor({_U.format("'7|' || d.lang || '|' || draw")} * d.n) AS BIGINT)""")
+def sampled_docs(spark, sf_dir):
+    from corpusmill.operators.prefix import exclusive_sum
+
+    rows = exclusive_sum(table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("one")), ["lang"], ["doc_id"], "one", "row_idx")
+    return sampling.sample_rows(rows, ["lang"], "row_idx", 20, 7).select("lang", long("draw").alias("draw"), "doc_id")
+
+
 @query(f"""WITH {_SOURCES}, b AS (SELECT unnest(range(100)) AS batch_id), d AS (SELECT batch_id, {_U.format("'42|source|' || batch_id")} AS u FROM b),
     p AS (SELECT batch_id, source, n, CASE WHEN n <= 64 THEN 0 ELSE CAST(floor({_U.format("'42|start|' || batch_id")} * (n - 64)) AS BIGINT) END AS start FROM d JOIN wts ON u * t >= c - w AND u * t < c)
     SELECT batch_id, source, start, least(start + 64, n) AS stop FROM p""")
@@ -438,10 +522,28 @@ def sql_eval_summary(spark, sf_dir):
     return evaluation.summary(evaluation.score(predictions(spark)))
 
 
-@query("SELECT bucket, n::BIGINT AS n, ex_count::BIGINT AS ex_count FROM (VALUES ('0-128', 3, 1), ('128-256', 1, 0), ('256-384', 1, 1), ('384-512', 1, 0), ('>512', 2, 1)) AS v(bucket, n, ex_count)")
+_BUCKET = "CASE WHEN {n} >= 512 THEN '>512' ELSE CAST({n} // 128 * 128 AS VARCHAR) || '-' || CAST({n} // 128 * 128 + 128 AS VARCHAR) END"
+
+
+@query(f"SELECT {_BUCKET.format(n='n')} AS bucket, count(*) AS n, count(*) FILTER (ex) AS ex_count, median(n) AS median_length FROM (VALUES (40, true), (130, false), (300, true), (511, false), (512, false), (700, true), (10, false), (20, false)) AS v(n, ex) GROUP BY bucket")
 def ex_by_length_bucket(spark, sf_dir):
-    scored = evaluation.score(predictions(spark)).withColumn("bucket", evaluation.length_bucket(F.col("n")))
-    return evaluation.summary(scored, ["bucket"]).select("bucket", "n", "ex_count")
+    return evaluation.by_length(evaluation.score(predictions(spark))).select("bucket", "n", "ex_count", "median_length")
+
+
+@query(f"SELECT {_BUCKET.format(n='length(text)')} AS bucket, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS ex_count, round(count(*) FILTER (doc_id % 3 = 0) / count(*), 9) AS ex, median(length(text)) AS median_length FROM documents GROUP BY bucket")
+def rates_by_text_length(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.length("text").alias("n"), (F.col("doc_id") % 3 == 0).alias("ex"))
+    return evaluation.by_length(docs).withColumn("ex", F.round("ex", 9))
+
+
+_NORMAL = "regexp_replace(lower(regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), ';+$', '')), '\\s+', ' ', 'g')"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text AS gold, CASE turn % 3 WHEN 0 THEN '  ' || replace(text, ' ', chr(10) || ' ') || ';;' WHEN 1 THEN text || ' x' ELSE lower(text) || ' ;' END AS pred FROM conversations)
+    SELECT conv_id, turn, {_NORMAL.format(x="pred")} = {_NORMAL.format(x="gold")} AS em FROM p""")
+def turns_exact_match(spark, sf_dir):
+    pred = F.expr("CASE turn % 3 WHEN 0 THEN concat('  ', replace(text, ' ', '\\n '), ';;') WHEN 1 THEN concat(text, ' x') ELSE concat(lower(text), ' ;') END")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", evaluation.exact_match(pred, F.col("text")).alias("em"))
 
 
 @query("SELECT outcome, n::BIGINT AS n FROM (VALUES ('exact', 2), ('same_rows', 2), ('error', 2), ('wrong_rows', 2)) AS v(outcome, n)")
@@ -499,6 +601,21 @@ def trailing_loss(spark, sf_dir):
     return training_log.trailing_mean(log(spark, sf_dir).withColumn("kind", F.lit("train"))).select("step", F.round("mean", 6).alias("mean"))
 
 
+@query("SELECT round(avg(value), 6) AS loss FROM events WHERE event_id % 10 = 0")
+def mean_val_loss(spark, sf_dir):
+    return training_log.mean_loss(training_log.of_kind(log(spark, sf_dir), "val")).select(F.round("loss", 6).alias("loss"))
+
+
+@query("""WITH c AS (SELECT user_id, user_id % 50 AS grp, user_id // 50 AS beam, event_type AS token, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS logp FROM c),
+    i AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY grp, beam ORDER BY logp DESC, token) <= 2), s AS (SELECT *, (logp - beam) / pow(4, 0.6) AS score FROM i)
+    SELECT grp, beam, token, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY grp ORDER BY score DESC, beam, token) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, beam, token) <= 2""")
+def beam_steps(spark, sf_dir):
+    """Groups of users as the beams of one search; the share of an event type stands for its log-probability."""
+    probs = token_probabilities(spark, sf_dir).select((F.col("user_id") % 50).alias("grp"), F.expr("user_id div 50").alias("beam"), "token", F.col("prob").alias("logp"))
+    rows = probs.withColumn("total", -F.col("beam").cast("double")).withColumn("length", F.lit(3))
+    return training_log.beam_step(rows, ["grp"], 2).select("grp", "beam", "token", F.round("score", 9).alias("score"), "rank")
+
+
 @query("SELECT round(sum(value * (event_id % 2)) / (sum(event_id % 2) + 1e-9), 6) AS loss FROM events")
 def masked_mean_loss(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("value", (F.col("event_id") % 2).alias("mask"))

@@ -81,7 +81,7 @@ def first_rows(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
     return rows if limit is None else rows.orderBy(key).limit(limit)
 
 
-MANIFEST = "vocab_size int, sequence_length int, total_train_tokens bigint, total_sources int, tokenizer_hash string, created string, sources map<string, struct<train: struct<path: string, shape: array<bigint>, tokens: bigint, sequences: bigint, sha256: string>, val: struct<path: string, shape: array<bigint>, tokens: bigint, sequences: bigint, sha256: string>, token_budget: bigint, target_proportion: double, actual_proportion: double>>"
+MANIFEST = "vocab_size int, sequence_length int, total_train_tokens bigint, total_sources int, tokenizer_hash string, created string, sources map<string, struct<train: struct<path: string, shape: array<bigint>, tokens: bigint, sequences: bigint, content_hash: string>, val: struct<path: string, shape: array<bigint>, tokens: bigint, sequences: bigint, content_hash: string>, token_budget: bigint, target_proportion: double, actual_proportion: double>>"
 METRICS = "step bigint, kind string, loss double, grad_norm double, lr double"
 
 

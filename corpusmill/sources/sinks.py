@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.scratch import dropped_after, written
 from corpusmill.sources.readers import exists
 
 
@@ -20,23 +20,44 @@ def write_packed(packed: DataFrame, path: str, force: bool = False) -> list[str]
     Returns the sources written. Only their own partitions are replaced.
     """
     spark = packed.sparkSession
-    packed = packed.persist(StorageLevel.DISK_ONLY)
-    names = [r[0] for r in packed.select("source").distinct().collect()]
-    there = [n for n in names if exists(spark, f"{path}/source={n}/split=train") and exists(spark, f"{path}/source={n}/split=val")]
-    new = sorted(names if force else set(names) - set(there))
-    if new:
-        packed.where(F.col("source").isin(new)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "split").parquet(path)
-    packed.unpersist()
+    with dropped_after(spark):
+        packed = written(packed)
+        names = [r[0] for r in packed.select("source").distinct().collect()]
+        there = [n for n in names if exists(spark, f"{path}/source={n}/split=train") and exists(spark, f"{path}/source={n}/split=val")]
+        new = sorted(names if force else set(names) - set(there))
+        if new:
+            packed.where(F.col("source").isin(new)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "split").parquet(path)
     return new
 
 
+def write_examples(train: DataFrame, stats: DataFrame, skipped: DataFrame, path: str, length: int) -> DataFrame:
+    """An instruction-tuning set as Parquet by split, and ``manifest.json`` beside it; returns the manifest's row.
+
+    The manifest has the examples of each split, the kept and skipped rows of each source, and the sources left out.
+    """
+    train.write.mode("overwrite").partitionBy("split").parquet(path)
+    there = train.sparkSession.read.parquet(path)
+    counts = there.groupBy("split").agg(F.count("*").alias("n"))
+    pairs = lambda df, k, v: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias("m"))
+    kept = stats.select("source", F.struct("kept", "skipped").alias("rows"))
+    # One row each: as many entries as splits and sources.
+    row = pairs(counts, "split", "n").withColumnRenamed("m", "examples").crossJoin(pairs(kept, "source", "rows").withColumnRenamed("m", "sources")).crossJoin(pairs(skipped, "source", "error").withColumnRenamed("m", "left_out"))
+    row = row.withColumn("max_length", F.lit(length))
+    write_manifest(row, f"{path}.manifest.json")
+    return row
+
+
 def write_text_file(spark: SparkSession, path: str, text: str) -> None:
     """A small text to any file system that Spark can write to."""
+    write_bytes_file(spark, path, text.encode())
+
+
+def write_bytes_file(spark: SparkSession, path: str, content: bytes) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
@@ -62,12 +83,30 @@ def append_metrics(rows: DataFrame, *paths: str) -> None:
 
 def _npy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for _, part in pdf.groupby(["source", "split"], sort=False):
+        for (source, split, part), rows in pdf.groupby(["source", "split", "part"], sort=False):
             buffer = io.BytesIO()
-            np.save(buffer, np.stack(part["tokens"].to_numpy()).astype(np.int16))
-            yield pd.DataFrame({"source": [part["source"].iloc[0]], "split": [part["split"].iloc[0]], "first_seq": [int(part["seq_id"].iloc[0])], "content": [buffer.getvalue()]})
+            np.save(buffer, np.stack(rows["tokens"].to_numpy()).astype(np.int16))
+            yield pd.DataFrame({"source": [source], "split": [split], "part": [part], "first_seq": [int(rows["seq_id"].iloc[0])], "content": [buffer.getvalue()]})
 
 
-def npy_parts(packed: DataFrame) -> DataFrame:
-    """``source, split, first_seq, content``: NumPy files of up to one batch of sequences each, in order of ``seq_id``."""
-    return packed.select("source", "split", "seq_id", "tokens").repartition("source", "split").sortWithinPartitions("source", "split", "seq_id").mapInPandas(_npy, "source string, split string, first_seq long, content binary")
+def npy_parts(packed: DataFrame, rows: int = 4096) -> DataFrame:
+    """``source, split, part, first_seq, content``: NumPy files of the sequences of ``rows`` following ``seq_id`` each.
+
+    A part is made by one task, and a source has as many parts as it needs. An Arrow batch may cut a part in two, which
+    ``first_seq`` tells apart.
+    """
+    dealt = packed.select("source", "split", "seq_id", "tokens", F.expr(f"seq_id div {rows}").alias("part")).repartition("source", "split", "part")
+    return dealt.sortWithinPartitions("source", "split", "part", "seq_id").mapInPandas(_npy, "source string, split string, part long, first_seq long, content binary")
+
+
+def write_npy(packed: DataFrame, path: str, rows: int = 4096) -> list[str]:
+    """NumPy files ``<source>/<split>-<first sequence>.npy`` below ``path``, in any file system; returns their names.
+
+    The bytes are made by the executors, in a written table; the driver only moves one file after another.
+    """
+    spark, names = packed.sparkSession, []
+    with dropped_after(spark):
+        for r in written(npy_parts(packed, rows)).toLocalIterator():
+            names.append(f"{r.source}/{r.split}-{r.first_seq:012d}.npy")
+            write_bytes_file(spark, f"{path}/{names[-1]}", bytes(r.content))
+    return sorted(names)

@@ -73,11 +73,20 @@ def test_build_write_verify(spark, base, bpe, tmp_path):
     row = build.write_corpus_manifest(spark, out, bpe).first()
     assert row.total_sources == 3
     checks = {r.check: r.passed for r in build.verify_corpus(spark, out, bpe).collect()}
-    assert checks["plausible"] and checks["shape"] and checks["id_range"] and not checks["files"]
+    assert checks["plausible"] and checks["shape"] and checks["id_range"] and checks["checksums"] and not checks["files"]
+    bird = spark.read.parquet(f"{out}/source=bird/split=train")
+    other = bird.withColumn("tokens", F.when(F.col("seq_id") == 12, F.reverse("tokens")).otherwise(F.col("tokens")))
+    other.write.parquet(f"{tmp_path}/changed/source=bird/split=train")
+    sinks.write_manifest(spark.read.json(f"{out}.manifest.json", multiLine=True), f"{tmp_path}/changed.manifest.json")
+    assert not {r.check: r.passed for r in build.verify_corpus(spark, f"{tmp_path}/changed").collect()}["checksums"]
 
 
 def test_finetune_set(spark, base, bpe):
-    rows, stats = build.build_finetune(spark, base, bpe)
+    rows, stats, skipped = build.build_finetune(spark, base, bpe, out=f"{base}/finetune")
+    assert skipped.count() == 0
+    back = spark.read.parquet(f"{base}/finetune")
+    assert back.count() == rows.count() and {r.split for r in back.select("split").distinct().collect()} <= {"train", "val"}
+    assert spark.read.json(f"{base}/finetune.manifest.json", multiLine=True).first().max_length == 1024
     counts = {r.source: (r.kept, r.skipped) for r in stats.collect()}
     assert set(counts) == {"bird", "nstext2sql", "sql_create_context", "gretelai"} and all(k + s == 30 for k, s in counts.values())
     per = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}
@@ -102,6 +111,9 @@ def test_npy(spark, tmp_path):
     packed = spark.createDataFrame([("s", "train", i, matrix[i].tolist()) for i in range(5)], "source string, split string, seq_id long, tokens array<smallint>")
     import io
 
+    assert sinks.write_npy(packed, f"{tmp_path}/out", rows=2) == [f"s/train-{i:012d}.npy" for i in (0, 2, 4)]
+    back = [list(r.tokens) for r in readers.read_npy(spark, f"{tmp_path}/out/*/*.npy").orderBy("path", "row").collect()]
+    assert back == matrix.tolist()
     part = sinks.npy_parts(packed).collect()
     assert len(part) == 1 and np.load(io.BytesIO(part[0].content)).tolist() == matrix.tolist()
 

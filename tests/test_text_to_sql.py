@@ -109,6 +109,57 @@ def test_same_merges_as_a_library(spark):
         assert mine.encode(text) == other.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_files(spark, bpe, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer.write_tokenizer(spark, bpe, f"{tmp_path}/t")
+    back, other = tokenizer.read_tokenizer(spark, f"{tmp_path}/t"), tokenizers.Tokenizer.from_file(f"{tmp_path}/t/tokenizer.json")
+    for text in ("SELECT name FROM users", "a <schema>x</schema> 12 é\n\n z", "", "it's"):
+        assert back.encode(text) == bpe.encode(text) == other.encode(text, add_special_tokens=False).ids
+
+
+def test_training_counts_all_words(spark):
+    # The merges of loops over all words, however rare; only pairs that occur often enough merge.
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    words = [" " + "".join(rng.choice("aaabbcdxyz") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    bpe = tokenizer.train(tokenizer.pre_token_counts(spark.createDataFrame([(" ".join(words[i : i + 9]),) for i in range(0, 400, 9)], "text string")), 400, 5)
+    counts = Counter()
+    for i in range(0, 400, 9):
+        for r in __import__("regex").findall(tokenizer.PRE_TOKEN, " ".join(words[i : i + 9])):
+            counts[r] += 1
+    symbols, split = tokenizer.byte_symbols(), {}
+    for w in counts:
+        split[w] = [symbols[b] for b in w.encode()]
+    ids, want = {n: i for i, n in enumerate([*tokenizer.SPECIAL_TOKENS, *symbols])}, []
+    while True:
+        pairs = Counter()
+        for w, s in split.items():
+            for p in zip(s, s[1:], strict=False):
+                pairs[p] += counts[w]
+        best = min(pairs, key=lambda p: (-pairs[p], ids[p[0]], ids[p[1]]), default=None)
+        if best is None or pairs[best] < 5 or len(ids) >= 400:
+            break
+        want.append(best)
+        ids.setdefault("".join(best), len(ids))
+        for w, s in split.items():
+            out, i = [], 0
+            while i < len(s):
+                step = 2 if tuple(s[i : i + 2]) == best else 1
+                out.append("".join(s[i : i + step]))
+                i += step
+            split[w] = out
+    assert bpe.merges == want and len(want) > 30
+
+
+def test_statement_may_be_bounded():
+    endless = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t) SELECT max(n) FROM t"
+    assert evaluation.run_sql(endless, "CREATE TABLE a (b INT)", steps=10_000)[1]
+    many = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 300000) SELECT max(n) FROM t"
+    assert evaluation.run_sql(many, "CREATE TABLE a (b INT)")[1] and evaluation.run_sql(many, "CREATE TABLE a (b INT)", None) == (frozenset({(300000,)}), None)
+
+
 def test_pre_tokens_cover_the_text(spark):
     texts = ["ab 12  c's\n x", "", "  ", "aé你!?"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tokenizer.pre_tokens(F.col("t"))).collect()]
