@@ -1,88 +1,16 @@
-"""Helpers shared by the training-data operators: durable intermediate tables and connected components."""
+"""Helpers shared by the training-data operators: Arrow functions, unused names and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.scratch import Table, dropped_after, written
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only on one machine, as in tests, a temporary folder is made where that is unset, and remembered in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever file system holds it; a missing one is no error."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-_left: dict[str, SparkSession] = {}
-
-
-def _sweep() -> None:
-    for path, spark in list(_left.items()):
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone, and the folder's owner cleans up
-            return
-
-
-atexit.register(_sweep)
-
-
-class Table:
-    """A DataFrame written once as Parquet in the shared folder and read back from there.
-
-    It cuts the lineage and, unlike ``DataFrame.checkpoint``, computes the input once and keeps file statistics for
-    later joins. A lost executor costs only the tasks it was running.
-    """
-
-    def __init__(self, df: DataFrame, keep: bool = True):
-        self.spark = df.sparkSession
-        self.path = f"{scratch_dir(self.spark)}/corpusmill-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _left[self.path] = self.spark
-
-    def drop(self) -> None:
-        _left.pop(self.path, None)
-        remove(self.spark, self.path)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` by way of a written table; the files go when the process ends."""
-    return Table(df).df
-
-
-@contextmanager
-def dropped_after(spark: SparkSession):
-    """Drops the tables that were written inside, but for those whose paths are added to the set that it gives."""
-    before, keep = set(_left), set()
-    try:
-        yield keep
-    finally:
-        for path in [p for p in _left if p not in before and p not in keep]:
-            _left.pop(path)
-            remove(spark, path)
+__all__ = ["Table", "components", "dropped_after", "map_arrow", "parallel", "unused", "written"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
