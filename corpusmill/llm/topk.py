@@ -26,6 +26,7 @@ from corpusmill.llm.common import map_arrow, parallel, written
 
 PIVOTS = 32, 1 << 14  # at least and at most; between them the square root of the table
 GROUP, SLICE = 8192, 32768  # queries and vectors of a block: 4 and 16 MB at 64 dimensions
+SMALL = 1024  # vectors of a slice at least: a query brings k rows back from each slice
 CHUNK = 1 << 22  # entries of the matrices that a task holds beside its block
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -205,8 +206,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     # A row of k numbers for each pivot.
     rows = sorted(partial.groupBy("cell").applyInPandas(_merge(k), shape).collect(), key=lambda r: r["cell"])
     summary, order = [(r["cell"], r["radius"], list(r["near"])) for r in rows], along(pivots, [r["cell"] for r in rows])
-    # A small table still gives every task of a shuffle a slice.
-    room = max(1, min(SLICE, -(-total // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # A small table still gives the tasks of a shuffle slices, but not such small ones that most of what they find is dropped.
+    room = min(SLICE, max(SMALL, -(-total // int(spark.conf.get("spark.sql.shuffle.partitions")))))
     slices = dealt(order, {r["cell"]: r["n"] for r in rows}, room)
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "cell")).alias("x")).select("vec_id", "x.cell", "x.vec")
     needs = written(map_arrow(asked, _needed(pivots, summary, slices, k, width), "vec_id long, cell int, vec binary, slices array<long>"))
