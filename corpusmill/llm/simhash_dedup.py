@@ -199,8 +199,9 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
         out = F.shiftrightunsigned(fp, WIDTH * j).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
         parts.append(F.struct(low.bitwiseOR(high).bitwiseOR(F.lit(j << BITS).cast("long")).alias("part"), out.cast("int").alias("out")))
     flips = F.array(*[F.struct(F.lit(1 << i if i < BITS else 0).cast("long").alias("bit"), F.lit(i << WIDTH).alias("place")) for i in (*range(BITS), NO_FLIP)])
-    # The fingerprints are few bytes but many keys: adaptive execution must not gather them in a few tasks.
-    dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp").select(F.explode(F.array(*parts)).alias("x"))
+    # The fingerprints are few bytes but many keys: adaptive execution must not gather them in a few tasks. It would, if
+    # they were dealt by ``fp`` itself: the shuffle of a distinct before would do for both.
+    dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")).select(F.explode(F.array(*parts)).alias("x"))
     emitted = dealt.select("x.part", "x.out", F.explode(flips).alias("flip")).select(F.col("part").bitwiseXOR(F.col("flip.bit")).alias("key"), F.col("out").bitwiseOR(F.col("flip.place")).alias("rest"))
     met = emitted.repartition("key").sortWithinPartitions("key", "rest")
     return map_arrow(met, _meet(3), "a long, b long").distinct()
