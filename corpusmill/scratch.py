@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpusmill-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only on one machine, as in tests, a temporary folder is made where that is unset, and remembered in the session.
+    Only on one machine, as in tests, a temporary folder is made where that is unset, one for each process. The setting
+    itself can't be changed once a session runs.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder()
     return found.rstrip("/")
 
 
@@ -33,6 +40,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 _left: dict[str, SparkSession] = {}
+_owned: ContextVar[set[str] | None] = ContextVar("owned", default=None)  # what the innermost block of this thread made
 
 
 def _sweep() -> None:
@@ -59,6 +67,8 @@ class Table:
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _left[self.path] = self.spark
+        if (owned := _owned.get()) is not None:
+            owned.add(self.path)
 
     def drop(self) -> None:
         _left.pop(self.path, None)
@@ -72,11 +82,19 @@ def written(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def dropped_after(spark: SparkSession):
-    """Drops the tables that were written inside, but for those whose paths are added to the set that it gives."""
-    before, keep = set(_left), set()
+    """Drops the tables that this thread writes inside, but for those whose paths are added to the set that it gives.
+
+    Kept tables belong to the block around this one, if there is one. Tables of other threads and sessions stay.
+    """
+    mine: set[str] = set()
+    keep: set[str] = set()
+    before = _owned.set(mine)
     try:
         yield keep
     finally:
-        for path in [p for p in _left if p not in before and p not in keep]:
-            _left.pop(path)
-            remove(spark, path)
+        _owned.reset(before)
+        if (outer := _owned.get()) is not None:
+            outer |= mine & keep
+        for path in mine - keep:
+            if _left.pop(path, None):
+                remove(spark, path)
