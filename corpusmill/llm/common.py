@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.scratch import Table, dropped_after, written
 
-__all__ = ["Table", "components", "dropped_after", "map_arrow", "parallel", "unused", "written"]
+__all__ = ["Table", "components", "dropped_after", "map_arrow", "numbered", "ordered", "parallel", "runs", "unused", "written"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -33,6 +34,69 @@ def parallel(df: DataFrame) -> DataFrame:
     return df.repartition(sc.defaultParallelism) if df.rdd.getNumPartitions() < sc.defaultParallelism else df
 
 
+PART = 33  # ``monotonically_increasing_id`` has the partition above this bit
+
+
+def ordered(df: DataFrame, keys: list[str]) -> Table:
+    """``df`` written in the order of ``keys`` (nulls first), with ``place``: a number that rises in that order.
+
+    Rows are dealt by ranges of all keys together, so rows of one leading key lie in as many parts as they need. The part
+    is ``place`` shifted right by ``PART``. Pass slim rows, from a written table: the ranges take a pass of their own.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Table(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id()))
+
+
+def numbered(df: DataFrame, by: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each row's ``idx`` from 0 in its group by ``keys``, with ``gid``; and the groups: ``by, gid, size``.
+
+    Groups are numbered from 0 in their own order, null first. What a window holds is a row for each part of the table,
+    or, for the groups, a row for each of them in a part.
+    """
+    table = ordered(df, [by, *keys])
+    part = F.shiftright("place", PART)
+    pieces = written(table.df.groupBy(by, part.alias("part")).agg(F.count("*").alias("n"), F.min("place").alias("first")))
+    sizes = written(pieces.groupBy(by).agg(F.sum("n").alias("size"), F.min("first").alias("at")))
+    per_part = sizes.groupBy(F.shiftright("at", PART).alias("p")).agg(F.count("*").alias("k"))
+    before = per_part.select("p", (F.sum("k").over(Window.orderBy("p")) - F.col("k")).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy("at")) - 1
+    groups = written(sizes.withColumn("p", F.shiftright("at", PART)).withColumn("r", rank).join(before, "p").select(by, (F.col("base") + F.col("r")).alias("gid"), "size"))
+    starts = pieces.withColumn("base", F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n"))
+    named = groups.withColumnRenamed(by, "g")
+    starts = starts.join(named, F.col(by).eqNullSafe(F.col("g"))).select(F.col(by).alias("b"), F.col("part").alias("q"), "first", "base", "gid")
+    rows = table.df.join(starts, F.col(by).eqNullSafe(F.col("b")) & (part == F.col("q")))
+    return rows.select(*df.columns, "gid", (F.col("place") - F.col("first") + F.col("base")).alias("idx")), groups
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows with equal values in the first ``keys`` (whole-number) columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(end: bool) -> Iterator[pa.Table]:
+        nonlocal held
+        table = pa.Table.from_batches(held).combine_chunks()
+        cols = [table.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new).tolist()
+        stops = [*starts[1:], len(table)]
+        if not end:
+            held = table.slice(starts.pop()).to_batches()
+            stops.pop()
+        for a, b in zip(starts, stops, strict=True):
+            yield table.slice(a, b - a)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if any(held[0].column(i)[0] != batch.column(i)[-1] for i in range(keys)):
+                yield from cut(end=False)
+    if held:
+        yield from cut(end=True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star steps.
 

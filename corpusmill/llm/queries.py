@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat_format, fingerprint, language_id, line_dedup, mixing, packing, sharding, simhash_dedup, topk, url_filter
+from corpusmill.llm import chat_format, fingerprint, language_id, line_dedup, merkle, mixing, packing, sharding, simhash_dedup, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_fingerprint": fingerprint.op9,
     "op10_topk_search": topk.op10,
+    "op13_merkle_manifest": merkle.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op10_topk_search": topk.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
