@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat_format, conversation_repair, fingerprint, language_id, line_dedup, merkle, mixing, packing, sharding, simhash_dedup, topk, url_filter
+from corpusmill.llm import chat_format, conversation_repair, fingerprint, language_id, line_dedup, merkle, mixing, packing, pii, sharding, simhash_dedup, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_fingerprint": fingerprint.op9,
     "op10_topk_search": topk.op10,
+    "op11_pii": pii.op11,
     "op12_conversation_repair": conversation_repair.op12,
     "op13_merkle_manifest": merkle.op13,
 }
