@@ -1,24 +1,21 @@
-"""Line dedup: repeated passages, found as content-defined chunks of lines.
-
-A rolling hash over the hashes of two neighbouring lines marks the lines after which a chunk may end, and a chunk ends at
-a mark that doesn't follow another one and isn't the last but one line. A line of 50 words or more is a passage by
-itself, so chunks also end before and behind it. Marks depend on three lines of text only: lines added or removed
-elsewhere don't shift them. A chunk that occurs in several places of the whole table, equal byte for byte, stays only in
-the first one. What goes on equally on both sides of a removed chunk and of the one that stays, up to two lines beyond
-the next chunk, goes with it, so the ends of a passage don't stay behind: text outside shifts no more than the chunk ends
-at its first two lines and its last one. DataFrame functions only.
+"""Line dedup: repeated passages of lines, cut out wherever they come again.
+
+A rolling hash over the hashes of a text's lines, of two neighbouring lines that aren't blank, makes every such pair an
+anchor; a line of 50 words or more is an anchor by itself. An anchor that stands somewhere before, in this text or
+another, is part of a repeated chunk, and a chunk goes on as long as its anchors were there before: where it ends depends on the lines
+only, so lines added or removed elsewhere shift nothing. Marks that choose some anchors only, by their hash, would lose short
+passages between other texts. All anchors of the whole table are compared, and hashes decide nothing: lines that share one
+are compared byte by byte, and if any two differ, all are hashed anew with another seed. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Table, parallel, unused, written
+from corpusmill.llm.common import Table, parallel, unused
 
-ROLL, MODULUS = 31, 1_000_003
 PASSAGE = 50  # words that make a single line a passage
-BEYOND = 2  # lines behind the next chunk that are looked at: a chunk end depends on the two lines before it
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,86 +24,86 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _mark(i: Column) -> Column:
-    """Whether line ``i`` (from 1) is marked; the first never is."""
-    pair = F.get(F.col("h"), i - 2) * ROLL + F.get(F.col("h"), i - 1)
-    return (i >= 2) & (pair % MODULUS % 2 == 0)
+def line_hash(line: Column, seed: int) -> Column:
+    return F.xxhash64(line, F.lit(seed))
 
 
-def chunks(docs: DataFrame, key: str, text: str, words: int = PASSAGE) -> DataFrame:
-    """``key, text_hash, first, last, passage, before, after``: the chunks of every text that can be passages.
+def anchors(docs: DataFrame, key: str, text: str, words: int, seed: int) -> DataFrame:
+    """``key, text_hash, first, last, h``: the pairs of neighbouring lines and the long lines of every text.
 
-    Lines count from 1. ``before`` and ``after`` are the digests of the lines of the chunks beside it, and two more. A chunk of blank
-    lines, or of a single line of fewer than ``words`` words that isn't blank, is no passage.
+    Lines count from 1. Blank lines are in no pair, but those between its two lines belong to it. ``h`` has the hash of each
+    line from ``first`` to ``last``.
     """
     lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), once(F.split(text, "\n", -1)).alias("lines"))
+    full = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.rlike(F.get("lines", i - 1), F.lit(WORD)))
+    hashed = lines.select("key", "text_hash", "lines", once(full).alias("full"), once(F.transform("lines", lambda x: line_hash(x, seed))).alias("hs"))
     # Words are counted in lines only that have room for so many.
-    is_long = F.transform("lines", lambda x: (F.length(x) >= 2 * words - 1) & (F.regexp_count(x, F.lit(WORD)) >= words))
-    full = F.transform("lines", lambda x: F.rlike(x, F.lit(WORD)))
-    digests = lines.select("key", "text_hash", "lines", once(F.transform("lines", lambda x: F.md5(x.cast("binary")))).alias("digests"), once(is_long).alias("long"), once(full).alias("full"))
-    hashed = digests.select("*", once(F.transform("digests", lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long"))).alias("h"))
-    n = F.size("h")
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.get("long", i - 1) | F.get("long", i) | ((i < n - 1) & _mark(i) & ~F.coalesce(_mark(i - 1), F.lit(False))))
-    cut = hashed.select("*", once(ends).alias("ends"))
-    end = lambda k: F.when(k < 0, F.lit(0)).otherwise(F.coalesce(F.get("ends", k), n))
-    spans = F.transform("ends", lambda e, k: F.struct((end(k - 1) + 1).alias("first"), e.alias("last"), F.greatest(F.lit(1), end(k - 2) + 1 - BEYOND).alias("low"), F.least(n, end(k + 1) + BEYOND).alias("high")))
-    spread = cut.select("key", "text_hash", "lines", "digests", "long", "full", F.explode(spans).alias("s")).select("*", "s.*")
-    part = lambda a, low, high: F.slice(a, low, high - low + 1)
-    passage = F.get("long", F.col("first") - 1) | (F.size(F.filter(part("full", F.col("first"), F.col("last")), lambda x: x)) >= 2)
-    beside = lambda low, high: F.transform(part("digests", low, high), lambda x: F.unhex(x))
-    return spread.where(passage).select(
-        "key", "text_hash", "first", "last", F.array_join(part("lines", F.col("first"), F.col("last")), "\n").alias("passage"),
-        F.when(F.col("first") > 1, beside(F.col("low"), F.col("first") - 1)).otherwise(F.array().cast("array<binary>")).alias("before"), beside(F.col("last") + 1, F.col("high")).alias("after"),
-    )
-
-
-def _common(a: Column, b: Column) -> Column:
-    """How many items two arrays have in common from their start."""
-    n = F.least(F.size(a), F.size(b))
-    apart = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
-    return F.when(apart == 0, n).otherwise(apart - 1).cast("int")
-
-
-def removed(passages: DataFrame) -> DataFrame:
-    """``key, text_hash, cut, n_chunks``: the lines that go, as an array of disjoint spans, and how many chunks they have."""
-    # Grouping by the passage itself compares bytes. Rows are sorted by the hashes first, which settles nearly all comparisons.
-    hashed = passages.withColumn("h1", F.xxhash64("passage")).withColumn("h2", F.xxhash64("passage", F.lit(1)))
-    same = hashed.groupBy("h1", "h2", "passage").agg(F.min(F.struct("key", "text_hash", "first", "before", "after")).alias("kept"), F.count("*").alias("n"))
-    found = Table(same.where("n > 1").select("h1", "h2", "kept"))
-    places = hashed.select("h1", "h2", "key", "text_hash", "first", "last", "before", "after").join(found.df, ["h1", "h2"])
-    again = places.where(F.struct("key", "text_hash", "first") != F.struct("kept.key", "kept.text_hash", "kept.first"))
-    behind, ahead = _common(F.col("after"), F.col("kept.after")), _common(F.reverse("before"), F.reverse(F.col("kept.before")))
-    # Repeated rows of a text count once; a chunk of a text has one kept chunk.
-    spans = again.groupBy("key", "text_hash", F.col("first").alias("own")).agg(F.min(F.col("first") - ahead).alias("first"), F.max(F.col("last") + behind).alias("last"))
-    # The lines around one passage can be those of another: spans that meet become one. A window holds one text's spans.
-    doc = Window.partitionBy("key", "text_hash").orderBy("first", "last")
-    fresh = F.coalesce(F.col("first") > F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    parts = spans.withColumn("fresh", fresh.cast("int")).withColumn("part", F.sum("fresh").over(doc))
-    joined = parts.groupBy("key", "text_hash", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
-    return written(joined.groupBy("key", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cut"), F.sum("n").alias("n_chunks")))
+    long = F.filter("full", lambda i: (F.length(F.get("lines", i - 1)) >= 2 * words - 1) & (F.regexp_count(F.get("lines", i - 1), F.lit(WORD)) >= words))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("full") - 1), lambda k: F.struct(F.get("full", k - 1).alias("first"), F.get("full", k).alias("last")))
+    spans = F.concat(F.when(F.size("full") > 1, pairs).otherwise(F.array().cast("array<struct<first:int,last:int>>")), F.transform(long, lambda i: F.struct(i.alias("first"), i.alias("last"))))
+    spread = hashed.select("key", "text_hash", "hs", F.explode(spans).alias("s"))
+    return spread.select("key", "text_hash", "s.first", "s.last", F.slice("hs", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1).alias("h"))
+
+
+def repeated(docs: DataFrame, key: str, text: str, words: int, seed: int) -> DataFrame:
+    """``key, text_hash, cut, seen``: the lines of each text that go, as spans in order, and all its spans that are repeated."""
+    every = Table(anchors(docs, key, text, words, seed))
+    # The anchors are counted before the join: a hot one is a row a task.
+    kept = Table(every.df.groupBy("h").agg(F.min(F.struct("key", "text_hash", "first", "last")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("h", "kept"))
+    met = every.df.join(kept.df.hint("merge"), "h")
+    own = F.struct("key", "text_hash", "first") == F.struct("kept.key", "kept.text_hash", "kept.first")
+    # An anchor that overlaps its own first occurrence leaves that whole.
+    same = (F.col("key") == F.col("kept.key")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    low = F.when(same, F.greatest(F.col("first"), F.col("kept.last") + 1)).otherwise(F.col("first"))
+    gone = F.when(~own & (low <= F.col("last")), F.struct(low.alias("first"), "last"))
+    # Repeated rows of a text give the same spans, so a text has no more of them than lines.
+    sets = Table(met.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set(gone)).alias("cut"), F.collect_set(F.struct("first", "last")).alias("seen")))
+    every.drop()
+    kept.drop()
+    return sets.df
+
+
+def _chunks(spans: Column) -> Column:
+    """Spans in order that touch or overlap as one. Of the anchors' spans none reaches beyond the two behind it."""
+    last = lambda k: F.coalesce(F.get(spans, k)["last"], F.lit(-1))
+    begins = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (k == 0) | (F.get(spans, k)["first"] > F.greatest(last(k - 1), last(k - 2), last(k - 3)) + 1))
+    end = lambda k: F.greatest(last(k - 1), last(k - 2), last(k - 3))
+    return F.transform(begins, lambda b, i: F.struct(F.get(spans, b)["first"].alias("first"), end(F.coalesce(F.get(begins, i + 1), F.size(spans))).alias("last")))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
     """``docs`` with repeated passages removed, and ``n_lines, removed_lines, removed_chunks`` beside the columns it has.
 
-    A passage has two lines that aren't blank, or a line of ``words`` words, and lies in one chunk; the lines around it
-    that are repeated with it go too. Passages are compared byte by byte, the lines around them by their MD5. The first
-    occurrence, by key and then by place, stays. Null and empty texts, and rows with a null key, come back as they are;
-    so do single lines of fewer words, however often they occur, and runs of blank lines. Repeated rows of one key are
-    one document; rows of one key with different texts are documents of their own, in the order of their hashes. A text
-    of which nothing is left is empty. Texts of any length are read whole. An empty table gives an empty result. Columns
-    of any other names pass through; if the input has columns of the new names, the new ones replace them.
+    A passage has two lines that aren't blank, with the blank ones between them, or one line of ``words`` words; passages
+    are equal if all their bytes are. The first occurrence, by key and then by place, stays, and so does some earlier
+    copy of every line that goes. Null and empty texts, and rows with a null key, come back as they are; so do single
+    lines of fewer words, however often they occur, and runs of blank lines. Repeated rows of one key are one document;
+    rows of one key with different texts are documents of their own, in the order of their hashes. A text of which
+    nothing is left is empty. ``removed_chunks`` counts the stretches of lines that went. Texts of any length are read
+    whole. An empty table gives an empty result. Columns of any other names pass through; if the input has columns of the
+    new names, the new ones replace them.
     """
     named = parallel(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text))
-    key_, hash_, cut_, n_, lines_ = unused(docs, "cut_key", "cut_hash", "cut", "n_chunks", "lines")
-    dropped = removed(chunks(named, key, text, words)).toDF(key_, hash_, cut_, n_)
-    # The removed spans grow with the table, so the join always shuffles, also where a small table would let it broadcast.
-    joined = docs.join(dropped.hint("merge"), (F.col(key) == F.col(key_)) & (F.xxhash64(text) == F.col(hash_)), "left")
+    key_, hash_, cut_, seen_, lines_ = unused(docs, "cut_key", "cut_hash", "cut", "seen", "lines")
+    seed = 0
+    while True:
+        spans = repeated(named, key, text, words, seed).toDF(key_, hash_, cut_, seen_)
+        # The spans grow with the table, so the join always shuffles, also where a small table would let it broadcast.
+        joined = Table(docs.join(spans.hint("merge"), (F.col(key) == F.col(key_)) & (F.xxhash64(text) == F.col(hash_)), "left").drop(key_, hash_))
+        # The lines of all repeated passages, each once: a hash that stands for two of them is of no use.
+        lines = joined.df.where(F.col(seen_).isNotNull()).select(once(F.split(text, "\n", -1)).alias("lines"), F.col(seen_).alias("seen"))
+        lines = lines.select(F.explode(F.flatten(F.transform("seen", lambda s: F.slice("lines", s["first"], s["last"] - s["first"] + 1)))).alias("line"))
+        twice = lines.groupBy(line_hash(F.col("line"), seed).alias("h"), "line").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+        if twice.isEmpty():
+            break
+        joined.drop()
+        seed += 1
     others = [c for c in docs.columns if c != text and c not in ("n_lines", "removed_lines", "removed_chunks")]
-    # What is left stands between the removed spans; a span behind the last line closes the list.
-    split = joined.select(*others, text, n_, once(F.split(text, "\n", -1)).alias(lines_), cut_)
+    merged = joined.df.select(*others, text, once(F.when(F.size(cut_) > 0, _chunks(F.col(cut_)))).alias(cut_))
+    # What is left stands between the removed chunks; a span behind the last line closes the list.
+    split = merged.select(*others, text, once(F.split(text, "\n", -1)).alias(lines_), cut_)
     end = F.size(lines_) + 1
-    closed = split.select(*others, text, n_, lines_, once(F.when(F.col(cut_).isNotNull(), F.concat(cut_, F.array(F.struct(end.alias("first"), end.alias("last")))))).alias(cut_))
+    closed = split.select(*others, text, lines_, once(F.when(F.col(cut_).isNotNull(), F.concat(cut_, F.array(F.struct(end.alias("first"), end.alias("last")))))).alias(cut_))
     before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col(cut_), k - 1)["last"])
     left = F.flatten(F.transform(cut_, lambda c, k: F.slice(lines_, before(k) + 1, c["first"] - 1 - before(k))))
     gone = F.aggregate(cut_, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1) - 1
@@ -115,7 +112,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         F.when(F.col(cut_).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text),
         F.coalesce(F.size(lines_), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(gone, F.lit(0)).cast("long").alias("removed_lines"),
-        F.coalesce(n_, F.lit(0)).cast("long").alias("removed_chunks"),
+        F.coalesce(F.size(cut_) - 1, F.lit(0)).cast("long").alias("removed_chunks"),
     )
 
 
@@ -126,34 +123,22 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 #: The same from ``documents`` with columns ``doc_id, text``, for DuckDB; used by the pipeline's test too.
 SQL_STEPS = """
-    lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {docs}),
-    hashed AS (
-        SELECT *, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h,
-            list_transform(l, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) >= 50) AS g FROM lines
+    lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs}),
+    filled AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\\x20\\x09-\\x0D]')) AS f FROM lines),
+    steps AS (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM filled),
+    anchors AS (
+        SELECT doc_id, f[k] AS first, f[k + 1] AS last, l[f[k]:f[k + 1]] AS own FROM steps WHERE k < len(f)
+        UNION ALL SELECT doc_id, f[k], f[k], [l[f[k]]] FROM steps WHERE len(regexp_extract_all(l[f[k]], '[^\\x20\\x09-\\x0D]+')) >= 50
     ),
-    marked AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: i >= 2 AND (h[i - 1] * 31 + h[i]) % 1000003 % 2 = 0) AS m FROM hashed),
-    ended AS (SELECT doc_id, l, g, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR g[i] OR g[i + 1] OR (i < len(l) - 1 AND m[i] AND NOT m[i - 1])) AS e FROM marked),
-    cut AS (
-        SELECT doc_id, k, first, last, l[first:last] AS own, g[first] AS long, CASE WHEN first > 1 THEN list_reverse(l[greatest(1, low):first - 1]) ELSE [] END AS before, l[last + 1:high] AS after FROM (
-            SELECT doc_id, l, g, k, CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END AS first, e[k] AS last, CASE WHEN k <= 2 THEN -1 ELSE e[k - 2] - 1 END AS low, coalesce(e[k + 1], e[k]) + 2 AS high
-            FROM (SELECT doc_id, l, g, e, unnest(range(1, len(e) + 1)) AS k FROM ended)
-        )
+    placed AS (SELECT *, first_value({{'d': doc_id, 'first': first, 'last': last}}) OVER (PARTITION BY own ORDER BY doc_id, first) AS kept FROM anchors),
+    gone_lines AS (
+        SELECT DISTINCT doc_id, unnest(range(CASE WHEN kept.d = doc_id THEN greatest(first, kept.last + 1) ELSE first END, last + 1)) AS i
+        FROM placed WHERE kept.d <> doc_id OR kept.first <> first
     ),
-    placed AS (
-        SELECT *, first_value(doc_id) OVER w AS kept_doc, first_value(k) OVER w AS kept_k
-        FROM cut WHERE long OR len(list_filter(own, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) >= 2 WINDOW w AS (PARTITION BY own ORDER BY doc_id, k)
-    ),
-    gone AS (SELECT * FROM placed WHERE (doc_id, k) <> (kept_doc, kept_k)),
-    around AS (
-        SELECT x.doc_id, x.first, x.last, len(list_filter(range(1, least(len(x.before), len(y.before)) + 1), lambda i: x.before[1:i] = y.before[1:i])) AS ahead,
-            len(list_filter(range(1, least(len(x.after), len(y.after)) + 1), lambda i: x.after[1:i] = y.after[1:i])) AS behind
-        FROM gone x JOIN cut y ON y.doc_id = x.kept_doc AND y.k = x.kept_k
-    ),
-    gone_lines AS (SELECT DISTINCT doc_id, unnest(range(first - ahead, last + behind + 1)) AS i FROM around),
     line_rows AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines),
     kept_lines AS (SELECT r.* FROM line_rows r ANTI JOIN gone_lines g ON g.doc_id = r.doc_id AND g.i = r.i),
     rebuilt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM kept_lines GROUP BY doc_id),
-    totals AS (SELECT doc_id, count(*) AS removed_chunks FROM gone GROUP BY doc_id),
+    totals AS (SELECT doc_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM gone_lines b WHERE b.doc_id = g.doc_id AND b.i = g.i - 1)) AS removed_chunks FROM gone_lines g GROUP BY doc_id),
     sizes AS (SELECT doc_id, count(*) AS removed_lines FROM gone_lines GROUP BY doc_id)
 """
 

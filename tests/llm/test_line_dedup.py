@@ -94,14 +94,36 @@ def test_any_column_names(spark):
     assert [r.text for r in got] == ["a\nb\nc", "", ""] and all(r[n] == str(r.doc_id) for r in got for n in names)
 
 
-def test_two_passages_of_one_hash(spark, monkeypatch):
-    # Even then each passage goes by its own bytes, as a second hash tells them apart.
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    # With the first seed all lines have one of two hashes; that is seen by their bytes, and another seed is taken.
     from pyspark.sql import functions as F
 
-    real = F.xxhash64
-    monkeypatch.setattr(L.F, "xxhash64", lambda *c: F.lit(7).cast("long") if c == ("passage",) else real(*c))
-    texts = ["a\nb\nc", "a\nb\nc", "x\ny\nz", "x\ny\nz"]
-    assert [r.text for r in sorted(dedup(spark, texts), key=lambda r: r.doc_id)] == ["a\nb\nc", "", "x\ny\nz", ""]
+    real, seeds = L.line_hash, []
+
+    def poor(line, seed):
+        seeds.append(seed)
+        return F.length(line).cast("long") % 2 if seed == 0 else real(line, seed)
+
+    monkeypatch.setattr(L, "line_hash", poor)
+    texts = ["a\nb\nc", "a\nb\nc", "x\ny\nz", "x\ny\nz", "q\nr"]
+    assert [r.text for r in sorted(dedup(spark, texts), key=lambda r: r.doc_id)] == ["a\nb\nc", "", "x\ny\nz", "", "q\nr"]
+    assert 1 in seeds
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 8, 12])
+def test_short_passages_between_other_texts(spark, size):
+    rng = random.Random(size)
+    shared = [lines(rng, size) for _ in range(8)]
+    texts = ["\n".join([*lines(rng, rng.randint(0, 6)), *p, *lines(rng, rng.randint(0, 6))]) for p in shared for _ in range(3)]
+    got = sorted(dedup(spark, texts), key=lambda r: r.doc_id)
+    assert [r.removed_lines for r in got] == [0, size, size] * 8
+    assert [r.removed_chunks for r in got] == [0, 1, 1] * 8
+
+
+def test_an_earlier_copy_of_every_line_stays(spark):
+    texts = ["A\nB", "A\nB\nC", "B\nC\nD", "A\nA\nA\nA", "x\n\ny", "x\n\ny\nz", "x\n \ny"]
+    got = [r.text for r in sorted(dedup(spark, texts), key=lambda r: r.doc_id)]
+    assert got == ["A\nB", "C", "D", "A\nA", "x\n\ny", "z", "x\n \ny"]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -109,37 +131,18 @@ def test_brute_force(spark, seed):
     rng = random.Random(seed)
     pool = [*lines(rng, 12, 3), "", " ", *[" ".join(f"w{i}{k}" for i in range(60)) for k in range(2)]]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 16))) for _ in range(30)]
-    import hashlib
-
-    def cut(text):
-        ls = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in ls]
-        mark = [i > 0 and (h[i - 1] * 31 + h[i]) % 1_000_003 % 2 == 0 for i in range(len(ls))]
-        big = [len(x.split()) >= 50 for x in ls]
-        n = len(ls)
-        ends = [i for i in range(n) if i == n - 1 or big[i] or big[i + 1] or (i < n - 2 and mark[i] and not mark[i - 1])]
-        return [(a, ls[a : e + 1]) for a, e in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
-
-    cuts = [cut(t) for t in texts]
     first, gone = {}, [set() for _ in texts]
-    same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    for d, parts in enumerate(cuts):
-        for k, (at, c) in enumerate(parts):
-            if sum(bool(x.strip()) for x in c) < 2 and len(c[0].split()) < 50:
-                continue
-            d0, k0 = first.setdefault(tuple(c), (d, k))
-            if (d0, k0) == (d, k):
-                continue
-            gone[d] |= set(range(at, at + len(c)))
-
-            def beside(d, k):
-                ls, at, size = texts[d].split("\n"), cuts[d][k][0], len(cuts[d][k][1])
-                before = len(cuts[d][k - 1][1]) + 2 if k else 0
-                after = len(cuts[d][k + 1][1]) + 2 if k + 1 < len(cuts[d]) else 0
-                return ls[max(0, at - before) : at][::-1], ls[at + size : at + size + after]
-
-            (up, down), (up0, down0) = beside(d, k), beside(d0, k0)
-            gone[d] |= set(range(at - same(up, up0), at + len(c) + same(down, down0)))
+    for d, text in enumerate(texts):
+        ls = text.split("\n")
+        full = [i for i, x in enumerate(ls) if x.strip()]
+        spans = [(a, b) for a, b in zip(full, full[1:], strict=False)] + [(a, a) for a in full if len(ls[a].split()) >= 50]
+        for a, b in sorted(spans):
+            d0, a0, b0 = first.setdefault(tuple(ls[a : b + 1]), (d, a, b))
+            if (d0, a0) != (d, a):
+                gone[d] |= set(range(max(a, b0 + 1) if d0 == d else a, b + 1))
     want = ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(texts)]
     got = sorted(dedup(spark, texts), key=lambda r: r.doc_id)
     assert [r.text for r in got] == want and [r.removed_lines for r in got] == [len(g) for g in gone]
+    assert [r.removed_chunks for r in got] == [sum(i - 1 not in g for i in g) for g in gone]
+    # What went is still there.
+    assert {x for t in want for x in t.split("\n")} >= {x for t in texts for x in t.split("\n") if x.strip()}
