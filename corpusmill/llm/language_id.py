@@ -1,8 +1,9 @@
 """Language identification by Bayesian fusion of what a text, its markup, its address and its host suggest.
 
 A naive Bayes model over hashed byte trigrams gives the likelihood of a text under each language. Text in no known
-language shows in trigrams that the likeliest language doesn't have: of a text in it a fixed share is known, of another a
-smaller one, and the ratio of these odds is the evidence for "no known language". The declared language and the country
+language shows in trigrams that the likeliest language doesn't have. How many it has by chance is computed from the model:
+the share of known ones among trigrams of letters drawn at random from all labelled texts. A text whose share is no better is more probably in
+none; how much more is the divergence of the two shares, for each trigram. The declared language and the country
 suffix of the address multiply it by how often such hints are right. The prior comes from the host: how many of its texts are in each
 language, smoothed towards the registered domain, that towards the suffix and that towards the whole table, all by
 grouped aggregation of counts.
@@ -11,7 +12,7 @@ grouped aggregation of counts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import map_arrow, parallel, written
-from corpusmill.llm.url_filter import domain_of, host_of, suffix_of
+from corpusmill.llm.url_filter import host_of, registered, suffix_table
 
 CELLS = 1 << 16
 TRAIN_ROWS = 4000  # labelled texts, on average, that the model is fitted on, whatever the table's size
-LABELS = 256  # languages at most, the most frequent ones: with more labels than that, most are no languages
 OVERLAP = 3  # trigrams that share each byte, so a text counts as a third as many independent ones
-KNOWN, STRANGE = 0.8, 0.35  # share of a text's trigrams that its own language has, and that another's best match has
+PRIOR = 300  # trigrams of all languages together that each language holds beside its own
+PIECE = 1 << 20  # bytes of text that are looked at together
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
 SMOOTHING = 5.0  # texts of its parent that a host's prior holds beside its own
 UNKNOWN = "und"
@@ -34,25 +35,48 @@ UNKNOWN = "und"
 COUNTRY_LANGUAGE = {"ar": "es", "at": "de", "au": "en", "de": "de", "es": "es", "fr": "fr", "ie": "en", "mx": "es", "nz": "en", "uk": "en", "us": "en"}
 
 
+def padded(text: bytes) -> bytes:
+    """A blank before the text and two behind it, so that its ends are trigrams too."""
+    return b" " + text + b"  "
+
+
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts end to end, the hash of the trigram at each, and how many bytes each text has.
+    """The bytes of all (padded) texts end to end, the hash of the trigram at each, and how many bytes each text has.
 
-    Texts are lower-cased (A-Z); white space, digits and ASCII punctuation all count as a blank. Each text gets a blank
-    before and two behind, and the trigrams that span two texts have the hash -1.
+    Texts are lower-cased (A-Z); white space, digits and ASCII punctuation all count as a blank. Trigrams that begin with
+    two blanks, or span two texts, have the hash -1.
     """
-    whole = np.frombuffer(b"".join(b" " + t + b"  " for t in texts), np.uint8)
-    data = _FOLD[whole]
-    sizes = np.fromiter((len(t) + 3 for t in texts), np.int64, len(texts))
+    data = _FOLD[np.frombuffer(b"".join(texts), np.uint8)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.full(len(data), -1, np.int64)
     if len(data) > 2:
-        codes[:-2] = ((data[:-2].astype(np.int64) * 961 + data[1:-1]) * 961 + data[2:]) * 2654435761 % (1 << 32) >> 16
-        blank = (data[:-2] == 32) & (data[1:-1] == 32)
-        codes[:-2][blank] = -1
+        codes[:-2] = _hash(data[:-2].astype(np.int64), data[1:-1], data[2:])
+        codes[:-2][(data[:-2] == 32) & (data[1:-1] == 32)] = -1
     ends = np.cumsum(sizes)
     codes[ends - 1] = codes[ends - 2] = -1
     return data, codes, sizes
 
 
+def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((a * 961 + b) * 961 + c) * 2654435761 % (1 << 32) >> 16
+
+
+def pieces(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Padded texts, with their numbers, some at a time; a very long one in pieces that share two bytes."""
+    numbers, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        whole = padded(text)
+        for at in range(0, max(1, len(whole) - 2), PIECE):
+            numbers.append(k)
+            held.append(whole[at : at + PIECE + 2])
+            size += len(held[-1])
+            if size >= PIECE:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+    if held:
+        yield numbers, held
+
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -60,43 +84,90 @@ _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 
 @dataclass
 class Model:
-    """Log-likelihoods of trigram hashes by language, and which of them each language has."""
+    """Trigram hashes of each language, by hash: languages ``lang[start[c]:start[c + 1]]`` have c."""
 
     languages: list[str]
-    cells: np.ndarray  # languages x CELLS
-    seen: np.ndarray  # languages x CELLS
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray  # log-likelihood of the trigram in that language, beyond one that hasn't seen it
+    common: np.ndarray  # log-likelihood of each hash in all languages together
+    alone: np.ndarray  # log-share of that in each language
+    chance: float  # share of the trigrams of random letters that the best fitting language has
+
+    @classmethod
+    def of(cls, languages: list[str], lang: np.ndarray, cell: np.ndarray, n: np.ndarray) -> Model:
+        """From counts of trigram hashes; counts from ``CELLS`` on are those of letters."""
+        letters = cell >= CELLS
+        frequency = np.bincount(cell[letters] - CELLS, n[letters], 256)
+        order = np.flatnonzero(~letters)[np.argsort(cell[~letters], kind="stable")]
+        lang, cell, n = lang[order], cell[order], n[order].astype(float)
+        every = np.bincount(cell, n, CELLS) + 0.01
+        every /= every.sum()
+        totals = np.bincount(lang, n, len(languages))
+        drawn = drawn_cells(frequency)
+        chances = np.bincount(lang, drawn[cell], len(languages))
+        return cls(languages, np.searchsorted(cell, np.arange(CELLS + 1)), lang, np.log1p(n / (PRIOR * every[cell])), np.log(every), np.log(PRIOR / (totals + PRIOR)), chances.max(initial=0.0))
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's mean log-likelihood of a trigram under each language and under none; its trigrams."""
-        if not texts:
-            return np.zeros((0, len(self.languages) + 1)), np.zeros(0, np.int64)
-        _, codes, sizes = trigrams(texts)
-        starts, use = np.cumsum(sizes) - sizes, codes >= 0
-        n = np.add.reduceat(use.astype(np.int64), starts)
-        if not self.languages:
+        width = len(self.languages)
+        n, sums, known = np.zeros(len(texts), np.int64), np.zeros((len(texts), width)), np.zeros((len(texts), width))
+        for numbers, held in pieces(texts):
+            _, codes, sizes = trigrams(held)
+            use = codes >= 0
+            text, code = np.repeat(numbers, sizes)[use], codes[use]
+            n += np.bincount(text, minlength=len(texts))
+            if width:
+                sums += np.bincount(text, self.common[code], len(texts))[:, None]
+                many = self.start[code + 1] - self.start[code]
+                at = np.arange(many.sum()) + np.repeat(self.start[code] - np.cumsum(many) + many, many)
+                flat = np.repeat(text, many) * width + self.lang[at]
+                sums += np.bincount(flat, self.gain[at], sums.size).reshape(sums.shape)
+                known += np.bincount(flat, minlength=sums.size).reshape(sums.shape)
+        if not width:
             return np.zeros((len(texts), 1)), n
-        at = np.where(use, codes, 0)
-        sums = np.stack([np.add.reduceat(np.where(use, row[at], 0.0), starts) for row in self.cells], axis=1)
+        sums += n[:, None] * self.alone
         best = sums.argmax(axis=1)
-        known = np.add.reduceat(use & self.seen[np.repeat(best, sizes), at], starts, dtype=np.int64)
-        none = sums[np.arange(len(texts)), best] + known * math.log(STRANGE / KNOWN) + (n - known) * math.log((1 - STRANGE) / (1 - KNOWN))
+        rows = np.arange(len(texts))
+        none = sums[rows, best] - n * evidence(known[rows, best] / np.maximum(n, 1), self.chance)
         return np.column_stack((sums, none)) / np.maximum(n, 1)[:, None], n
 
 
+def drawn_cells(letters: np.ndarray) -> np.ndarray:
+    """How probable each trigram hash is if letters are drawn one by one, as often as they are counted."""
+    if not letters.any():
+        return np.zeros(CELLS)
+    there = np.flatnonzero(letters)
+    p = letters[there] / letters.sum()
+    a, b, c = (x.astype(np.int64) for x in np.meshgrid(there, there, there, indexing="ij"))
+    weight = p[:, None, None] * p[None, :, None] * p[None, None, :] * ~((a == 32) & (b == 32))
+    cells = np.bincount(_hash(a, b, c).ravel(), weight.ravel(), CELLS)
+    return cells / max(cells.sum(), 1e-300)
+
+
+def evidence(share: np.ndarray, chance: float) -> np.ndarray:
+    """For a known language, by trigram: the divergence of the share of known ones from chance; negative where it is less."""
+    low = 1e-9
+    q, s = np.clip(share, low, 1 - low), min(max(chance, low), 1 - low)
+    return np.sign(q - s) * (q * np.log(q / s) + (1 - q) * np.log((1 - q) / (1 - s)))
+
+
 def _count(languages: list[str]):
-    """For each partition and language the counts of trigram hashes."""
+    """For each partition and language the counts of trigram hashes, and of letters behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((len(languages), CELLS), np.int64)
+        counts: dict[str, np.ndarray] = {}
         place = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                codes = trigrams([text])[1]
-                cells[place[lang]] += np.bincount(codes[codes >= 0], minlength=CELLS)
-        for i in range(len(languages)):
-            at = np.flatnonzero(cells[i])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(cells[i][at])], names=["lang", "cell", "n"])
+                own = counts.setdefault(lang, np.zeros(CELLS + 256, np.int64))
+                for _, held in pieces([text]):
+                    data, codes, _ = trigrams(held)
+                    own[:CELLS] += np.bincount(codes[codes >= 0], minlength=CELLS)
+                    own[CELLS:] += np.bincount(data, minlength=256)
+        for lang, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place[lang], np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "cell", "n"])
 
     return run
 
@@ -104,23 +175,18 @@ def _count(languages: list[str]):
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """A model from a sample of about ``rows`` labelled texts, drawn by the hash of key and text; smaller tables whole.
 
-    Repeated rows are drawn together and count once, so the sample is no larger for them. What comes to the driver is a
-    row for each label, ``LABELS`` at most (the most frequent ones, then by name), and for each trigram hash seen, at
-    most 65,536 a language. Rows without text or label don't count; without any there are no languages.
+    Repeated rows are drawn together and count once, so the sample is no larger for them. The languages are those of the
+    sample, however many. What comes to the driver is a row for each of them and for each trigram hash that the sample
+    has in it. Rows without text or label don't count; without any there are no languages.
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(key, text).alias("draw"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")))
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    languages = sorted(r[0] for r in counts.orderBy(F.desc("n"), "lang").limit(LABELS).collect())
+    n = usable.count()
     span = 1 << 20
-    drawn = usable.where((F.pmod("draw", F.lit(span)) < span * rows / max(n, rows)) & F.col("lang").isin(languages))
-    once = drawn.groupBy("draw", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+    drawn = usable.where(F.pmod("draw", F.lit(span)) < span * rows / max(n, rows))
+    once = written(drawn.groupBy("draw", "lang").agg(F.min("text").alias("text")).select("lang", "text"))
+    languages = sorted(r[0] for r in once.select("lang").distinct().collect())
     counted = map_arrow(parallel(once), _count(languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    cells = np.zeros((len(languages), CELLS))
-    cells[counted["lang"], counted["cell"]] = counted["n"]
-    # A trigram unseen in a language gets part of what it has in all of them together.
-    every = (cells.sum(axis=0) + 0.01) / (cells.sum() + 0.01 * CELLS)
-    return Model(languages, np.log((cells + 300 * every) / (cells.sum(axis=1, keepdims=True) + 300)), cells > 0)
+    return Model.of(languages, *(counted[c].to_numpy() for c in ("lang", "cell", "n")))
 
 
 def _score(model: Model):
@@ -128,7 +194,7 @@ def _score(model: Model):
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             means, counts = [], []
-            for i in range(0, len(texts), 256):  # a few megabytes at a time
+            for i in range(0, len(texts), 256):  # a bounded table of texts and languages at a time
                 mean, n = model.score(texts[i : i + 256])
                 means.append(mean)
                 counts.append(n)
@@ -143,27 +209,32 @@ def _score(model: Model):
 def _hint(value: Column, languages: list[str], right: float) -> Column:
     """Log-likelihoods of a hint under each language and the background; nothing where the hint names none of them."""
     other = math.log((1 - right) / max(1, len(languages) - 1))
-    rows = F.array(*[F.when(value == x, math.log(right)).otherwise(other) for x in languages], F.lit(-math.log(max(1, len(languages)))))
-    return F.when(value.isin(languages), rows).otherwise(F.array(*[F.lit(0.0)] * (len(languages) + 1)))
+    names = F.array(*map(F.lit, languages)) if languages else F.array().cast("array<string>")
+    rows = F.concat(F.transform(names, lambda x: F.when(value == x, math.log(right)).otherwise(other)), F.array(F.lit(-math.log(max(1, len(languages))))))
+    return F.when(F.array_contains(names, value), rows).otherwise(F.array_repeat(F.lit(0.0), len(languages) + 1))
 
 
-def _priors(counted: DataFrame, languages: list[str]) -> DataFrame:
-    """``host, prior``: the share of each language, smoothed from the table over suffix and domain to the host."""
-    every = [*languages, UNKNOWN]
-    sums = [F.sum(F.when(F.col("guess") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(len(every))]
-    hosts = written(counted.groupBy("host").agg(*sums).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
-    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(every))]
-    row = F.array(*[F.col(f"n{i}") for i in range(len(every))])
-    total = F.aggregate(row, F.lit(0.0), lambda a, x: a + x)
-    toward = lambda parent: F.transform(F.arrays_zip(row.alias("n"), F.col(parent).alias("p")), lambda x: (x["n"] + SMOOTHING * x["p"]) / (total + SMOOTHING))
-    top = hosts.agg(*again).select(F.transform(row, lambda x: (x + 1) / (total + len(every))).alias("top"))
-    suffixes = hosts.groupBy("suffix").agg(*again).join(F.broadcast(top), F.lit(True)).select("suffix", toward("top").alias("above"))
-    domains = hosts.groupBy("domain", "suffix").agg(*again).join(suffixes, "suffix").select("domain", toward("above").alias("around"))
-    return hosts.join(domains, "domain").select("host", toward("around").alias("prior"))
+def _priors(counted: DataFrame, languages: list[str], suffixes: DataFrame) -> DataFrame:
+    """``host, prior`` from ``host, guess, n``: the share of each language, smoothed from the table over suffix and domain to the host."""
+    size = len(languages) + 1
+    placed = written(counted.join(registered(counted.select("host").distinct(), suffixes), "host"))
+
+    def tally(*by: str) -> DataFrame:
+        """A row's counts as an array over the languages and none."""
+        sums = placed.groupBy(*by, "guess").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("m"))
+        row = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
+        return sums.select(*by, row.alias("row")).withColumn("total", F.aggregate("row", F.lit(0.0), lambda a, x: a + x))
+
+    toward = lambda parent: F.zip_with("row", parent, lambda n, p: (n + SMOOTHING * p) / (F.col("total") + SMOOTHING))
+    top = tally().select(F.transform("row", lambda x: (x + 1) / (F.col("total") + size)).alias("top"))
+    # One row.
+    above = tally("suffix").join(F.broadcast(top), F.lit(True)).select("suffix", toward("top").alias("above"))
+    around = tally("domain", "suffix").join(above, "suffix").select("domain", toward("above").alias("around"))
+    return tally("host", "domain").join(around, "domain").select("host", toward("around").alias("prior"))
 
 
-def identify(texts: DataFrame, model: Model, text: Column, declared: Column, host: Column, key: str) -> DataFrame:
-    """``key, host, declared, lang, posterior, trigrams`` for every row.
+def identify(texts: DataFrame, model: Model, text: Column, declared: Column, host: Column, key: str, suffixes: DataFrame | None = None) -> DataFrame:
+    """``key, host, declared, lang, posterior, unknown, trigrams`` for every row; ``unknown`` is the posterior of no language.
 
     ``lang`` is the most probable language, or ``und`` if none is; equal ones go to the first in order, ``und`` last. A
     text without letters has no trigrams and rests on its hints and its host. Nulls in the text, the declaration or the
@@ -182,27 +253,28 @@ def identify(texts: DataFrame, model: Model, text: Column, declared: Column, hos
     fused = written(scored.select("key", "declared", "host", "trigrams", F.transform(hints, lambda x: x["a"] + x["b"] + x["m"] * weight).alias("evidence")))
     guess = F.array_position("evidence", F.array_max("evidence")) - 1
     # Counted before the join: a host with a third of all rows is a few rows a task.
-    priors = written(_priors(fused.groupBy("host", guess.alias("guess")).agg(F.count("*").alias("n")), languages))
+    priors = written(_priors(fused.groupBy("host", guess.alias("guess")).agg(F.count("*").alias("n")), languages, suffix_table(texts.sparkSession) if suffixes is None else suffixes))
     joined = fused.join(priors, "host").withColumn("logs", F.transform(F.arrays_zip("evidence", "prior"), lambda x: x["evidence"] + F.log(x["prior"])))
     top = F.array_max("logs")
     mass = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     lang = F.element_at(F.array(*map(F.lit, every)), F.array_position("logs", top).cast("int"))
-    return joined.select(F.col("key").alias(key), "host", "declared", lang.alias("lang"), (1 / mass).alias("posterior"), "trigrams")
+    return joined.select(F.col("key").alias(key), "host", "declared", lang.alias("lang"), (1 / mass).alias("posterior"), (F.exp(F.element_at("logs", -1) - top) / mass).alias("unknown"), "trigrams")
 
 
-CONFIDENT = 0.5
+CONFIDENT = 0.5  # posterior of all known languages together that a text needs
 
 
 def keep_known(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` whose language is known with a posterior of at least one half.
+    """The rows of ``docs`` that are in some known language with a posterior of at least one half.
 
-    Rejected are texts without any letter (null and empty ones too) and texts with too many trigrams that their likeliest
-    language doesn't have. Rows with a null key are kept: they can't be looked up. If rows share a key, all go if one
-    does. Columns of any other names pass through.
+    Rejected are texts without any letter (null and empty ones too) and texts of whose trigrams their likeliest language
+    has no more than chance. Rows with a null key are kept: they can't be looked up. If rows share a key, all go if one
+    does. Texts of any length are scored whole. An empty table gives an empty result. Columns of any other names pass
+    through.
     """
     named = docs.where(F.col(key).isNotNull()).select(*{c: F.col(c) for c in (key, text, declared, host)}.values())
     judged = identify(named, model, F.col(text), F.col(declared), F.col(host), key)
-    bad = judged.where((F.col("lang") == UNKNOWN) | (F.col("posterior") < CONFIDENT) | (F.col("trigrams") == 0)).select(key).distinct()
+    bad = judged.where((F.col("unknown") > 1 - CONFIDENT) | (F.col("trigrams") == 0)).select(key).distinct()
     return docs.join(written(bad).hint("merge"), key, "left_anti").select(*docs.columns)
 
 
@@ -218,4 +290,4 @@ def op6(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     declared = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z-]+)", 1)
     found = identify(pages, model, visible_text(F.col("html")), declared, host_of(F.col("url")), "page_id")
-    return found.withColumn("posterior", F.round("posterior", 6))
+    return found.drop("unknown").withColumn("posterior", F.round("posterior", 6))

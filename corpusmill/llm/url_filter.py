@@ -8,13 +8,20 @@ posterior rate is above the threshold. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import written
 
-#: A country's suffix of two labels, under which domains are registered: a kind of registrant, then the country.
-TWO_LABEL_SUFFIX = r"^(ac|co|com|ed|edu|gob|go|gov|gouv|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$"
+#: Suffixes below which anyone registers, beside single labels. By the country or the domain they stand under.
+SUFFIXES = {
+    "ar": "com edu gob net org", "au": "asn com edu gov id net org", "br": "blog com edu gov net org", "cn": "ac com edu gov net org", "es": "com edu gob nom org", "fr": "asso com gouv nom", "hk": "com edu gov net org", "il": "ac co gov net org",
+    "in": "ac co edu firm gen gov ind net nic org res", "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or re", "mx": "com edu gob net org", "nz": "ac co geek gen govt net org school", "pl": "com edu gov net org", "sg": "com edu gov net org",
+    "tr": "com edu gov net org", "tw": "com edu gov net org", "uk": "ac co gov ltd me net nhs org plc police sch", "za": "ac co edu gov net org",
+    "com": "blogspot firebaseapp herokuapp wordpress", "io": "github gitlab readthedocs", "app": "netlify vercel web", "dev": "pages workers", "net": "azurewebsites cloudfront",
+}
+#: A star stands for any label, and an exclamation mark takes a name out of such a rule.
+WIDE_SUFFIXES = ("*.ck", "!www.ck", "*.er", "*.fk", "*.kh", "*.mm", "*.np", "*.pg")
 #: The rules of the registered query.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 Z, THRESHOLD = 1.645, 0.5
@@ -30,23 +37,40 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(F.rlike(two, F.lit(TWO_LABEL_SUFFIX)), two).otherwise(F.substring_index(host, ".", -1))
+def suffix_rules() -> list[str]:
+    return sorted([f"{name}.{top}" for top, names in SUFFIXES.items() for name in names.split()] + list(WIDE_SUFFIXES))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: one label more than the suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(F.rlike(two, F.lit(TWO_LABEL_SUFFIX)), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_table(spark: SparkSession) -> DataFrame:
+    """``rule``: the suffixes of this module; pass a whole list of public suffixes in its place where there is one."""
+    return spark.createDataFrame([(r,) for r in suffix_rules()], "rule string")
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """``host, n_labelled, bound`` from rows ``host, n, k`` (labelled pages, and the bad ones among them).
+def registered(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``host, suffix, domain`` of distinct hosts: the registered domain has one label more than its public suffix.
+
+    Rules are names (``co.uk``), names below any label (``*.ck``) and exceptions from these (``!www.ck``, whose suffix is one
+    label shorter). An exception wins, else the longest suffix; without a rule the last label is the suffix. The ends of a
+    host meet the rules by equality, so the list may be of any length.
+    """
+    labels = lambda c: F.size(F.split(c, "[.]"))
+    exact = suffixes.select(F.regexp_replace("rule", r"^(!|[*][.])", "").alias("tail"), F.col("rule").startswith("!").alias("out"), F.col("rule").startswith("*.").alias("wide"))
+    spans = exact.select("tail", "out", (labels("tail") + F.when(F.col("out"), -1).when(F.col("wide"), 1).otherwise(0)).alias("span"))
+    best = spans.groupBy("tail").agg(F.max(F.struct("out", "span")).alias("s"))
+    tails = hosts.select("host", F.explode(F.expr(r"transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")).alias("tail"))
+    # A star needs a label to stand for.
+    met = tails.join(best, "tail").where(F.col("s.span") <= labels("host")).groupBy("host").agg(F.max("s").alias("s"))
+    span = F.greatest(F.lit(1), F.coalesce("s.span", F.lit(1)))
+    cut = lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n)
+    return hosts.select("host").join(met, "host", "left").select("host", cut(span).alias("suffix"), cut(span + 1).alias("domain"))
+
+
+def reputations(outcomes: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``host, n_labelled, bound`` from distinct hosts ``host, n, k`` (labelled pages, and the bad ones among them).
 
     Hosts without labelled pages (n = 0) get what their domain suggests. ``bound`` is the lower bound of the bad rate.
     """
-    hosts = outcomes.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
+    hosts = written(outcomes.join(registered(outcomes, suffixes), "host").select("host", "domain", "suffix", "n", "k"))
     # One row, of sums over hosts.
     total = hosts.where("n > 0").agg(F.sum("n").alias("n_all"), F.sum("k").alias("k_all"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("g"), F.sum(F.expr("k * k / n")).alias("kkn"))
     rate = "CASE WHEN n_all > 0 THEN k_all / n_all ELSE 0D END"
@@ -76,8 +100,8 @@ def fitting_rules(parsed: DataFrame, hosts: DataFrame, rules: DataFrame) -> Data
     return best.select("host", "path", F.struct("r.rule", "r.verdict").alias("r"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """``key, host, path, rule, verdict, n_labelled`` for every row of ``pages``.
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
+    """``key, host, path, rule, verdict, n_labelled`` for every row of ``pages``; ``suffixes`` as in ``registered``.
 
     The longest rule that fits decides (of equal rules, the first by verdict); else the host's reputation. ``labels`` has
     ``key`` and ``bad`` (0 or 1, null: no label); several labels of a key count as bad if one is. A null or relative url
@@ -88,7 +112,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: DataFrame, key: str
     outcomes = written(labels.where(F.col("bad").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("bad").alias("bad")))
     judged = parsed.select("key", "host").join(outcomes, "key", "left")
     hosts = written(judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k")))
-    known = written(reputations(hosts))
+    known = written(reputations(hosts, suffix_table(pages.sparkSession) if suffixes is None else suffixes))
     ruled = fitting_rules(parsed, hosts, rules)
     named = parsed.join(known, "host").join(ruled, ["host", "path"], "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("bound") > THRESHOLD, "block").otherwise("allow"))
@@ -101,22 +125,24 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels, spark.createDataFrame(list(RULES), "rule string, verdict string"))
 
 
-def _sql_label(n: int, host: str = "host") -> str:
-    return f"array_to_string(string_split({host}, '.')[-{n}:], '.')"
-
-
-_TWO = f"regexp_matches({_sql_label(2)}, '{TWO_LABEL_SUFFIX}')"
 ORACLE = f"""
     WITH p AS (
         SELECT page_id,
             translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
     ), l AS (SELECT doc_id AS page_id, max(CAST(toxic = 1 OR quality = 0 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+    rules(rule) AS (VALUES {", ".join(f"('{r}')" for r in suffix_rules())}),
+    tails AS (SELECT host, string_split(host, '.') AS parts, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM (SELECT DISTINCT host FROM p)),
+    ends AS (SELECT host, parts, i, array_to_string(parts[-i:], '.') AS tail FROM tails),
+    spans AS (
+        SELECT host, any_value(parts) AS parts, max(CASE WHEN rule = tail THEN i WHEN rule = '*.' || tail AND len(parts) > i THEN i + 1 END) AS span2,
+            max(i - 1) FILTER (rule = '!' || tail) AS out
+        FROM ends LEFT JOIN rules ON rule IN (tail, '!' || tail, '*.' || tail) GROUP BY host
+    ),
+    sized AS (SELECT host, parts, coalesce(out, span2, 1) AS span FROM spans),
     h AS (
-        SELECT host, CASE WHEN {_TWO} THEN {_sql_label(3)} ELSE {_sql_label(2)} END AS domain,
-            CASE WHEN {_TWO} THEN {_sql_label(2)} ELSE {_sql_label(1)} END AS suffix,
-            count(bad) AS n, coalesce(CAST(sum(bad) AS BIGINT), 0) AS k
-        FROM p LEFT JOIN l USING (page_id) GROUP BY ALL
+        SELECT host, array_to_string(parts[-(span + 1):], '.') AS domain, array_to_string(parts[-span:], '.') AS suffix, count(bad) AS n, coalesce(CAST(sum(bad) AS BIGINT), 0) AS k
+        FROM p JOIN sized USING (host) LEFT JOIN l USING (page_id) GROUP BY ALL
     ), t AS (SELECT sum(n) AS n_all, sum(k) AS k_all, sum(n * n) AS nn, count(*) AS g, sum(k * k / n) AS kkn FROM h WHERE n > 0),
     q AS (SELECT *, CASE WHEN n_all > 0 THEN k_all / n_all ELSE 0 END AS p FROM t),
     b AS (SELECT p, CASE WHEN g > 1 AND n_all - nn / n_all > 0 THEN (kkn - k_all * p - (g - 1) * p * (1 - p)) / (n_all - nn / n_all) END AS between_hosts FROM q),

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -85,6 +86,23 @@ FOREIGN = (
 )
 
 
+#: Sentences as people write them, which the model's invented prose has none of.
+NATURAL = {
+    "en": ("The quick brown fox jumps over the lazy dog while engineers debug the compiler output.", "She walked to the market and bought some fresh bread before the rain began to fall.", "Scientists have discovered that the ancient river changed its course several times."),
+    "de": ("Die Regierung hat gestern beschlossen, die Steuern im nächsten Jahr zu senken.", "Am Wochenende fahren wir mit dem Zug nach München und besuchen unsere Freunde.", "Der alte Mann saß auf der Bank und fütterte die Vögel mit trockenem Brot."),
+    "fr": ("Le gouvernement a annoncé hier une nouvelle réforme des retraites pour les fonctionnaires.", "Nous sommes allés à la plage hier soir pour regarder le coucher du soleil.", "Les enfants jouent dans le jardin pendant que leurs parents préparent le dîner."),
+    "es": ("El gobierno anunció ayer una nueva reforma de las pensiones para los trabajadores.", "Mañana iremos a la playa con nuestros amigos si el tiempo lo permite.", "La niña compró un libro de cuentos en la librería del centro de la ciudad."),
+}
+
+
+def test_natural_sentences_stay(spark, model):
+    rows = [(10 * k + i, t, None, f"h{k}{i}") for k, ts in enumerate(NATURAL.values()) for i, t in enumerate(ts)]
+    got = ident(spark, model, rows)
+    assert {i: got[i].lang for i in got} == {10 * k + i: lang for k, (lang, ts) in enumerate(NATURAL.items()) for i in range(len(ts))}
+    docs = spark.createDataFrame([(i, t, got[i].lang, "s", 0) for i, t, _, _ in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    assert L.keep_known(docs, model).count() == len(rows)
+
+
 def test_other_languages_are_unknown(spark, docs, model):
     got = ident(spark, model, [(i, t, None, f"h{i}") for i, t in enumerate(FOREIGN)])
     assert [got[i].lang for i in range(len(FOREIGN))] == ["und"] * len(FOREIGN)
@@ -93,16 +111,48 @@ def test_other_languages_are_unknown(spark, docs, model):
     assert short.where("lang = 'und'").count() <= 0.01 * short.count()
 
 
-def test_labels_and_draws_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(L, "LABELS", 2)
-    rows = [(None, "aaa bbb ccc", "a")] * 500 + [(i, f"ddd eee f{i}", "b") for i in range(50)] + [(1000 + i, "x", f"odd{i}") for i in range(40)]
+def test_any_number_of_labels_and_none(spark):
+    rows = [(None, "aaa bbb ccc", "a")] * 500 + [(i, f"ddd eee f{i}", "b") for i in range(50)] + [(1000 + i, f"x{chr(97 + i % 26)}{i} y", f"odd{i:03d}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert L.fit(df).languages == ["a", "b"]
+    model = L.fit(df)
+    assert model.languages == ["a", "b", *[f"odd{i:03d}" for i in range(300)]]
+    got = L.identify(df.where("doc_id = 5"), model, F.col("text"), F.lit(None).cast("string"), F.lit("h"), "doc_id").first()
+    assert got.lang == "b"
     assert L.fit(df.limit(0)).languages == []
     none = L.identify(df.limit(3), L.fit(df.limit(0)), F.col("text"), F.col("lang"), F.lit("h"), "doc_id").collect()
     assert [r.lang for r in none] == ["und"] * 3
 
 
+def test_the_sample_is_bounded(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit("a").alias("lang"))
+    model = L.fit(df, rows=200)
+    grams = len(model.lang)
+    assert 0 < grams < 200 * 8
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    text = "the cat sat on the mat, and then it ate. ".encode() * 50
+    want = L.trigrams([L.padded(text)])[1]
+    monkeypatch.setattr(L, "PIECE", 100)
+    found = [c for _, held in L.pieces([text]) for c in L.trigrams(held)[1] if c >= 0]
+    assert found == [c for c in want if c >= 0]
+
+
+def test_chance_against_drawn_letters():
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdeeeiou") for _ in range(rng.randint(1, 6))) for _ in range(60))
+    codes = L.trigrams([L.padded(text.encode())])
+    letters = [0] * 256
+    for b in codes[0]:
+        letters[b] += 1
+    import numpy as np
+
+    seen = np.zeros(L.CELLS, bool)
+    seen[codes[1][codes[1] >= 0]] = True
+    drawn = L.trigrams([bytes(rng.choices(range(256), letters, k=60_000))])[1]
+    assert abs(L.drawn_cells(np.array(letters, float))[seen].sum() - seen[drawn[drawn >= 0]].mean()) < 0.02
+
+
 def test_ties_and_any_columns(spark):
     model = L.fit(spark.createDataFrame([(1, "abc abc", "xx"), (2, "abc abc", "yy")], "doc_id long, text string, lang string"))
     df = spark.createDataFrame([(1, "abc", "s", "p", "q", "r", "t", None)], "doc_id long, text string, source string, prior string, evidence string, host string, _no_language string, lang string")
@@ -133,6 +183,11 @@ def test_against_brute_force(spark):
         base = (sum(c[g] for c in counts.values()) + 0.01) / (total + 0.01 * 65536)
         return (counts[lang][g] + 300 * base) / (sum(counts[lang].values()) + 300)
 
+    letters = Counter(b for _, t, _ in train for b in b" " + t.lower().encode() + b"  ")
+    drawn = {x: letters[x[0]] * letters[x[1]] * letters[x[2]] for x in itertools.product(letters, repeat=3) if not x[0] == x[1] == 32}
+    known = lambda lang: sum(w for (a, b, c), w in drawn.items() if ((a * 961 + b) * 961 + c) * 2654435761 % 2**32 >> 16 in counts[lang])
+    chance = max(map(known, langs)) / sum(drawn.values())
+
     def hint(value, right):
         return [math.log(right if x == value else (1 - right) / 2) for x in langs] + [-math.log(3)] if value in langs else [0.0] * 4
 
@@ -140,7 +195,9 @@ def test_against_brute_force(spark):
         gs = grams(text)
         sums = [sum(math.log(p(x, g)) for g in gs) for x in langs]
         best = langs[sums.index(max(sums))]
-        none = max(sums) + sum(math.log(0.35 / 0.8) if counts[best][g] else math.log(0.65 / 0.2) for g in gs)
+        share = min(1 - 1e-9, max(1e-9, sum(g in counts[best] for g in gs) / max(1, len(gs))))
+        apart = share * math.log(share / chance) + (1 - share) * math.log((1 - share) / (1 - chance))
+        none = max(sums) - len(gs) * (apart if share > chance else -apart)
         country = L.COUNTRY_LANGUAGE.get(host.split(".")[-1])
         return [s / 3 + a + b for s, a, b in zip([*sums, none], hint((declared or "")[:2].lower(), 0.9), hint(country, 0.8), strict=True)]
 

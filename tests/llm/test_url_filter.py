@@ -50,11 +50,30 @@ def test_reputation_shrinks(spark):
 
 
 def test_suffixes(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.com",), ("com",), ("",), ("a.b.c.d",)], "h string")
-    got = [tuple(r) for r in df.select(U.suffix_of(F.col("h")), U.domain_of(F.col("h"))).collect()]
-    assert got == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "x.com"), ("com", "com"), ("", ""), ("d", "c.d")]
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"), "com": ("com", "com"), "": ("", ""), "a.b.c.d": ("d", "c.d"), "me.github.io": ("github.io", "me.github.io"), "a.me.github.io": ("github.io", "me.github.io"),
+        "shop.id.au": ("id.au", "shop.id.au"), "ck": ("ck", "ck"), "any.ck": ("any.ck", "any.ck"), "a.any.ck": ("any.ck", "a.any.ck"), "b.a.any.ck": ("any.ck", "a.any.ck"), "www.ck": ("ck", "www.ck"), "m.www.ck": ("ck", "www.ck"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.suffix, r.domain) for r in U.registered(hosts, U.suffix_table(spark)).collect()} == want
+    own = spark.createDataFrame([("b.c.d",), ("*.com",), ("!x.com",), ("c.d",)], "rule string")
+    got = {r.host: r.suffix for r in U.registered(hosts, own).collect()}
+    assert got["a.b.c.d"] == "b.c.d" and got["x.com"] == "com" and got["a.b.co.uk"] == "uk"
+
+
+def test_strangers_under_one_suffix_share_no_reputation(spark):
+    urls = ["http://bad.github.io/"] * 60 + ["http://a.github.io/"] * 20 + ["http://b.github.io/"] * 20 + ["http://bad.own.com/"] * 60 + ["http://new.own.com/", "http://new.github.io/"]
+    labels = [(i, 1) for i in range(60)] + [(i, 0) for i in range(60, 100)] + [(i, 1) for i in range(100, 160)]
+    got = judge(spark, urls, labels)
+    assert got[0].verdict == got[100].verdict == got[160].verdict == "block"
+    assert got[60].verdict == got[161].verdict == "allow"
+
+
+def test_very_long_urls_and_other_columns(spark):
+    url = "http://" + "a." * 30_000 + "com/en/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, url, "r", 2, 3)], "page_id long, url string, rule string, verdict int, bad int")
+    row = U.filter_urls(pages, spark.createDataFrame([], "page_id long, bad int"), spark.createDataFrame(list(U.RULES), "rule string, verdict string")).first()
+    assert (row.rule, row.verdict, len(row.path)) == ("com/en/", "block", 100_004)
 
 
 def test_repeated_rows_and_empty(spark):
