@@ -12,13 +12,13 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Table, written
+from corpusmill.llm.common import Table, ordered, written
 from corpusmill.llm.line_dedup import once
 
 CALLS = "conv_id long, turn long, place int, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
 
-IN_ROW = 256  # calls of a conversation that are ordered in one row; the calls of a longer one are ordered as rows
+IN_ROW = 256  # calls that are ordered in one row; a conversation of more takes several
 
 #: JSON types by the names that a variant's schema has for them.
 _TYPES = {"string": "STRING", "integer": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
@@ -140,68 +140,91 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) ->
     return checked.select("conv_id", "turn", "call_id", "status", "level", F.coalesce(F.size("errors") == 0, F.lit(False)).alias("valid"), F.when(F.col("is_call"), call).otherwise(answer).alias("json"))
 
 
+def settled(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by, call_id, needs, base, level``: the calls of each row's array ``c``, ordered in one pass.
+
+    ``c`` has ``call_id, needs, base``: ``base`` is the least level a call can have. A call is taken when no need is open;
+    its level is then final, and it closes one need of each call that needs it, so calls and needs are visited once. Calls
+    that are never taken have no level; their ``base`` is that of the needs which were.
+    """
+    named = rows.select(*by, "c", once(F.transform("c", lambda x: x["call_id"])).alias("ids"))
+    deps = F.transform("c", lambda x: F.filter(F.transform(x["needs"], lambda y: F.array_position("ids", y).cast("int") - 1), lambda p: p >= 0))
+    placed = named.select(*by, "c", once(deps).alias("deps"), F.sequence(F.lit(0), F.size("c") - 1).alias("all"))
+    users = F.transform("all", lambda k: F.transform("deps", lambda d: F.array_contains(d, k)))
+    ready = placed.select(*by, "c", "all", once(users).alias("users"))
+    start = F.struct(
+        F.filter("all", lambda i: F.size(F.get("c", i)["needs"]) == 0).alias("queue"), F.transform("c", lambda x: F.size(x["needs"])).alias("open"), F.transform("c", lambda x: x["base"]).alias("level")
+    )
+
+    def step(s: Column, t: Column) -> Column:
+        k = F.get(s["queue"], t)
+        uses, level = F.get("users", k), F.get(s["level"], k)
+        more = F.filter("all", lambda i: F.get(uses, i) & (F.get(s["open"], i) == 1))
+        closed = F.zip_with(s["open"], uses, lambda o, u: F.when(u, o - 1).otherwise(o))
+        raised = F.zip_with(s["level"], uses, lambda x, u: F.when(u, F.greatest(x, level + 1)).otherwise(x))
+        return F.when(k.isNull(), s).otherwise(F.struct(F.concat(s["queue"], more).alias("queue"), closed.alias("open"), raised.alias("level")))
+
+    done = ready.select(*by, "c", "all", once(F.aggregate("all", start, step)).alias("s"))
+    out = F.transform("all", lambda i: F.struct(F.get("c", i).alias("x"), F.get("s.level", i).alias("base"), (F.get("s.open", i) == 0).alias("taken")))
+    spread = done.select(*by, F.explode(out).alias("o"))
+    return spread.select(*by, "o.x.call_id", "o.x.needs", "o.base", F.when(F.col("o.taken"), F.col("o.base")).alias("level"))
+
+
 def call_levels(calls: DataFrame, known: DataFrame) -> DataFrame:
     """``conv_id, call_id, level`` of all first calls (``known``): 0 without needs, else one more than the deepest need.
 
     -1 marks calls in a cycle or behind one. A conversation of up to ``IN_ROW`` calls is ordered in a row of its own,
-    without further shuffles; the calls of a longer one are rows, see ``long_levels``.
+    without further shuffles; for the calls of a longer one see ``long_levels``. Needs of calls that aren't there don't count.
     """
     key = ["conv_id", "call_id"]
     first = calls.select("conv_id", "turn", "place", "call_id", F.explode_outer("after").alias("need")).join(known, [*key, "turn", "place"], "left_semi")
     own = Table(first.groupBy("conv_id", "turn", "place", "call_id").agg(F.collect_set("need").alias("needs"))).df
     big = written(own.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > IN_ROW))
-    one = own.join(big, "conv_id", "left_anti").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "place", "call_id", "needs"))).alias("c"))
-    named = one.select("conv_id", "c", once(F.transform("c", lambda x: x["call_id"])).alias("ids"))
-    deps = F.transform("c", lambda x: F.filter(F.transform(x["needs"], lambda y: F.array_position("ids", y).cast("int") - 1), lambda p: p >= 0))
-    placed = named.select("conv_id", "ids", once(deps).alias("deps"), F.size("ids").alias("n"))
-    # In the order of turns one pass settles all calls but those behind a need that stands later; each of these adds a pass.
-    later = F.aggregate(F.transform("deps", lambda d, i: F.size(F.filter(d, lambda p: p >= i))), F.lit(0), lambda a, x: a + x)
-
-    def settled(levels: Column, i: Column) -> Column:
-        needs = F.transform(F.get("deps", i), lambda p: F.get(levels, p))
-        return F.when(F.exists(needs, lambda x: x < 0), -1).otherwise(F.coalesce(F.array_max(needs), F.lit(-1)) + 1)
-
-    update = lambda levels, i: F.concat(F.slice(levels, 1, i), F.array(settled(levels, i)), F.slice(levels, i + 2, F.col("n")))
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    levels = F.aggregate(F.sequence(F.lit(0), later), F.array_repeat(F.lit(-1), F.col("n")), lambda a, _: F.aggregate(every, a, update))
-    short = placed.select("conv_id", "ids", once(levels).alias("levels")).select("conv_id", F.explode(F.arrays_zip("ids", "levels")).alias("x"))
-    short = short.select("conv_id", F.col("x.ids").alias("call_id"), F.col("x.levels").cast("long").alias("level"))
+    call = F.struct("turn", "place", "call_id", "needs", F.lit(0).cast("long").alias("base"))
+    one = own.join(big, "conv_id", "left_anti").groupBy("conv_id").agg(F.array_sort(F.collect_list(call)).alias("c"))
+    ids = F.transform("c", lambda x: x["call_id"])
+    there = one.select("conv_id", "c", once(ids).alias("ids")).select("conv_id", F.transform("c", lambda x: F.struct(x["call_id"].alias("call_id"), F.array_intersect(x["needs"], "ids").alias("needs"), x["base"].alias("base"))).alias("c"))
+    short = settled(there, ["conv_id"]).select("conv_id", "call_id", F.coalesce("level", F.lit(-1)).alias("level"))
     if big.isEmpty():
         return short
-    return short.unionByName(long_levels(own.join(big, "conv_id").select("conv_id", "call_id", "needs", "n")))
-
-
-CYCLE = 1 << 40
+    return short.unionByName(long_levels(own.join(big, "conv_id").select("conv_id", "turn", "place", "call_id", "needs")))
 
 
 def long_levels(own: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` from ``conv_id, call_id, needs, n`` (calls of the conversation), a row for each call.
+    """``conv_id, call_id, level`` from ``conv_id, turn, place, call_id, needs``, for conversations of any length.
 
-    A call has a level so far and weighed needs of calls not settled yet. In each round, needs of settled calls raise the
-    level, and a need of a call that itself has a single need is replaced by that, so chains halve: a chain of k calls
-    takes log k rounds. A way longer than the conversation, or a round in which nothing moves, shows a cycle.
+    Calls are dealt by ranges of their places, and ``IN_ROW`` that follow one another are a row. In each round every row
+    settles what it can by itself, and what it settled closes needs in the other rows. A conversation of n calls that need
+    earlier ones takes n / ``IN_ROW`` rounds at most; needs that go back and forth between rows take one for each turn-about.
+    A round that settles nothing shows that the rest is in cycles or behind them.
     """
     key = ["conv_id", "call_id"]
-    there = own.select("conv_id", F.col("call_id").alias("need"))
-    nodes = Table(own.select(*key, "n", F.lit(0).cast("long").alias("level")))
-    edges = Table(own.select(*key, F.explode("needs").alias("need")).join(there, ["conv_id", "need"]).select(*key, "need", F.lit(1).cast("long").alias("far")))
-    while not edges.df.isEmpty():
-        open_ = edges.df.groupBy(*key).agg(F.count("*").alias("open"), F.min("need").alias("next"), F.max("far").alias("step"))
-        state = Table(nodes.df.join(open_, key, "left").select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("base"), "n", F.coalesce("open", F.lit(0)).alias("open"), "next", "step"))
-        met = Table(edges.df.join(state.df, ["conv_id", "need"]).withColumn("cycle", (F.col("far") > F.col("n")) | (F.col("need") == F.col("call_id"))))
-        stuck = met.df.where("cycle OR open <= 1").isEmpty()
-        looked = met.df if stuck else met.df.where("cycle OR open <= 1")
-        raised = looked.select(*key, F.when(F.col("cycle") | F.lit(stuck), F.lit(CYCLE)).otherwise(F.col("base") + F.col("far")).alias("low"))
-        low = raised.groupBy(*key).agg(F.max("low").alias("low"))
-        after = Table(nodes.df.join(low, key, "left").select(*key, "n", F.least(F.greatest("level", F.coalesce("low", F.lit(0))), F.lit(CYCLE)).alias("level")))
-        # What is in a cycle needs nothing more: its level is known.
-        gone = after.df.where(F.col("level") >= CYCLE).select(*key)
-        moved = met.df.where(F.lit(not stuck) & ~F.col("cycle") & (F.col("open") > 0)).select(*key, F.when(F.col("open") == 1, F.col("next")).otherwise(F.col("need")).alias("need"), F.when(F.col("open") == 1, F.col("far") + F.col("step")).otherwise(F.col("far")).alias("far"))
-        rest = Table(moved.join(gone, key, "left_anti").groupBy(*key, "need").agg(F.max("far").alias("far")))
-        for t in (edges, state, met, nodes):
-            t.drop()
-        nodes, edges = after, rest
-    return nodes.df.select(*key, F.when(F.col("level") >= CYCLE, -1).otherwise(F.col("level")).alias("level"))
+    table = ordered(own.select("conv_id", F.col("turn"), F.col("place").alias("at"), "call_id", "needs"), ["conv_id", "turn", "at", "call_id"])
+    there = table.df.select("conv_id", F.col("call_id").alias("need"))
+    needs = written(table.df.select(*key, F.explode("needs").alias("need")).join(there, ["conv_id", "need"]))
+    listed = needs.groupBy(*key).agg(F.collect_set("need").alias("needs"))
+    # A row's calls lie in one part, whose places follow one another.
+    row = F.expr(f"place div {IN_ROW}")
+    open_ = Table(table.df.select(*key, row.alias("row")).join(listed, key, "left").select(*key, "row", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), F.lit(0).cast("long").alias("base")))
+    found: list[DataFrame] = []
+    while True:
+        rows = open_.df.groupBy("conv_id", "row").agg(F.collect_list(F.struct("call_id", "needs", "base")).alias("c"))
+        tried = Table(settled(rows, ["conv_id", "row"]))
+        open_.drop()
+        taken = written(tried.df.where("level IS NOT NULL").select(*key, "level"))
+        if taken.isEmpty():
+            break
+        found.append(taken)
+        rest = tried.df.where("level IS NULL")
+        closed = rest.select(*key, F.explode("needs").alias("need")).join(taken.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"])
+        raised = closed.groupBy(*key).agg(F.max("level").alias("below"), F.collect_set("need").alias("gone"))
+        left = rest.join(raised, key, "left")
+        open_ = Table(left.select(*key, "row", F.array_except("needs", F.coalesce("gone", F.array().cast("array<string>"))).alias("needs"), F.greatest("base", F.coalesce(F.col("below") + 1, F.lit(0))).alias("base")))
+        tried.drop()
+    out = tried.df.select(*key, F.lit(-1).cast("long").alias("level"))
+    for taken in found:
+        out = out.unionByName(taken)
+    return out
 
 
 #: The schema of the one tool of the registered query.
@@ -219,6 +242,32 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def turns_with_needs(messages: DataFrame) -> DataFrame:
+    """All turns as calls that need others of their conversation: three turns on, a turn of a hash, in part in circles."""
+    of = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    needs = F.array(of(turn + 3), of((turn * 5 + conv) % 8), of(F.when((turn + conv) % 3 == 0, turn - 1)))
+    return messages.select("conv_id", "turn", F.lit(0).alias("place"), of(turn).alias("call_id"), F.lit("reply").alias("name"), F.lit("{}").alias("arguments"), needs.alias("after"))
+
+
+def call_order(spark, sf_dir: str) -> DataFrame:
+    """The level of every turn of ``conversations`` where turns need later and earlier ones; -1 in and behind circles."""
+    calls = turns_with_needs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return call_levels(calls, calls.select("conv_id", "call_id", "turn", "place"))
+
+
+CALL_ORDER = """
+    WITH RECURSIVE t AS (SELECT conv_id, turn, unnest([turn + 3, (turn * 5 + conv_id) % 8, CASE WHEN (turn + conv_id) % 3 = 0 THEN turn - 1 END]) AS need FROM conversations),
+    e AS (SELECT DISTINCT t.* FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.need),
+    reach AS (SELECT conv_id, turn, need FROM e UNION SELECT r.conv_id, r.turn, e.need FROM reach r JOIN e ON e.conv_id = r.conv_id AND e.turn = r.need),
+    circle AS (SELECT DISTINCT r.conv_id, r.turn FROM reach r JOIN reach x ON x.conv_id = r.conv_id AND x.turn = x.need AND x.turn IN (r.turn, r.need)),
+    free AS (SELECT conv_id, turn FROM conversations ANTI JOIN circle USING (conv_id, turn)),
+    depth AS (SELECT conv_id, turn, 0 AS d FROM free UNION SELECT e.conv_id, e.turn, d.d + 1 FROM depth d JOIN e ON e.conv_id = d.conv_id AND e.need = d.turn JOIN free f ON f.conv_id = e.conv_id AND f.turn = e.turn)
+    SELECT conv_id, conv_id || '-' || turn AS call_id, CAST(max(d) AS BIGINT) AS level FROM depth GROUP BY conv_id, turn
+    UNION ALL SELECT conv_id, conv_id || '-' || turn, -1 FROM circle
+"""
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     """Each turn of ``conversations`` once: in a call, as its result or as a result without a call, or as a message."""
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")

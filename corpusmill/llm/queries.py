@@ -18,6 +18,7 @@ QUERIES = {
     "op11_pii": pii.op11,
     "op12_conversation_repair": conversation_repair.op12,
     "op13_merkle_manifest": merkle.op13,
+    "call_order": chat_format.call_order,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_topk_search": topk.ORACLE,
     "op12_conversation_repair": conversation_repair.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
+    "call_order": chat_format.CALL_ORDER,
 }

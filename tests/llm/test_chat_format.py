@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from oracle import assert_same
@@ -56,7 +57,7 @@ def test_topological_order(spark):
     assert level == {"a": 0, "b": 1, "c": 2, "d": 3, "x": -1, "y": -1, "z": -1, "w": 0, "s": -1, "j": 0, "k": 1}
 
 
-@pytest.mark.parametrize("in_row", [256, 0])
+@pytest.mark.parametrize("in_row", [256, 3])
 @pytest.mark.parametrize("seed", range(2))
 def test_levels_against_brute_force(spark, monkeypatch, in_row, seed):
     monkeypatch.setattr(C, "IN_ROW", in_row)
@@ -79,6 +80,36 @@ def test_levels_against_brute_force(spark, monkeypatch, in_row, seed):
     assert got == {k: level(*k, needs) for k in needs}
 
 
+def levels(spark, calls):
+    df = spark.createDataFrame(calls, C.CALLS)
+    return {(r.conv_id, r.call_id): r.level for r in C.call_levels(df, df.select("conv_id", "call_id", "turn", "place")).collect()}
+
+
+def test_forward_needs_take_one_pass(spark):
+    for n in (8, 256):  # the first compiles
+        calls = [call(c, i, f"{i:03d}", after=[f"{j:03d}" for j in range(i + 1, n)]) for c in range(4) for i in range(n)]
+        began = time.perf_counter()
+        got = levels(spark, calls)
+        took = time.perf_counter() - began
+    assert got == {(c, f"{i:03d}"): 255 - i for c in range(4) for i in range(256)}
+    assert took < 12
+
+
+def test_long_conversations_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], C.settled
+    monkeypatch.setattr(C, "settled", lambda *a: rounds.append(1) or real(*a))
+    calls = [call(1, i, f"{i}", after=[f"{i - 1}", f"{i - 2}"]) for i in range(1000)]
+    assert levels(spark, calls) == {(1, f"{i}"): i for i in range(1000)}
+    assert len(rounds) <= 1 + 2 * -(-1000 // C.IN_ROW) + 4  # ranges cut rows in two
+
+
+@pytest.mark.parametrize("in_row", [256, 2])
+def test_call_order_against_sql(spark, monkeypatch, in_row, tiny):
+    monkeypatch.setattr(C, "IN_ROW", in_row)
+    assert_same(C.call_order(spark, tiny), C.CALL_ORDER, tiny)
+    assert {r.level for r in C.call_order(spark, tiny).collect()} >= {-1, 0, 1, 2}
+
+
 def test_no_python_in_the_plan(spark, tiny):
     plan = C.op3(spark, tiny)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
