@@ -1,7 +1,7 @@
 """A byte-level BPE tokenizer: pre-tokens, training, encoding, decoding and its checks.
 
-Training splits into a distributed part, counting pre-tokens, and a small one, merging over the distinct pre-tokens on
-the driver. Encoding runs in Arrow batches, and each worker encodes a pre-token once.
+Training counts pre-tokens and merges in rounds (``bpe_training``). Texts are split by built-in expressions; a task encodes each
+distinct pre-token of an Arrow batch once and puts the ids of all occurrences together by arrays, without a loop over texts.
 """
 
 from __future__ import annotations
@@ -11,21 +11,22 @@ import hashlib
 import heapq
 import json
 import re
-from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ShortType
 
 from corpusmill.constants import FIRST_BYTE, SPECIAL_TOKENS, UNK, VOCAB_SIZE
 from corpusmill.functions.text import word_count
-from corpusmill.scratch import written
+from corpusmill.operators import bpe_training
 
 #: Fixed value: single digits, contractions, words and symbols each with at most one blank before, white space.
-PRE_TOKEN = r"\p{N}|'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?[^\s\p{L}\p{N}]+|\s+(?![^\s\p{N}])|\s+"
+PRE_TOKEN = r"\p{N}|'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?[^\t-\r\x85\p{Z}\p{L}\p{N}]+|[\t-\r\x85\p{Z}]+(?![^\t-\r\x85\p{Z}\p{N}])|[\t-\r\x85\p{Z}]+"
 
 
 @functools.cache
@@ -37,10 +38,18 @@ def byte_symbols() -> tuple[str, ...]:
 
 
 def pre_tokens(text: Column) -> Column:
-    """The pre-tokens of a text, as an array, by a built-in expression; Java's pattern dialect."""
+    """The pre-tokens of a text, as an array, by a built-in expression."""
     return F.regexp_extract_all(text, F.lit(f"({PRE_TOKEN})"), 1)
 
 
+def pieces(text: Column, special: tuple[str, ...] = SPECIAL_TOKENS) -> Column:
+    """Special tokens that a text spells out, and the pre-tokens of what lies between them."""
+    names = "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))
+    marks = F.array(*map(F.lit, special))
+    split = F.transform(F.split(text, f"(?={names})|(?<={names})"), lambda p: F.when(F.array_contains(marks, p), F.array(p)).otherwise(pre_tokens(p)))
+    return F.when(F.rlike(text, F.lit(names)), F.flatten(split)).otherwise(pre_tokens(text))
+
+
 def pre_token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """``word, n``: how often each pre-token occurs. Counts are summed before the shuffle."""
     return texts.select(F.explode(pre_tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -94,24 +103,31 @@ class Bpe:
     def fingerprint(self) -> str:
         return hashlib.sha256(self.to_json().encode()).hexdigest()
 
+    @functools.cached_property
+    def _joins(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Each pair's rank and the symbol that it becomes."""
+        return {(self.ids[a], self.ids[b]): (i, self.ids[a + b]) for i, (a, b) in enumerate(self.merges)}
+
     def word(self, text: str) -> list[int]:
-        """Ids of one pre-token: the earliest learned pair merges first, everywhere at once."""
-        symbols = byte_symbols()
-        parts = [symbols[b] for b in text.encode()]
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, len(self.rank)))
-            if best not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids.get(p, UNK) for p in parts]
+        """Ids of one pre-token: the earliest learned pair merges first, from the left. In n log n for n bytes."""
+        ids = [self.ids[byte_symbols()[b]] for b in text.encode()]
+        n, joins = len(ids), self._joins
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(*joins[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in joins]
+        heapq.heapify(heap)
+        while heap:
+            _, new, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or (ids[i], ids[j]) != pair:  # one of the two has merged meanwhile
+                continue
+            ids[i], ids[j] = new, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (p := (ids[left], ids[right])) in joins:
+                    heapq.heappush(heap, (*joins[p], left, p))
+        return [x for x in ids if x >= 0]
 
     @functools.cached_property
     def _split(self):
@@ -119,35 +135,38 @@ class Bpe:
 
         return regex.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")"), regex.compile(PRE_TOKEN)
 
-    def encode(self, text: str, cache: dict[str, list[int]] | None = None) -> list[int]:
-        """Ids of a text. Special tokens that the text spells out become their ids."""
+    def encode(self, text: str) -> list[int]:
+        """Ids of one text, on the driver. Special tokens that the text spells out become their ids."""
         special, pattern = self._split
-        cache = {} if cache is None else cache
-        out: list[int] = []
-        for i, part in enumerate(special.split(text)):
-            if i % 2:
-                out.append(self.ids[part])
-                continue
-            for m in pattern.finditer(part):
-                w = m.group()
-                ids = cache.get(w)
-                if ids is None:
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    ids = cache[w] = self.word(w)
-                out += ids
-        return out
+        parts = enumerate(special.split(text))
+        return [x for i, part in parts for x in ([self.ids[part]] if i % 2 else [x for w in pattern.findall(part) for x in self.word(w)])]
 
     @functools.cached_property
-    def _bytes(self) -> list[bytes]:
-        """What each id stands for; nothing for special tokens."""
+    def _bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each id stands for, nothing for special tokens: all bytes end to end, where an id's begin, and how many it has."""
         back = {s: b for b, s in enumerate(byte_symbols())}
-        return [b""] * len(self.special) + [bytes(back[c] for c in n) for n in self.names[len(self.special) :]]
+        parts = [b""] * len(self.special) + [bytes(back[c] for c in n) for n in self.names[len(self.special) :]]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
     def decode(self, ids) -> str:
         """The text of ids; special tokens are left out, and bytes that aren't UTF-8 become replacement characters."""
-        table = self._bytes
-        return b"".join([table[i] for i in ids if 0 <= i < len(table)]).decode("utf-8", "replace")
+        return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of lists of ids that stand end to end."""
+        data, starts, sizes = self._bytes
+        good = (ids >= 0) & (ids < len(starts))
+        safe = np.where(good, ids, 0)
+        many = np.where(good, sizes[safe], 0)
+        ends = np.concatenate(([0], np.cumsum(many)))
+        found = data[np.arange(ends[-1]) + np.repeat(starts[safe] - ends[:-1], many)]
+        cuts = ends[offsets].astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(found.tobytes())])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # sequences may begin or end inside a character
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
     def to_library_json(self) -> str:
         """The same tokenizer as a file that the ``tokenizers`` library loads."""
@@ -164,99 +183,57 @@ class Bpe:
         self.__init__(**state)
 
 
-def _stretches(counts: DataFrame, min_frequency: int) -> DataFrame:
-    """``word, n``: the stretches of bytes within pre-tokens all of whose neighbouring pairs are frequent, with counts.
-
-    A pair's count over all pre-tokens only falls while pairs merge, so one that starts below ``min_frequency`` never
-    merges and nothing grows across it.
-    """
-    hexed = counts.select(F.hex(F.encode("word", "UTF-8")).alias("h"), "n").where("length(h) > 2")
-    places = F.sequence(F.lit(1), F.length("h") - 3, F.lit(2))
-    pairs = hexed.select("n", F.explode(F.transform(places, lambda i: F.substring(F.col("h"), i, F.lit(4)))).alias("pair"))
-    # At most 65,536 pairs of bytes.
-    rare = pairs.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") < min_frequency).agg(F.collect_set("pair").alias("rare"))
-    cut = hexed.crossJoin(F.broadcast(rare)).select("h", "n", F.filter(F.sequence(F.lit(1), F.length("h") - 1, F.lit(2)), lambda i: (i == F.length("h") - 1) | F.array_contains("rare", F.substring(F.col("h"), i, F.lit(4)))).alias("ends"))
-    low = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.get("ends", k - 1) + 2)
-    parts = F.transform("ends", lambda e, k: F.substring(F.col("h"), low(k), e + 2 - low(k)))
-    return cut.select("n", F.explode(parts).alias("part")).where("length(part) > 2").groupBy("part").agg(F.sum("n").alias("n")).select(F.unhex("part").alias("word"), "n")
-
-
 def train(counts: DataFrame, vocab: int = VOCAB_SIZE, min_frequency: int = 3) -> Bpe:
-    """Merges learned from ``word, n``: all pre-tokens that can matter.
+    """Merges learned from ``word, n``, all of it.
 
     All 256 bytes are in the vocabulary from the start, so every text survives the round trip. The most frequent pair
-    merges next; of equal ones, that of the smaller ids. Pre-tokens in which some pair of bytes is as frequent as
-    ``min_frequency`` in all pre-tokens together come to the driver, and no others: a merge only joins what such pairs
-    began, so the rest can't change any. Each comes as far as its frequent pairs go, and what then looks alike is one row,
-    so the driver holds distinct stretches of frequent pairs and not the corpus' tail of rare words.
+    merges next; of equal ones, that of the smaller ids; none that occurs less than ``min_frequency`` times. Words stay on
+    the executors: what comes to the driver are counts of ``KNOWN`` pairs, and of the neighbours of ``CANDIDATES`` ones.
     """
-    held = written(counts)
-    rows = _stretches(held, min_frequency).collect()
-    symbols, names = byte_symbols(), [*SPECIAL_TOKENS, *byte_symbols()]
-    number = {s: i for i, s in enumerate(names)}
-    words = [[number[symbols[b]] for b in r["word"]] for r in rows]
-    weight = [r["n"] for r in rows]
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, w in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            pairs[p] += weight[k]
-            where[p].add(k)
-    heap = [(-n, p) for p, n in pairs.items()]
-    heapq.heapify(heap)
-    merges: list[tuple[str, str]] = []
-    while len(names) < vocab and heap:
-        n, pair = heapq.heappop(heap)
-        if pairs.get(pair, 0) != -n:  # an old count; the present one is elsewhere in the heap
-            continue
-        if -n < min_frequency:
-            break
-        a, b = pair
-        joined = names[a] + names[b]
-        merges.append((names[a], names[b]))
-        if joined not in number:
-            number[joined] = len(names)
-            names.append(joined)
-        new, changed = number[joined], set()
-        for k in where.pop(pair):
-            old, out, i = words[k], [], 0
-            while i < len(old):
-                if i + 1 < len(old) and (old[i], old[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(old[i])
-                    i += 1
-            for p in zip(old, old[1:], strict=False):
-                pairs[p] -= weight[k]
-                changed.add(p)
-            for p in zip(out, out[1:], strict=False):
-                pairs[p] += weight[k]
-                where[p].add(k)
-                changed.add(p)
-            words[k] = out
-        pairs.pop(pair, None)
-        for p in changed:
-            if p != pair and pairs.get(p, 0) > 0:
-                heapq.heappush(heap, (-pairs[p], p))
-    return Bpe(merges)
+    words = bpe_training.Words(counts)
+    try:
+        return Bpe(bpe_training.learned(words.top, words.facts, words.apply, [*SPECIAL_TOKENS, *byte_symbols()], vocab, min_frequency))
+    finally:
+        words.table.drop()
 
 
-def encoder(bpe: Bpe):
-    """A vectorised function from texts to ids. It is marked so that a filter on the ids doesn't run it twice."""
-    cache: dict[str, list[int]] = {}
+def _lists(offsets: np.ndarray, values: pa.Array, nulls: pa.Array) -> pa.Array:
+    mask = nulls if nulls.true_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=mask)
 
-    @F.pandas_udf("array<smallint>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else bpe.encode(t, cache))
 
-    return encode.asNondeterministic()
+def encoder(bpe: Bpe):
+    """A function from a column of texts to one of ids. It is marked so that a filter on the ids doesn't run it twice."""
+    cache: dict[str, list[int]] = {name: [i] for i, name in enumerate(bpe.special)}
+
+    @F.arrow_udf("array<smallint>")
+    def encode(lists: pa.Array) -> pa.Array:
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        if len(cache) > 500_000:
+            cache.clear()
+            cache.update({name: [i] for i, name in enumerate(bpe.special)})
+        found = [cache[w] if w in cache else cache.setdefault(w, bpe.word(w)) for w in words.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((x for ids in found for x in ids), np.int16, int(sizes.sum()))
+        starts, at = np.cumsum(sizes) - sizes, words.indices.to_numpy(zero_copy_only=False)
+        # Where the ids of each occurrence begin; null lists have none.
+        many = sizes[at] if len(at) else np.empty(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(many)))
+        whole = ids[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], many)] if len(at) else ids[:0]
+        return _lists(ends[offsets - offsets[0]], pa.array(whole), lists.is_null())
+
+    marked = encode.asNondeterministic()
+    return lambda text: marked(pieces(F.col(text) if isinstance(text, str) else text, bpe.special))
 
 
 def decoder(bpe: Bpe):
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else bpe.decode(x))
+    @F.arrow_udf("string")
+    def decode(lists: pa.Array) -> pa.Array:
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        texts = bpe.decode_all(ids.astype(np.int64), offsets - offsets[0])
+        return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts) if lists.null_count else texts
 
     return decode.asNondeterministic()
 
