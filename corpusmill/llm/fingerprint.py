@@ -61,11 +61,15 @@ class _Pairing:
     """Result rows for documents and the ones that follow them."""
 
     names = ("kind", "part", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text")
-    schema = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
-    arrow = pa.schema([(n, t) for n, t in zip(names, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()), strict=True)])
+    schema = "kind int, part int, doc_id {key}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
+    types = (pa.int32(), pa.int32(), None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
 
     def __init__(self, part: int = -1):
-        self.part, self.rows = part, []
+        self.part, self.rows, self.arrow = part, [], None
+
+    def keyed(self, kind: pa.DataType) -> None:
+        """The type of the documents' keys."""
+        self.arrow = pa.schema([(n, t or kind) for n, t in zip(self.names, self.types, strict=True)])
 
     def mark(self, text: str | None) -> tuple[str, int]:
         text = text or ""
@@ -90,6 +94,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs each document of a sorted partition with the next; the first and the last also come out as edges."""
     out, last = _Pairing(TaskContext.get().partitionId()), None
     for batch in batches:
+        out.keyed(batch.schema.field(0).type)
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text, fp = out.mark(text)
             if last is None:
@@ -106,6 +111,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = _Pairing()
     for batch in batches:
+        out.keyed(batch.schema.field(0).type)
         for doc_id, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             out.pair(doc_id, *out.mark(text), *out.mark(after))
         yield out.batch()
@@ -117,17 +123,19 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     The documents are dealt by ranges of their key, once, so neighbours meet in one sorted partition; only the two
     documents at the ends of each partition are joined across partitions. Null texts count as empty, null keys come
     first, equal keys are ordered by text, and a single document follows itself. Texts of any length are read whole.
-    Repeated rows come back as often. An empty table gives an empty result. Other columns are not read.
+    Repeated rows come back as often. Keys may be of any type that can be sorted. An empty table gives an empty result.
+    Other columns are not read.
     """
-    ranged = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = written(map_arrow(ranged, _within, _Pairing.schema))
+    ranged = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    schema = _Pairing.schema.format(key=ranged.schema["doc_id"].dataType.simpleString())
+    done = written(map_arrow(ranged, _within, schema))
     firsts = done.where("kind = 1").select(F.col("part").alias("follows"), F.col("text").alias("after"))
     lasts = done.where("kind = 2").select("part", "doc_id", "text")
     # One row for each partition, without texts.
     order = done.where("kind = 1").selectExpr("part", "coalesce(lead(part) OVER (ORDER BY part), min(part) OVER ()) AS follows")
     edges = lasts.join(order, "part").join(firsts, "follows").select("doc_id", "text", "after")
     names = [n for n in _Pairing.names if n not in ("kind", "part", "text")]
-    return done.where("kind = 0").select(*names).unionByName(map_arrow(edges, _between, _Pairing.schema).select(*names))
+    return done.where("kind = 0").select(*names).unionByName(map_arrow(edges, _between, schema).select(*names))
 
 
 def _tables(radius: int, blocks: int) -> Column:

@@ -149,7 +149,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Rows with a null key are kept once.
 
-    Where a key occurs repeatedly, the copies of all its rows are shared evenly, rounded up.
+    Where a key occurs repeatedly, the copies of all its rows are shared evenly, rounded up. Null and empty texts have no
+    words, so they go where their source is taken less than once. A null source is a source of its own. Texts of any length
+    are counted whole. An empty table gives an empty result. Columns of any names pass through.
     """
     id_, copies = unused(docs, "mix_id", "mix_copies")
     plan = mix(docs.where(F.col(key).isNotNull()), key, text, source, most, seed).groupBy("doc_id").agg(F.ceil(F.avg("copies")).cast("int").alias(copies)).withColumnRenamed("doc_id", id_)

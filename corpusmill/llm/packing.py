@@ -106,17 +106,18 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_tokens(tokenizer)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            keys, texts = batch.column(0), batch.column(1).cast(pa.binary())
             # A few megabytes at a time: the codes of a slice are all held.
             for at in range(0, len(keys), 500):
                 rows = []
-                for k, ids in zip(keys[at : at + 500], cache.ids(texts[at : at + 500].to_pylist()), strict=True):
+                for k, ids in enumerate(cache.ids(texts[at : at + 500].to_pylist()), at):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     rows += [(k, i, min(length, len(ids) - i), zlib.crc32(ids[i : i + length].tobytes()), len(ids)) for i in range(0, len(ids), length)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                own, *others = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([keys.take(own), *others], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    slim = parallel(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    return map_arrow(slim, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    slim = parallel(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    return map_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
@@ -189,8 +190,9 @@ def ranked(df: DataFrame, total: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """All documents as pieces of sequences of at most ``length`` tokens, one row for each piece.
 
-    Null and empty texts are single end ids; repeated rows are packed as often as they occur; null keys stay null. An
-    empty table gives no rows. Other columns are not read.
+    Null and empty texts are single end ids, and texts of any length are cut into pieces; repeated rows are packed as often
+    as they occur. Keys may be of any type that can be sorted; null ones stay null. An empty table gives no rows. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, key, text, length, end_id))

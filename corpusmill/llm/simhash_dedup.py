@@ -379,18 +379,35 @@ def _trees(similarity: float):
     return lambda batches: _packed(ordered(_runs(batches, runs)), ["kind", "a", "b", "n", "pos"])
 
 
+SPLIT = 4096  # rows of a bucket that are compared in one task; a larger bucket comes in blocks of two parts
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """``block, fp, n, pos, root, side``: rows of buckets ``shingle``, those of a large bucket once for each of its parts.
+
+    A block has the rows of two parts, told apart by ``side`` 0 and 1, or of one (2), so each pair of a bucket is in one.
+    """
+    sizes = written(rows.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") > SPLIT).select("shingle", F.ceil(F.col("k") / SPLIT).cast("int").alias("parts")))
+    cut = rows.join(sizes, "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int"))
+    # Two blocks of one hash would only compare more.
+    block = F.when(F.col("parts") == 1, F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")))
+    return met.select(block.alias("block"), "fp", "n", "pos", "root", side.cast("byte").alias("side"))
+
+
 def _rest(similarity: float):
-    """Second round: all pairs of a bucket that can be alike and aren't in one group yet."""
+    """Second round: all pairs of a block that can be alike, aren't in one group yet and aren't both on side 0 or 1."""
 
     def runs(cols: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
         mixed = np.minimum.reduceat(cols[4], starts) != np.maximum.reduceat(cols[4], starts)
         for at, k in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
             order = np.argsort(cols[4][at : at + k], kind="stable") + at
-            fp, n, pos, root = (c[order] for c in cols[1:])
+            fp, n, pos, root, side = (c[order] for c in cols[1:])
             after = np.searchsorted(root, root, side="right")
             for i in np.flatnonzero(after < k).tolist():
                 m = int(after[i])
-                near = np.flatnonzero(_possible(n[m:], pos[m:], n[i], pos[i], similarity)) + m
+                near = np.flatnonzero(_possible(n[m:], pos[m:], n[i], pos[i], similarity) & ((side[m:] != side[i]) | (side[i] == 2))) + m
                 if len(near):
                     yield [np.minimum(fp[near], fp[i]), np.maximum(fp[near], fp[i])]
 
@@ -407,12 +424,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``key, component_id`` for every row: groups of texts whose word shingles are alike, complete and exact.
+    """``key, component_id`` for every row with a key and a text of words: groups of alike texts, complete and exact.
 
     Two texts link if the Jaccard similarity of their distinct shingles is at least ``similarity``; shingles are equal
     if their 64-bit hashes are. All shingles have one order, and texts that are alike share one among the first fifth of
-    each (``prefix_size``), so one shuffle on those brings every such pair together. Texts without words are one group
-    each with only their own row: they are not compared. Null keys are not grouped. The group's id is its smallest key.
+    each (``prefix_size``), so one shuffle on those brings every such pair together. Texts without words (null and empty
+    ones) and rows with a null key aren't compared and don't come back. The group's id is its smallest key. Texts of any
+    length are compared whole. Repeated rows come back as often. An empty table gives an empty result. Other columns are
+    not read.
 
     In the first round each bucket gives a tree of pairs, of which the verified ones make groups. In the second, a bucket
     of more than two texts gives all its pairs that no group joins yet: a group of k near copies is never k squared
@@ -434,7 +453,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = written(verified(pairs, sets, similarity))
     roots = written(components(links))
     placed = open_.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("shingle", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-    again = placed.repartition("shingle").sortWithinPartitions("shingle", "fp")
+    again = blocks(placed).repartition("block").sortWithinPartitions("block", "fp")
     more = written(map_arrow(again, _rest(similarity), "a long, b long").distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     links = written(links.unionByName(verified(more, sets, similarity)))
     groups = group_by_fingerprint(marked, links)
@@ -442,7 +461,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without those that belong to a group of near duplicates and are not its smallest key."""
+    """The rows of ``docs`` without those that belong to a group of near duplicates and are not its smallest key.
+
+    Rows with a null key, and texts without words (null and empty ones), stay. Rows of one key are one document: all stay
+    or all go. Texts of any length are compared whole. An empty table gives an empty result. Columns of any names pass
+    through.
+    """
     extra = near_duplicates(docs.select(key, text), key, text, words, similarity).where(F.col(key) != F.col("component_id"))
     # The list grows with the table, so the join always shuffles, also where a small one could be broadcast.
     return docs.join(written(extra.select(key).distinct()).hint("merge"), key, "left_anti").select(*docs.columns)

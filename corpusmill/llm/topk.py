@@ -187,8 +187,8 @@ def _solve(k: int, width: int):
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` rows for each row whose key is divisible by ``every``.
 
-    Rows with a null key, a null vector or a null or non-finite component take no part; shorter vectors are filled with
-    zeros. A query's own key is no candidate. Other rows count as often as they occur; a repeated query key asks once,
+    Keys are whole numbers, as the queries are told by them; a text that isn't one raises an error. Rows with a null key,
+    a null vector or a null or non-finite component take no part; shorter vectors are filled with zeros. A query's own key is no candidate. Other rows count as often as they occur; a repeated query key asks once,
     with the smallest of its vectors. Ties go to the smaller key. Ranks follow the exact scores, also beyond the range of
     a long, where ``score`` shows the end of that range; a component beyond it counts as its end. No usable row: no
     result. Other columns are not read.

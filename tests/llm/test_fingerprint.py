@@ -107,3 +107,9 @@ def test_block_tables_find_all(spark, radius):
     apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
     want = {(a, b): apart(a, b) for a in signed if np.fmod(a, 3) == 0 for b in signed if apart(a, b) <= radius}
     assert got == want
+
+
+def test_keys_of_other_types(spark):
+    df = spark.createDataFrame([("b", "second text"), ("a", "first text"), (None, "none")], "doc_id string, text string")
+    got = {r.doc_id: r.edited_sha256 for r in P.edited_fingerprints(df).collect()}
+    assert got == {None: hashlib.sha256(b"nonf").hexdigest(), "a": hashlib.sha256(b"first tese").hexdigest(), "b": hashlib.sha256(b"second teno").hexdigest()}

@@ -78,3 +78,8 @@ def test_repeated_rows_nulls_and_empty(spark):
     rows = P.pack(df, PATH).collect()
     assert len(rows) == 52 and len({(r.sequence_id, r.offset) for r in rows}) == 52
     assert P.pack(df.limit(0), PATH).count() == 0
+
+
+def test_keys_of_other_types(spark):
+    df = spark.createDataFrame([("a/1", "one two"), ("b", ""), (None, "three")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.doc_tokens) for r in P.pack(df, PATH).collect()) == [("", 2), ("a/1", 3), ("b", 1)]

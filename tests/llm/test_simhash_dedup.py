@@ -198,3 +198,40 @@ def test_no_pair_at_the_limit_is_lost(spark):
     links = [(i, i + 1) for i in range(0, 160, 2) if alike(texts[i], texts[i + 1]) >= 0.8]
     assert len(links) == 80
     assert grouped(spark, texts) == classes(len(texts), links)
+
+
+@pytest.mark.parametrize("split", [4096, 3])
+def test_large_buckets_are_split(spark, monkeypatch, split):
+    # Texts that share a shingle which all have, and differ otherwise in part: every pair at 0.8 is found, none below.
+    monkeypatch.setattr(S, "SPLIT", split)
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(40)]
+    texts = {}
+    for i in range(80):
+        own = [f"o{i % 20}x{k}" for k in range(rng.randint(0, 14))]
+        texts[i] = " ".join([*common, *own])
+    df = spark.createDataFrame([(k, t, "", "") for k, t in texts.items()], SCHEMA)
+    sets = {k: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for k, w in ((k, t.split()) for k, t in texts.items())}
+    links = [(a, b) for a, b in itertools.combinations(texts, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = dict(enumerate(classes(len(texts), links)))
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == want
+
+
+def test_blocks_have_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(S, "SPLIT", 4)
+    rows = [(7, i, 10, 0, i) for i in range(30)] + [(8, i, 10, 0, i) for i in range(3)]
+    held = {}
+    for r in S.blocks(spark.createDataFrame(rows, "shingle long, fp long, n int, pos int, root long")).collect():
+        held.setdefault(r.block, []).append((r.fp, r.side))
+    pairs = [tuple(sorted((a, b))) for members in held.values() for (a, s), (b, t) in itertools.combinations(members, 2) if s != t or s == 2]
+    want = [*itertools.combinations(range(30), 2), *itertools.combinations(range(3), 2)]
+    assert sorted(pairs) == sorted(want) and len(held) > 10
+
+
+def test_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    names = ["fp", "n", "pos", "shingle", "root", "component_id", "key", "low", "block", "side"]
+    df = spark.createDataFrame([(i, words, *[i] * len(names)) for i in range(3)] + [(None, words, *[9] * len(names)), (5, None, *[5] * len(names)), (6, "", *[6] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    left = S.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.root) for r in left.collect()) == [(False, 0, 0), (False, 5, 5), (False, 6, 6), (True, 0, 9)]
