@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from corpusmill.functions.text import normalise_sql
+from corpusmill.operators.prefix import exclusive_sums
 
 STEPS = 2_000_000  # virtual machine steps that a statement may take unless told otherwise
 #: The authorizer's codes for attaching and detaching databases.
@@ -130,10 +131,10 @@ def compare_versions(metrics: DataFrame, version: str, names: list[str]) -> Data
 def running_rates(scored: DataFrame, order: str, every: int = 100) -> DataFrame:
     """The share of matches so far, after each ``every`` examples.
 
-    Examples are summed in blocks first, so the window runs over one row for each block.
+    Examples are summed in blocks first, and the blocks' sums run in two levels.
     """
-    numbered = scored.withColumn("_block", F.expr(f"`{order}` div {every}"))
-    blocks = numbered.groupBy("_block").agg(F.count("*").alias("n"), F.sum(F.col("em").cast("long")).alias("em"), F.sum(F.col("ex").cast("long")).alias("ex"))
-    w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum("n").over(w)
-    return blocks.select(n.alias("n"), (F.sum("em").over(w) / n).alias("em_rate"), (F.sum("ex").over(w) / n).alias("ex_rate"))
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    blocks = scored.groupBy(F.expr(f"`{order}` div {every}").alias("_block")).agg(F.count("*").alias("_n"), count("em").alias("_em"), count("ex").alias("_ex"))
+    before = exclusive_sums(blocks.withColumn("_all", F.lit(0)), ["_all"], ["_block"], {"n": F.col("_n"), "em": F.col("_em"), "ex": F.col("_ex")})
+    n = F.col("n") + F.col("_n")
+    return before.select(n.alias("n"), ((F.col("em") + F.col("_em")) / n).alias("em_rate"), ((F.col("ex") + F.col("_ex")) / n).alias("ex_rate"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.prefix import key_bucket
+from corpusmill.operators.prefix import ROWS, exclusive_sums
 
 
 def of_kind(metrics: DataFrame, kind: str) -> DataFrame:
@@ -21,22 +21,19 @@ def latest(metrics: DataFrame) -> DataFrame:
     return of_kind(metrics, "train").agg(F.max_by(F.struct("step", "loss"), "step").alias("b")).select("b.step", "b.loss")
 
 
-def trailing_mean(metrics: DataFrame, window: int = 100, every: int = 100) -> DataFrame:
+def trailing_mean(metrics: DataFrame, window: int = 100, every: int = 100, rows: int = ROWS) -> DataFrame:
     """``step, mean``: the mean of the last ``window`` train losses, at each ``every`` steps.
 
-    Steps are dealt by ranges; each range also gets the rows that its first means look back on, so no task holds the
-    whole log. Steps must be whole numbers that follow one another.
+    The losses of the last rows count, however far apart their steps are. Rows are ranked first and dealt in ranges of
+    ranks; a range also gets the ``window - 1`` ranks before it, so no task holds the whole log. Equal steps are ordered
+    by their losses, and each has a mean.
     """
-    train = of_kind(metrics, "train").select("step", "loss")
-    dealt = train.withColumn("_bucket", key_bucket(train, "step"))
-    first = dealt.groupBy("_bucket").agg(F.min("step").alias("_first"))
-    behind = first.select((F.col("_bucket")).alias("_to"), "_first")
-    # A bucket reaches back at most one window of steps, into buckets before it.
-    look = dealt.select("step", "loss", F.explode(F.sequence(F.col("_bucket"), F.col("_bucket") + 1)).alias("_to")).join(behind, "_to").where((F.col("step") >= F.col("_first") - window + 1))
-    own = dealt.select("step", F.col("_bucket").alias("_to"), F.lit(True).alias("_own"))
-    w = Window.partitionBy("_to").orderBy("step").rowsBetween(-(window - 1), 0)
-    mean = look.withColumn("mean", F.avg("loss").over(w)).join(own, ["_to", "step"])
-    return mean.where(F.col("step") % every == 0).select("step", "mean")
+    ranked = exclusive_sums(of_kind(metrics, "train").select("step", "loss").withColumn("_all", F.lit(0)), ["_all"], ["step", "loss"], {"_rank": F.lit(1)}, rows)
+    size = max(rows, window)
+    first = F.expr(f"_rank div {size}")
+    spread = ranked.select("step", "loss", "_rank", first.alias("_own"), F.explode(F.sequence(first, F.expr(f"(_rank + {window - 1}) div {size}"))).alias("_to"))
+    w = Window.partitionBy("_to").orderBy("_rank").rowsBetween(-(window - 1), 0)
+    return spread.withColumn("mean", F.avg("loss").over(w)).where((F.col("_to") == F.col("_own")) & (F.col("step") % every == 0)).select("step", "mean")
 
 
 def mean_loss(batches: DataFrame, loss: str = "loss") -> DataFrame:

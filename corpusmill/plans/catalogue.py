@@ -596,6 +596,13 @@ def latest_point(spark, sf_dir):
     return training_log.latest(log(spark, sf_dir))
 
 
+@query("SELECT step, round(m, 6) AS mean FROM (SELECT event_id * 7 AS step, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS m FROM events WHERE event_id % 10 <> 0) WHERE step % 50 = 0")
+def trailing_loss_with_gaps(spark, sf_dir):
+    """Steps seven apart, of which every tenth is a validation record."""
+    metrics = log(spark, sf_dir).withColumn("step", F.col("step") * 7)
+    return training_log.trailing_mean(metrics, every=50).select("step", F.round("mean", 6).alias("mean"))
+
+
 @query("SELECT step, round(m, 6) AS mean FROM (SELECT event_id AS step, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS m FROM events) WHERE step % 100 = 0")
 def trailing_loss(spark, sf_dir):
     return training_log.trailing_mean(log(spark, sf_dir).withColumn("kind", F.lit("train"))).select("step", F.round("mean", 6).alias("mean"))
