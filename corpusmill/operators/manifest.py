@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.constants import BOS, END_SQL, EOS, PAD, PROPORTION_TOLERANCE, RATE_CEILING, SCHEMA, SEQUENCE_LENGTH, VOCAB_SIZE
+from corpusmill.constants import PROPORTION_TOLERANCE, RATE_CEILING, SEQUENCE_LENGTH, VOCAB_SIZE
+from corpusmill.operators.packing import FACTS, content_ranges, content_roots, row_facts, with_facts
 from corpusmill.scratch import written
 
 
-def split_counts(packed: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
-    """``source``, and for each split ``..._sequences``, ``..._tokens`` and ``..._hash``."""
-    rows = packed.groupBy("source").pivot("split", ["train", "val"]).agg(F.count(F.lit(1)).alias("sequences"), F.hex(F.bit_xor(F.xxhash64("seq_id", "tokens"))).alias("hash"))
+def split_counts(packed: DataFrame, length: int = SEQUENCE_LENGTH, ranges: DataFrame | None = None) -> DataFrame:
+    """``source``, and for each split ``..._sequences``, ``..._tokens`` and ``..._hash``; from ``content_ranges`` if given."""
+    summary = content_roots(content_ranges(packed) if ranges is None else ranges)
+    rows = summary.groupBy("source").pivot("split", ["train", "val"]).agg(F.sum("sequences").alias("sequences"), F.max("content_hash").alias("hash"))
     for s in ("train", "val"):
         rows = rows.withColumn(f"{s}_sequences", F.coalesce(f"{s}_sequences", F.lit(0))).withColumn(f"{s}_tokens", F.col(f"{s}_sequences") * length)
     return rows
@@ -29,9 +31,9 @@ def missing_sources(registry: DataFrame, packed: DataFrame) -> DataFrame:
     return registry.select("source").join(packed.select("source").distinct(), "source", "left_anti")
 
 
-def manifest(packed: DataFrame, registry: DataFrame, tokenizer_hash: str = "unknown", created: str | None = None, length: int = SEQUENCE_LENGTH, vocab: int = VOCAB_SIZE) -> DataFrame:
+def manifest(packed: DataFrame, registry: DataFrame, tokenizer_hash: str = "unknown", created: str | None = None, length: int = SEQUENCE_LENGTH, vocab: int = VOCAB_SIZE, ranges: DataFrame | None = None) -> DataFrame:
     """The manifest as one nested row. It has one map entry for each source."""
-    rows = proportions(split_counts(packed, length), registry)
+    rows = proportions(split_counts(packed, length, ranges), registry)
     part = lambda s: F.struct(F.concat(F.lit("source="), "source", F.lit(f"/split={s}")).alias("path"), F.array(F.col(f"{s}_sequences"), F.lit(length).cast("long")).alias("shape"), F.col(f"{s}_tokens").alias("tokens"), F.col(f"{s}_sequences").alias("sequences"), F.col(f"{s}_hash").alias("content_hash"))
     entry = F.struct(part("train").alias("train"), part("val").alias("val"), "token_budget", "target_proportion", "actual_proportion")
     at = F.lit(created) if created else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -41,31 +43,36 @@ def manifest(packed: DataFrame, registry: DataFrame, tokenizer_hash: str = "unkn
 
 
 def id_facts(packed: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
-    """One pass over all tokens: for each source and split what the checks of shape, ids and marks need."""
-    t = F.col("tokens")
-    count = lambda test: F.sum(F.size(F.filter(t, test)).cast("long"))
-    # A begin mark inside a row must follow an end mark.
-    inner = F.size(F.filter(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.get(t, i) == BOS)).cast("long")
-    bad = F.size(F.filter(F.sequence(F.lit(1), F.size(t) - 1), lambda i: (F.get(t, i) == BOS) & (F.get(t, i - 1) != EOS))).cast("long")
-    more = F.size(t) > 1
-    return packed.groupBy("source", "split").agg(
-        F.count("*").alias("sequences"), F.sum(F.size(t).cast("long")).alias("n_tokens"), F.sum((F.size(t) != length).cast("long")).alias("wrong_length"),
-        F.min(F.array_min(t)).cast("long").alias("low"), F.max(F.array_max(t)).cast("long").alias("high"), count(lambda x: x == BOS).alias("bos"), count(lambda x: x == PAD).alias("pad"),
-        count(lambda x: x.between(SCHEMA, END_SQL)).alias("delimiters"), F.coalesce(F.sum(F.when(more, inner)), F.lit(0)).alias("inner_bos"), F.coalesce(F.sum(F.when(more, bad)), F.lit(0)).alias("bad_bos"), F.bit_xor(F.xxhash64("seq_id", "tokens")).alias("content"),
+    """For each source and split what the checks of shape, ids and marks need, from the facts of its sequences."""
+    count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return with_facts(packed).groupBy("source", "split").agg(
+        F.count("*").alias("sequences"), count("n_tokens"), F.sum((F.col("n_tokens") != length).cast("long")).alias("wrong_length"), F.min("low").cast("long").alias("low"), F.max("high").cast("long").alias("high"),
+        count("bos"), count("pad"), count("delimiters"), count("inner_bos"), count("bad_bos"),
     )
 
 
-def verify(packed: DataFrame, registry: DataFrame, recorded: DataFrame | None = None, plausible: Callable[[DataFrame], DataFrame] | None = None, only: str | None = None, length: int = SEQUENCE_LENGTH, vocab: int = VOCAB_SIZE) -> DataFrame:
+def changed_ranges(now: DataFrame, recorded: DataFrame) -> DataFrame:
+    """``source, split, range``: where two tables of ``content_ranges`` differ, in rows, contents or in having the range."""
+    key = ["source", "split", "range"]
+    then = recorded.select(*key, F.col("rows").alias("_rows"), F.col("sha256").alias("_sha256"))
+    differ = ~(F.col("rows").eqNullSafe(F.col("_rows")) & F.col("sha256").eqNullSafe(F.col("_sha256")))
+    return now.select(*key, "rows", "sha256").join(then, key, "full").where(differ).select(*key)
+
+
+def verify(packed: DataFrame, registry: DataFrame, recorded: DataFrame | None = None, plausible: Callable[[DataFrame], DataFrame] | None = None, only: str | None = None, length: int = SEQUENCE_LENGTH, vocab: int = VOCAB_SIZE, ranges: DataFrame | None = None) -> DataFrame:
     """``check, passed, detail`` for every check of a packed corpus, over all of it and not a sample.
 
-    ``recorded`` has ``source, split, content_hash`` as written at the build; ``plausible`` tells ``source, passed`` from
-    decoded rows. Either check is left out without its argument. ``only`` limits all to one source.
+    ``recorded`` has ``source, split, sequences, content_hash`` as written at the build, and ``ranges`` the
+    ``content_ranges`` of then, which name what differs; ``plausible`` tells ``source, passed`` from decoded rows. A check is
+    left out without its argument. ``only`` limits all to one source. Facts are made anew from the tokens; rows without
+    tokens must have them.
     """
     if only is not None:
         packed, registry = packed.where(F.col("source") == only), registry.where(F.col("source") == only)
-        recorded = recorded.where(F.col("source") == only) if recorded is not None else None
-    # A row for each source and split, read by every check.
-    facts = written(id_facts(packed, length))
+        recorded, ranges = (x.where(F.col("source") == only) if x is not None else None for x in (recorded, ranges))
+    # One pass over the tokens; all checks read the slim facts of the sequences.
+    slim = written(row_facts(packed).select("source", "split", "seq_id", *FACTS)) if "tokens" in packed.columns else packed
+    facts = written(id_facts(slim, length))
     train = facts.where("split = 'train'")
     wanted = registry.select("source", F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"))
     text = lambda *parts: F.concat_ws(" ", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -91,8 +98,15 @@ def verify(packed: DataFrame, registry: DataFrame, recorded: DataFrame | None =
     if plausible is not None:
         checks.append(one(plausible(packed), "plausible", F.bool_and("passed"), text(number(F.sum((~F.col("passed")).cast("int"))), "sources without text")))
     if recorded is not None:
-        same = facts.select("source", "split", F.hex("content").alias("now")).join(recorded, ["source", "split"], "full")
-        checks.append(one(same, "checksums", F.bool_and(F.col("now").eqNullSafe(F.col("content_hash"))), text(number(F.sum((~F.col("now").eqNullSafe(F.col("content_hash"))).cast("int"))), "differ")))
+        here = written(content_ranges(slim))
+        same = content_roots(here).select("source", "split", F.col("sequences").alias("n_now"), F.col("content_hash").alias("now")).join(recorded, ["source", "split"], "full")
+        differ = ~(F.col("now").eqNullSafe(F.col("content_hash")) & F.col("n_now").eqNullSafe(F.col("sequences")))
+        found = one(same, "checksums", F.count_if(differ) == 0, text(number(F.count_if(differ)), "differ"))
+        if ranges is not None:
+            # The first ten places name where to look; there may be as many as ranges.
+            places = changed_ranges(here, ranges).orderBy("source", "split", "range").limit(10).agg(F.array_join(F.collect_list(F.concat_ws("/", "source", "split", F.col("range").cast("string"))), ", ").alias("places"))
+            found = found.crossJoin(F.broadcast(places)).select("check", (F.col("passed") & (F.col("places") == "")).alias("passed"), F.when(F.col("places") == "", F.col("detail")).otherwise(F.concat("detail", F.lit(": "), "places")).alias("detail"))
+        checks.append(found)
     every = checks[0]
     for c in checks[1:]:
         every = every.unionByName(c)

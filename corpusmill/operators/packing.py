@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.constants import BOS, EOS, SEED, SEQUENCE_LENGTH, VAL_PERCENT
+from corpusmill.constants import BOS, END_SQL, EOS, PAD, SCHEMA, SEED, SEQUENCE_LENGTH, VAL_PERCENT
 from corpusmill.operators.prefix import exclusive_sum, hash_rank
 
 
@@ -57,9 +57,54 @@ def train_val_split(packed: DataFrame, by: list[str], row: str = "seq_id", seed:
     return placed if set(packed.columns) == {*by, row} else packed.join(placed, [*by, row])
 
 
+RANGE = 1024  # sequences of a range, and hashes of a hash above
+FACTS = ("n_tokens", "low", "high", "bos", "pad", "delimiters", "inner_bos", "bad_bos", "digest")
+
+
+def row_facts(packed: DataFrame) -> DataFrame:
+    """``packed`` with what checks and manifest need of each sequence: slim columns that stand for its tokens.
+
+    ``digest`` is the SHA-256 of the ids, the others count ids; ``bad_bos`` counts begin marks inside that follow no end mark.
+    """
+    t, listed = F.col("tokens"), F.concat(F.lit(","), F.array_join(F.col("tokens").cast("array<string>"), ","), F.lit(","))
+    has = lambda ids: F.regexp_count("_listed", F.lit(f",{ids}(?=,)"))
+    inner = F.col("bos") - (F.get(t, F.lit(0)) == BOS).cast("int")
+    counted = packed.withColumn("_listed", listed).withColumns(
+        {"n_tokens": F.size(t), "low": F.array_min(t).cast("int"), "high": F.array_max(t).cast("int"), "bos": has(BOS), "pad": has(PAD), "delimiters": has(f"[{SCHEMA}-{END_SQL}]"), "digest": F.sha2("_listed", 256)}
+    )
+    return counted.withColumn("inner_bos", F.coalesce(inner, F.lit(0))).withColumn("bad_bos", F.col("inner_bos") - has(f"{EOS},{BOS}")).drop("_listed")
+
+
+def with_facts(packed: DataFrame) -> DataFrame:
+    """``packed`` with its facts: those that it has, or else new ones."""
+    return packed if set(FACTS) <= set(packed.columns) else row_facts(packed)
+
+
+def content_ranges(packed: DataFrame) -> DataFrame:
+    """``source, split, range, rows, sha256``: a hash of each range of ``RANGE`` following ``seq_id``.
+
+    It covers numbers, contents and how often a sequence is there, and depends on no order of rows or files. Repeated
+    sequences are counted first, so a range has few rows whatever a broken corpus holds.
+    """
+    same = with_facts(packed).groupBy("source", "split", "seq_id", "digest").agg(F.count("*").alias("n"))
+    row = F.concat_ws(":", F.format_string("%020d", F.col("seq_id")), "digest", F.col("n").cast("string"))
+    ranges = same.groupBy("source", "split", F.expr(f"seq_id div {RANGE}").alias("range"))
+    return ranges.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("sha256"))
+
+
+def content_roots(ranges: DataFrame) -> DataFrame:
+    """``source, split, sequences, content_hash``: the root of a tree of hashes over the ranges, three levels for any size."""
+    level = ranges.withColumnRenamed("range", "node")
+    for _ in range(3):
+        child = F.concat_ws(":", F.format_string("%020d", F.col("node")), "sha256")
+        level = level.groupBy("source", "split", F.expr(f"node div {RANGE}").alias("node")).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256).alias("sha256"))
+    # Three levels of 1,024 take in 2 ** 40 sequences of a split.
+    return level.select("source", "split", F.col("rows").alias("sequences"), F.col("sha256").alias("content_hash"))
+
+
 def build_summary(packed: DataFrame) -> DataFrame:
     """``source, split, sequences, content_hash``: the hash doesn't depend on the rows' order or on files."""
-    return packed.groupBy("source", "split").agg(F.count("*").alias("sequences"), F.hex(F.bit_xor(F.xxhash64("seq_id", "tokens"))).alias("content_hash"))
+    return content_roots(content_ranges(packed))
 
 
 def with_missing(registry: DataFrame, counts: DataFrame) -> DataFrame:

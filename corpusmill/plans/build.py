@@ -78,24 +78,29 @@ def build_sources(spark: SparkSession, base: str, out: str, bpe: tokenizer.Bpe,
 
 
 def write_corpus_manifest(spark: SparkSession, out: str, bpe: tokenizer.Bpe) -> DataFrame:
-    """Writes ``manifest.json`` beside a built corpus and returns its row."""
-    row = manifest.manifest(spark.read.parquet(out), registry_table(spark), bpe.fingerprint())
+    """Writes ``manifest.json`` and the hashes of ranges beside a built corpus; returns the manifest's row.
+
+    It reads the facts that the corpus was written with, and no tokens.
+    """
+    slim = spark.read.parquet(out).select("source", "split", "seq_id", *packing.FACTS)
+    packing.content_ranges(slim).write.mode("overwrite").parquet(f"{out}.ranges")
+    row = manifest.manifest(slim, registry_table(spark), bpe.fingerprint(), ranges=spark.read.parquet(f"{out}.ranges"))
     sinks.write_manifest(row, f"{out}.manifest.json")
     return row
 
 
 def recorded_hashes(row: DataFrame) -> DataFrame:
-    """``source, split, content_hash`` from a manifest's row."""
+    """``source, split, sequences, content_hash`` from a manifest's row."""
     entries = row.select(F.explode("sources").alias("source", "e"))
-    both = F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"e.{s}.content_hash").alias("content_hash")) for s in ("train", "val")])
-    return entries.select("source", F.explode(both).alias("x")).select("source", "x.split", "x.content_hash").where("content_hash IS NOT NULL")
+    both = F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"e.{s}.sequences").alias("sequences"), F.col(f"e.{s}.content_hash").alias("content_hash")) for s in ("train", "val")])
+    return entries.select("source", F.explode(both).alias("x")).select("source", "x.split", "x.sequences", "x.content_hash").where("content_hash IS NOT NULL")
 
 
 def verify_corpus(spark: SparkSession, out: str, bpe: tokenizer.Bpe | None = None, only: str | None = None) -> DataFrame:
     """All checks of a built corpus; with a tokenizer, also that every sequence decodes to text.
 
-    The hashes that the manifest beside the corpus recorded are compared with the rows of now; without a manifest there
-    is no such check.
+    The counts and hashes that the manifest beside the corpus recorded are compared with the rows of now, and the ranges
+    that differ are named; without a manifest there is no such check.
     """
 
     def plausible(packed: DataFrame) -> DataFrame:
@@ -104,7 +109,8 @@ def verify_corpus(spark: SparkSession, out: str, bpe: tokenizer.Bpe | None = Non
 
     path = f"{out}.manifest.json"
     recorded = recorded_hashes(readers.read_manifest(spark, path)) if readers.exists(spark, path) else None
-    return manifest.verify(spark.read.parquet(out), registry_table(spark), recorded, plausible if bpe is not None else None, only)
+    ranges = spark.read.parquet(f"{out}.ranges") if readers.exists(spark, f"{out}.ranges") else None
+    return manifest.verify(spark.read.parquet(out).select("source", "split", "seq_id", "tokens"), registry_table(spark), recorded, plausible if bpe is not None else None, only, ranges=ranges)
 
 
 def build_finetune(spark: SparkSession, base: str, bpe: tokenizer.Bpe, max_per_source: int | None = None, length: int = FINETUNE_LENGTH, seed: int = SEED, out: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,27 +7,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.scratch import dropped_after, written
+from corpusmill.operators.packing import row_facts
 from corpusmill.sources.readers import exists
 
 
+def sources_there(spark: SparkSession, path: str) -> list[str]:
+    """The sources below ``path`` that have both splits."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/source=*/split=*")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    splits = [str(f.getPath()).split("/source=")[-1].split("/split=") for f in found or []]
+    return sorted({s for s, k in splits if k == "train"} & {s for s, k in splits if k == "val"})
+
+
 def write_packed(packed: DataFrame, path: str, force: bool = False) -> list[str]:
     """Packed sequences by source and split; sources that are there already are left alone unless ``force``.
 
-    Returns the sources written. Only their own partitions are replaced.
+    Returns the sources written. Only their own partitions are replaced. The pass that writes also makes each sequence's
+    facts, as slim columns that the manifest reads in place of tokens, and observes which sources it meets. Rows are
+    clustered by ``seq_id`` within a partition, so that later reads of some sequences skip files and row groups.
     """
     spark = packed.sparkSession
-    with dropped_after(spark):
-        packed = written(packed)
-        names = [r[0] for r in packed.select("source").distinct().collect()]
-        there = [n for n in names if exists(spark, f"{path}/source={n}/split=train") and exists(spark, f"{path}/source={n}/split=val")]
-        new = sorted(names if force else set(names) - set(there))
-        if new:
-            packed.where(F.col("source").isin(new)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "split").parquet(path)
-    return new
+    rows = packed if force else packed.where(~F.col("source").isin(sources_there(spark, path)))
+    seen = Observation()
+    placed = row_facts(rows).repartitionByRange("source", "split", "seq_id").sortWithinPartitions("source", "split", "seq_id")
+    placed.observe(seen, F.collect_set("source").alias("sources")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "split").parquet(path)
+    return sorted(seen.get["sources"])
 
 
 def write_examples(train: DataFrame, stats: DataFrame, skipped: DataFrame, path: str, length: int) -> DataFrame:

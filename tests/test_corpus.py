@@ -134,7 +134,7 @@ CORRUPT = {
 @pytest.mark.parametrize("fault", [None, "negative", "checksums", *CORRUPT])
 def test_verify_finds_each_fault(spark, fault):
     change = CORRUPT.get(fault) or ((lambda s, i, t: [*t[:9], -1, *t[10:]] if i == 4 else t) if fault == "negative" else None)
-    recorded = packing.build_summary(corpus(spark)).select("source", "split", "content_hash")
+    recorded = packing.build_summary(corpus(spark))
     if fault == "checksums":
         recorded = recorded.withColumn("content_hash", F.when(F.col("source") == "a", "0").otherwise(F.col("content_hash")))
     plausible = lambda packed: packed.groupBy("source").agg(F.lit(True).alias("passed"))
@@ -143,6 +143,36 @@ def test_verify_finds_each_fault(spark, fault):
     assert wrong == ({"id_range"} if fault == "negative" else {fault} - {None})
 
 
+DAMAGE = {
+    "changed": lambda df: df.withColumn("tokens", F.when(F.expr("source = 'a' AND seq_id = 7"), F.reverse("tokens")).otherwise(F.col("tokens"))),
+    "lost": lambda df: df.where("NOT (source = 'a' AND seq_id = 7)"),
+    "tripled": lambda df: df.unionByName(df.where("source = 'a' AND seq_id = 7")).unionByName(df.where("source = 'a' AND seq_id = 7")),
+    "swapped": lambda df: df.withColumn("seq_id", F.expr("CASE WHEN source = 'a' AND seq_id = 7 THEN 8L WHEN source = 'a' AND seq_id = 8 THEN 7L ELSE seq_id END")),
+    "shuffled rows": lambda df: df.orderBy(F.desc("seq_id")).repartition(7),
+}
+
+
+@pytest.mark.parametrize("damage", DAMAGE)
+def test_checksums_find_each_damage(spark, damage, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 4)
+    other = corpus(spark, lambda s, i, t: [*t[:9], 200 + i, *t[10:]])
+    ranges = packing.content_ranges(other)
+    checks = {r.check: r for r in manifest.verify(DAMAGE[damage](other), registry(spark), packing.content_roots(ranges), ranges=ranges).collect()}
+    want = {"changed": "a/train/1", "lost": "a/train/1", "tripled": "a/train/1", "swapped": "a/train/1, a/train/2"}.get(damage)
+    assert checks["checksums"].passed == (want is None) and (want is None or checks["checksums"].detail == f"1 differ: {want}")
+
+
+def test_facts_against_loops(spark):
+    rng = random.Random(8)
+    rows = [("s", "train", i, [rng.choice([0, 0, 1, 1, 2, 4, 9, 10, 50, 12_288, -1]) for _ in range(rng.choice([1, 2, 30]))]) for i in range(60)] + [("s", "train", 99, [])]
+    got = {r.seq_id: r for r in packing.row_facts(spark.createDataFrame(rows, "source string, split string, seq_id long, tokens array<smallint>")).collect()}
+    for _, _, i, t in rows:
+        r, inner = got[i], [k for k in range(1, len(t)) if t[k] == 0]
+        assert (r.n_tokens, r.bos, r.pad, r.delimiters) == (len(t), t.count(0), t.count(2), sum(4 <= x <= 9 for x in t))
+        assert (r.inner_bos, r.bad_bos) == (len(inner), sum(t[k - 1] != 1 for k in inner))
+        assert (r.low, r.high) == (min(t, default=None), max(t, default=None))
+
+
 def test_verify_one_source(spark):
     got = manifest.verify(corpus(spark, CORRUPT["shape"]), registry(spark), only="b")
     assert manifest.all_passed(got)

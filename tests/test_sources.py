@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import tokenizer
+from corpusmill.operators import packing, tokenizer
 from corpusmill.plans import build
 from corpusmill.sources import readers, sinks
 from corpusmill.sources.registry import SOURCES, registry_table
@@ -77,6 +77,8 @@ def test_build_write_verify(spark, base, bpe, tmp_path):
     bird = spark.read.parquet(f"{out}/source=bird/split=train")
     other = bird.withColumn("tokens", F.when(F.col("seq_id") == 12, F.reverse("tokens")).otherwise(F.col("tokens")))
     other.write.parquet(f"{tmp_path}/changed/source=bird/split=train")
+    plan = spark.read.parquet(out).select("source", "split", "seq_id", *packing.FACTS)._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in plan  # the manifest is made without the tokens
     sinks.write_manifest(spark.read.json(f"{out}.manifest.json", multiLine=True), f"{tmp_path}/changed.manifest.json")
     assert not {r.check: r.passed for r in build.verify_corpus(spark, f"{tmp_path}/changed").collect()}["checksums"]
 
