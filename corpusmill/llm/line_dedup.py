@@ -89,17 +89,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     while True:
         spans = repeated(named, key, text, words, seed).toDF(key_, hash_, cut_, seen_)
         # The spans grow with the table, so the join always shuffles, also where a small table would let it broadcast.
-        joined = Table(docs.join(spans.hint("merge"), (F.col(key) == F.col(key_)) & (F.xxhash64(text) == F.col(hash_)), "left").drop(key_, hash_))
+        joined = docs.join(spans.hint("merge"), (F.col(key) == F.col(key_)) & (F.xxhash64(text) == F.col(hash_)), "left").drop(key_, hash_)
         # The lines of all repeated passages, each once: a hash that stands for two of them is of no use.
-        lines = joined.df.where(F.col(seen_).isNotNull()).select(once(F.split(text, "\n", -1)).alias("lines"), F.col(seen_).alias("seen"))
+        lines = joined.where(F.col(seen_).isNotNull()).select(once(F.split(text, "\n", -1)).alias("lines"), F.col(seen_).alias("seen"))
         lines = lines.select(F.explode(F.flatten(F.transform("seen", lambda s: F.slice("lines", s["first"], s["last"] - s["first"] + 1)))).alias("line"))
         twice = lines.groupBy(line_hash(F.col("line"), seed).alias("h"), "line").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
         if twice.isEmpty():
             break
-        joined.drop()
         seed += 1
     others = [c for c in docs.columns if c != text and c not in ("n_lines", "removed_lines", "removed_chunks")]
-    merged = joined.df.select(*others, text, once(F.when(F.size(cut_) > 0, _chunks(F.col(cut_)))).alias(cut_))
+    merged = joined.select(*others, text, once(F.when(F.size(cut_) > 0, _chunks(F.col(cut_)))).alias(cut_))
     # What is left stands between the removed chunks; a span behind the last line closes the list.
     split = merged.select(*others, text, once(F.split(text, "\n", -1)).alias(lines_), cut_)
     end = F.size(lines_) + 1

@@ -271,13 +271,20 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _sets(words: int):
+    """``fp, shingles`` of each text; of texts with a second column only those whose id that lists."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             found = [shingle_set(t, words, cache) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            fps = [set_id(x) for x in found]
+            if batch.num_columns > 1:
+                asked = batch.column(1).to_pylist()
+                held = [(f, x) for f, x, wanted in zip(fps, found, asked, strict=True) if f in wanted]
+                fps, found = [f for f, _ in held], [x for _, x in held]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["fp", "shingles"])
 
     return run
 
@@ -447,9 +454,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pairs = written(met.df.where("kind = 0").select("a", "b").distinct())
     open_ = met.df.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("fp"), "n", "pos")
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(open_.select("fp")).distinct()
-    keys = written(marked.groupBy("fp").agg(F.min("key").alias("key")).join(needed.hint("merge"), "fp", "left_semi").select("key"))
-    texts = slim.join(keys.hint("merge"), "key", "left_semi").select("text")
-    sets = written(map_arrow(texts, _sets(words), "fp long, shingles array<long>").groupBy("fp").agg(F.any_value("shingles").alias("shingles")))
+    # Each set is made from the text of one key, and a key has one row for each of its texts, so no set is there twice.
+    keys = written(marked.groupBy("fp").agg(F.min("key").alias("key")).join(needed.hint("merge"), "fp", "left_semi").groupBy("key").agg(F.collect_set("fp").alias("wanted")))
+    texts = slim.join(keys.hint("merge"), "key").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["key", "text_hash"]).select("text", "wanted")
+    sets = written(map_arrow(texts, _sets(words), "fp long, shingles array<long>"))
     links = written(verified(pairs, sets, similarity))
     roots = written(components(links))
     placed = open_.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("shingle", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
