@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from corpusmill.functions.text import nfc
 from corpusmill.functions.predicates import length_ok, not_empty
+from corpusmill.sources import npy
 from corpusmill.sources.registry import SOURCES, TOKENIZER_SOURCES, Source
 
 
@@ -108,16 +104,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("column_names_original", pairs)
 
 
-def _npy_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            matrix = np.load(io.BytesIO(content), allow_pickle=False)
-            for at in range(0, len(matrix), 4096):
-                part = matrix[at : at + 4096]
-                yield pd.DataFrame({"path": path, "row": np.arange(at, at + len(part)), "tokens": list(part)})
-
-
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """``path, row, tokens`` of two-dimensional NumPy files of 16-bit integers. One task reads one file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_npy_rows, "path string, row long, tokens array<smallint>")
+def read_npy(spark: SparkSession, path: str, rows: int = 65_536) -> DataFrame:
+    """``path, row, tokens`` of two-dimensional NumPy files of 16-bit integers; a task reads at most ``rows`` of a file."""
+    npy.register(spark)
+    return spark.read.format("npy").option("rows", rows).load(path)

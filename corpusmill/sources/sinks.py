@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.scratch import dropped_after, written
 from corpusmill.operators.packing import row_facts
+from corpusmill.scratch import dropped_after, written
+from corpusmill.sources import npy
 from corpusmill.sources.readers import exists
 
 
@@ -84,37 +80,20 @@ def append_texts(texts: DataFrame, path: str, part: str) -> bool:
 
 
 def append_metrics(rows: DataFrame, *paths: str) -> None:
-    """JSON lines to each of the paths, a local and a remote one, say."""
-    for path in paths:
-        rows.write.mode("append").json(path)
-
-
-def _npy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for (source, split, part), rows in pdf.groupby(["source", "split", "part"], sort=False):
-            buffer = io.BytesIO()
-            np.save(buffer, np.stack(rows["tokens"].to_numpy()).astype(np.int16))
-            yield pd.DataFrame({"source": [source], "split": [split], "part": [part], "first_seq": [int(rows["seq_id"].iloc[0])], "content": [buffer.getvalue()]})
-
-
-def npy_parts(packed: DataFrame, rows: int = 4096) -> DataFrame:
-    """``source, split, part, first_seq, content``: NumPy files of the sequences of ``rows`` following ``seq_id`` each.
-
-    A part is made by one task, and a source has as many parts as it needs. An Arrow batch may cut a part in two, which
-    ``first_seq`` tells apart.
-    """
-    dealt = packed.select("source", "split", "seq_id", "tokens", F.expr(f"seq_id div {rows}").alias("part")).repartition("source", "split", "part")
-    return dealt.sortWithinPartitions("source", "split", "part", "seq_id").mapInPandas(_npy, "source string, split string, part long, first_seq long, content binary")
+    """JSON lines to each of the paths, a local and a remote one, say; the rows are computed once."""
+    with dropped_after(rows.sparkSession):
+        rows = written(rows) if len(paths) > 1 else rows
+        for path in paths:
+            rows.write.mode("append").json(path)
 
 
-def write_npy(packed: DataFrame, path: str, rows: int = 4096) -> list[str]:
-    """NumPy files ``<source>/<split>-<first sequence>.npy`` below ``path``, in any file system; returns their names.
+def write_npy(packed: DataFrame, path: str, rows: int = 4096, force: bool = False) -> list[str]:
+    """NumPy files ``<source>/<split>-<first sequence>.npy`` below ``path``; returns their names.
 
-    The bytes are made by the executors, in a written table; the driver only moves one file after another.
+    A file has the sequences of ``rows`` following ``seq_id``, so a source has as many files as it needs. Tasks write
+    their files, and a commit puts them in place; with ``force`` it removes those that were there.
     """
-    spark, names = packed.sparkSession, []
-    with dropped_after(spark):
-        for r in written(npy_parts(packed, rows)).toLocalIterator():
-            names.append(f"{r.source}/{r.split}-{r.first_seq:012d}.npy")
-            write_bytes_file(spark, f"{path}/{names[-1]}", bytes(r.content))
-    return sorted(names)
+    npy.register(packed.sparkSession)
+    dealt = packed.select("source", "split", F.expr(f"seq_id div {rows}").alias("part"), "seq_id", F.col("tokens").cast("array<smallint>").alias("tokens")).repartition("source", "split", "part")
+    dealt.sortWithinPartitions("source", "split", "part", "seq_id").write.format("npy").mode("overwrite" if force else "append").save(path)
+    return npy.written_names(path)

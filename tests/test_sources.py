@@ -111,13 +111,44 @@ def test_npy(spark, tmp_path):
     got = readers.read_npy(spark, f"{tmp_path}/*.npy").orderBy("row").collect()
     assert [list(r.tokens) for r in got] == matrix.tolist()
     packed = spark.createDataFrame([("s", "train", i, matrix[i].tolist()) for i in range(5)], "source string, split string, seq_id long, tokens array<smallint>")
-    import io
-
     assert sinks.write_npy(packed, f"{tmp_path}/out", rows=2) == [f"s/train-{i:012d}.npy" for i in (0, 2, 4)]
-    back = [list(r.tokens) for r in readers.read_npy(spark, f"{tmp_path}/out/*/*.npy").orderBy("path", "row").collect()]
-    assert back == matrix.tolist()
-    part = sinks.npy_parts(packed).collect()
-    assert len(part) == 1 and np.load(io.BytesIO(part[0].content)).tolist() == matrix.tolist()
+    assert np.load(f"{tmp_path}/out/s/train-{2:012d}.npy").tolist() == matrix[2:4].tolist()
+    for path in ("out", "out/*/*.npy", "out/s"):
+        assert [list(r.tokens) for r in readers.read_npy(spark, f"{tmp_path}/{path}").orderBy("path", "row").collect()] == matrix.tolist()
+    # More files beside those that are there; with force, in place of them.
+    assert sinks.write_npy(packed.withColumn("source", F.lit("t")), f"{tmp_path}/out") == ["t/train-000000000000.npy"]
+    assert readers.read_npy(spark, f"{tmp_path}/out").count() == 10
+    assert sinks.write_npy(packed, f"{tmp_path}/out", force=True) == ["s/train-000000000000.npy"]
+    assert readers.read_npy(spark, f"{tmp_path}/out").count() == 5 and not list((tmp_path / "out").glob("_temporary*"))
+
+
+def test_one_large_npy_is_read_by_many_tasks(spark, tmp_path):
+    matrix = np.random.default_rng(1).integers(-32768, 32767, (10_007, 64)).astype(np.int16)
+    np.save(f"{tmp_path}/m.npy", matrix)
+    df = readers.read_npy(spark, f"{tmp_path}/m.npy", rows=1000)
+    assert df.select(F.spark_partition_id()).distinct().count() == 11
+    got = df.orderBy("row").toArrow()
+    assert np.array_equal(np.stack(got["tokens"].to_numpy()), matrix) and got["row"].to_pylist() == list(range(10_007))
+
+
+def test_npy_of_other_kinds_is_refused(spark, tmp_path):
+    from corpusmill.sources import npy
+
+    for bad in (np.zeros((3, 2), np.int32), np.zeros(4, np.int16), np.zeros((2, 2), np.int16, order="F")):
+        np.save(f"{tmp_path}/b.npy", bad)
+        with pytest.raises(ValueError, match="no matrix"):
+            npy.Reader({"path": f"{tmp_path}/b.npy"}).partitions()
+    with pytest.raises(FileNotFoundError):
+        npy.files_of(f"{tmp_path}/none")
+    empty = spark.createDataFrame([], "source string, split string, seq_id long, tokens array<smallint>")
+    assert sinks.write_npy(empty, f"{tmp_path}/e") == []
+
+
+def test_a_failed_npy_write_leaves_nothing(spark, tmp_path):
+    packed = spark.createDataFrame([("s", "train", 0, [1, 2]), ("s", "train", 1, [3])], "source string, split string, seq_id long, tokens array<smallint>")
+    with pytest.raises(Exception):  # noqa: B017  rows of one file differ in length
+        sinks.write_npy(packed, f"{tmp_path}/f")
+    assert not list(tmp_path.glob("f/**/*.npy"))
 
 
 def test_json_readers(spark, tmp_path):
