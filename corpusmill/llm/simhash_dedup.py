@@ -430,6 +430,42 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b")
 
 
+PLACES = 22  # bits of a key's place in the map of wanted keys: half a megabyte, whatever the table's size
+
+
+def _wanted_only(keys: DataFrame):
+    """Lets pass the rows whose place is that of a wanted key, and few others: a map of bits, of a fixed size."""
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << PLACES)) + 1
+    maps = keys.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    there = np.zeros(1 << PLACES, bool)
+    for row in maps.collect():
+        bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
+        there[(row.part - 1) * len(bits) : row.part * len(bits)] = bits
+    packed = np.packbits(there)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column(0).to_numpy() - 1])).drop_columns(["place"])
+
+    return place.alias("place"), run
+
+
+def sets_of(slim: DataFrame, first: DataFrame, pairs: DataFrame, words: int) -> Table:
+    """``fp, shingles``: the sets of the texts that ``pairs`` name, each once. ``first`` has the key whose text has a set.
+
+    Only texts whose keys may be wanted are shuffled. A key comes with the sets that are wanted from its texts, and each set
+    is wanted from one key.
+    """
+    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    keys = written(first.join(needed.hint("merge"), "fp", "left_semi").groupBy("key").agg(F.collect_set("fp").alias("wanted")))
+    place, run = _wanted_only(keys)
+    kind = slim.schema["key"].dataType.simpleString()
+    near = map_arrow(slim.select(place, "key", "text"), run, f"key {kind}, text string")
+    texts = near.join(keys.hint("merge"), "key").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["key", "text_hash"]).select("text", "wanted")
+    return Table(map_arrow(texts, _sets(words), "fp long, shingles array<long>"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``key, component_id`` for every row with a key and a text of words: groups of alike texts, complete and exact.
 
@@ -453,17 +489,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     every.drop()
     pairs = written(met.df.where("kind = 0").select("a", "b").distinct())
     open_ = met.df.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("fp"), "n", "pos")
-    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(open_.select("fp")).distinct()
-    # Each set is made from the text of one key, and a key has one row for each of its texts, so no set is there twice.
-    keys = written(marked.groupBy("fp").agg(F.min("key").alias("key")).join(needed.hint("merge"), "fp", "left_semi").groupBy("key").agg(F.collect_set("fp").alias("wanted")))
-    texts = slim.join(keys.hint("merge"), "key").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["key", "text_hash"]).select("text", "wanted")
-    sets = written(map_arrow(texts, _sets(words), "fp long, shingles array<long>"))
-    links = written(verified(pairs, sets, similarity))
+    first = written(marked.groupBy("fp").agg(F.min("key").alias("key")))
+    sets = sets_of(slim, first, pairs, words)
+    links = written(verified(pairs, sets.df, similarity))
+    sets.drop()
     roots = written(components(links))
     placed = open_.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("shingle", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
     again = blocks(placed).repartition("block").sortWithinPartitions("block", "fp")
     more = written(map_arrow(again, _rest(similarity), "a long, b long").distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-    links = written(links.unionByName(verified(more, sets, similarity)))
+    links = written(links.unionByName(verified(more, sets_of(slim, first, more, words).df, similarity)))
     groups = group_by_fingerprint(marked, links)
     return marked.join(groups, "fp").select(F.col("key").alias(key), "component_id")
 
