@@ -9,6 +9,7 @@ BOS, EOS, PAD, UNK = 0, 1, 2, 3
 SCHEMA, QUESTION, SQL, END_SCHEMA, END_QUESTION, END_SQL = 4, 5, 6, 7, 8, 9
 FIRST_BYTE = len(SPECIAL_TOKENS)  # the byte tokenizer's id of byte 0
 
+# Sizes, bounds, seed, shares and ceilings.
 VOCAB_SIZE = 12_288
 SEQUENCE_LENGTH = 512
 FINETUNE_LENGTH = 1024

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.constants import MAX_CHARS, MIN_CHARS
-from corpusmill.functions.text import alnum_fraction, contains_any, keyword_hits
+from corpusmill.functions.text import alnum_fraction, bound, contains_any, keyword_hits
 
 #: Keywords of the source filters.
 SQL_FILE_WORDS = ("SELECT", "FROM", "CREATE", "INSERT")
@@ -33,7 +35,8 @@ def markdown_file(text: Column, words=MARKDOWN_WORDS, least: int = 2) -> Column:
 
 
 def python_file(text: Column, first: str = PYTHON_FIRST, then=PYTHON_THEN) -> Column:
-    return contains_any(text, (first,)) & contains_any(text, then)
+    # One scan for both conditions.
+    return bound(F.upper(text), lambda upper: F.contains(upper, F.lit(first)) & functools.reduce(Column.__or__, [F.contains(upper, F.lit(k)) for k in then], F.lit(False)))
 
 
 def path_has(path: Column, parts=RUBY_PATHS) -> Column:

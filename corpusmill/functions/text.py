@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,17 +44,18 @@ def alnum_fraction(x: Column) -> Column:
     return F.when(F.length(x) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) / F.length(x))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyword_hits(x: Column, keywords) -> Column:
-    """How many different keywords occur in the upper-cased text, also inside longer words."""
-    upper = F.upper(x)
-    return sum((F.contains(upper, F.lit(k)).cast("int") for k in keywords), F.lit(0))
+    """How many different keywords occur in the upper-cased text, also inside longer words and overlapping ones."""
+    return bound(F.upper(x), lambda upper: sum((F.contains(upper, F.lit(k)).cast("int") for k in keywords), F.lit(0)))
 
 
 def contains_any(x: Column, keywords) -> Column:
-    upper, found = F.upper(x), F.lit(False)
-    for k in keywords:
-        found = found | F.contains(upper, F.lit(k))
-    return found
+    return bound(F.upper(x), lambda upper: functools.reduce(Column.__or__, [F.contains(upper, F.lit(k)) for k in keywords], F.lit(False)))
 
 
 def word_count(x: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,30 +47,30 @@ def split_and_copy(kept: DataFrame, row: Column, source: Column, weight: Column,
     return drawn.where("_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
 
 
-def _numpy_draws(seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("nth")
-        out = np.empty((len(pdf), 2))
-        # A row's two draws stand at twice its number in the stream: jump there for each run of following numbers.
-        nth = pdf["nth"].to_numpy(np.int64)
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(nth) != 1))) if len(nth) else []
-        for i, j in zip(starts, [*starts[1:], len(nth)], strict=True):
-            bits = np.random.PCG64(seed)
-            bits.advance(2 * int(nth[i]))
-            out[i:j] = np.random.Generator(bits).random((j - i, 2))
-        return pdf.assign(val_draw=out[:, 0], copy_draw=out[:, 1])
-
-    return run
-
-
-def numpy_draws(rows: DataFrame, nth: str, seed: int = SEED, block: int = 50_000) -> DataFrame:
+def numpy_draws(rows: DataFrame, nth: str, seed: int = SEED) -> DataFrame:
     """Adds ``val_draw, copy_draw``: NumPy's own stream for the seed, two numbers for each kept row of a source.
 
-    ``nth`` numbers the kept rows of each source from 0. Blocks of rows draw independently, by advancing the generator.
+    ``nth`` numbers the kept rows of each source from 0; a null has no draws. A row's two numbers stand at twice its own in the
+    stream, where the generator jumps in a few steps: so rows may lie anywhere, none is moved, and only ``nth`` goes to Python.
     """
-    named = rows.withColumn("nth", F.col(nth).cast("long")).withColumn("_block", F.expr(f"nth div {block}"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
-    return named.groupBy("_block").applyInPandas(_numpy_draws(seed), f"{fields}, val_draw double, copy_draw double").drop("_block")
+
+    @F.arrow_udf("struct<val_draw: double, copy_draw: double>")
+    def draw(numbers: pa.Array) -> pa.Array:
+        given = numbers.fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(given, kind="stable")
+        at, back = np.unique(given[order], return_inverse=True)
+        out = np.empty((len(at), 2))
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1))) if len(at) else []
+        for i, j in zip(starts, [*starts[1:], len(at)], strict=True):
+            bits = np.random.PCG64(seed)
+            bits.advance(2 * int(at[i]))
+            out[i:j] = np.random.Generator(bits).random((j - i, 2))
+        found = np.empty((len(given), 2))
+        found[order] = out[back]
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["val_draw", "copy_draw"], mask=numbers.is_null())
+
+    drawn = rows.withColumn("_draws", draw.asNondeterministic()(F.col(nth).cast("long")))
+    return drawn.withColumn("val_draw", F.col("_draws.val_draw")).withColumn("copy_draw", F.col("_draws.copy_draw")).drop("_draws")
 
 
 def shuffled_train(rows: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:

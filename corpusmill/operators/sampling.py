@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusmill.operators.finetune import uniform
 from corpusmill.operators.prefix import hash_rank
 
+CHUNK = 65_536  # sequences of a chunk: 64 MB at 512 ids
+
 
 def weights(sources: DataFrame) -> DataFrame:
     """``source, n, low, high``: each present source's stretch of the unit interval, from ``target_proportion``."""
@@ -36,9 +38,26 @@ def mixture_rows(spark: SparkSession, sources: DataFrame, batches: int, size: in
     return slots.select("batch_id", "slot", "source", F.floor(u * F.col("n")).cast("long").alias("row_idx"))
 
 
-def gather(drawn: DataFrame, packed: DataFrame) -> DataFrame:
-    """Drawn rows with their tokens, as ints."""
-    return drawn.join(packed.select("source", F.col("seq_id").alias("row_idx"), F.col("tokens").cast("array<int>").alias("tokens")), ["source", "row_idx"])
+def chunked(packed: DataFrame, rows: int = CHUNK) -> DataFrame:
+    """``packed`` with ``chunk``, for a layout that is partitioned by ``source, chunk``: ``rows`` following ``seq_id`` each.
+
+    Rows are dealt by ranges, so a chunk is a file or two, and a source has as many chunks as it needs.
+    """
+    placed = packed.withColumn("chunk", F.expr(f"seq_id div {rows}"))
+    return placed.repartitionByRange("source", "chunk").sortWithinPartitions("source", "chunk", "seq_id")
+
+
+def gather(drawn: DataFrame, packed: DataFrame, rows: int = CHUNK) -> DataFrame:
+    """Drawn rows with their tokens, as ints.
+
+    From a layout of ``chunked`` with the same ``rows`` only the chunks that were drawn from are read: the draws, whose number
+    the caller chose and which are no larger for a larger corpus, are broadcast and prune its partitions.
+    """
+    taken = packed.withColumn("row_idx", F.col("seq_id")).withColumn("tokens", F.col("tokens").cast("array<int>")).drop("seq_id")
+    if "chunk" not in packed.columns:
+        return drawn.join(taken.select("source", "row_idx", "tokens"), ["source", "row_idx"])
+    asked = drawn.where("row_idx >= 0").withColumn("chunk", F.expr(f"row_idx div {rows}"))
+    return F.broadcast(asked).join(taken.select("source", "chunk", "row_idx", "tokens"), ["source", "chunk", "row_idx"]).drop("chunk")
 
 
 def validation_slices(spark: SparkSession, sources: DataFrame, batches: int, size: int, seed: int = 42) -> DataFrame:

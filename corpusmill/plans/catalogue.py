@@ -6,6 +6,8 @@ for a training log. Small fixtures, where the tables have nothing to show, are w
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from corpusmill.constants import BOS, EOS, FIRST_BYTE, FINETUNE_LENGTH, SEQUENCE_LENGTH, VOCAB_SIZE
 from corpusmill.functions import extract, predicates, text
 from corpusmill.operators import budget, evaluation, finetune, manifest, packing, sampling, schema_catalog, supplement, tokenizer, training_log
-from corpusmill.operators.prefix import hash_rank
-from corpusmill.scratch import written
+from corpusmill.operators.prefix import exclusive_sum, hash_rank
+from corpusmill.plans import build
+from corpusmill.scratch import Table, scratch_dir, written
+from corpusmill.sources import readers, sinks
 from corpusmill.sources.registry import registry_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +89,7 @@ _HITS = " + ".join(f"CAST(contains(upper(text), '{w}') AS INTEGER)" for w in DEM
 
 @query(f"SELECT doc_id, CAST({_HITS} AS BIGINT) AS hits FROM documents WHERE {_HITS} >= 2")
 def keyword_hits_ge2(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(predicates.markdown_file(F.col("text"), DEMO_WORDS))
+    docs = table(spark, sf_dir, "documents", True).where(predicates.markdown_file(F.col("text"), DEMO_WORDS))
     return docs.select("doc_id", long(text.keyword_hits(F.col("text"), DEMO_WORDS)).alias("hits"))
 
 
@@ -263,8 +267,6 @@ def epoch_cycle_counts(spark, sf_dir):
 
 @query(f"SELECT lang, CAST(b // 100000 AS BIGINT) AS milestone, count(*) AS docs FROM (SELECT lang, coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE {GOOD}) GROUP BY ALL")
 def build_milestones(spark, sf_dir):
-    from corpusmill.operators.prefix import exclusive_sum
-
     placed = exclusive_sum(budgeted(spark, sf_dir), ["lang"], ["doc_id"], "n", "before")
     return budget.milestones(placed, ["lang"], 100_000)
 
@@ -410,6 +412,117 @@ def registry_proportions(spark, sf_dir):
     return registry_table(spark).select("source", "token_budget", F.round("target_proportion", 9).alias("target"))
 
 
+# Sources and sinks, over the test tables written in the shapes of the sources
+
+_RAW = f"""{_QA},
+    code AS (SELECT doc_id, text AS content, CASE doc_id % 3 WHEN 0 THEN 'db/migration/' WHEN 1 THEN 'Schema.rb' END AS path, CASE doc_id % 4 WHEN 0 THEN 'sql' WHEN 1 THEN 'markdown' WHEN 2 THEN 'python' ELSE 'ruby' END AS lang FROM documents),
+    alnum AS (SELECT *, length(regexp_replace(content, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / greatest(1, length(content)) AS share, upper(content) AS u FROM code)"""
+
+
+def source_tables(spark, sf_dir) -> str:
+    """A folder with the test tables in the shapes of ten sources; one is left out."""
+    base = f"{scratch_dir(spark)}/sources-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents", True)
+    lang = F.element_at(F.array(*map(F.lit, ("sql", "markdown", "python", "ruby"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.when(F.col("doc_id") % 3 == 0, "db/migration/").when(F.col("doc_id") % 3 == 1, "Schema.rb")
+    qa = qa_pairs(spark, sf_dir)
+    texts = {"system": "s", "question": "q", "answer": "a"}
+    some = lambda **names: qa.select(*[F.col(next(c for c, k in texts.items() if k == v)).alias(n) for n, v in names.items()])
+    tables = {
+        "code_files": docs.select(F.col("text").alias("content"), path.alias("max_stars_repo_path"), lang.alias("lang")), "fineweb": docs.select("text"),
+        "oasst": table(spark, sf_dir, "conversations").select("text", F.when(F.col("role") == "user", "prompter").otherwise(F.col("role")).alias("role"), F.when(F.col("conv_id") % 5 == 0, "de").otherwise("en").alias("lang")),
+        "gretelai": some(sql_context="s", sql_prompt="q", sql="a", sql_explanation="q"), "nstext2sql": some(instruction="q", output="a"), "sql_create_context": some(question="q", context="s", answer="a"),
+        "bird": some(schema="s", question="q", evidence="s", SQL="a"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{base}/{name}.parquet")
+    return base
+
+
+def _source_sql(name: str, text: str, rows: str) -> str:
+    return f"SELECT '{name}' AS source, {text} AS text FROM {rows}"
+
+
+_EMPTY = lambda c: f"coalesce({c}, '')"
+_SOURCE_TEXTS = " UNION ALL ".join([
+    _source_sql("gretelai", f"{_EMPTY('system')} || chr(10) || question || chr(10) || answer || chr(10) || question", "qa"), _source_sql("nstext2sql", "question || chr(10) || answer", "qa"), _source_sql("sql_create_context", f"question || chr(10) || {_EMPTY('system')} || chr(10) || answer", "qa"),
+    _source_sql("bird", "concat_ws(chr(10), nullif(system, ''), nullif(question, ''), nullif(system, ''), nullif(answer, ''))", "qa"), _source_sql("fineweb", "text", "documents"), _source_sql("oasst", "text", "conversations WHERE role = 'user' AND conv_id % 5 <> 0"),
+    _source_sql("stack_sql", "content", "alnum WHERE lang = 'sql' AND share >= 0.25 AND regexp_matches(u, 'SELECT|FROM|CREATE|INSERT')"),
+    _source_sql("stack_markdown", "content", "alnum WHERE lang = 'markdown' AND len(list_filter(['SELECT', 'FROM', 'WHERE', 'JOIN', 'TABLE', 'CREATE', 'INSERT', 'UPDATE', 'DELETE'], lambda w: contains(u, w))) >= 2"),
+    _source_sql("stack_python", "content", "alnum WHERE lang = 'python' AND contains(u, 'SELECT') AND regexp_matches(u, 'FROM|WHERE|JOIN')"), _source_sql("stack_ruby", "content", "alnum WHERE lang = 'ruby' AND doc_id % 3 < 2"),
+])
+
+
+@query(f"WITH {_RAW}, t AS ({_SOURCE_TEXTS}) SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE length(text) BETWEEN 100 AND 1000000 GROUP BY source UNION ALL SELECT 'sqale', -1, -1")
+def registered_sources(spark, sf_dir):
+    """What every source of the registry gives, read, filtered and normalised; -1 for the one that isn't there."""
+    found, skipped = readers.load_all(spark, source_tables(spark, sf_dir))
+    every = functools.reduce(DataFrame.unionByName, found.values())
+    counts = every.groupBy("source").agg(F.count("*").alias("docs"), long(F.sum(F.length("text"))).alias("chars"))
+    return counts.unionByName(skipped.select("source", long(F.lit(-1)).alias("docs"), long(F.lit(-1)).alias("chars")))
+
+
+_TUNING = """SELECT 'bird' AS source, strlen(coalesce(system, '')) AS s, strlen(trim(question, ' ' || chr(9) || chr(10) || chr(13))) + CASE WHEN system IS NULL OR trim(system) = '' THEN 0 ELSE 7 + strlen(trim(system, ' ' || chr(9) || chr(10) || chr(13))) END AS q, strlen(answer) AS a FROM qa
+    UNION ALL SELECT 'sql_create_context', strlen(coalesce(system, '')), strlen(question), strlen(answer) FROM qa UNION ALL SELECT 'gretelai', strlen(coalesce(system, '')), strlen(question), strlen(answer) FROM qa UNION ALL SELECT 'nstext2sql', 0, strlen(question), strlen(answer) FROM qa"""
+
+
+@query(f"WITH {_QA}, t AS ({_TUNING}) SELECT source, count(*) FILTER (s + q + a + 8 <= {FINETUNE_LENGTH}) AS kept, count(*) FILTER (s + q + a + 8 > {FINETUNE_LENGTH}) AS skipped FROM t WHERE a > 0 GROUP BY source")
+def tuning_sources(spark, sf_dir):
+    """The instruction-tuning set of all its sources, in bytes: kept and skipped rows."""
+    return build.build_finetune(spark, source_tables(spark, sf_dir), tokenizer.Bpe([]))[1]
+
+
+@query(f"WITH {_TOKENS} SELECT source, seq_id, CAST(sum(id * (place + 1)) AS BIGINT) AS checksum FROM seqs GROUP BY source, seq_id")
+def npy_round_trip(spark, sf_dir):
+    """The packed documents written as NumPy files and read again."""
+    path = f"{scratch_dir(spark)}/npy-{uuid.uuid4().hex}"
+    sinks.write_npy(packed_docs(spark, sf_dir).withColumn("split", F.lit("train")), path, rows=1000)
+    back = readers.read_npy(spark, path, rows=300)
+    at = F.regexp_extract("path", r"([^/]+)/train-([0-9]+)\.npy$", 2).cast("long") + F.col("row")
+    weighed = F.aggregate(F.transform("tokens", lambda x, i: long(x) * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return back.select(F.regexp_extract("path", r"([^/]+)/train-[0-9]+\.npy$", 1).alias("source"), at.alias("seq_id"), weighed.alias("checksum"))
+
+
+@query(f"WITH {_SPLIT} SELECT source, CASE WHEN position <= n_val THEN 'val' ELSE 'train' END AS split, count(*) AS sequences, 0 AS written_again FROM split GROUP BY ALL")
+def written_corpus(spark, sf_dir):
+    """The packed and split documents written by source and split, a second time without effect, and read again."""
+    path = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    packed = written(packing.train_val_split(written(packed_docs(spark, sf_dir)), ["source"]).select("source", "split", "seq_id", "tokens"))
+    sinks.write_packed(packed, path)
+    again = len(sinks.write_packed(packed, path))
+    return spark.read.parquet(path).groupBy("source", "split").agg(F.count("*").alias("sequences")).withColumn("written_again", F.lit(again))
+
+
+@query("SELECT event_id AS step, CASE WHEN event_id % 10 = 0 THEN 'val' ELSE 'train' END AS kind, value AS loss FROM events")
+def metrics_read_back(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    sinks.append_metrics(log(spark, sf_dir), path)
+    return readers.read_metrics(spark, path).select("step", "kind", "loss")
+
+
+@query("SELECT tokenizer, tokens, words, round(tokens / words, 6) AS fertility FROM (SELECT 'bytes' AS tokenizer, CAST(sum(strlen(text)) AS BIGINT) AS tokens, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words FROM documents UNION ALL SELECT 'characters', CAST(sum(length(text)) AS BIGINT), CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) FROM documents)")
+def compared_tokenizers(spark, sf_dir):
+    """Bytes and characters as tokens of all documents, the fewer to a word the better."""
+    docs = table(spark, sf_dir, "documents", True)
+    both = {"bytes": tokenizer.byte_ids(F.col("text")), "characters": F.regexp_extract_all("text", F.lit("(?s)(.)"), 1)}
+    return tokenizer.compare_fertility(docs, both).select("tokenizer", "tokens", "words", F.round("fertility", 6).alias("fertility"))
+
+
+@query("SELECT doc_id, strlen(text) AS tokens, true AS same FROM documents")
+def byte_round_trips(spark, sf_dir):
+    """Every document encoded and decoded by the tokenizer before any merge."""
+    docs, bpe = table(spark, sf_dir, "documents", True), tokenizer.Bpe([])
+    done = tokenizer.round_trips(docs.select("doc_id", "text"), bpe).withColumn("ids", tokenizer.encoder(bpe)(F.col("text")))
+    return done.select("doc_id", long(F.size("ids")).alias("tokens"), "same")
+
+
+@query("SELECT conv_id, turn, text AS query FROM conversations WHERE length(text) > 0 ORDER BY conv_id * 100 + turn LIMIT 300")
+def first_queries(spark, sf_dir):
+    """The first of some fields that is a text, of the first rows that have one; one field here is a number."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.col("turn").alias("query"), F.col("text").alias("sql"))
+    return readers.sql_queries(turns.drop("conv_id", "turn"), 300, "k").join(turns.select("k", "conv_id", "turn"), "k").select("conv_id", "turn", "query")
+
+
 # Instruction tuning
 
 
@@ -423,6 +536,14 @@ def finetune_rows(spark, sf_dir) -> DataFrame:
 _FT = f"WITH {_QA}, x AS (SELECT *, strlen(coalesce(system, '')) AS s, strlen(question) AS q, strlen(answer) AS a, strlen(coalesce(system, '')) + strlen(question) + strlen(answer) + 8 AS n FROM qa WHERE strlen(answer) > 0)"
 
 
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS nth FROM conversations")
+def numpy_numbered(spark, sf_dir):
+    """Every turn with its number, where NumPy's stream gave two draws from the unit interval; the draws are tested against NumPy."""
+    turns = exclusive_sum(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(0).alias("all"), F.lit(1).alias("one")), ["all"], ["conv_id", "turn"], "one", "nth")
+    drawn = finetune.numpy_draws(turns, "nth")
+    return drawn.where("val_draw >= 0 AND val_draw < 1 AND copy_draw >= 0 AND copy_draw < 1").select("conv_id", "turn", "nth")
+
+
 @query(f"{_FT} SELECT conv_id, turn, n, s + q + 5 AS first_one, a + 2 AS ones, CAST({FINETUNE_LENGTH} - n AS BIGINT) AS pads FROM x WHERE n <= {FINETUNE_LENGTH}")
 def finetune_examples(spark, sf_dir):
     kept = finetune_rows(spark, sf_dir).where("tokens IS NOT NULL")
@@ -482,9 +603,10 @@ def mixture_batches(spark, sf_dir):
     r AS (SELECT batch_id, CAST(slot AS BIGINT) AS slot, source, CAST(floor({_U.format("'42|row|' || batch_id || '|' || slot")} * n) AS BIGINT) AS row_idx FROM s)
     SELECT batch_id, slot, r.source, row_idx, total FROM r JOIN sums ON sums.source = r.source AND seq_id = row_idx""")
 def batch_tokens(spark, sf_dir):
-    """The drawn sequences themselves: the sum of the tokens of each."""
+    """The drawn sequences themselves, from a layout of which only the drawn chunks are read: the sum of the tokens of each."""
     sizes = packed_counts_by_lang(spark, sf_dir).select(F.col("lang").alias("source"), F.col("sequences").alias("n")).join(lang_registry(spark).select("source", "target_proportion"), "source")
-    drawn = sampling.gather(sampling.mixture_rows(spark, sizes, 50, 8), packed_docs(spark, sf_dir))
+    corpus = Table(sampling.chunked(packed_docs(spark, sf_dir), 256), ("source", "chunk")).df
+    drawn = sampling.gather(sampling.mixture_rows(spark, sizes, 50, 8), corpus, 256)
     return drawn.select("batch_id", long("slot").alias("slot"), "source", "row_idx", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -499,8 +621,6 @@ def validation_rows(spark, sf_dir):
     d AS (SELECT lang, n, unnest(range(20)) AS draw FROM (SELECT DISTINCT lang, n FROM n))
     SELECT d.lang, CAST(draw AS BIGINT) AS draw, doc_id FROM d JOIN n ON n.lang = d.lang AND row_idx = CAST(floor({_U.format("'7|' || d.lang || '|' || draw")} * d.n) AS BIGINT)""")
 def sampled_docs(spark, sf_dir):
-    from corpusmill.operators.prefix import exclusive_sum
-
     rows = exclusive_sum(table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("one")), ["lang"], ["doc_id"], "one", "row_idx")
     return sampling.sample_rows(rows, ["lang"], "row_idx", 20, 7).select("lang", long("draw").alias("draw"), "doc_id")
 
@@ -514,8 +634,6 @@ def validation_slices(spark, sf_dir):
 
 @query("SELECT doc_id, lang, (r - 1) // 32 AS batch FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE (r - 1) // 32 < n // 32")
 def epoch_batches(spark, sf_dir):
-    from corpusmill.operators.prefix import exclusive_sum
-
     rows = exclusive_sum(table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("one")), ["lang"], ["doc_id"], "one", "row")
     return sampling.epoch_batches(rows, ["lang"], "row", 32).select("doc_id", "lang", "batch")
 

@@ -61,10 +61,10 @@ class Table:
     later joins. A lost executor costs only the tasks it was running.
     """
 
-    def __init__(self, df: DataFrame, keep: bool = True):
+    def __init__(self, df: DataFrame, parts: tuple[str, ...] = ()):
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/corpusmill-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.partitionBy(*parts).parquet(self.path) if parts else df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _left[self.path] = self.spark
         if (owned := _owned.get()) is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 from corpusmill.functions.text import nfc
 from corpusmill.functions.predicates import length_ok, not_empty
@@ -67,16 +67,53 @@ def tokenizer_texts(spark: SparkSession, base: str, name: str) -> DataFrame:
     return nfc(texts, "text").select(strip(F.col("text")).alias("text")).where(F.col("text") != "")
 
 
-def sql_queries(rows: DataFrame, limit: int, key: str, fields=("query", "sql", "question")) -> DataFrame:
-    """``query``: the first of the fields that has text, of the first ``limit`` rows by key that have one."""
-    texts = [F.nullif(F.col(f), F.lit("")) for f in fields if f in rows.columns]
-    return rows.select(key, F.coalesce(*texts).alias("query")).where(F.col("query").isNotNull()).orderBy(key).limit(limit)
+def sql_queries(rows: DataFrame, limit: int | None, key: str, fields=("query", "sql", "question")) -> DataFrame:
+    """``query``: the first of the fields that is a text and not empty, of the first ``limit`` rows by key that have one."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    texts = [F.nullif(F.col(f), F.lit("")) for f in fields if isinstance(kinds.get(f), StringType)]
+    if not texts:
+        return rows.select(key, F.lit(None).cast("string").alias("query")).where("false")
+    return first_rows(rows.select(key, F.coalesce(*texts).alias("query")).where(F.col("query").isNotNull()), key, limit)
 
 
 def first_rows(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """The first rows by key, for trials; all without a limit."""
     return rows if limit is None else rows.orderBy(key).limit(limit)
 
 
+def in_file_order(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table with ``row_no``, which rises in the order of its files and rows."""
+    return read_table(spark, path, schema).withColumn("row_no", F.monotonically_increasing_id())
+
+
+def reference_queries(spark: SparkSession, base: str, limit: int | None = 7000) -> tuple[str, DataFrame]:
+    """The SQL texts that tokenizers are compared on, and the source they are from: ``spider_examples``, or where that can't
+    be read or has none, the answers of ``sql_create_context``. ``row_no, query``, the first ``limit`` rows."""
+    path = f"{base}/spider_examples"
+    try:
+        raw = spark.read.parquet(f"{path}.parquet") if exists(spark, f"{path}.parquet") else spark.read.json(f"{path}.jsonl")
+        found = sql_queries(raw.withColumn("row_no", F.monotonically_increasing_id()), limit, "row_no")
+        if not found.isEmpty():
+            return "spider_examples", found
+    except AnalysisException:  # not there
+        pass
+    other = in_file_order(spark, f"{base}/sql_create_context", SOURCES["sql_create_context"].schema)
+    return "sql_create_context", sql_queries(other, limit, "row_no", ("answer",))
+
+
+#: Held-out sets that predictions are made for, with the columns that their evaluation needs.
+EVALUATION_SETS = {
+    "gretelai_test": "sql_context string, sql_prompt string, sql string",
+    "wikisql_test": "question string, sql struct<human_readable: string>, table struct<id: string, header: array<string>, types: array<string>>",
+    "spider_validation": "question string, query string, db_id string",
+}
+
+
+def evaluation_set(spark: SparkSession, base: str, name: str, limit: int | None = None) -> DataFrame:
+    """A held-out set below ``base`` with ``row_no``; with ``limit`` its first rows, for trials."""
+    return first_rows(in_file_order(spark, f"{base}/{name}", _parse_datatype_string(EVALUATION_SETS[name])), "row_no", limit)
+
+
 MANIFEST = "vocab_size int, sequence_length int, total_train_tokens bigint, total_sources int, tokenizer_hash string, created string, sources map<string, struct<train: struct<path: string, shape: array<bigint>, tokens: bigint, sequences: bigint, content_hash: string>, val: struct<path: string, shape: array<bigint>, tokens: bigint, sequences: bigint, content_hash: string>, token_budget: bigint, target_proportion: double, actual_proportion: double>>"
 METRICS = "step bigint, kind string, loss double, grad_norm double, lr double"
 

@@ -221,3 +221,17 @@ def test_loaders(spark):
     assert sampling.epoch_batches(rows.withColumn("s", F.lit("x")), ["s"], "i", 4).count() == 20
     packed = corpus(spark)
     assert sampling.sample_rows(packed.where("split = 'train'").withColumn("seq_id", F.col("seq_id") - 1), ["source"], "seq_id", 100, 1).count() == 200
+
+
+def test_batches_read_the_chunks_they_drew_from(spark):
+    from corpusmill.scratch import Table
+
+    rows = [(s, i, [i % 100] * 4) for s in ("a", "b") for i in range(400)]
+    packed = spark.createDataFrame(rows, "source string, seq_id long, tokens array<smallint>")
+    corpus = Table(sampling.chunked(packed, 20), ("source", "chunk")).df
+    drawn = spark.createDataFrame([(0, k, "a", k) for k in (3, 5, 5, 390)], "batch_id int, slot int, source string, row_idx long")
+    got = sampling.gather(drawn, corpus, 20)
+    assert sorted((r.row_idx, r.tokens) for r in got.collect()) == [(3, [3] * 4), (5, [5] * 4), (5, [5] * 4), (390, [90] * 4)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert sorted((r.row_idx, r.tokens) for r in sampling.gather(drawn, packed).collect()) == sorted((r.row_idx, r.tokens) for r in got.collect())

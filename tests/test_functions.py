@@ -97,3 +97,13 @@ def test_schedules(spark):
         return 4.5e-4 * 0.5 * (1 + math.cos(math.pi * t)) + 5e-5
 
     assert got == pytest.approx([want(s) for s in steps])
+
+
+def test_keywords_that_overlap(spark):
+    from corpusmill.functions import text
+
+    rows = [(0, "select", 1), (1, "inserted into", 3), (2, "SELECTFROM", 2), (3, "xselecx", 0), (4, "", 0), (5, None, None), (6, "insinsert", 2)]
+    df = spark.createDataFrame(rows, "i int, t string, n int")
+    words = ("SELECT", "FROM", "INSERT", "IN", "INTO")
+    got = {r.i: (r.h, r.a) for r in df.select("i", text.keyword_hits(F.col("t"), words).alias("h"), text.contains_any(F.col("t"), words).alias("a")).collect()}
+    assert got == {i: (n, None if n is None else n > 0) for i, _, n in rows}

@@ -173,3 +173,25 @@ def test_incremental(spark, tmp_path):
         docs = incremental.filtered(incremental.new_documents(spark, f"{tmp_path}/in", _parse_datatype_string(schema)))
         incremental.append_new(docs, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
         assert spark.read.parquet(f"{tmp_path}/out").count() == i + 1
+
+
+def test_reference_queries_and_their_fallback(spark, base, tmp_path):
+    name, found = readers.reference_queries(spark, base, 5)
+    assert name == "sql_create_context" and found.count() == 5 and found.first()["query"].startswith("SELECT")
+    spark.createDataFrame([("q1", 7, "SELECT 1"), ("", 8, "SELECT 2"), ("q3", 9, None)], "question string, query int, sql string").write.parquet(f"{tmp_path}/spider_examples.parquet")
+    name, found = readers.reference_queries(spark, str(tmp_path))
+    # The column query is a number here, so the next field that is a text counts.
+    assert name == "spider_examples" and sorted(r["query"] for r in found.collect()) == ["SELECT 1", "SELECT 2", "q3"]
+    spark.createDataFrame([(1,)], "query int").write.mode("overwrite").parquet(f"{base}/spider_examples.parquet")
+    assert readers.reference_queries(spark, base)[0] == "sql_create_context"
+
+
+def test_evaluation_sets(spark, tmp_path):
+    spark.createDataFrame([(f"q{i}", f"SELECT {i}", "db") for i in range(20)], "question string, query string, db_id string").coalesce(1).write.parquet(f"{tmp_path}/spider_validation.parquet")
+    every = readers.evaluation_set(spark, str(tmp_path), "spider_validation")
+    first = readers.evaluation_set(spark, str(tmp_path), "spider_validation", 3)
+    assert every.count() == 20 and sorted(r.question for r in first.collect()) == ["q0", "q1", "q2"]
+    (tmp_path / "wikisql_test.jsonl").write_text(json.dumps({"question": "q", "sql": {"human_readable": "SELECT a FROM t"}, "table": {"id": "1", "header": ["a"], "types": ["text"]}, "phase": 1}) + "\n")
+    assert readers.evaluation_set(spark, str(tmp_path), "wikisql_test").first().table.header == ["a"]
+    with pytest.raises(FileNotFoundError):
+        readers.evaluation_set(spark, str(tmp_path), "gretelai_test")

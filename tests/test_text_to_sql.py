@@ -40,9 +40,20 @@ def test_copies(spark):
 
 
 def test_numpy_stream(spark):
-    rows = finetune.numpy_draws(spark.range(100).withColumnRenamed("id", "n"), "n", block=7).orderBy("n").collect()
-    want = np.random.default_rng(42).random((100, 2))
-    assert [[r.val_draw, r.copy_draw] for r in rows] == want.tolist()
+    import numpy as np
+
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("nth"), F.array(F.lit(1)).alias("tokens")).repartition(7)  # in no order
+    got = finetune.numpy_draws(df, "nth").orderBy("nth").select("val_draw", "copy_draw").toArrow()
+    want = np.random.default_rng(42).random((n, 2))
+    assert np.array_equal(np.stack([got["val_draw"].to_numpy(), got["copy_draw"].to_numpy()], axis=1), want)
+    odd = spark.createDataFrame([(5,), (5,), (None,), (10**12,)], "k long")
+    far = np.random.PCG64(42)
+    far.advance(2 * 10**12)
+    rows = sorted(((r.k or -1, r.val_draw) for r in finetune.numpy_draws(odd, "k").collect()), key=lambda x: x[0])
+    assert rows == [(-1, None), (5, want[5, 0]), (5, want[5, 0]), (10**12, np.random.Generator(far).random())]
+    plan = finetune.numpy_draws(df, "nth")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("ArrowEvalPython")[0]  # no row moves for its draws
 
 
 def test_execution(spark):
