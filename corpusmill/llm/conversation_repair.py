@@ -13,6 +13,7 @@ pieces' ends, and a table of the four states where a walk through a piece ends g
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import PART, map_arrow, ordered, runs, written
+from corpusmill.llm.common import PART, in_batches, list_runs, map_arrow, ordered, written
 
 FAR = 1 << 60
 START, SYSTEM, USER, ASSISTANT = range(4)  # what stands before: nothing, or a turn of this role
@@ -44,6 +45,7 @@ def _row_arcs(initial: str, fault: int) -> tuple[tuple[int, int, str, int], ...]
 
 
 ARCS = {(c, k): _row_arcs(c, k) for c in ("s", "u", "a", "") for k in range(4)}  # "" stands for any other role
+ARCS_FROM = {row: [[x[1:] for x in arcs if x[0] == s] for s in range(4)] for row, arcs in ARCS.items()}
 
 
 def opened(f: list[int]) -> list[int]:
@@ -103,8 +105,8 @@ def walk(rows: list[tuple[str, int]], f: list[list[int]], b: list[list[int]], to
             if f[i][s] + INSERT + b[i][NEXT[s]] == total:
                 steps.setdefault("I", set()).add((i, NEXT[s]))
             if i < len(rows):
-                for s1, t, letter, cost in ARCS[rows[i]]:
-                    if s1 == s and f[i][s] + cost + b[i + 1][t] == total:
+                for t, letter, cost in ARCS_FROM[rows[i]][s]:
+                    if f[i][s] + cost + b[i + 1][t] == total:
                         steps.setdefault(letter, set()).add((i + 1, t))
         letter = min(steps)
         at = min(frontier)[0]
@@ -113,23 +115,34 @@ def walk(rows: list[tuple[str, int]], f: list[list[int]], b: list[list[int]], to
         out.append((letter, at, min(frontier)[1]))
 
 
-def _initial(role: str) -> str:
-    return role[0] if role and role[0] in "sua" else ""
+def _row_faults(run: dict[str, list]) -> tuple[list[int], list[tuple[str, int]]]:
+    """Which rows of a piece are neither its header nor marks, and the initial and the fault of each."""
+    again = {p for k, p in zip(run["kind"], run["place"], strict=True) if k == 1}
+    rows = [i for i, k in enumerate(run["kind"]) if k == 0]
+    states = []
+    for i in rows:
+        c = run["initial"][i]
+        fault = BLANK if run["blank"][i] else DUPLICATE if run["place"][i] in again else TRUNCATED if run["cut_off"][i] else 0
+        states.append((c if c in ("s", "u", "a") else "", fault))
+    return rows, states
 
 
-def _row_faults(run: pa.Table) -> tuple[pa.Table, list[tuple[str, int]]]:
-    """A piece's rows without its header and marks, and the initial and the fault of each."""
-    kinds, places = run.column("kind").to_pylist(), run.column("place").to_pylist()
-    again = {p for k, p in zip(kinds, places, strict=True) if k == 1}
-    rows = run.filter(pa.array([k == 0 for k in kinds]))
-    states = zip(rows.column("place").to_pylist(), rows.column("initial").to_pylist(), rows.column("blank").to_pylist(), rows.column("cut_off").to_pylist(), strict=True)
-    return rows, [(c if c in ("s", "u", "a") else "", BLANK if blank else DUPLICATE if p in again else TRUNCATED if cut else 0) for p, c, blank, cut in states]
+def _head(run: dict[str, list]) -> dict | None:
+    """The header of a piece of a conversation that has several."""
+    return {n: c[0] for n, c in run.items()} if run["kind"][0] < 0 else None
+
+
+_PIECE = [("conv", pa.int64()), ("part", pa.int64()), ("place", pa.int64())]
+_ENDS = [("f", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("total", pa.int64()), ("last", pa.bool_())]
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in runs(batches, 2):
-        rows, states = _row_faults(run)
-        yield pa.RecordBatch.from_pydict({"conv": [run.column("conv")[0].as_py()], "part": [run.column("part")[0].as_py()], "place": [rows.column("place")[0].as_py()], "m": [sum(matrix(states), [])]})
+    def rows() -> Iterator[dict]:
+        for run in list_runs(batches, 2):
+            at, states = _row_faults(run)
+            yield {"conv": run["conv"][0], "part": run["part"][0], "place": run["place"][at[0]], "m": sum(matrix(states), [])}
+
+    return in_batches(rows(), pa.schema([*_PIECE, ("m", pa.list_(pa.int64()))]))
 
 
 def _costs(pieces: pd.DataFrame) -> pd.DataFrame:
@@ -148,12 +161,15 @@ def _costs(pieces: pd.DataFrame) -> pd.DataFrame:
 
 def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each piece, where a walk from each of the four states ends; -1 where no cheapest way passes."""
-    for run in runs(batches, 2):
-        (head,) = run.slice(0, 1).to_pylist()
-        _, states = _row_faults(run)
-        f, b = forward(head["f"], states), backward(head["b"], states)
-        ends = [walk(states, f, b, head["total"], s, head["last"])[1] if f[0][s] + b[0][s] == head["total"] else -1 for s in range(4)]
-        yield pa.RecordBatch.from_pydict({k: [head[k]] for k in ("conv", "part", "place", "f", "b", "total", "last")} | {"ends": [ends]})
+
+    def rows() -> Iterator[dict]:
+        for run in list_runs(batches, 2):
+            head, (_, states) = _head(run), _row_faults(run)
+            f, b = forward(head["f"], states), backward(head["b"], states)
+            ends = [walk(states, f, b, head["total"], s, head["last"])[1] if f[0][s] + b[0][s] == head["total"] else -1 for s in range(4)]
+            yield {k: head[k] for k in ("conv", "part", "place", "f", "b", "total", "last")} | {"ends": ends}
+
+    return in_batches(rows(), pa.schema([*_PIECE, *_ENDS, ("ends", pa.list_(pa.int64()))]))
 
 
 def _entries(pieces: pd.DataFrame) -> pd.DataFrame:
@@ -165,27 +181,35 @@ def _entries(pieces: pd.DataFrame) -> pd.DataFrame:
     return pieces.drop(columns="ends").assign(entry=entry)
 
 
+_EDIT_COST = {"K": KEEP, "R": REROLE, "D": DELETE, "I": INSERT}
+_TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in runs(batches, 2):
-        head = run.slice(0, 1).to_pylist()[0] if run.column("kind")[0].as_py() < 0 else None
-        rows, states = _row_faults(run)
-        f = forward(head["f"] if head else BEGIN, states)
-        b = backward(head["b"] if head else END, states)
-        total = head["total"] if head else b[0][START]
-        edits, _ = walk(states, f, b, total, head["entry"] if head else START, not head or head["last"])
-        roles, texts = rows.column("role").to_pylist(), rows.column("text").to_pylist()
-        turn = {"K": lambda i, s: (roles[i], texts[i]), "R": lambda i, s: (NAMES[s], texts[i]), "I": lambda i, s: (NAMES[s], "")}
-        repaired = [dict(zip(("role", "text"), turn[e](i, s), strict=True)) for e, i, s in edits if e != "D"]
-        faults = [k for _, k in states]
-        initials = rows.column("initial").to_pylist()
-        spent = sum({"K": KEEP, "R": REROLE, "D": DELETE, "I": INSERT}[e] + CUT_OFF * (e in "KR" and faults[i] == TRUNCATED) for e, i, _ in edits)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "id": [rows.column("id")[0].as_py()], "piece": [run.column("part")[0].as_py()], "pieces": [1 if head is None else 2], "blank": [faults.count(BLANK)], "duplicate": [faults.count(DUPLICATE)], "truncated": [faults.count(TRUNCATED)],
-                "illegal": [sum(x + y not in ("su", "ua", "au") for x, y in zip(initials, initials[1:], strict=False))], "first": [initials[0]], "final": [initials[-1]], "cost": [spent], "audit": ["".join(e for e, _, _ in edits)], "repaired": [repaired],
-            },
-            schema=pa.schema([("id", rows.schema.field("id").type), *[(c, pa.int64()) for c in ("piece", "pieces", "blank", "duplicate", "truncated", "illegal")], ("first", pa.string()), ("final", pa.string()), ("cost", pa.int64()), ("audit", pa.string()), ("repaired", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))]),
-        )
+    first = next(batches, None)
+    if first is None:
+        return
+    counts = [(c, pa.int64()) for c in ("piece", "pieces", "blank", "duplicate", "truncated", "illegal")]
+    schema = pa.schema([("id", first.schema.field("id").type), *counts, ("first", pa.string()), ("final", pa.string()), ("cost", pa.int64()), ("audit", pa.string()), ("repaired", _TURNS)])
+
+    def rows() -> Iterator[dict]:
+        for run in list_runs(itertools.chain([first], batches), 2):
+            head, (at, states) = _head(run), _row_faults(run)
+            f = forward(head["f"] if head else BEGIN, states)
+            b = backward(head["b"] if head else END, states)
+            edits, _ = walk(states, f, b, head["total"] if head else b[0][START], head["entry"] if head else START, not head or head["last"])
+            repaired = []
+            for e, i, s in edits:
+                if e != "D":
+                    repaired.append({"role": run["role"][at[i]] if e == "K" else NAMES[s], "text": "" if e == "I" else run["text"][at[i]]})
+            faults, initials = [k for _, k in states], [run["initial"][i] for i in at]
+            yield {
+                "id": run["id"][at[0]], "piece": run["part"][0], "pieces": 2 if head else 1, "blank": faults.count(BLANK), "duplicate": faults.count(DUPLICATE), "truncated": faults.count(TRUNCATED),
+                "illegal": sum(x + y not in ("su", "ua", "au") for x, y in zip(initials, initials[1:], strict=False)), "first": initials[0], "final": initials[-1],
+                "cost": sum(_EDIT_COST[e] + CUT_OFF * (e in "KR" and faults[i] == TRUNCATED) for e, i, _ in edits), "audit": "".join(e for e, _, _ in edits), "repaired": repaired,
+            }
+
+    yield from in_batches(rows(), schema, 200)
 
 
 def repair(messages: DataFrame, conv: Column, turn: Column, role: Column, text: Column) -> DataFrame:
