@@ -32,6 +32,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         raise FileNotFoundError(f"neither {path}.parquet nor {path}.jsonl exists")
     if missing := [f.name for f in schema if f.name not in found.columns]:
         raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(found.columns)}")
+    if not exists(spark, f"{path}.parquet"):  # fields of JSON objects have no order, so they are read by name
+        return spark.read.schema(schema).json(f"{path}.jsonl")
     return found.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
 
 
