@@ -55,17 +55,26 @@ def pre_token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select(F.explode(pre_tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf(ArrayType(ShortType()))
-def _byte_ids(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else np.frombuffer(t.encode(), np.uint8).astype(np.int16) + FIRST_BYTE)
+def _ids_of_bytes(texts: pa.Array) -> pa.Array:
+    data = texts.cast(pa.binary())
+    if data.offset:
+        data = pa.concat_arrays([data.slice(0, 0), data])
+    ends = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1) if len(data) else np.zeros(1, np.int32)
+    flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int16) + np.int16(FIRST_BYTE)
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(flat), mask=data.is_null() if data.null_count else None)
 
 
-_byte_ids = _byte_ids.asNondeterministic()
+# Where a plan names the ids more than once, they are still made once, but no filter passes them.
+_byte_ids = F.arrow_udf(_ids_of_bytes, ArrayType(ShortType())).asNondeterministic()
+_plain_byte_ids = F.arrow_udf(_ids_of_bytes, ArrayType(ShortType()))
 
 
-def byte_ids(text: Column) -> Column:
-    """The bytes of a text as ids behind the special ones: a tokenizer without any training."""
-    return _byte_ids(text)
+def byte_ids(text: Column, once: bool = True) -> Column:
+    """The bytes of a text as ids behind the special ones: a tokenizer without any training.
+
+    Without ``once``, filters on other columns pass this one on their way down; name it in one place only.
+    """
+    return _byte_ids(text) if once else _plain_byte_ids(text)
 
 
 @dataclass

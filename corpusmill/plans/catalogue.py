@@ -282,9 +282,14 @@ def packed_counts_by_lang(spark, sf_dir):
 
 def packed_docs(spark, sf_dir) -> DataFrame:
     """All documents in bytes, packed by language: ``source, seq_id, tokens``."""
-    docs = good_docs(spark, sf_dir, True).select("doc_id", F.col("lang").alias("source"), tokenizer.byte_ids(F.col("text")).alias("tokens"))
-    sizes = good_docs(spark, sf_dir).select("doc_id", F.col("lang").alias("source"), (F.octet_length("text") + 2).alias("n"))
-    return packing.pack(packing.wrap(docs), ["source"], ["doc_id"], sizes=sizes)
+    return packing.joined(doc_pieces(spark, sf_dir), ["source", "seq_id"])
+
+
+def doc_pieces(spark, sf_dir) -> DataFrame:
+    """The pieces of all documents in bytes: ``source, seq_id, p``."""
+    docs = good_docs(spark, sf_dir).select("doc_id", F.col("lang").alias("source"), "text", (F.octet_length("text") + 2).alias("n"))
+    ids = packing.wrapped(tokenizer.byte_ids(F.col("text"), once=False))
+    return packing.pieces(docs, ["source"], ["doc_id"], sizes=written(docs.drop("text")), late=ids)
 
 
 _TOKENS = f"""tok AS (
@@ -487,9 +492,11 @@ def npy_round_trip(spark, sf_dir):
 def written_corpus(spark, sf_dir):
     """The packed and split documents written by source and split, a second time without effect, and read again."""
     path = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    packed = written(packing.train_val_split(written(packed_docs(spark, sf_dir)), ["source"]).select("source", "split", "seq_id", "tokens"))
-    sinks.write_packed(packed, path)
-    again = len(sinks.write_packed(packed, path))
+    # Which sequences there are follows from the sizes, and the split from one row of each source.
+    cuts = written(packing.split_cuts(split_ids(spark, sf_dir), ["source"]))
+    pieces = packing.with_split(doc_pieces(spark, sf_dir), cuts, ["source"])
+    sinks.write_pieces(pieces, path)
+    again = len(sinks.write_pieces(pieces, path))
     return spark.read.parquet(path).groupBy("source", "split").agg(F.count("*").alias("sequences")).withColumn("written_again", F.lit(again))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.packing import row_facts
+from corpusmill.operators.packing import joined, row_facts
 from corpusmill.scratch import dropped_after, written
 from corpusmill.sources import npy
 from corpusmill.sources.readers import exists
@@ -26,10 +26,24 @@ def write_packed(packed: DataFrame, path: str, force: bool = False) -> list[str]
     facts, as slim columns that the manifest reads in place of tokens, and observes which sources it meets. Rows are
     clustered by ``seq_id`` within a partition, so that later reads of some sequences skip files and row groups.
     """
-    spark = packed.sparkSession
-    rows = packed if force else packed.where(~F.col("source").isin(sources_there(spark, path)))
+    return _write_placed(row_facts(_absent(packed, path, force)).repartitionByRange(*PLACE), path)
+
+
+def write_pieces(pieces: DataFrame, path: str, force: bool = False) -> list[str]:
+    """The same from ``source, split, seq_id, p``, pieces of sequences: these travel once, to the files of their sequences."""
+    return _write_placed(row_facts(joined(_absent(pieces, path, force).repartitionByRange(*PLACE), PLACE)), path)
+
+
+PLACE = ["source", "split", "seq_id"]
+
+
+def _absent(rows: DataFrame, path: str, force: bool) -> DataFrame:
+    return rows if force else rows.where(~F.col("source").isin(sources_there(rows.sparkSession, path)))
+
+
+def _write_placed(rows: DataFrame, path: str) -> list[str]:
     seen = Observation()
-    placed = row_facts(rows).repartitionByRange("source", "split", "seq_id").sortWithinPartitions("source", "split", "seq_id")
+    placed = rows.sortWithinPartitions(*PLACE)
     placed.observe(seen, F.collect_set("source").alias("sources")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "split").parquet(path)
     return sorted(seen.get["sources"])
 

@@ -195,3 +195,14 @@ def test_evaluation_sets(spark, tmp_path):
     assert readers.evaluation_set(spark, str(tmp_path), "wikisql_test").first().table.header == ["a"]
     with pytest.raises(FileNotFoundError):
         readers.evaluation_set(spark, str(tmp_path), "gretelai_test")
+
+
+def test_written_corpus_keeps_tokens_once(spark, tiny):
+    """The only tokens on disk are the corpus itself: no table on the way has them, and pieces are dealt once."""
+    from corpusmill import scratch
+    from corpusmill.plans import catalogue
+
+    before = set(scratch._left)
+    assert catalogue.written_corpus(spark, tiny).count() > 0
+    made = set(scratch._left) - before
+    assert made and not any("tokens" in spark.read.parquet(p).columns for p in made)
