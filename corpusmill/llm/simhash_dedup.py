@@ -12,8 +12,9 @@ Which bits are chosen makes the search complete:
 * ``link_fingerprints`` (radius 3): of four 16-bit blocks, one is left out at a time. Of three differing bits at least
   one lies in some block; without that block two are left, which the balls of radius one cover. 4 x 49 keys of 48 bits.
 
-``near_duplicates`` (the pipeline's stage: similarity of word shingles) doesn't estimate from bits: texts meet on the first
-shingles of one order, which no pair of the asked similarity can miss, and each pair is verified on all shingles.
+``near_duplicates`` (the pipeline's stage: similarity of word shingles) takes the pairs that ball hashing finds and verifies
+each on all shingles. What lies further apart than three bits and is alike nevertheless is found among the groups so made:
+their texts meet on the first shingles of one order, which no pair of the asked similarity can miss.
 """
 
 from __future__ import annotations
@@ -239,28 +240,30 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def _prefixes(words: int, similarity: float, heavy: np.ndarray):
-    """``key, fp, n, prefix`` of each text. A task gives the prefix of one set of shingles once."""
+    """``key, fp, n, sim, prefix`` of each text. A task gives SimHash and prefix of one set of shingles once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         cache = WordHashes()
         for batch in batches:
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, sims, prefixes = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text, words, cache)
                 fps.append(set_id(found))
                 sizes.append(len(found))
                 if fps[-1] in seen:
+                    sims.append(None)
                     prefixes.append(found[:0])
                     continue
                 if len(seen) > 1 << 20:
                     seen.clear()
                 seen.add(fps[-1])
+                sims.append(int(np.uint64(majority(found)).view(np.int64)))
                 last = np.isin(found, heavy, assume_unique=True)
                 prefixes.append(np.concatenate((found[~last], found[last]))[: prefix_size(len(found), similarity)])
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *prefixes]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "fp", "n", "sim", "prefix"])
 
     return run
 
@@ -346,9 +349,10 @@ def _packed(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.R
 
 
 def _trees(similarity: float):
-    """First round: pairs that join all texts of a bucket that can be alike, fewer than it has texts (``kind`` 0).
+    """First round of the rest: pairs that join all texts of a bucket that can be alike, fewer than it has texts (``kind`` 0).
 
-    The pairs are not verified yet, so the rows of a bucket of more than two texts come out as well, for the second round
+    Texts of one ``root`` are joined already, so they are no pair, and a bucket that has one root only gives nothing. The
+    pairs are not verified yet, so the rows of a bucket of more than two texts come out as well, for the second round
     (``kind`` 1, with the bucket's key as ``a`` and the text as ``b``).
     """
 
@@ -357,11 +361,16 @@ def _trees(similarity: float):
         return [none.astype(np.int8), a, b, none, none]
 
     def runs(cols: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
-        key, fp, n, pos = cols
+        several = np.minimum.reduceat(cols[4], starts) != np.maximum.reduceat(cols[4], starts)
+        if not several.any():
+            return
+        key, fp, n, pos, root = (c[np.repeat(several, sizes)] for c in cols)
+        sizes = sizes[several]
+        starts = np.cumsum(sizes) - sizes
         first = np.repeat(starts, sizes)
-        good = _possible(n, pos, n[first], pos[first], similarity)
-        good[starts] = False
-        star = np.add.reduceat(good.astype(np.int64), starts) == sizes - 1  # all can be alike to the first
+        joined = root == root[first]
+        good = _possible(n, pos, n[first], pos[first], similarity) & ~joined
+        star = np.add.reduceat((good | joined).astype(np.int64), starts) == sizes  # all can be alike to the first
         take = good & np.repeat(star | (sizes == 2), sizes)
         yield pairs(fp[first[take]], fp[take])
         rest = np.repeat(sizes > 2, sizes)
@@ -372,9 +381,10 @@ def _trees(similarity: float):
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
                     top = queue.pop()
-                    near = _possible(n[left], pos[left], n[top], pos[top], similarity)
+                    near = _possible(n[left], pos[left], n[top], pos[top], similarity) | (root[left] == root[top])
                     reached, left = left[near], left[~near]
                     queue += reached.tolist()
+                    reached = reached[root[reached] != root[top]]
                     if len(reached):
                         yield pairs(np.full(len(reached), fp[top]), fp[reached])
 
@@ -404,7 +414,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def _rest(similarity: float):
-    """Second round: all pairs of a block that can be alike, aren't in one group yet and aren't both on side 0 or 1."""
+    """Second round of the rest: all pairs of a block that can be alike, aren't in one group yet and aren't both on side 0 or 1."""
 
     def runs(cols: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> Iterator[list[np.ndarray]]:
         mixed = np.minimum.reduceat(cols[4], starts) != np.maximum.reduceat(cols[4], starts)
@@ -466,37 +476,59 @@ def sets_of(slim: DataFrame, first: DataFrame, pairs: DataFrame, words: int) ->
     return Table(map_arrow(texts, _sets(words), "fp long, shingles array<long>"))
 
 
+def ball_pairs(first: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets of shingles whose SimHashes lie within three bits, as trees that join all of them.
+
+    ``first`` has ``fp, sim`` of each set. Of the sets of one SimHash the smallest stands for the others, which hang on it.
+    The pairs are not verified yet.
+    """
+    low = written(first.groupBy("sim").agg(F.min("fp").alias("low")))
+    same = first.join(low.hint("merge"), "sim").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    ends = [low.select(F.col("sim").alias(s), F.col("low").alias(f"{s}_set")).hint("merge") for s in ("a", "b")]
+    near = link_fingerprints(low.select(F.col("sim").alias("fp"))).join(ends[0], "a").join(ends[1], "b")
+    return same.unionByName(near.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``key, component_id`` for every row with a key and a text of words: groups of alike texts, complete and exact.
 
     Two texts link if the Jaccard similarity of their distinct shingles is at least ``similarity``; shingles are equal
-    if their 64-bit hashes are. All shingles have one order, and texts that are alike share one among the first fifth of
-    each (``prefix_size``), so one shuffle on those brings every such pair together. Texts without words (null and empty
+    if their 64-bit hashes are. SimHashes (of the distinct shingles) find most links but can't find all: at 0.8 two of them
+    differ in about ten bits. All shingles have one order, and texts that are alike share one among the first fifth of each
+    (``prefix_size``), so one shuffle on those brings every pair together that is left. Texts without words (null and empty
     ones) and rows with a null key aren't compared and don't come back. The group's id is its smallest key. Texts of any
     length are compared whole. Repeated rows come back as often. An empty table gives an empty result. Other columns are
     not read.
 
-    In the first round each bucket gives a tree of pairs, of which the verified ones make groups. In the second, a bucket
-    of more than two texts gives all its pairs that no group joins yet: a group of k near copies is never k squared
-    pairs, and no link is lost because a pair that stood in for it wasn't one.
+    Ball hashing comes first: the pairs whose SimHashes lie within three bits, of which the verified ones make groups.
+    The rest are pairs of different groups, found in two rounds. In the first each bucket gives a tree of pairs, of which
+    the verified ones join groups. In the second, a bucket of more than two texts gives all its pairs that no group joins
+    yet: a group of k near copies is never k squared pairs, and no link is lost because a pair that stood in for it wasn't
+    one.
     """
     slim = parallel(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = slim.schema["key"].dataType.simpleString()
-    every = Table(map_arrow(slim, _prefixes(words, similarity, _heavy(slim, words)), f"key {kind}, fp long, n int, prefix array<long>").where("n > 0"))
+    every = Table(map_arrow(slim, _prefixes(words, similarity, _heavy(slim, words)), f"key {kind}, fp long, n int, sim long, prefix array<long>").where("n > 0"))
     marked = written(every.df.select("key", "fp"))
-    dealt = every.df.select("fp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "fp", "n", "pos").repartition("shingle").sortWithinPartitions("shingle", "fp")
+    first = written(every.df.groupBy("fp").agg(F.min("key").alias("key"), F.max("sim").alias("sim")))
+    tried = written(ball_pairs(first))
+    sets = sets_of(slim, first, tried, words)
+    links = written(verified(tried, sets.df, similarity))
+    sets.drop()
+    rooted = every.df.where(F.size("prefix") > 0).join(written(components(links)).withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    dealt = rooted.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "fp", "n", "pos", "root").repartition("shingle").sortWithinPartitions("shingle", "fp")
     met = Table(map_arrow(dealt, _trees(similarity), "kind byte, a long, b long, n int, pos int"))
     every.drop()
-    pairs = written(met.df.where("kind = 0").select("a", "b").distinct())
+    pairs = written(met.df.where("kind = 0").select("a", "b").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    tried = tried.unionByName(pairs)
     open_ = met.df.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("fp"), "n", "pos")
-    first = written(marked.groupBy("fp").agg(F.min("key").alias("key")))
     sets = sets_of(slim, first, pairs, words)
-    links = written(verified(pairs, sets.df, similarity))
+    links = written(links.unionByName(verified(pairs, sets.df, similarity)))
     sets.drop()
     roots = written(components(links))
     placed = open_.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("shingle", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
     again = blocks(placed).repartition("block").sortWithinPartitions("block", "fp")
-    more = written(map_arrow(again, _rest(similarity), "a long, b long").distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    more = written(map_arrow(again, _rest(similarity), "a long, b long").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
     links = written(links.unionByName(verified(more, sets_of(slim, first, more, words).df, similarity)))
     groups = group_by_fingerprint(marked, links)
     return marked.join(groups, "fp").select(F.col("key").alias(key), "component_id")
