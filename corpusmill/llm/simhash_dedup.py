@@ -11,16 +11,18 @@ Which bits are chosen makes the search complete:
 
 * ``link_fingerprints`` (radius 3): of four 16-bit blocks, one is left out at a time. Of three differing bits at least
   one lies in some block; without that block two are left, which the balls of radius one cover. 4 x 49 keys of 48 bits.
+* ``near_fingerprints`` (radius 5 and many beyond): of the four blocks two are taken at a time. Of five differing bits at
+  most two lie in some two of them. 6 x 33 keys of 32 bits.
 
 ``near_duplicates`` (the pipeline's stage: similarity of word shingles) takes the pairs that ball hashing finds and verifies
-each on all shingles. What lies further apart than three bits and is alike nevertheless is found among the groups so made:
-their texts meet on the first shingles of one order, which no pair of the asked similarity can miss.
+each on all shingles. What doesn't meet so and is alike nevertheless is found among the groups so made: their texts meet on the first shingles of one order, which no pair of the asked similarity can miss.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +148,22 @@ def rebuilt(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return low | ((rest & np.uint64((1 << WIDTH) - 1)) << block) | high
 
 
-def _meet(radius: int):
+TWO = list(combinations(range(BLOCKS), 2))  # the blocks that are taken; the others are those from the list's end
+FAR = 12  # bits in which fingerprints that meet may differ as candidates; only speed depends on it
+
+
+def rebuilt_of_two(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Fingerprints from keys (number in ``TWO``, then variant of two blocks) and rests (flipped place, then the other two)."""
+    n, flip = (key >> np.uint64(2 * WIDTH)).astype(np.int64), rest >> np.uint64(2 * WIDTH)
+    part = key ^ np.where(flip == NO_FLIP, np.uint64(0), np.uint64(1) << flip)
+    block, low = np.uint64(WIDTH), np.uint64((1 << WIDTH) - 1)
+    shifts = np.array(TWO, np.uint64) * block
+    taken, others = shifts[n], shifts[::-1][n]
+    of = lambda bits, at: ((bits & low) << at[:, 0]) | (((bits >> block) & low) << at[:, 1])
+    return of(part, taken) | of(rest, others)
+
+
+def _meet(radius: int, rebuilt=rebuilt):
     """Reads (key, rest) sorted by both; gives the links among the fingerprints of each key."""
 
     def links(key: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
@@ -208,6 +225,25 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return map_arrow(met, _meet(3), "a long, b long").distinct()
 
 
+def near_fingerprints(fps: DataFrame) -> DataFrame:
+    """Links of at most ``FAR`` bits among distinct fingerprints, all of five bits or fewer and many beyond, as trees.
+
+    It differs from ``link_fingerprints`` in the parts: two of the four blocks.
+    """
+    spark, fp = fps.sparkSession, F.col("fp")
+
+    def blocks_of(i: int, j: int) -> Column:
+        a, b = (F.shiftrightunsigned(fp, WIDTH * x).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long")) for x in (i, j))
+        return a.bitwiseOR(F.shiftleft(b, WIDTH))
+
+    parts = [F.struct(blocks_of(*two).bitwiseOR(F.lit(n << 2 * WIDTH).cast("long")).alias("part"), blocks_of(*others).alias("out")) for n, (two, others) in enumerate(zip(TWO, reversed(TWO), strict=True))]
+    flips = F.array(*[F.struct(F.lit(1 << i if i < 2 * WIDTH else 0).cast("long").alias("bit"), F.lit(i << 2 * WIDTH).cast("long").alias("place")) for i in (*range(2 * WIDTH), NO_FLIP)])
+    dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")).select(F.explode(F.array(*parts)).alias("x"))
+    emitted = dealt.select("x.part", "x.out", F.explode(flips).alias("flip")).select(F.col("part").bitwiseXOR(F.col("flip.bit")).alias("key"), F.col("out").bitwiseOR(F.col("flip.place")).alias("rest"))
+    met = emitted.repartition("key").sortWithinPartitions("key", "rest")
+    return map_arrow(met, _meet(FAR, rebuilt_of_two), "a long, b long").distinct()
+
+
 def group_by_fingerprint(marked: DataFrame, links: DataFrame) -> DataFrame:
     """``fp, component_id``: the smallest key of all rows whose fingerprints are linked, directly or in steps.
 
@@ -477,7 +513,7 @@ def sets_of(slim: DataFrame, first: DataFrame, pairs: DataFrame, words: int) ->
 
 
 def ball_pairs(first: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of sets of shingles whose SimHashes lie within three bits, as trees that join all of them.
+    """Pairs ``a, b`` of sets of shingles whose SimHashes meet (see ``near_fingerprints``), as trees that join all of them.
 
     ``first`` has ``fp, sim`` of each set. Of the sets of one SimHash the smallest stands for the others, which hang on it.
     The pairs are not verified yet.
@@ -485,7 +521,7 @@ def ball_pairs(first: DataFrame) -> DataFrame:
     low = written(first.groupBy("sim").agg(F.min("fp").alias("low")))
     same = first.join(low.hint("merge"), "sim").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
     ends = [low.select(F.col("sim").alias(s), F.col("low").alias(f"{s}_set")).hint("merge") for s in ("a", "b")]
-    near = link_fingerprints(low.select(F.col("sim").alias("fp"))).join(ends[0], "a").join(ends[1], "b")
+    near = near_fingerprints(low.select(F.col("sim").alias("fp"))).join(ends[0], "a").join(ends[1], "b")
     return same.unionByName(near.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b")))
 
 
@@ -500,7 +536,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     length are compared whole. Repeated rows come back as often. An empty table gives an empty result. Other columns are
     not read.
 
-    Ball hashing comes first: the pairs whose SimHashes lie within three bits, of which the verified ones make groups.
+    Ball hashing comes first: the pairs whose SimHashes meet, of which the verified ones make groups.
     The rest are pairs of different groups, found in two rounds. In the first each bucket gives a tree of pairs, of which
     the verified ones join groups. In the second, a bucket of more than two texts gives all its pairs that no group joins
     yet: a group of k near copies is never k squared pairs, and no link is lost because a pair that stood in for it wasn't

@@ -205,31 +205,35 @@ def simhash(text):
 
 
 def test_near_copies_meet_by_ball_hashing(spark, monkeypatch):
-    """With nothing but ball hashing, all that lies within three bits and is alike is joined; the rest joins what lies further apart."""
+    """With nothing but ball hashing, all that lies within five bits and is alike is joined; the rest joins what lies further apart."""
     rng = random.Random(21)
     texts = [t for _ in range(25) for t in family(rng, 6, 1, 400)]
     texts += [" ".join(["same", "words", "over"] * k) for k in (40, 50)] + ["short text", "Short  text"]
     texts += [t for _ in range(10) for t in family(rng, 2, 8, 300)]
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(texts[i], texts[j]) >= 0.8]
-    near = [(i, j) for i, j in links if (simhash(texts[i]) ^ simhash(texts[j])).bit_count() <= 3]
+    near = [(i, j) for i, j in links if (simhash(texts[i]) ^ simhash(texts[j])).bit_count() <= 5]
     assert 100 < len(near) < len(links)
     assert grouped(spark, texts) == classes(len(texts), links)
     none = lambda names: lambda similarity: lambda batches: iter([b for b in batches if not b])  # noqa: ARG005, E731
     monkeypatch.setattr(S, "_trees", none("kind a b n pos"))
     monkeypatch.setattr(S, "_rest", none("a b"))
-    assert grouped(spark, texts) == classes(len(texts), near)
+    got, whole = grouped(spark, texts), classes(len(texts), links)
+    assert all(got[i] == got[j] for i, j in near)
+    assert all(whole[i] == whole[g] for i, g in enumerate(got)) and got != whole
 
 
-def test_ball_pairs_join_all_within_three_bits(spark):
+def test_ball_pairs_join_all_within_five_bits(spark):
     rng = random.Random(22)
     base = [rng.getrandbits(63) for _ in range(30)]
-    sims = [b ^ sum(1 << i for i in rng.sample(range(63), rng.randrange(5))) for b in base for _ in range(5)]
+    sims = [b ^ sum(1 << i for i in rng.sample(range(63), rng.randrange(1, 6))) for b in base for _ in range(4)] + base + [x ^ ~0 for x in base[:3]]
     rows = [(rng.getrandbits(62), None, s) for s in sims]
     pairs = [(r.a, r.b) for r in S.ball_pairs(spark.createDataFrame(rows, "fp long, key long, sim long")).collect()]
     at = {fp: i for i, (fp, _, _) in enumerate(rows)}
-    near = [(i, j) for i, j in itertools.combinations(range(len(sims)), 2) if (sims[i] ^ sims[j]).bit_count() <= 3]
-    assert all(a < b and (sims[at[a]] ^ sims[at[b]]).bit_count() <= 3 for a, b in pairs)
-    assert classes(len(sims), [(at[a], at[b]) for a, b in pairs]) == classes(len(sims), near)
+    apart = lambda i, j: ((sims[i] ^ sims[j]) & (2**64 - 1)).bit_count()
+    near = [(i, j) for i, j in itertools.combinations(range(len(sims)), 2) if apart(i, j) <= 5]
+    assert len(near) > 100 and all(a < b and apart(at[a], at[b]) <= S.FAR for a, b in pairs)
+    joined = classes(len(sims), [(at[a], at[b]) for a, b in pairs])
+    assert all(joined[i] == joined[j] for i, j in near)
     assert S.ball_pairs(spark.createDataFrame([], "fp long, key long, sim long")).count() == 0
 
 
